@@ -115,6 +115,9 @@ def with_views(sql: str, *names: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{sql}"
 
 
@@ -158,3 +161,197 @@ FROM (SELECT count(*) AS n_groups, sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS
         min(CASE WHEN rate > 0 THEN rate END) AS min_rate, max(CASE WHEN rate > 0 THEN rate END) AS max_rate
       FROM (SELECT positives / total AS rate FROM ({RATES}) r) x) a""", ("predictions",),
   ("min_rate", "max_rate", "disparate_impact_raw", "disparate_impact"))
+
+
+# ------------------------------------------------------------------ evaluation (scored view)
+
+COUNTS = """SELECT count(*) AS n,
+  cast(sum(CASE WHEN y = 1 AND p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+  cast(sum(CASE WHEN y <> 1 AND p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  cast(sum(CASE WHEN y <> 1 AND NOT p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  cast(sum(CASE WHEN y = 1 AND NOT p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM scored"""
+
+
+def sdiv(a, b):
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a}) / ({b}) END)"
+
+
+q("confusion_matrix", f"""
+SELECT 0 AS actual, 0 AS predicted, tn AS n FROM ({COUNTS}) c UNION ALL
+SELECT 0, 1, fp FROM ({COUNTS}) c UNION ALL SELECT 1, 0, fn FROM ({COUNTS}) c UNION ALL
+SELECT 1, 1, tp FROM ({COUNTS}) c""", ("scored",))
+
+METRICS = f"""SELECT *, {sdiv('tp + tn', 'n')} AS accuracy, {sdiv('tp', 'tp + fp')} AS precision,
+  {sdiv('tp', 'tp + fn')} AS recall, {sdiv('2 * tp', '2 * tp + fp + fn')} AS f1,
+  ({sdiv('tn', 'tn + fn')} + {sdiv('tp', 'tp + fp')}) / 2 AS precision_macro,
+  ({sdiv('tn', 'tn + fp')} + {sdiv('tp', 'tp + fn')}) / 2 AS recall_macro,
+  ({sdiv('2 * tn', '2 * tn + fn + fp')} + {sdiv('2 * tp', '2 * tp + fp + fn')}) / 2 AS f1_macro,
+  {sdiv(f"{sdiv('tn', 'tn + fn')} * (tn + fp) + {sdiv('tp', 'tp + fp')} * (tp + fn)", 'tp + fp + tn + fn')} AS precision_weighted,
+  {sdiv(f"{sdiv('tn', 'tn + fp')} * (tn + fp) + {sdiv('tp', 'tp + fn')} * (tp + fn)", 'tp + fp + tn + fn')} AS recall_weighted,
+  {sdiv(f"{sdiv('2 * tn', '2 * tn + fn + fp')} * (tn + fp) + {sdiv('2 * tp', '2 * tp + fp + fn')} * (tp + fn)", 'tp + fp + tn + fn')} AS f1_weighted,
+  tp + fn AS support_pos, tn + fp AS support_neg
+FROM ({COUNTS}) c"""
+
+MET_D = ("accuracy", "precision", "recall", "f1", "precision_macro", "recall_macro", "f1_macro",
+         "precision_weighted", "recall_weighted", "f1_weighted")
+q("classification_metrics", METRICS, ("scored",), MET_D)
+
+q("classification_report", f"""
+SELECT 'not' AS class, {sdiv('tn', 'tn + fn')} AS precision, {sdiv('tn', 'tn + fp')} AS recall,
+  {sdiv('2 * tn', '2 * tn + fn + fp')} AS f1_score, cast(tn + fp AS DOUBLE) AS support FROM ({METRICS}) m UNION ALL
+SELECT 'depressed', precision, recall, f1, cast(tp + fn AS DOUBLE) FROM ({METRICS}) m UNION ALL
+SELECT 'accuracy', accuracy, accuracy, accuracy, cast(n AS DOUBLE) FROM ({METRICS}) m UNION ALL
+SELECT 'macro avg', precision_macro, recall_macro, f1_macro, cast(n AS DOUBLE) FROM ({METRICS}) m UNION ALL
+SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, cast(n AS DOUBLE) FROM ({METRICS}) m""",
+  ("scored",), ("precision", "recall", "f1_score", "support"))
+
+
+def hist(score: str, extra_group: str = "", weight: str = "1", src: str = "scored") -> str:
+    g = f"{extra_group}, " if extra_group else ""
+    return f"""SELECT {g}cast({score} AS DOUBLE) AS score,
+  sum(CASE WHEN y = 1 THEN {weight} ELSE 0 END) AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE {weight} END) AS neg
+FROM {src} WHERE {score} IS NOT NULL AND y IS NOT NULL GROUP BY {g}cast({score} AS DOUBLE)"""
+
+
+def auc_sql(score: str, group: str = "", weight: str = "1", src: str = "scored") -> str:
+    part = f"PARTITION BY {group} " if group else ""
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    return f"""SELECT {g}cast(sum(pos) AS {'DOUBLE' if weight != '1' else 'BIGINT'}) AS n_pos,
+  cast(sum(neg) AS {'DOUBLE' if weight != '1' else 'BIGINT'}) AS n_neg,
+  CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (neg_cum - neg + neg * 0.5::DOUBLE)) / (sum(pos) * sum(neg)) END AS roc_auc
+FROM (SELECT *, sum(neg) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum
+      FROM ({hist(score, group, weight, src)}) h) c {gb}"""
+
+
+q("roc_auc", auc_sql("p"), ("scored",), ("roc_auc",))
+
+DESC = """SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps,
+  sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fps,
+  row_number() OVER (ORDER BY score DESC) AS idx FROM ({h}) h"""
+
+q("average_precision", f"""SELECT cast(sum(pos) AS BIGINT) AS n_pos,
+  CASE WHEN sum(pos) > 0 THEN sum(pos * tps / (tps + fps)) / sum(pos) END AS average_precision
+FROM ({DESC.format(h=hist('p'))}) c""", ("scored",), ("average_precision",))
+
+q("brier_score", """SELECT count(*) AS n, avg(pow(p - CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 2)) AS brier_score
+FROM scored""", ("scored",), ("brier_score",))
+
+q("roc_curve", f"""
+WITH c AS ({DESC.format(h=hist('p2'))}),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM c),
+l AS (SELECT *, lead(pos) OVER (ORDER BY idx) AS next_pos, lead(neg) OVER (ORDER BY idx) AS next_neg FROM c)
+SELECT cast(0 AS BIGINT) AS idx, cast(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT idx, score, fps / N, tps / P FROM l, t
+WHERE idx = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""", ("scored",), ("threshold", "fpr", "tpr"))
+
+q("pr_curve", f"""
+WITH c AS ({DESC.format(h=hist('p'))}), t AS (SELECT sum(pos) AS P FROM c)
+SELECT idx, score AS threshold, {sdiv('tps', 'tps + fps')} AS precision,
+  CASE WHEN P = 0 THEN 1.0::DOUBLE ELSE tps / P END AS recall FROM c, t
+UNION ALL SELECT cast(0 AS BIGINT), cast(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE""",
+  ("scored",), ("threshold", "precision", "recall"))
+
+_Q = ", ".join(f"{i / 10!r}::DOUBLE" for i in range(1, 10))
+q("calibration_curve", f"""
+WITH e AS (SELECT quantile_cont(p2, [{_Q}]) AS q FROM scored)
+SELECT bin, count(*) AS n, avg(CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS prob_true, avg(p2) AS prob_pred
+FROM (SELECT y, p2, ({' + '.join(f'CASE WHEN q[{i}] < p2 THEN 1 ELSE 0 END' for i in range(1, 10))}) AS bin
+      FROM scored, e WHERE p2 IS NOT NULL) b GROUP BY bin""", ("scored",), ("prob_true", "prob_pred"))
+
+q("best_accuracy_threshold", f"""
+WITH h AS ({hist('p2')}),
+cand AS (SELECT DISTINCT round_even(score * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS t FROM h),
+tot AS (SELECT sum(pos) AS P, sum(pos) + sum(neg) AS n FROM h),
+acc AS (SELECT t, (SELECT P FROM tot) - coalesce(sum(CASE WHEN h.score < cand.t THEN h.pos END), 0)
+          + coalesce(sum(CASE WHEN h.score < cand.t THEN h.neg END), 0) AS correct
+        FROM cand, h GROUP BY t)
+SELECT coalesce(round_even(t, 4), 0.5::DOUBLE) AS threshold, correct / (SELECT n FROM tot) AS accuracy
+FROM acc ORDER BY correct DESC, t ASC LIMIT 1""", ("scored",), ("threshold", "accuracy"))
+
+
+def _grid():
+    from riskops.operators.evaluate import threshold_grid
+    return threshold_grid()
+
+
+_GRID = ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(_grid()))
+
+
+def rmet(tp, fp, P, n, pre=""):
+    return (f"round_even({sdiv(f'{tp} + ({n} - {P} - {fp})', n)}, 4) AS {pre}accuracy, "
+            f"round_even({sdiv(tp, f'{tp} + {fp}')}, 4) AS {pre}precision, "
+            f"round_even({sdiv(tp, P)}, 4) AS {pre}recall, "
+            f"round_even({sdiv(f'2 * {tp}', f'2 * {tp} + {fp} + ({P} - {tp})')}, 4) AS {pre}f1")
+
+
+q("recall_tuned_threshold", f"""
+WITH g(i, t) AS (VALUES {_GRID}),
+tot AS (SELECT sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS P, count(*) AS n,
+          sum(CASE WHEN y = 1 AND p2 >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS btp,
+          sum(CASE WHEN y <> 1 AND p2 >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS bfp FROM scored),
+base AS (SELECT *, {rmet('btp', 'bfp', 'P', 'n', 'b_')} FROM tot),
+cnt AS (SELECT i, t, sum(CASE WHEN y = 1 AND p2 >= t THEN 1 ELSE 0 END) AS tp,
+          sum(CASE WHEN y <> 1 AND p2 >= t THEN 1 ELSE 0 END) AS fp FROM g, scored GROUP BY i, t),
+m AS (SELECT cnt.i, cnt.t, base.b_precision, base.b_recall, {rmet('tp', 'fp', 'P', 'n')} FROM cnt, base)
+SELECT t AS threshold, accuracy, precision, recall, f1,
+  round_even(recall - b_recall, 4) AS recall_gain_vs_0_5, round_even(b_precision - precision, 4) AS precision_drop_vs_0_5
+FROM m WHERE precision >= greatest(0.0::DOUBLE, b_precision - 0.04::DOUBLE)
+ORDER BY recall DESC, f1 DESC, CASE WHEN t = 0.5::DOUBLE THEN 0 ELSE 1 END, i LIMIT 1""", ("scored",),
+  ("threshold", "accuracy", "precision", "recall", "f1", "recall_gain_vs_0_5", "precision_drop_vs_0_5"))
+
+
+def _mult_sql(u: str) -> str:
+    from riskops.operators.evaluate import poisson1_cdf
+    cdf = poisson1_cdf(10)
+    return "CASE " + " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {len(cdf)} END"
+
+
+def boot_src(n_boot: int, cols: str) -> str:
+    u = ("(cast(cast('0x' || substr(md5(concat('boot:', cast(rep AS VARCHAR), '|', cast(prediction_id AS VARCHAR))), 1, 8)"
+         " AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE)")
+    return f"""(SELECT * FROM (SELECT {cols}, rep, {_mult_sql(u)} AS mult
+   FROM scored, (SELECT cast(range AS INTEGER) AS rep FROM range({n_boot})) r) x WHERE mult > 0)"""
+
+
+q("bootstrap_auc_ci", f"""
+SELECT avg(roc_auc) AS auc, quantile_cont(roc_auc, 0.025::DOUBLE) AS ci_lower,
+  quantile_cont(roc_auc, 0.975::DOUBLE) AS ci_upper, stddev_pop(roc_auc) AS se, count(*) AS n_bootstraps
+FROM ({auc_sql('p', 'rep', 'cast(mult AS DOUBLE)', boot_src(50, 'prediction_id, p, y'))}) a WHERE roc_auc IS NOT NULL""",
+  ("scored",), ("auc", "ci_lower", "ci_upper", "se"))
+
+q("bootstrap_auc_diff", f"""
+WITH b AS {boot_src(50, 'prediction_id, p, p2, y')},
+a1 AS ({auc_sql('p', 'rep', 'cast(mult AS DOUBLE)', 'b')}),
+a2 AS ({auc_sql('p2', 'rep', 'cast(mult AS DOUBLE)', 'b')}),
+d AS (SELECT a1.roc_auc - a2.roc_auc AS d FROM a1 JOIN a2 USING (rep)
+      WHERE a1.roc_auc IS NOT NULL AND a2.roc_auc IS NOT NULL)
+SELECT avg(d) AS auc_diff_mean, quantile_cont(d, 0.025::DOUBLE) AS ci95_low, quantile_cont(d, 0.975::DOUBLE) AS ci95_high,
+  least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),
+                                                    avg(CASE WHEN d >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)))) AS p_value_two_sided,
+  count(*) AS n_bootstraps FROM d""", ("scored",), ("auc_diff_mean", "ci95_low", "ci95_high", "p_value_two_sided"))
+
+view("folded", ["scored"], f"SELECT *, cast(floor({U('fold', 'prediction_id')} * 5) AS INTEGER) AS fold FROM scored")
+
+q("cv_summary", f"""
+WITH a AS ({auc_sql('p2', 'fold', '1', 'folded')}),
+f AS (SELECT fold, {sdiv('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
+   SELECT fold, sum(CASE WHEN y = 1 AND p2 >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS tp,
+     sum(CASE WHEN y <> 1 AND p2 >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS fp,
+     sum(CASE WHEN y = 1 AND NOT p2 >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS fn FROM folded GROUP BY fold) c)
+SELECT count(*) AS n_folds, avg(roc_auc) AS auc_mean, stddev_pop(roc_auc) AS auc_std, avg(f1) AS f1_mean,
+  stddev_pop(f1) AS f1_std FROM a JOIN f USING (fold)""", ("folded",), ("auc_mean", "auc_std", "f1_mean", "f1_std"))
+
+q("stratified_split", f"""SELECT prediction_id, y,
+  CASE WHEN {U('split', 'prediction_id')} < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM scored""", ("scored",))
+
+q("stratified_folds", f"""SELECT prediction_id, y, cast(floor({U('fold', 'prediction_id')} * 5) AS INTEGER) AS fold
+FROM scored""", ("scored",))
+
+PROFILE_KEY = ("concat_ws(chr(31), coalesce(cast(l_quantity AS VARCHAR), 'nan'), coalesce(cast(l_discount AS VARCHAR), 'nan'), "
+               "coalesce(cast(l_tax AS VARCHAR), 'nan'), coalesce(cast(l_returnflag AS VARCHAR), 'nan'), "
+               "coalesce(cast(l_linestatus AS VARCHAR), 'nan'))")
+
+q("group_folds", f"""SELECT l_orderkey, l_linenumber, cast(floor({U('gfold', PROFILE_KEY)} * 5) AS INTEGER) AS fold
+FROM profiles""", ("profiles",))

@@ -55,3 +55,103 @@ def q_group_positive_rate(spark, sf_dir):
 def q_disparate_impact(spark, sf_dir):
     rates = fairness.group_positive_rate(predictions(spark, sf_dir), "income_band", "risk_percent", 60.0)
     return finish(fairness.disparate_impact(rates, "income_band"))
+
+
+# ------------------------------------------------------------------ evaluation (input: scored view)
+
+from riskops.operators import evaluate as E  # noqa: E402
+from riskops.operators import resample as RS  # noqa: E402
+
+N_BOOT_QUERY = 50
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return finish(E.confusion_matrix(A.scored(spark, sf_dir), "p", "y", 0.5))
+
+
+@register("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return finish(E.classification_metrics(A.scored(spark, sf_dir), "p", "y", 0.5))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf_dir):
+    return finish(E.classification_report(A.scored(spark, sf_dir), "p", "y", 0.5, class_names=("not", "depressed")))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return finish(E.roc_auc(A.scored(spark, sf_dir), "p", "y"))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf_dir):
+    return finish(E.average_precision(A.scored(spark, sf_dir), "p", "y"))
+
+
+@register("brier_score")
+def q_brier_score(spark, sf_dir):
+    return finish(E.brier_score(A.scored(spark, sf_dir), "p", "y"))
+
+
+@register("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return finish(E.roc_curve(A.scored(spark, sf_dir), "p2", "y"))
+
+
+@register("pr_curve")
+def q_pr_curve(spark, sf_dir):
+    return finish(E.pr_curve(A.scored(spark, sf_dir), "p", "y"))
+
+
+@register("calibration_curve")
+def q_calibration_curve(spark, sf_dir):
+    return finish(E.calibration_curve(A.scored(spark, sf_dir), "p2", "y", 10))
+
+
+@register("best_accuracy_threshold")
+def q_best_accuracy_threshold(spark, sf_dir):
+    return finish(E.best_accuracy_threshold(A.scored(spark, sf_dir), "p2", "y"))
+
+
+@register("recall_tuned_threshold")
+def q_recall_tuned_threshold(spark, sf_dir):
+    return finish(E.recall_tuned_threshold(A.scored(spark, sf_dir), "p2", "y", max_precision_drop=0.04))
+
+
+@register("bootstrap_auc_ci")
+def q_bootstrap_auc_ci(spark, sf_dir):
+    return finish(E.bootstrap_auc_ci(A.scored(spark, sf_dir), "prediction_id", "p", "y", n_boot=N_BOOT_QUERY))
+
+
+@register("bootstrap_auc_diff")
+def q_bootstrap_auc_diff(spark, sf_dir):
+    return finish(E.bootstrap_auc_diff(A.scored(spark, sf_dir), "prediction_id", "p", "p2", "y", n_boot=N_BOOT_QUERY))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    s = E.assign_folds(A.scored(spark, sf_dir), "prediction_id", 5, "fold")
+    return finish(E.cv_summary(s, "fold", "p2", "y"))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    s = RS.stratified_split(A.scored(spark, sf_dir), "prediction_id", "y", test_size=0.2, seed="split")
+    return finish(s.select("prediction_id", "y", "split"))
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    s = RS.stratified_folds(A.scored(spark, sf_dir), "prediction_id", "y", k=5, seed="fold")
+    return finish(s.select("prediction_id", "y", "fold"))
+
+
+PROFILE_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@register("group_folds")
+def q_group_folds(spark, sf_dir):
+    s = RS.group_folds(A.profiles(spark, sf_dir), PROFILE_COLS, k=5, seed="gfold")
+    return finish(s.select("l_orderkey", "l_linenumber", "fold"))
