@@ -355,3 +355,203 @@ PROFILE_KEY = ("concat_ws(chr(31), coalesce(cast(l_quantity AS VARCHAR), 'nan'),
 
 q("group_folds", f"""SELECT l_orderkey, l_linenumber, cast(floor({U('gfold', PROFILE_KEY)} * 5) AS INTEGER) AS fold
 FROM profiles""", ("profiles",))
+
+
+# ------------------------------------------------------------------ coercion / harmonisation / features
+
+
+def norm(c):
+    return f"lower(trim(cast({c} AS VARCHAR)))"
+
+
+def to_dbl(c):
+    return f"TRY_CAST({c} AS DOUBLE)"
+
+
+def yes_no(c, yes=("yes",), no=("no",), fallback=False):
+    ys = ", ".join(f"'{x}'" for x in yes)
+    ns = ", ".join(f"'{x}'" for x in no)
+    other = to_dbl(c) if fallback else "NULL"
+    return f"(CASE WHEN {norm(c)} IN ({ys}) THEN 1.0::DOUBLE WHEN {norm(c)} IN ({ns}) THEN 0.0::DOUBLE ELSE {other} END)"
+
+
+def clip_sql(x, lo, hi):
+    return f"(CASE WHEN ({x}) IS NULL THEN NULL ELSE least(greatest({x}, {D(lo)}), {D(hi)}) END)"
+
+
+q("coerce_numeric", f"SELECT row_id, {to_dbl('epds_score')} AS epds_score FROM raw_survey", ("raw_survey",), ("epds_score",))
+q("coerce_yes_no", f"SELECT row_id, {yes_no('money', fallback=True)} AS money FROM raw_survey", ("raw_survey",), ("money",))
+q("ordinal_map", f"""SELECT row_id, CASE {norm('relation')} WHEN 'poor' THEN 0.0::DOUBLE WHEN 'moderate' THEN 1.0::DOUBLE
+  WHEN 'good' THEN 2.0::DOUBLE END AS support_score FROM raw_survey""", ("raw_survey",), ("support_score",))
+
+LEN_NUM = f"NULLIF(regexp_extract({norm('length_text')}, '(\\d+(?:\\.\\d+)?)', 1), '')"
+q("parse_length_weeks", f"""SELECT row_id, {clip_sql(f'TRY_CAST({LEN_NUM} AS DOUBLE) * 4.345::DOUBLE', 1, 42)} AS gestational_weeks
+FROM raw_survey""", ("raw_survey",), ("gestational_weeks",))
+
+q("gestation_from_dates", f"""SELECT row_id, {clip_sql(
+    "40.0::DOUBLE - date_diff('day', CAST(try_strptime(trim(eval_date), '%d/%m/%Y') AS DATE), "
+    "CAST(try_strptime(trim(due_date), '%d/%m/%Y') AS DATE)) / 7.0::DOUBLE", 1, 42)} AS gestational_weeks
+FROM (SELECT *, strftime(DATE '1992-01-01' + CAST(row_id % 3000 AS INTEGER), '%d/%m/%Y') AS due_date FROM raw_survey) r""",
+  ("raw_survey",), ("gestational_weeks",))
+
+q("composite_scores", f"""SELECT row_id,
+  (coalesce({yes_no('money', ('no',), ('yes',))}, 0.0::DOUBLE) + coalesce({yes_no('epds_result', ('high',), ('low',))}, 0.0::DOUBLE)) * 1.5::DOUBLE AS sleep_score,
+  {yes_no('epds_result', ('high',), ('low',))} * 3.0::DOUBLE AS low_mood_score,
+  CASE WHEN coalesce({to_dbl('epds_score')}, 0.0::DOUBLE) + coalesce({to_dbl('length_text')}, 0.0::DOUBLE) > 0
+       THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prior_pregnancy_loss
+FROM raw_survey""", ("raw_survey",), ("sleep_score", "low_mood_score", "prior_pregnancy_loss"))
+
+_NULLS = ("support_score", "sleep_score", "fatigue_score", "low_mood_score", "suicidal_ideation_score",
+          "economic_stress_score")
+_N = ", ".join(f"NULL::DOUBLE AS {c}" for c in _NULLS)
+view("harmonized", [], f"""
+SELECT concat('main:', cast(o_orderkey AS VARCHAR)) AS row_id, cast(c_custkey % 44 + 12 AS DOUBLE) AS age,
+  cast(o_orderkey % 42 + 1 AS DOUBLE) AS gestational_weeks,
+  cast(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS DOUBLE) AS prior_pregnancy_loss, {_N},
+  NULL::DOUBLE AS anxiety_score, CAST(CASE WHEN o_totalprice >= 250000 THEN 1 ELSE 0 END AS INTEGER) AS target, 'main' AS source
+FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL
+SELECT concat('ppd:', cast(l_orderkey * 10 + l_linenumber AS VARCHAR)), NULL::DOUBLE, cast(l_quantity AS DOUBLE), NULL::DOUBLE,
+  {_N}, NULL::DOUBLE, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTEGER), 'ppd' FROM lineitem
+UNION ALL
+SELECT concat('uganda:', cast(event_id AS VARCHAR)), cast(user_id % 44 + 12 AS DOUBLE), NULL::DOUBLE,
+  cast(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS DOUBLE), {_N}, value,
+  CAST(CASE WHEN value >= 60 THEN 1 ELSE 0 END AS INTEGER), 'uganda' FROM events""")
+
+_HF = ("age", "gestational_weeks", "prior_pregnancy_loss") + _NULLS + ("anxiety_score",)
+q("harmonize_sources", "SELECT * FROM harmonized", ("harmonized",), _HF)
+
+q("label_rules", f"""SELECT row_id, CAST(coalesce({to_dbl('epds_score')} >= 13.0::DOUBLE, false)
+  OR coalesce({norm('epds_result')} IN ('high'), false) AS INTEGER) AS target FROM raw_survey""", ("raw_survey",))
+
+q("drop_incomplete", """SELECT row_id, epds_score, relation FROM raw_survey
+WHERE epds_score IS NOT NULL AND relation IS NOT NULL""", ("raw_survey",))
+
+q("validate_inputs", """SELECT message_id,
+  CASE WHEN message IS NULL THEN 'message missing'
+       WHEN length(message) < 3 OR length(message) > 5000 THEN 'message length out of range [3, 5000]' END AS reject_reason,
+  NOT (message IS NULL OR length(message) < 3 OR length(message) > 5000) AS valid FROM messages""", ("messages",))
+
+
+def bround0(x):
+    return f"round_even({x}, 0)"
+
+
+def _mapped():
+    s, a, f, st, sh = ("cast(sleep_quality AS DOUBLE)", "cast(appetite AS DOUBLE)", "cast(fatigue AS DOUBLE)",
+                       "cast(financial_stress AS DOUBLE)", "cast(self_harm AS DOUBLE)")
+    sleep = bround0(f"(10.0::DOUBLE - {s}) / 10.0::DOUBLE * 3")
+    app = bround0(f"(10.0::DOUBLE - {a}) / 10.0::DOUBLE * 3")
+    fat = bround0(f"{f} / 10.0::DOUBLE * 3")
+    money = bround0(f"(10.0::DOUBLE - {st}) / 10.0::DOUBLE * 3")
+    harm = bround0(f"{sh} / 5.0::DOUBLE * 3")
+    return [
+        ("Age", "cast(age AS DOUBLE)"), ("Gestational Age", "cast(gestational_weeks AS DOUBLE)"),
+        ("Trouble falling or staying sleep or sleeping too much", sleep), ("Poor appetite or overeating", app),
+        ("Feeling tired or having little energy", fat), ("Sufficient Money for Basic Needs", money),
+        ("Thoughts that you would be better off dead, or of hurting yourself", harm),
+        ("age", "cast(age AS DOUBLE)"), ("gestational_weeks", "cast(gestational_weeks AS DOUBLE)"),
+        ("prior_pregnancy_loss", "0.0::DOUBLE"),
+        ("support_score", bround0(f"(10.0::DOUBLE - {st}) / 10.0::DOUBLE * 2")), ("sleep_score", sleep),
+        ("fatigue_score", fat), ("low_mood_score", bround0(f"((10.0::DOUBLE - {s}) + {f}) / 20.0::DOUBLE * 3")),
+        ("suicidal_ideation_score", harm), ("economic_stress_score", bround0(f"{st} / 10.0::DOUBLE * 3")),
+        ("anxiety_score", f"round_even(({f} + (10.0::DOUBLE - {s}) + (10.0::DOUBLE - {a})) / 30.0::DOUBLE * 10.0::DOUBLE, 2)"),
+    ]
+
+
+_MAPPED = [(n, e) for n, e in _mapped()][:7] + [(n, e) for n, e in _mapped()[7:] if n not in ("age", "gestational_weeks")]
+q("map_features", "SELECT prediction_id, " + ", ".join(f'{e} AS "{n}"' for n, e in _MAPPED) + " FROM assessments",
+  ("assessments",), tuple(f'"{n}"' for n, _ in _MAPPED))
+
+_FB = [
+    ("Age", "coalesce(cast(age AS DOUBLE), 0.0::DOUBLE)"),
+    ("Gestational Age", "coalesce(cast(gestational_weeks AS DOUBLE), 0.0::DOUBLE)"),
+    ("Trouble falling or staying sleep or sleeping too much",
+     bround0("(10.0::DOUBLE - coalesce(cast(sleep_quality AS DOUBLE), 5.0::DOUBLE)) / 10.0::DOUBLE * 3")),
+    ("Poor appetite or overeating", bround0("(10.0::DOUBLE - coalesce(cast(appetite AS DOUBLE), 5.0::DOUBLE)) / 10.0::DOUBLE * 3")),
+    ("Feeling tired or having little energy", bround0("coalesce(cast(fatigue AS DOUBLE), 5.0::DOUBLE) / 10.0::DOUBLE * 3")),
+    ("Sufficient Money for Basic Needs",
+     bround0("(10.0::DOUBLE - coalesce(cast(financial_stress AS DOUBLE), 5.0::DOUBLE)) / 10.0::DOUBLE * 3")),
+    ("Thoughts that you would be better off dead, or of hurting yourself", "coalesce(cast(self_harm AS DOUBLE), 0.0::DOUBLE)"),
+]
+q("feedback_features", "SELECT prediction_id, " + ", ".join(f'{e} AS "{n}"' for n, e in _FB) + " FROM assessments",
+  ("assessments",), tuple(f'"{n}"' for n, _ in _FB))
+
+q("numeric_proxy", """SELECT row_id,
+  cast(dense_rank() OVER (ORDER BY coalesce(relation, 'nan')) - 1 AS DOUBLE) AS relation_proxy,
+  TRY_CAST(epds_score AS DOUBLE) AS epds_proxy FROM raw_survey""", ("raw_survey",), ("relation_proxy", "epds_proxy"))
+
+q("interaction_features", """SELECT o_orderkey,
+  cast(c_custkey % 44 + 12 AS DOUBLE) * cast(o_orderkey % 6 AS DOUBLE) AS Age_x_Gravida,
+  cast(c_nationkey % 5 AS DOUBLE) - cast(c_nationkey % 4 AS DOUBLE) AS Education_Gap,
+  cast(o_orderkey % 4 AS DOUBLE) / (cast(c_custkey % 44 + 12 AS DOUBLE) + 1.0::DOUBLE) AS Children_to_Age,
+  (CASE lower(trim(o_orderstatus)) WHEN 'f' THEN 1.0::DOUBLE WHEN 'o' THEN 0.0::DOUBLE END) * cast(o_orderkey % 6 AS DOUBLE) AS Miscarriage_x_Gravida,
+  (CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * cast(c_custkey % 3 AS DOUBLE) AS Money_x_FamilySystem
+FROM orders JOIN customer ON o_custkey = c_custkey""", (),
+  ("Age_x_Gravida", "Education_Gap", "Children_to_Age", "Miscarriage_x_Gravida", "Money_x_FamilySystem"))
+
+_RS_COLS = [("row_id", "bigint", "numeric"), ("money", "string", "categorical"), ("relation", "string", "categorical"),
+            ("length_text", "string", "categorical"), ("eval_date", "string", "categorical"),
+            ("epds_score", "string", "categorical"), ("epds_result", "string", "categorical")]
+q("audit_schema", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, '{k}' AS kind, {str(any(w in c for w in ('date', 'time', 'year'))).lower()} AS is_temporal, "
+    f"count({c}) AS non_null FROM raw_survey" for c, t, k in _RS_COLS), ("raw_survey",))
+
+q("impute_values", """WITH r AS (SELECT row_id, TRY_CAST(epds_score AS DOUBLE) AS epds_score, relation FROM raw_survey),
+med AS (SELECT quantile_cont(epds_score, 0.5::DOUBLE) AS m FROM r),
+mode AS (SELECT relation AS v FROM r WHERE relation IS NOT NULL GROUP BY relation ORDER BY count(*) DESC, relation LIMIT 1)
+SELECT row_id, coalesce(epds_score, (SELECT m FROM med)) AS epds_score, coalesce(relation, (SELECT v FROM mode)) AS relation
+FROM r""", ("raw_survey",), ("epds_score",))
+
+q("standard_scale", """SELECT l_orderkey, l_linenumber,
+  (l_quantity - (SELECT avg(l_quantity) FROM profiles)) / (SELECT stddev_pop(l_quantity) FROM profiles) AS l_quantity,
+  (l_discount - (SELECT avg(l_discount) FROM profiles)) / (SELECT stddev_pop(l_discount) FROM profiles) AS l_discount
+FROM profiles""", ("profiles",), ("l_quantity", "l_discount"))
+
+q("one_hot", "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}_{v}"
+    for c, vs in (("l_returnflag", "ANR"), ("l_linestatus", "FO")) for v in vs) + " FROM profiles", ("profiles",),
+  tuple(f"{c}_{v}" for c, vs in (("l_returnflag", "ANR"), ("l_linestatus", "FO")) for v in vs))
+
+_PR = "l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, y"
+q("dedup_counts", f"""SELECT sum(n) AS before_rows, count(*) AS after_rows, sum(n) - count(*) AS dropped_exact_duplicate_rows
+FROM (SELECT {_PR}, count(*) AS n FROM profiles GROUP BY {_PR}) g""", ("profiles",))
+SQL["dedup_counts"] = SQL["dedup_counts"].replace("SELECT sum(n) AS before_rows", "SELECT cast(sum(n) AS BIGINT) AS before_rows") \
+    .replace("sum(n) - count(*) AS dropped", "cast(sum(n) - count(*) AS BIGINT) AS dropped")
+
+q("profile_duplicates", f"""SELECT cast(sum(rws) AS BIGINT) AS after_rows, count(*) AS unique_profiles_after_dedup,
+  cast(sum(rws) - count(*) AS BIGINT) AS profile_duplicate_rows_after_dedup
+FROM (SELECT {PROFILE_KEY} AS p, count(*) AS rws FROM (SELECT DISTINCT {_PR} FROM profiles) d GROUP BY 1) g""", ("profiles",))
+
+OVERSAMPLE = f"""WITH c AS (SELECT target, count(*) AS n FROM harmonized GROUP BY target),
+m AS (SELECT max(n) AS M, count(*) AS k FROM c),
+r AS (SELECT h.row_id, h.target, CASE WHEN m.k < 2 THEN 1.0::DOUBLE ELSE m.M / c.n END AS ratio
+      FROM harmonized h JOIN c USING (target), m),
+x AS (SELECT row_id, target, CAST(floor(ratio) + CASE WHEN {U('os', 'row_id')} < ratio - floor(ratio) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r)
+SELECT row_id, target, CAST(unnest(range(copies)) AS INTEGER) AS copy FROM x WHERE copies > 0"""
+
+q("oversample", OVERSAMPLE, ("harmonized",))
+
+q("class_balance", f"""SELECT 'before' AS phase, source, target, count(*) AS n FROM harmonized GROUP BY source, target
+UNION ALL SELECT 'after', 'all', target, count(*) FROM ({OVERSAMPLE.replace('WITH c AS', 'WITH c AS', 1)}) o GROUP BY target""",
+  ("harmonized",))
+
+q("class_weights", """SELECT target AS label, n_c, n / (k * n_c) AS weight, CASE WHEN pos > 0 THEN (n - pos) / pos END AS scale_pos_weight
+FROM (SELECT target, count(*) AS n_c FROM harmonized GROUP BY target) c,
+     (SELECT count(*) AS n, count(DISTINCT target) AS k, sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS pos FROM harmonized) t""",
+  ("harmonized",), ("weight", "scale_pos_weight"))
+
+q("label_quality_audit", f"""SELECT count(*) AS "rows",
+  avg(CASE WHEN coalesce({to_dbl('epds_score')} >= 10.0::DOUBLE, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS positive_rate,
+  cast(sum(CASE WHEN coalesce({to_dbl('epds_score')} >= 10.0::DOUBLE, false) THEN 1 ELSE 0 END) AS BIGINT) AS positive_count,
+  cast(sum(CASE WHEN coalesce({to_dbl('epds_score')} >= 10.0::DOUBLE, false) THEN 0 ELSE 1 END) AS BIGINT) AS negative_count,
+  cast(sum(CASE WHEN coalesce({to_dbl('epds_score')} >= 9.0::DOUBLE AND {to_dbl('epds_score')} <= 11.0::DOUBLE, false) THEN 1 ELSE 0 END) AS BIGINT) AS near_threshold_rows,
+  min({to_dbl('epds_score')}) AS score_min, max({to_dbl('epds_score')}) AS score_max FROM raw_survey""", ("raw_survey",),
+  ("positive_rate", "score_min", "score_max"))
+
+q("split_overlap", f"""WITH p AS (SELECT *, {PROFILE_KEY} AS pk, {U('split', 'l_orderkey * 10 + l_linenumber')} < 0.2::DOUBLE AS is_test,
+   cast(floor({U('gfold', PROFILE_KEY)} * 5) AS INTEGER) AS fold FROM profiles)
+SELECT 'row_split' AS split_kind, count(*) AS overlap FROM (SELECT DISTINCT pk FROM p WHERE NOT is_test) a
+  WHERE pk IN (SELECT pk FROM p WHERE is_test)
+UNION ALL SELECT 'group_split', count(*) FROM (SELECT DISTINCT pk FROM p WHERE fold <> 0) a
+  WHERE pk IN (SELECT pk FROM p WHERE fold = 0)""", ("profiles",))

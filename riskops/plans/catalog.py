@@ -155,3 +155,197 @@ PROFILE_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestat
 def q_group_folds(spark, sf_dir):
     s = RS.group_folds(A.profiles(spark, sf_dir), PROFILE_COLS, k=5, seed="gfold")
     return finish(s.select("l_orderkey", "l_linenumber", "fold"))
+
+
+# ------------------------------------------------------------------ coercion / harmonisation / features
+
+from riskops.operators import audit as AU  # noqa: E402
+from riskops.operators import coerce as C  # noqa: E402
+from riskops.operators import features as FE  # noqa: E402
+from riskops.operators import harmonize as H  # noqa: E402
+
+
+@register("coerce_numeric")
+def q_coerce_numeric(spark, sf_dir):
+    return finish(C.coerce_numeric(A.raw_survey(spark, sf_dir), ["epds_score"]).select("row_id", "epds_score"))
+
+
+@register("coerce_yes_no")
+def q_coerce_yes_no(spark, sf_dir):
+    r = A.raw_survey(spark, sf_dir)
+    return finish(C.coerce_yes_no(r, {"money": {"numeric_fallback": True}}).select("row_id", "money"))
+
+
+@register("ordinal_map")
+def q_ordinal_map(spark, sf_dir):
+    r = A.raw_survey(spark, sf_dir)
+    return finish(C.ordinal_map(r, "relation", {"poor": 0.0, "moderate": 1.0, "good": 2.0}, out="support_score")
+                  .select("row_id", "support_score"))
+
+
+@register("parse_length_weeks")
+def q_parse_length_weeks(spark, sf_dir):
+    return finish(C.parse_length_weeks(A.raw_survey(spark, sf_dir), "length_text").select("row_id", "gestational_weeks"))
+
+
+def _with_due(r):
+    return r.withColumn("due_date", F.date_format(
+        F.date_add(F.lit("1992-01-01").cast("date"), (F.col("row_id") % 3000).cast("int")), "dd/MM/yyyy"))
+
+
+@register("gestation_from_dates")
+def q_gestation_from_dates(spark, sf_dir):
+    r = _with_due(A.raw_survey(spark, sf_dir))
+    return finish(C.gestation_from_dates(r, "eval_date", "due_date").select("row_id", "gestational_weeks"))
+
+
+@register("composite_scores")
+def q_composite_scores(spark, sf_dir):
+    r = A.raw_survey(spark, sf_dir).select(
+        "row_id",
+        C.yes_no_expr("money", ["no"], ["yes"]).alias("sleep1"),
+        C.yes_no_expr("epds_result", ["high"], ["low"]).alias("sleep2"),
+        C.yes_no_expr("epds_result", ["high"], ["low"]).alias("phq2"),
+        "epds_score", "length_text")
+    out = C.composite_scores(r, "sleep1", "sleep2", "phq2", "epds_score", "length_text")
+    return finish(out.select("row_id", "sleep_score", "low_mood_score", "prior_pregnancy_loss"))
+
+
+@register("harmonize_sources")
+def q_harmonize_sources(spark, sf_dir):
+    return finish(H.harmonize_sources(A.three_sources(spark, sf_dir)))
+
+
+@register("label_rules")
+def q_label_rules(spark, sf_dir):
+    r = A.raw_survey(spark, sf_dir)
+    out = C.label_rules(r, [C.threshold_label("epds_score", 13), C.result_is("epds_result", ["high"])])
+    return finish(out.select("row_id", "target"))
+
+
+@register("drop_incomplete")
+def q_drop_incomplete(spark, sf_dir):
+    r = A.raw_survey(spark, sf_dir).select("row_id", "epds_score", "relation")
+    return finish(C.drop_incomplete(r, ["epds_score", "relation"]))
+
+
+@register("validate_inputs")
+def q_validate_inputs(spark, sf_dir):
+    m = A.messages(spark, sf_dir)
+    return finish(C.validate_inputs(m, bounds={}, text_col="message").select("message_id", "valid", "reject_reason"))
+
+
+@register("map_features")
+def q_map_features(spark, sf_dir):
+    a = A.assessments(spark, sf_dir)
+    # Spark resolves names case-insensitively: 'age' / 'gestational_weeks' duplicate 'Age' / 'Gestational Age'
+    feats = FE.LEGACY_FEATURES + [f for f in FE.HARMONIZED_FEATURES if f not in ("age", "gestational_weeks")]
+    return finish(FE.map_features(a, feats, keep=["prediction_id"]))
+
+
+@register("feedback_features")
+def q_feedback_features(spark, sf_dir):
+    return finish(FE.feedback_features(A.assessments(spark, sf_dir), keep=["prediction_id"]))
+
+
+@register("numeric_proxy")
+def q_numeric_proxy(spark, sf_dir):
+    r = A.raw_survey(spark, sf_dir).select("row_id", "relation", "epds_score")
+    r = FE.numeric_proxy(r, "relation", "relation_proxy")
+    r = FE.numeric_proxy(r, "epds_score", "epds_proxy")
+    return finish(r.select("row_id", "relation_proxy", "epds_proxy"))
+
+
+def _history_frame(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders")
+    c = A.table(spark, sf_dir, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_orderkey",
+        (F.col("c_custkey") % 44 + 12).alias("Age"),
+        (F.col("o_orderkey") % 6).alias("Gravida"),
+        (F.col("c_nationkey") % 4).alias("Female Education"),
+        (F.col("c_nationkey") % 5).alias("Husband Education"),
+        (F.col("o_orderkey") % 4).alias("Total Number of Children"),
+        C.yes_no_expr("o_orderstatus", ["f"], ["o"]).alias("Previous Miscarriage"),
+        F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0).alias("Sufficient Money for Basic Needs"),
+        (F.col("c_custkey") % 3).alias("Family System"),
+    )
+
+
+@register("interaction_features")
+def q_interaction_features(spark, sf_dir):
+    out = FE.interaction_features(_history_frame(spark, sf_dir))
+    return finish(out.select("o_orderkey", *FE.ENGINEERED_FEATURES))
+
+
+@register("audit_schema")
+def q_audit_schema(spark, sf_dir):
+    return finish(FE.audit_schema(A.raw_survey(spark, sf_dir)))
+
+
+@register("impute_values")
+def q_impute_values(spark, sf_dir):
+    r = C.coerce_numeric(A.raw_survey(spark, sf_dir).select("row_id", "epds_score", "relation"), ["epds_score"])
+    return finish(FE.impute_values(r, numeric=["epds_score"], categorical=["relation"]))
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    p = A.profiles(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return finish(FE.standard_scale(p, ["l_quantity", "l_discount"]))
+
+
+@register("one_hot")
+def q_one_hot(spark, sf_dir):
+    p = A.profiles(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return finish(FE.one_hot(p, ["l_returnflag", "l_linestatus"]))
+
+
+PROFILE_ROW = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "y"]
+
+
+@register("dedup_counts")
+def q_dedup_counts(spark, sf_dir):
+    return finish(AU.dedup_counts(A.profiles(spark, sf_dir).select(*PROFILE_ROW)))
+
+
+@register("profile_duplicates")
+def q_profile_duplicates(spark, sf_dir):
+    return finish(AU.profile_duplicates(A.profiles(spark, sf_dir).select(*PROFILE_ROW), PROFILE_COLS))
+
+
+@register("class_balance")
+def q_class_balance(spark, sf_dir):
+    h = H.harmonize_sources(A.three_sources(spark, sf_dir))
+    before = AU.class_balance(h, "target", ["source"]).select(F.lit("before").alias("phase"), "source", "target", "n")
+    os_ = RS.oversample(h, "row_id", "target", seed="os")
+    after = AU.class_balance(os_, "target").select(F.lit("after").alias("phase"), F.lit("all").alias("source"),
+                                                   "target", "n")
+    return finish(before.unionByName(after))
+
+
+@register("oversample")
+def q_oversample(spark, sf_dir):
+    h = H.harmonize_sources(A.three_sources(spark, sf_dir))
+    return finish(RS.oversample(h, "row_id", "target", seed="os").select("row_id", "target", "copy"))
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    return finish(RS.class_weights(H.harmonize_sources(A.three_sources(spark, sf_dir)), "target"))
+
+
+@register("label_quality_audit")
+def q_label_quality_audit(spark, sf_dir):
+    return finish(AU.label_quality_audit(A.raw_survey(spark, sf_dir), "epds_score", 10.0))
+
+
+@register("split_overlap")
+def q_split_overlap(spark, sf_dir):
+    p = A.profiles(spark, sf_dir).withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    s = RS.stratified_split(p, "rid", "y", 0.2, "split")
+    row = AU.split_overlap(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), PROFILE_COLS)
+    g = RS.group_folds(p, PROFILE_COLS, 5, "gfold")
+    grp = AU.split_overlap(g.where(F.col("fold") != 0), g.where(F.col("fold") == 0), PROFILE_COLS)
+    return finish(row.select(F.lit("row_split").alias("split_kind"), "overlap")
+                  .unionByName(grp.select(F.lit("group_split").alias("split_kind"), "overlap")))

@@ -177,16 +177,19 @@ def three_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     li = table(spark, sf_dir, "lineitem")
     ev = table(spark, sf_dir, "events")
     main = o.join(c, o.o_custkey == c.c_custkey).select(
+        o.o_orderkey.alias("row_id"),
         (c.c_custkey % 44 + 12).cast("double").alias("age"),
         (o.o_orderkey % 42 + 1).cast("double").alias("gestational_weeks"),
         F.when(o.o_orderstatus == "F", 1).when(o.o_orderstatus == "O", 0).cast("double").alias("prior_pregnancy_loss"),
         F.when(o.o_totalprice >= 250000, 1).otherwise(0).alias("target"),
     )
     ppd = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
         F.col("l_quantity").cast("double").alias("gestational_weeks"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("target"),
     )
     uganda = ev.select(
+        F.col("event_id").alias("row_id"),
         (F.col("user_id") % 44 + 12).cast("double").alias("age"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).cast("double").alias("prior_pregnancy_loss"),
         F.col("value").alias("anxiety_score"),
