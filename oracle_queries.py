@@ -555,3 +555,185 @@ SELECT 'row_split' AS split_kind, count(*) AS overlap FROM (SELECT DISTINCT pk F
   WHERE pk IN (SELECT pk FROM p WHERE is_test)
 UNION ALL SELECT 'group_split', count(*) FROM (SELECT DISTINCT pk FROM p WHERE fold <> 0) a
   WHERE pk IN (SELECT pk FROM p WHERE fold = 0)""", ("profiles",))
+
+
+# ------------------------------------------------------------------ sources
+
+q("scan_contract", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem", (), ("l_quantity",))
+q("scan_documents", "SELECT source, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines FROM guidelines",
+  ("guidelines",))
+q("scan_prediction_log", "SELECT income_band AS group_value, risk_percent, prediction_id FROM predictions",
+  ("predictions",), ("risk_percent",))
+q("parse_props", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+  props IS NOT NULL AND json_valid(props) AS valid FROM events""")
+_ORD = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_ROW = "concat_ws(chr(31), " + ", ".join(f"coalesce(cast({c} AS VARCHAR), 'nan')" for c in _ORD) + ")"
+q("dataset_fingerprint", f"""SELECT count(*) AS n_rows,
+  cast(sum(cast('0x' || substr(md5({_ROW}), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM orders""")
+
+# ------------------------------------------------------------------ risk scoring / explanation
+
+CRISIS_REASON = """CASE WHEN self_harm > 0 THEN 'self-harm indicator'
+  WHEN sleep_quality <= 2 AND appetite <= 2 AND fatigue >= 9 THEN 'critical behavioral threshold cluster' END"""
+q("crisis_override", f"""SELECT prediction_id, ({CRISIS_REASON}) IS NOT NULL AS crisis_mode, {CRISIS_REASON} AS crisis_reason,
+  CASE WHEN ({CRISIS_REASON}) IS NOT NULL THEN 100.0::DOUBLE END AS override_risk FROM assessments""",
+  ("assessments",), ("override_risk",))
+
+HEUR = """greatest(0.0::DOUBLE, least(100.0::DOUBLE, (((gestational_weeks / 42.0::DOUBLE * 10.0::DOUBLE) * 0.25::DOUBLE
+    + (10.0::DOUBLE - sleep_quality) * 0.25::DOUBLE + (10.0::DOUBLE - appetite) * 0.15::DOUBLE
+    + cast(fatigue AS DOUBLE) * 0.2::DOUBLE + cast(financial_stress AS DOUBLE) * 0.15::DOUBLE)
+    / 10.0::DOUBLE * 100.0::DOUBLE)))"""
+q("heuristic_risk", f"SELECT prediction_id, {HEUR} AS heuristic_risk FROM assessments", ("assessments",), ("heuristic_risk",))
+
+_TERMS = [("gestational_weeks", "(gestational_weeks / 42.0::DOUBLE * 10.0::DOUBLE) * 0.25::DOUBLE"),
+          ("sleep_quality", "(10.0::DOUBLE - sleep_quality) * 0.25::DOUBLE"),
+          ("appetite", "(10.0::DOUBLE - appetite) * 0.15::DOUBLE"),
+          ("fatigue", "cast(fatigue AS DOUBLE) * 0.2::DOUBLE"),
+          ("financial_stress", "cast(financial_stress AS DOUBLE) * 0.15::DOUBLE")]
+_TOTAL = " + ".join(f"greatest({e}, 0.0::DOUBLE)" for _, e in _TERMS)
+CONTRIB = "SELECT prediction_id, feature, ord, v AS contribution, CASE WHEN total <= 0 THEN 0.0::DOUBLE ELSE " \
+    "round_even(greatest(v, 0.0::DOUBLE) / total * 100.0::DOUBLE, 2) END AS contribution_percent FROM (" + \
+    " UNION ALL ".join(f"SELECT prediction_id, '{n}' AS feature, {i} AS ord, {e} AS v, {_TOTAL} AS total "
+                       f"FROM assessments WHERE NOT coalesce(({CRISIS_REASON}) IS NOT NULL, false)"
+                       for i, (n, e) in enumerate(_TERMS)) + ") t"
+q("risk_contributions", CONTRIB, ("assessments",), ("contribution", "contribution_percent"))
+q("contribution_rank", f"""SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY contribution_percent DESC, ord)
+  AS rank FROM ({CONTRIB}) c""", ("assessments",), ("contribution", "contribution_percent"))
+SQL["contribution_rank"] = SQL["contribution_rank"].replace("AS rank FROM", "AS rank FROM", 1)
+
+# ------------------------------------------------------------------ more fairness
+
+_TS = [40.0, 50.0, 60.0, 70.0]
+q("di_by_threshold", "WITH g AS (SELECT coalesce(income_band, 'unknown') AS grp, count(*) AS total, " +
+  ", ".join(f"sum(CASE WHEN risk_percent >= {D(t)} THEN 1 ELSE 0 END) AS c{i}" for i, t in enumerate(_TS)) +
+  " FROM predictions GROUP BY 1), l AS (" +
+  " UNION ALL ".join(f"SELECT {D(t)} AS threshold, c{i} / total AS rate FROM g" for i, t in enumerate(_TS)) +
+  """) SELECT threshold, n_nonzero_groups, min_rate, max_rate, min_rate / max_rate AS disparate_impact_raw,
+  round_even(min_rate / max_rate, 3) AS disparate_impact FROM (
+  SELECT threshold, cast(sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero_groups,
+    min(CASE WHEN rate > 0 THEN rate END) AS min_rate, max(CASE WHEN rate > 0 THEN rate END) AS max_rate
+  FROM l GROUP BY threshold) x WHERE n_nonzero_groups >= 2""", ("predictions",),
+  ("threshold", "min_rate", "max_rate", "disparate_impact_raw", "disparate_impact"))
+
+RATES2 = f"SELECT \"group\", positives / total AS positive_rate FROM ({RATES}) r"
+q("fairness_status", f"""SELECT "group", positive_rate, CASE WHEN positive_rate >= max(positive_rate) OVER () * 0.8::DOUBLE
+  THEN 'Fair' ELSE 'Bias' END AS status FROM ({RATES2}) r""", ("predictions",), ("positive_rate",))
+q("fairness_deviation", f"""SELECT "group", positive_rate, deviation,
+  CASE WHEN deviation > 0.2::DOUBLE THEN 'high_bias' WHEN deviation > 0.1::DOUBLE THEN 'moderate_bias' ELSE 'fair' END AS band
+FROM (SELECT "group", positive_rate, CASE WHEN avg(positive_rate) OVER () > 0
+  THEN abs(positive_rate - avg(positive_rate) OVER ()) / avg(positive_rate) OVER () ELSE 0.0::DOUBLE END AS deviation
+  FROM ({RATES2}) r) x""", ("predictions",), ("positive_rate", "deviation"))
+
+view("flagged", ["predictions"], """SELECT *, CAST(risk_percent >= 60.0::DOUBLE AS INTEGER) AS high_risk,
+  coalesce(cast(income_band AS VARCHAR), 'unknown') AS grp FROM predictions""")
+REWEIGH = """SELECT grp AS "group", high_risk AS label, n_gy, n_g, n_y, n, (n_g * n_y) / (n * n_gy) AS weight FROM (
+  SELECT grp, high_risk, n_gy, sum(n_gy) OVER (PARTITION BY grp) AS n_g, sum(n_gy) OVER (PARTITION BY high_risk) AS n_y,
+    sum(n_gy) OVER () AS n FROM (SELECT grp, high_risk, count(*) AS n_gy FROM flagged GROUP BY 1, 2) a) b"""
+q("fairness_reweigh", REWEIGH, ("flagged",), ("weight",))
+SQL["fairness_reweigh"] = SQL["fairness_reweigh"].replace("sum(n_gy) OVER (PARTITION BY grp) AS n_g",
+                                                          "cast(sum(n_gy) OVER (PARTITION BY grp) AS BIGINT) AS n_g") \
+    .replace("sum(n_gy) OVER (PARTITION BY high_risk) AS n_y", "cast(sum(n_gy) OVER (PARTITION BY high_risk) AS BIGINT) AS n_y") \
+    .replace("sum(n_gy) OVER () AS n FROM", "cast(sum(n_gy) OVER () AS BIGINT) AS n FROM")
+
+q("mitigation_effect", f"""WITH w AS ({REWEIGH}),
+b AS (SELECT 'before' AS phase, grp, sum(1.0::DOUBLE * high_risk) / sum(1.0::DOUBLE) AS rate FROM flagged GROUP BY grp),
+a AS (SELECT 'after' AS phase, f.grp, sum(w.weight * f.high_risk) / sum(w.weight) AS rate
+      FROM flagged f JOIN w ON w."group" = f.grp AND w.label = f.high_risk GROUP BY f.grp),
+per AS (SELECT phase, sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS k,
+   min(CASE WHEN rate > 0 THEN rate END) / max(CASE WHEN rate > 0 THEN rate END) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM a) u
+   GROUP BY phase),
+d AS (SELECT max(CASE WHEN phase = 'before' THEN CASE WHEN k >= 2 THEN r ELSE 1.0::DOUBLE END END) AS before_di,
+             max(CASE WHEN phase = 'after' THEN CASE WHEN k >= 2 THEN r ELSE 1.0::DOUBLE END END) AS after_di FROM per)
+SELECT 'income_band' AS protected_attribute, before_di, after_di, after_di - before_di AS improvement FROM d""",
+  ("flagged",), ("before_di", "after_di", "improvement"))
+
+view("scored_g", ["scored"], "SELECT *, coalesce(cast(income_band AS VARCHAR), 'unknown') AS grp FROM scored")
+q("fairness_auc_gap", f"""SELECT count(*) AS n_groups, min(roc_auc) AS min_auc, max(roc_auc) AS max_auc,
+  max(roc_auc) - min(roc_auc) AS auc_gap FROM ({auc_sql('p2', 'grp', '1', 'scored_g')}) a WHERE roc_auc IS NOT NULL""",
+  ("scored_g",), ("min_auc", "max_auc", "auc_gap"))
+
+_ATTRS = [("income_band", "cast(income_band AS VARCHAR)"),
+          ("age_band", "cast(cast(floor(age / 10) * 10 AS BIGINT) AS VARCHAR)"),
+          ("event_type", "event_type")]
+DI_ALL = " UNION ALL ".join(f"""SELECT '{n}' AS protected_attribute, n_nz >= 2 AND mn / mx < 0.8::DOUBLE AS bias_detected,
+  CASE WHEN n_nz >= 2 THEN round_even(mn / mx, 3) ELSE 1.0::DOUBLE END AS disparate_impact FROM (
+  SELECT sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS n_nz, min(CASE WHEN rate > 0 THEN rate END) AS mn,
+    max(CASE WHEN rate > 0 THEN rate END) AS mx FROM (
+    SELECT coalesce({e}, 'unknown') AS g, sum(CASE WHEN risk_percent >= 60.0::DOUBLE THEN 1 ELSE 0 END) / count(*) AS rate
+    FROM predictions GROUP BY 1) r) s""" for n, e in _ATTRS)
+q("mitigation_queue", f"""SELECT 'fairness_monitor' AS requested_by, 50 AS min_feedback_samples, 'risk_model' AS current_model,
+  'queued_auto_mitigation' AS status, 'fairness_auto' AS "trigger", protected_attribute, 60.0::DOUBLE AS operating_threshold,
+  disparate_impact FROM ({DI_ALL}) d WHERE bias_detected""", ("predictions",), ("operating_threshold", "disparate_impact"))
+
+# ------------------------------------------------------------------ logs, joins, timelines
+
+LATEST_CONSENT = """SELECT patient_id, ts, seq, consent_given, consent_scope FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, seq DESC) AS rn FROM consents) c WHERE rn = 1"""
+q("consent_latest", f"""SELECT patient_id, ts, seq, consent_given, array_to_string(consent_scope, ' | ') AS consent_scope
+FROM ({LATEST_CONSENT}) l""", ("consents",))
+
+q("consent_gate", f"""SELECT a.prediction_id, a.patient_id, r.reason, r.reason IS NULL AS allowed FROM assessments a
+LEFT JOIN ({LATEST_CONSENT}) c ON a.patient_id = c.patient_id,
+LATERAL (SELECT CASE WHEN a.patient_id IS NULL OR a.patient_id = '' THEN NULL
+  WHEN c.patient_id IS NULL THEN 'Consent record required for patient'
+  WHEN NOT coalesce(c.consent_given, false) THEN 'Consent not granted by patient'
+  WHEN NOT coalesce(list_contains(c.consent_scope, 'risk_scoring'), false) THEN 'Consent scope missing: risk_scoring'
+  END AS reason) r""", ("assessments", "consents"))
+
+FB_ROWS = "SELECT f.prediction_id, f.clinician_label, CASE lower(trim(f.clinician_label)) WHEN 'high' THEN 'Depressed' " \
+    "WHEN 'low' THEN 'Not' END AS \"Labelling\", " + ", ".join(f'{e} AS "{n}"' for n, e in _FB) + \
+    " FROM feedback f JOIN predictions p ON f.prediction_id = p.prediction_id " \
+    "WHERE lower(trim(f.clinician_label)) IN ('high', 'low')"
+_FBD = tuple(f'"{n}"' for n, _ in _FB)
+q("feedback_training_rows", FB_ROWS, ("feedback", "predictions"), _FBD)
+
+q("feedback_orphans", """SELECT f.prediction_id, f.clinician_label,
+  CASE WHEN p.prediction_id IS NULL THEN 'rejected' ELSE 'accepted' END AS status,
+  CASE WHEN p.prediction_id IS NULL THEN 'Prediction not found' END AS reason
+FROM feedback f LEFT JOIN (SELECT DISTINCT prediction_id FROM assessments) p ON f.prediction_id = p.prediction_id""",
+  ("feedback", "assessments"))
+
+q("patient_summary", """SELECT i.patient_id, coalesce(s.patient_name, 'Unknown Patient') AS patient_name, 'N/A' AS dob,
+  concat('MRN-', i.patient_id) AS mrn, NULL::INTEGER AS latest_epds, cast(coalesce(s.recent_visits, 0) AS BIGINT) AS recent_visits
+FROM (SELECT DISTINCT patient_id FROM assessments) i LEFT JOIN patients s ON i.patient_id = s.patient_id""",
+  ("assessments", "patients"))
+
+q("followup_worklist", """SELECT o.prediction_id, o.patient_id, o.outcome_label, o.follow_up_days,
+  CAST(o.ts AS DATE) + o.follow_up_days AS due_date, p.risk_percent,
+  CASE WHEN CAST(o.ts AS DATE) + o.follow_up_days < DATE '2024-01-20' THEN 'overdue' ELSE 'open' END AS status
+FROM outcomes o LEFT JOIN predictions p ON o.prediction_id = p.prediction_id""", ("outcomes", "predictions"), ("risk_percent",))
+
+_BASE = "SELECT 'base' AS origin, prediction_id, CASE WHEN y = 1 THEN 'Depressed' ELSE 'Not' END AS \"Labelling\", " + \
+    ", ".join(f'{e} AS "{n}"' for n, e in _mapped()[:7]) + " FROM training"
+q("retrain_union", f"""{_BASE} UNION ALL SELECT 'feedback', prediction_id, "Labelling", {', '.join(f'"{n}"' for n, _ in _FB)}
+FROM ({FB_ROWS}) f""", ("training", "feedback", "predictions"), _FBD)
+
+q("retrain_gate", f"""SELECT count(*) AS feedback_rows, 50 AS min_feedback, count(*) >= 50 AS retrain,
+  CASE WHEN count(*) >= 50 THEN 'retrain queued' ELSE concat('Not enough feedback rows: ', cast(count(*) AS VARCHAR),
+  ' < 50. Skipping retrain.') END AS message FROM ({FB_ROWS}) f""", ("feedback", "predictions"))
+
+q("patient_timeline", """SELECT patient_id, point, prediction_id, ts, gestational_weeks, risk_percent,
+  risk_percent - lag(risk_percent) OVER (PARTITION BY patient_id ORDER BY point) AS risk_change FROM (
+  SELECT coalesce(patient_id, 'unknown') AS patient_id, prediction_id, ts, gestational_weeks, risk_percent,
+    row_number() OVER (PARTITION BY coalesce(patient_id, 'unknown') ORDER BY ts, prediction_id) AS point FROM predictions) t""",
+  ("predictions",), ("risk_percent", "risk_change"))
+
+q("timeline_last_n", """SELECT * FROM (SELECT coalesce(patient_id, 'unknown') AS patient_id,
+  row_number() OVER (PARTITION BY coalesce(patient_id, 'unknown') ORDER BY ts DESC, prediction_id DESC) AS recency,
+  prediction_id, ts, risk_percent FROM predictions) t WHERE recency <= 6""", ("predictions",), ("risk_percent",))
+
+q("risk_trajectory", """SELECT patient_id, gestational_weeks, n, avg_risk,
+  CASE WHEN avg_risk <= 40 THEN 'low' WHEN avg_risk <= 70 THEN 'moderate' ELSE 'high' END AS zone,
+  CASE WHEN gestational_weeks <= 13 THEN 1 WHEN gestational_weeks <= 27 THEN 2 ELSE 3 END AS trimester
+FROM (SELECT coalesce(patient_id, 'unknown') AS patient_id, gestational_weeks, count(*) AS n, avg(risk_percent) AS avg_risk
+      FROM predictions GROUP BY 1, 2) g""", ("predictions",), ("avg_risk",))
+
+q("case_status", """WITH e AS (
+  SELECT patient_id, ts, 'new' AS status, 0 AS r FROM predictions
+  UNION ALL SELECT p.patient_id, f.ts, 'pending_review', 1 FROM feedback f JOIN predictions p ON f.prediction_id = p.prediction_id
+  UNION ALL SELECT patient_id, ts + INTERVAL 2 DAY, 'resolved', 2 FROM outcomes)
+SELECT patient_id, ts, status FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, r DESC) AS rn FROM e) x
+WHERE rn = 1""", ("predictions", "feedback", "outcomes"))
+
+q("audit_log", """SELECT 'consent_updated' AS event, patient_id, ts, 'system' AS updated_by,
+  CAST(to_json({'consent_given': consent_given, 'scope': consent_scope}) AS VARCHAR) AS detail FROM consents""", ("consents",))

@@ -349,3 +349,213 @@ def q_split_overlap(spark, sf_dir):
     grp = AU.split_overlap(g.where(F.col("fold") != 0), g.where(F.col("fold") == 0), PROFILE_COLS)
     return finish(row.select(F.lit("row_split").alias("split_kind"), "overlap")
                   .unionByName(grp.select(F.lit("group_split").alias("split_kind"), "overlap")))
+
+
+# ------------------------------------------------------------------ sources
+
+from riskops.operators import logs as L  # noqa: E402
+from riskops.sources import scans as S  # noqa: E402
+
+
+@register("scan_contract")
+def q_scan_contract(spark, sf_dir):
+    return finish(S.read_table(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"]))
+
+
+@register("scan_documents")
+def q_scan_documents(spark, sf_dir):
+    return finish(S.scan_documents(A.guidelines(spark, sf_dir)).drop("text"))
+
+
+@register("scan_prediction_log")
+def q_scan_prediction_log(spark, sf_dir):
+    return finish(S.scan_prediction_log(predictions(spark, sf_dir), keep=["prediction_id"]))
+
+
+@register("parse_props")
+def q_parse_props(spark, sf_dir):
+    e = S.parse_json_column(A.table(spark, sf_dir, "events"), "props", "k INT")
+    return finish(e.select("event_id", F.col("doc.k").alias("k"), "valid"))
+
+
+@register("dataset_fingerprint")
+def q_dataset_fingerprint(spark, sf_dir):
+    return finish(S.table_fingerprint(A.table(spark, sf_dir, "orders")))
+
+
+# ------------------------------------------------------------------ risk scoring / explanation
+
+
+@register("crisis_override")
+def q_crisis_override(spark, sf_dir):
+    return finish(risk.crisis_override(A.assessments(spark, sf_dir))
+                  .select("prediction_id", "crisis_mode", "crisis_reason", "override_risk"))
+
+
+@register("heuristic_risk")
+def q_heuristic_risk(spark, sf_dir):
+    return finish(risk.heuristic_risk(A.assessments(spark, sf_dir)).select("prediction_id", "heuristic_risk"))
+
+
+@register("risk_contributions")
+def q_risk_contributions(spark, sf_dir):
+    return finish(risk.risk_contributions(A.assessments(spark, sf_dir)))
+
+
+@register("contribution_rank")
+def q_contribution_rank(spark, sf_dir):
+    return finish(L.contribution_rank(risk.risk_contributions(A.assessments(spark, sf_dir))))
+
+
+# ------------------------------------------------------------------ more fairness
+
+
+def _rates(spark, sf_dir):
+    return fairness.group_positive_rate(predictions(spark, sf_dir), "income_band", "risk_percent", 60.0)
+
+
+@register("di_by_threshold")
+def q_di_by_threshold(spark, sf_dir):
+    return finish(fairness.di_by_threshold(predictions(spark, sf_dir), "income_band", "risk_percent", 60.0,
+                                           [40.0, 50.0, 60.0, 70.0, 120.0]))
+
+
+@register("fairness_status")
+def q_fairness_status(spark, sf_dir):
+    return finish(fairness.fairness_status(_rates(spark, sf_dir)))
+
+
+@register("fairness_deviation")
+def q_fairness_deviation(spark, sf_dir):
+    return finish(fairness.fairness_deviation(_rates(spark, sf_dir)))
+
+
+def _flagged(spark, sf_dir):
+    return predictions(spark, sf_dir).withColumn("high_risk", (F.col("risk_percent") >= 60.0).cast("int"))
+
+
+@register("fairness_reweigh")
+def q_fairness_reweigh(spark, sf_dir):
+    return finish(fairness.reweigh(_flagged(spark, sf_dir), "income_band", "high_risk"))
+
+
+@register("mitigation_effect")
+def q_mitigation_effect(spark, sf_dir):
+    return finish(fairness.mitigation_effect(_flagged(spark, sf_dir), "income_band", "high_risk"))
+
+
+@register("fairness_auc_gap")
+def q_fairness_auc_gap(spark, sf_dir):
+    return finish(fairness.auc_gap(A.scored(spark, sf_dir), "income_band", "p2", "y"))
+
+
+PROTECTED = {"income_band": F.col("income_band"),
+             "age_band": (F.floor(F.col("age") / 10) * 10).cast("string"),
+             "event_type": F.col("event_type")}
+
+
+def _di_all(spark, sf_dir, threshold=60.0):
+    p = predictions(spark, sf_dir)
+    out = None
+    for name, expr in PROTECTED.items():
+        r = fairness.group_positive_rate(p.withColumn("_g", expr), "_g", "risk_percent", threshold)
+        d = fairness.disparate_impact(r, name)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("mitigation_queue")
+def q_mitigation_queue(spark, sf_dir):
+    return finish(L.mitigation_queue(_di_all(spark, sf_dir), 60.0))
+
+
+# ------------------------------------------------------------------ logs, joins, timelines
+
+
+@register("consent_latest")
+def q_consent_latest(spark, sf_dir):
+    return finish(L.consent_latest(A.consents(spark, sf_dir)))
+
+
+@register("consent_gate")
+def q_consent_gate(spark, sf_dir):
+    req = A.assessments(spark, sf_dir).select("prediction_id", "patient_id")
+    return finish(L.consent_gate(req, A.consents(spark, sf_dir), "risk_scoring"))
+
+
+def _feedback_rows(spark, sf_dir):
+    rows = L.feedback_training_rows(A.feedback(spark, sf_dir), predictions(spark, sf_dir))
+    return FE.feedback_features(rows, keep=["prediction_id", "clinician_label", "Labelling"])
+
+
+@register("feedback_training_rows")
+def q_feedback_training_rows(spark, sf_dir):
+    return finish(_feedback_rows(spark, sf_dir))
+
+
+@register("feedback_orphans")
+def q_feedback_orphans(spark, sf_dir):
+    return finish(L.feedback_orphans(A.feedback(spark, sf_dir), A.assessments(spark, sf_dir)).drop("ts"))
+
+
+@register("patient_summary")
+def q_patient_summary(spark, sf_dir):
+    return finish(L.patient_summary(A.assessments(spark, sf_dir), A.patients(spark, sf_dir)))
+
+
+@register("followup_worklist")
+def q_followup_worklist(spark, sf_dir):
+    return finish(L.followup_worklist(A.outcomes(spark, sf_dir), predictions(spark, sf_dir), "2024-01-20"))
+
+
+def _base_rows(spark, sf_dir):
+    t = A.training(spark, sf_dir).withColumn(
+        "Labelling", F.when(F.col("y") == 1, F.lit("Depressed")).otherwise(F.lit("Not")))
+    return FE.map_features(t, FE.LEGACY_FEATURES, keep=["prediction_id", "Labelling"])
+
+
+@register("retrain_union")
+def q_retrain_union(spark, sf_dir):
+    fb = _feedback_rows(spark, sf_dir).drop("clinician_label")
+    return finish(L.retrain_union(_base_rows(spark, sf_dir), fb))
+
+
+@register("retrain_gate")
+def q_retrain_gate(spark, sf_dir):
+    return finish(L.retrain_gate(_feedback_rows(spark, sf_dir), 50))
+
+
+@register("patient_timeline")
+def q_patient_timeline(spark, sf_dir):
+    return finish(L.patient_timeline(predictions(spark, sf_dir)))
+
+
+@register("timeline_last_n")
+def q_timeline_last_n(spark, sf_dir):
+    t = L.timeline_last_n(predictions(spark, sf_dir), 6)
+    return finish(t.select("patient_id", "recency", "prediction_id", "ts", "risk_percent"))
+
+
+@register("risk_trajectory")
+def q_risk_trajectory(spark, sf_dir):
+    return finish(L.risk_trajectory(predictions(spark, sf_dir)))
+
+
+def _case_events(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    new = p.select("patient_id", "ts", F.lit("new").alias("status"))
+    fb = A.feedback(spark, sf_dir).join(p.select("prediction_id", "patient_id"), "prediction_id") \
+        .select("patient_id", "ts", F.lit("pending_review").alias("status"))
+    out = A.outcomes(spark, sf_dir).select("patient_id", (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
+                                            F.lit("resolved").alias("status"))
+    return new.unionByName(fb).unionByName(out)
+
+
+@register("case_status")
+def q_case_status(spark, sf_dir):
+    return finish(L.case_status(_case_events(spark, sf_dir)))
+
+
+@register("audit_log")
+def q_audit_log(spark, sf_dir):
+    return finish(L.consent_audit_log(A.consents(spark, sf_dir)))
