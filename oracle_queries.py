@@ -737,3 +737,94 @@ WHERE rn = 1""", ("predictions", "feedback", "outcomes"))
 
 q("audit_log", """SELECT 'consent_updated' AS event, patient_id, ts, 'system' AS updated_by,
   CAST(to_json({'consent_given': consent_given, 'scope': consent_scope}) AS VARCHAR) AS detail FROM consents""", ("consents",))
+
+
+# ------------------------------------------------------------------ text triage (fixture lexicon)
+
+
+def _triage_sql():
+    from riskops.operators.triage import FIXTURE_LEXICON as LX
+
+    def anyc(ph):
+        return "(" + " OR ".join(f"contains(t, '{p}')" for p in ph) + ")" if ph else "false"
+
+    en = {lab: anyc(ph) for lab, (ph, _) in LX.risk.items()}
+    score = "0.0::DOUBLE"
+    for lab, (_, w) in LX.risk.items():
+        score = f"({score} + CASE WHEN {en[lab]} THEN {D(w)} ELSE 0.0::DOUBLE END)"
+    factors = [f"CASE WHEN {en[lab]} THEN '{lab}' END" for lab in LX.risk]
+    for lab, ph in LX.risk_multilingual.items():
+        new = f"({anyc(ph)} AND NOT {en.get(lab, 'false')})"
+        factors.append(f"CASE WHEN {new} THEN '{lab}' END")
+        score = f"({score} + CASE WHEN {new} THEN {D(LX.multilingual_weight)} ELSE 0.0::DOUBLE END)"
+    prot = {lab: anyc(ph) for lab, ph in LX.protective.items()}
+    nprot = " + ".join(f"CASE WHEN {h} THEN 1 ELSE 0 END" for h in prot.values()) or "0"
+    prot_s = ", ".join(f"CASE WHEN {h} THEN '{lab}' END" for lab, h in prot.items())
+    crisis = f"({anyc(LX.crisis)} OR {anyc(LX.crisis_multilingual)})"
+    pp = " + ".join(f"CASE WHEN contains(t, '{p}') THEN 1 ELSE 0 END" for p in LX.postpartum)
+    an = " + ".join(f"CASE WHEN contains(t, '{p}') THEN 1 ELSE 0 END" for p in LX.antenatal)
+    factors.append(f"CASE WHEN {crisis} THEN '{LX.crisis_factor}' END")
+    return f"""SELECT message_id, patient_id, message, rules_percent,
+  CASE WHEN crisis_mode THEN 100.0::DOUBLE ELSE rules_percent END AS risk_percent,
+  CASE WHEN crisis_mode THEN 'high' WHEN rules_percent >= 75 THEN 'high' WHEN rules_percent >= 45 THEN 'moderate' ELSE 'low' END AS risk_level,
+  risk_factors, protective_factors, crisis_mode, 'rules_only' AS model_used, postpartum_hits, antenatal_hits,
+  CASE WHEN postpartum_hits > antenatal_hits THEN 'postpartum' WHEN antenatal_hits > postpartum_hits THEN 'antenatal'
+       ELSE 'unclear' END AS likely_context,
+  CASE WHEN regexp_matches(message, '[^\\x00-\\x7F]') THEN 'non-english' ELSE 'english_or_romanized' END AS language
+FROM (SELECT message_id, patient_id, message, {crisis} AS crisis_mode,
+  round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, ((CASE WHEN {crisis} THEN 1.0::DOUBLE ELSE {score} END)
+     - ({nprot}) * {D(LX.protective_weight)}) * 100.0::DOUBLE)), 1) AS rules_percent,
+  concat_ws(' | ', {', '.join(factors)}) AS risk_factors, concat_ws(' | ', {prot_s}) AS protective_factors,
+  cast({pp} AS INTEGER) AS postpartum_hits, cast({an} AS INTEGER) AS antenatal_hits
+  FROM (SELECT *, lower(message) AS t FROM messages) m) x"""
+
+
+view("triaged", ["messages"], _triage_sql())
+
+q("chat_triage", """SELECT message_id, rules_percent, risk_percent, risk_level, risk_factors, protective_factors, crisis_mode,
+  model_used FROM triaged""", ("triaged",), ("rules_percent", "risk_percent"))
+q("chat_crisis", "SELECT message_id, crisis_mode, risk_percent, risk_level, risk_factors FROM triaged", ("triaged",),
+  ("risk_percent",))
+q("chat_context", "SELECT message_id, postpartum_hits, antenatal_hits, likely_context FROM triaged", ("triaged",))
+q("chat_language", "SELECT message_id, language FROM triaged", ("triaged",))
+
+
+def _guid():
+    from riskops.operators import triage as T
+    fu = (f"CASE WHEN coalesce(fu, '') = '' THEN '{T.FOLLOWUP_ROUTINE}' ELSE fu END")
+    return f"""SELECT message_id, crisis_mode,
+  CASE WHEN crisis_mode THEN NULL ELSE concat(likely_context, ' maternal mental health guidance for ',
+    CASE WHEN risk_factors = '' THEN 'mood symptoms' ELSE replace(risk_factors, ' | ', ', ') END) END AS guidance_query,
+  CASE WHEN crisis_mode THEN '' ELSE {fu} END AS followups,
+  CASE WHEN crisis_mode THEN '{T.CRISIS_GUIDANCE}' ELSE concat(' Actionable next steps: ', replace({fu}, ' | ', ' ')) END AS actionable
+FROM (SELECT *, concat_ws(' | ',
+    CASE WHEN list_contains(string_split(risk_factors, ' | '), 'sleep_disturbance') THEN '{T.FOLLOWUP_SLEEP}' END,
+    CASE WHEN list_contains(string_split(risk_factors, ' | '), 'low_mood') OR list_contains(string_split(risk_factors, ' | '), 'anxiety')
+         THEN '{T.FOLLOWUP_SCREENING}' END,
+    CASE WHEN list_contains(string_split(risk_factors, ' | '), 'financial_stress') THEN '{T.FOLLOWUP_SOCIAL}' END) AS fu
+  FROM triaged) g"""
+
+
+q("chat_guidance", _guid(), ("triaged",))
+
+JS_SPACE = "[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
+q("key_points", f"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '{JS_SPACE}', ' ', 'g')) AS norm FROM documents),
+p AS (SELECT doc_id, norm, list_filter(list_transform(regexp_split_to_array(norm, '\\. +|- +'), lambda x: trim(x)),
+        lambda x: length(x) > 12) AS parts FROM n),
+k AS (SELECT doc_id, CASE WHEN norm = '' THEN [] WHEN len(parts) = 0 THEN [norm] ELSE list_slice(parts, 1, 5) END AS kp FROM p)
+SELECT doc_id, CAST(unnest(range(0, len(kp))) AS INTEGER) AS point_idx, unnest(kp) AS point FROM k""")
+
+
+def _evidence():
+    from riskops.operators import triage as T
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS factor, '{t}' AS term, {D(T.FACTOR_IMPACT.get(f, T.DEFAULT_IMPACT))} AS impact"
+                              for f, ts in T.FIXTURE_EVIDENCE.items() for t in ts)
+    return f"""SELECT message_id, factor, term, occurrences, impact FROM (
+  SELECT message_id, kw.factor, kw.term, kw.impact,
+    CAST((length(lower(message)) - length(replace(lower(message), kw.term, ''))) // length(kw.term) AS INTEGER) AS occurrences
+  FROM triaged, ({rows}) kw WHERE list_contains(string_split(risk_factors, ' | '), kw.factor)) x WHERE occurrences > 0"""
+
+
+q("evidence_spans", _evidence(), ("triaged",), ("impact",))
+q("crisis_alerts", """SELECT message_id, coalesce(patient_id, 'unknown') AS patient_id, 'queued_local' AS status, risk_percent,
+  substring(message, 1, 300) AS message_excerpt FROM triaged WHERE crisis_mode""", ("triaged",), ("risk_percent",))

@@ -559,3 +559,56 @@ def q_case_status(spark, sf_dir):
 @register("audit_log")
 def q_audit_log(spark, sf_dir):
     return finish(L.consent_audit_log(A.consents(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ text triage (messages view, fixture lexicon)
+
+from riskops.operators import triage as TR  # noqa: E402
+
+
+def triaged(spark, sf_dir):
+    return TR.chat_triage(A.messages(spark, sf_dir), "message", TR.FIXTURE_LEXICON)
+
+
+@register("chat_triage")
+def q_chat_triage(spark, sf_dir):
+    return finish(triaged(spark, sf_dir).select(
+        "message_id", "rules_percent", "risk_percent", "risk_level", "risk_factors", "protective_factors",
+        "crisis_mode", "model_used"))
+
+
+@register("chat_crisis")
+def q_chat_crisis(spark, sf_dir):
+    return finish(triaged(spark, sf_dir).select("message_id", "crisis_mode", "risk_percent", "risk_level", "risk_factors"))
+
+
+@register("chat_context")
+def q_chat_context(spark, sf_dir):
+    return finish(triaged(spark, sf_dir).select("message_id", "postpartum_hits", "antenatal_hits", "likely_context"))
+
+
+@register("chat_language")
+def q_chat_language(spark, sf_dir):
+    return finish(triaged(spark, sf_dir).select("message_id", "language"))
+
+
+@register("chat_guidance")
+def q_chat_guidance(spark, sf_dir):
+    return finish(TR.chat_guidance(triaged(spark, sf_dir)).select(
+        "message_id", "crisis_mode", "guidance_query", "followups", "actionable"))
+
+
+@register("key_points")
+def q_key_points(spark, sf_dir):
+    d = TR.key_points(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return finish(d.select("doc_id", F.posexplode("key_points").alias("point_idx", "point")))
+
+
+@register("evidence_spans")
+def q_evidence_spans(spark, sf_dir):
+    return finish(TR.evidence_spans(triaged(spark, sf_dir), keywords=TR.FIXTURE_EVIDENCE))
+
+
+@register("crisis_alerts")
+def q_crisis_alerts(spark, sf_dir):
+    return finish(L.crisis_alerts(triaged(spark, sf_dir), keep=["message_id"]))
