@@ -828,3 +828,57 @@ def _evidence():
 q("evidence_spans", _evidence(), ("triaged",), ("impact",))
 q("crisis_alerts", """SELECT message_id, coalesce(patient_id, 'unknown') AS patient_id, 'queued_local' AS status, risk_percent,
   substring(message, 1, 300) AS message_excerpt FROM triaged WHERE crisis_mode""", ("triaged",), ("risk_percent",))
+
+
+# ------------------------------------------------------------------ retrieval
+
+PY_SPACE = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+            "\\x{202F}\\x{205F}\\x{3000}]+")
+TOK = "[\\p{L}\\p{N}_]{2,}"
+view("chunks", ["guidelines"], f"""
+SELECT source, CAST(start // 420 AS INTEGER) AS chunk_id, substring(clean, start + 1, 500) AS text FROM (
+  SELECT source, clean, unnest(range(0, CAST(greatest(0, ceil((length(clean) - 500) / 420.0::DOUBLE)) AS INTEGER) * 420 + 1, 420)) AS start
+  FROM (SELECT source, trim(regexp_replace(text, '{PY_SPACE}', ' ', 'g')) AS clean FROM guidelines) c
+  WHERE length(clean) > 0) s""")
+
+
+def _terms(text: str) -> str:
+    return (f"list_concat(regexp_extract_all(lower({text}), '{TOK}'), CASE WHEN len(regexp_extract_all(lower({text}), '{TOK}')) >= 2 "
+            f"THEN list_transform(range(1, len(regexp_extract_all(lower({text}), '{TOK}'))), lambda i: "
+            f"regexp_extract_all(lower({text}), '{TOK}')[i] || ' ' || regexp_extract_all(lower({text}), '{TOK}')[i + 1]) "
+            f"ELSE [] END)")
+
+
+view("tc", ["chunks"], f"""SELECT source, chunk_id, term, count(*) AS tf FROM (
+  SELECT source, chunk_id, unnest({_terms('text')}) AS term FROM chunks) t GROUP BY source, chunk_id, term""")
+view("vocab", ["tc"], """SELECT term, df, ln((1.0::DOUBLE + (SELECT count(*) FROM chunks)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf
+FROM (SELECT term, sum(tf) AS cnt, count(*) AS df FROM tc GROUP BY term ORDER BY cnt DESC, term ASC LIMIT 12000) v""")
+view("postings", ["vocab"], """SELECT source, chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY source, chunk_id)) AS weight
+FROM (SELECT source, chunk_id, term, tf * idf AS w FROM tc JOIN vocab USING (term)) p""")
+view("qvec", ["vocab"], f"""SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM (
+  SELECT query_id, term, tf * idf AS w FROM (
+    SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark) x
+    GROUP BY query_id, term) t JOIN vocab USING (term)) p""")
+view("topk", ["postings", "qvec"], """SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source DESC, chunk_id DESC) AS rank FROM (
+    SELECT q.query_id, p.source, p.chunk_id, sum(p.weight * q.weight) AS score FROM postings p JOIN qvec q USING (term)
+    GROUP BY q.query_id, p.source, p.chunk_id) s WHERE score > 0) r WHERE rank <= 3""")
+
+q("chunk_documents", "SELECT source, chunk_id, text FROM chunks", ("chunks",))
+q("tfidf_index", "SELECT source, chunk_id, term, weight FROM postings", ("postings",), ("weight",))
+q("rag_topk", "SELECT query_id, rank, source, chunk_id, score FROM topk", ("topk",), ("score",))
+q("rag_lexical", """SELECT query_id, rank, source, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source ASC) AS rank FROM (
+    SELECT b.item_id AS query_id, g.source,
+      CAST((length(lower(g.text)) - length(replace(lower(g.text), lower(b.text), ''))) // length(lower(b.text)) AS BIGINT) AS score
+    FROM benchmark b, guidelines g) s WHERE score > 0) r WHERE rank <= 3""", ("guidelines",))
+q("rag_answer", f"""SELECT b.item_id AS query_id,
+  CASE WHEN a.snippet IS NULL THEN 'No guideline documents found. Please add trusted clinical guidance to the docs folder.'
+       ELSE concat('Based on the available guidelines and the reported symptoms, consider the following: ', a.snippet) END AS answer,
+  coalesce(a.sources, '') AS sources
+FROM benchmark b LEFT JOIN (
+  SELECT t.query_id,
+    max(CASE WHEN t.rank = 1 THEN replace(regexp_replace(substring(c.text, 1, 300), '^{PY_SPACE}|{PY_SPACE}$', '', 'g'), chr(10), ' ') END) AS snippet,
+    string_agg(concat(t.source, ' (score=', printf('%.3f', t.score), ')'), ' | ' ORDER BY t.rank) AS sources
+  FROM topk t JOIN chunks c ON c.source = t.source AND c.chunk_id = t.chunk_id GROUP BY t.query_id) a ON a.query_id = b.item_id""",
+  ("topk",))

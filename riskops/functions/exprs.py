@@ -82,3 +82,13 @@ def count_contains(text: Column, phrases: Iterable[str]) -> Column:
 
 def array_join(c, sep: str = " | ") -> Column:
     return F.concat_ws(sep, col_(c))
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin an under-partitioned input (e.g. one large file = one split) across the
+    cluster before CPU-heavy per-row work; a no-op when it already has enough splits."""
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

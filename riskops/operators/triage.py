@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskops.functions.exprs import any_contains, count_contains
+from riskops.functions.exprs import any_contains, count_contains, spread
 
 
 @dataclass(frozen=True)
@@ -223,7 +223,7 @@ def key_points(df: DataFrame, text_col: str = "text", max_points: int = 5, min_l
     parts = F.filter(F.transform(F.split(norm, "\\. +|- +"), lambda x: F.trim(x)), lambda x: F.length(x) > min_len)
     pts = F.when(norm == "", F.array().cast("array<string>")) \
         .when(F.size(parts) == 0, F.array(norm)).otherwise(F.slice(parts, 1, max_points))
-    return df.withColumn("key_points", pts)
+    return spread(df).withColumn("key_points", pts)
 
 
 # Highlight keywords and factor impact weights of the clinician view.

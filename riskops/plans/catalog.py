@@ -612,3 +612,42 @@ def q_evidence_spans(spark, sf_dir):
 @register("crisis_alerts")
 def q_crisis_alerts(spark, sf_dir):
     return finish(L.crisis_alerts(triaged(spark, sf_dir), keep=["message_id"]))
+
+
+# ------------------------------------------------------------------ retrieval (guidelines = documents, queries = benchmark)
+
+from riskops.operators import retrieval as RT  # noqa: E402
+
+
+def _chunks(spark, sf_dir):
+    return RT.chunk_documents(A.guidelines(spark, sf_dir))
+
+
+@register("chunk_documents")
+def q_chunk_documents(spark, sf_dir):
+    return finish(_chunks(spark, sf_dir))
+
+
+@register("tfidf_index")
+def q_tfidf_index(spark, sf_dir):
+    postings, _ = RT.tfidf_index(_chunks(spark, sf_dir))
+    return finish(postings)
+
+
+@register("rag_topk")
+def q_rag_topk(spark, sf_dir):
+    t = RT.rag_topk(A.queries_table(spark, sf_dir), _chunks(spark, sf_dir), k=3)
+    return finish(t.select("query_id", "rank", "source", "chunk_id", "score"))
+
+
+@register("rag_lexical")
+def q_rag_lexical(spark, sf_dir):
+    t = RT.rag_lexical(A.queries_table(spark, sf_dir), A.guidelines(spark, sf_dir), k=3)
+    return finish(t.select("query_id", "rank", "source", "score"))
+
+
+@register("rag_answer")
+def q_rag_answer(spark, sf_dir):
+    qs = A.queries_table(spark, sf_dir)
+    ch = _chunks(spark, sf_dir)
+    return finish(RT.rag_answer(RT.rag_topk(qs, ch, k=3), ch, qs))
