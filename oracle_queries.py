@@ -882,3 +882,25 @@ FROM benchmark b LEFT JOIN (
     string_agg(concat(t.source, ' (score=', printf('%.3f', t.score), ')'), ' | ' ORDER BY t.rank) AS sources
   FROM topk t JOIN chunks c ON c.source = t.source AND c.chunk_id = t.chunk_id GROUP BY t.query_id) a ON a.query_id = b.item_id""",
   ("topk",))
+
+
+# ------------------------------------------------------------------ linear attribution (heuristic as a linear model)
+
+_LC = {"gestational_weeks": 10 * 0.25 * 10 / 42, "sleep_quality": -2.5, "appetite": -1.5, "fatigue": 2.0,
+       "financial_stress": 1.5}
+LIN = "SELECT prediction_id, feature, ord, attribution, CASE WHEN tot <= 0 THEN 0.0::DOUBLE ELSE " \
+    "round_even(abs(attribution) / tot * 100.0::DOUBLE, 2) END AS share_percent FROM (" \
+    "SELECT *, sum(abs(attribution)) OVER (PARTITION BY prediction_id) AS tot FROM (" + " UNION ALL ".join(
+        f"SELECT prediction_id, '{c}' AS feature, {i} AS ord, (cast({c} AS DOUBLE) - (SELECT avg(cast({c} AS DOUBLE)) "
+        f"FROM assessments)) * {D(w)} AS attribution FROM assessments" for i, (c, w) in enumerate(_LC.items())) + ") a) b"
+q("linear_attribution", LIN, ("assessments",), ("attribution", "share_percent"))
+q("global_importance", f"""SELECT feature, avg(abs(attribution)) AS mean_abs_attribution, count(*) AS "rows",
+  row_number() OVER (ORDER BY avg(abs(attribution)) DESC, feature) AS rank FROM ({LIN}) l GROUP BY feature""",
+  ("assessments",), ("mean_abs_attribution",))
+_BASE_SQL = "(40.0::DOUBLE + " + " + ".join(f"{D(w)} * (SELECT avg(cast({c} AS DOUBLE)) FROM assessments)"
+                                           for c, w in _LC.items()) + ")"
+q("attribution_waterfall", f"""SELECT prediction_id, feature, attribution, step, {_BASE_SQL} + run - attribution AS start,
+  {_BASE_SQL} + run AS "end" FROM (
+  SELECT *, row_number() OVER w AS step, sum(attribution) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM ({LIN}) l WINDOW w AS (PARTITION BY prediction_id ORDER BY abs(attribution) DESC, feature)) x""",
+  ("assessments",), ("attribution", "start", '"end"'))

@@ -445,5 +445,6 @@ def cv_summary(df: DataFrame, fold_col: str = "fold", score: str = "p", label: s
     )
 
 
-def assign_folds(df: DataFrame, id_col: str, k: int = 5, seed: str = "fold") -> DataFrame:
-    return df.withColumn("fold", F.floor(uniform(seed, id_col) * k).cast("int"))
+def assign_folds(df: DataFrame, id_col: str, k: int = 5, seed: str = "fold", out: str = "fold") -> DataFrame:
+    """Fold = floor(u(seed, id) * k): a pure function of the row id."""
+    return df.withColumn(out, F.floor(uniform(seed, id_col) * k).cast("int"))

@@ -651,3 +651,194 @@ def q_rag_answer(spark, sf_dir):
     qs = A.queries_table(spark, sf_dir)
     ch = _chunks(spark, sf_dir)
     return finish(RT.rag_answer(RT.rag_topk(qs, ch, k=3), ch, qs))
+
+
+# ------------------------------------------------------------------ learning pipelines (rows-only checks)
+
+from riskops.operators import explain as X  # noqa: E402
+from riskops.operators import models as M  # noqa: E402
+
+ML_FEATURES = FE.LEGACY_FEATURES
+SMALL = {"lr_iter": 20, "trees": 20, "gbt_iter": 20}
+
+
+def _train_frame(spark, sf_dir):
+    """Learnable fixture: legacy 7 features of the request log, label drawn from the heuristic risk."""
+    return FE.map_features(A.training(spark, sf_dir), ML_FEATURES, keep=["prediction_id", "y"])
+
+
+def _lr(train, feats, label):
+    return M.fit_logistic(train, feats, label, max_iter=SMALL["lr_iter"])
+
+
+def _rf(train, feats, label):
+    return M.fit_forest(train, feats, label, num_trees=SMALL["trees"], max_depth=6)
+
+
+def _gbt(train, feats, label):
+    return M.fit_gbt(train, feats, label, max_iter=SMALL["gbt_iter"], max_depth=4)
+
+
+def _metrics_row(spark, name, learner, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    tr, te = M.split(d, "prediction_id")
+    m = learner(tr, ML_FEATURES, "y")
+    met = M.evaluate_scored(M.score_model(m, te, keep=["prediction_id", "y"]), "y")
+    tr_auc = E.roc_auc(M.score_model(m, tr, keep=["prediction_id", "y"]), "p", "y").first()["roc_auc"]
+    return M.model_comparison(spark, [{"model": name, "feature_set": "legacy7", "n_features": len(ML_FEATURES),
+                                       "train_auc": tr_auc, "test_auc": met["roc_auc"],
+                                       **{k: met[k] for k in ("accuracy", "precision", "recall", "f1", "brier_score")}}])
+
+
+@register("fit_logistic")
+def q_fit_logistic(spark, sf_dir):
+    return finish(_metrics_row(spark, "logistic_regression", _lr, sf_dir))
+
+
+@register("fit_forest")
+def q_fit_forest(spark, sf_dir):
+    return finish(_metrics_row(spark, "random_forest", _rf, sf_dir))
+
+
+@register("fit_gbt")
+def q_fit_gbt(spark, sf_dir):
+    return finish(_metrics_row(spark, "gbt", _gbt, sf_dir))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    out = None
+    for name, fn in (("logistic_regression", _lr), ("random_forest", _rf), ("gbt", _gbt)):
+        r = _metrics_row(spark, name, fn, sf_dir)
+        out = r if out is None else out.unionByName(r)
+    return finish(out)
+
+
+@register("score_model")
+def q_score_model(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    tr, _ = M.split(d, "prediction_id")
+    m = _lr(tr, ML_FEATURES, "y")
+    feats = FE.map_features(A.assessments(spark, sf_dir), ML_FEATURES, keep=["prediction_id"])
+    return finish(M.score_model(m, feats, keep=["prediction_id"]))
+
+
+@register("calibrate_isotonic")
+def q_calibrate_isotonic(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    tr, te = M.split(d, "prediction_id")
+    scorer = M.calibrate_isotonic(tr, ML_FEATURES, _rf, "prediction_id", "y", folds=3)
+    return finish(scorer(te).select("prediction_id", "y", "p_calibrated"))
+
+
+@register("calibrate_sigmoid")
+def q_calibrate_sigmoid(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    tr, te = M.split(d, "prediction_id")
+    m = _rf(tr, ML_FEATURES, "y")
+    scorer = M.calibrate_sigmoid(M.score_model(m, tr, keep=["prediction_id", "y"]))
+    return finish(scorer(M.score_model(m, te, keep=["prediction_id", "y"])).select("prediction_id", "y", "p", "p_sigmoid"))
+
+
+@register("leakage_audit")
+def q_leakage_audit(spark, sf_dir):
+    t = A.training(spark, sf_dir)
+    d = FE.map_features(t, ML_FEATURES, keep=["prediction_id", "y", "heur"])
+    sets = {"full_with_score": ML_FEATURES + ["heur"], "preventive": ML_FEATURES[:2] + ML_FEATURES[5:6],
+            "baseline": ML_FEATURES[:2]}
+    return finish(M.leakage_audit(d, sets, _lr, "prediction_id", "y", "logistic_regression"))
+
+
+def _profile_frame(spark, sf_dir):
+    p = A.profiles(spark, sf_dir).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    p = p.withColumn("is_r", (F.col("l_returnflag") == "R").cast("double")) \
+        .withColumn("is_o", (F.col("l_linestatus") == "O").cast("double"))
+    return RS.group_folds(p, PROFILE_COLS, 5, "gfold")
+
+
+@register("group_holdout")
+def q_group_holdout(spark, sf_dir):
+    feats = ["l_quantity", "l_discount", "l_tax", "is_r", "is_o"]
+    return finish(M.group_holdout(_profile_frame(spark, sf_dir), feats, _lr, "fold", "y", "row_id"))
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    return finish(M.learning_curve(_train_frame(spark, sf_dir), ML_FEATURES, _lr, "prediction_id", "y",
+                                   fractions=(0.5, 1.0), k=3))
+
+
+@register("retrain_from_feedback")
+def q_retrain_from_feedback(spark, sf_dir):
+    base = _base_rows(spark, sf_dir).withColumn("y", (F.col("Labelling") == "Depressed").cast("int"))
+    fb = _feedback_rows(spark, sf_dir).withColumn("y", (F.col("Labelling") == "Depressed").cast("int")) \
+        .drop("clinician_label")
+    reg = M.retrain_from_feedback(base, fb, ML_FEATURES, "y", "prediction_id", 50, num_trees=SMALL["trees"])
+    return finish(reg.drop("path", "version"))
+
+
+def _text_frame(spark, sf_dir, label="toxic"):
+    return A.text_labels(spark, sf_dir, label)
+
+
+@register("fit_text_classifier")
+def q_fit_text_classifier(spark, sf_dir):
+    d = _text_frame(spark, sf_dir, "quality")
+    tr, te = M.split(d, "doc_id", 0.25, "text_split")
+    m = M.fit_text_classifier(tr, "text", "label")
+    s = M.score_model(m, te, keep=["doc_id", "label"])
+    return finish(E.classification_report(s, "p", "label", 0.5))
+
+
+@register("chat_hybrid")
+def q_chat_hybrid(spark, sf_dir):
+    d = _text_frame(spark, sf_dir, "toxic")
+    m = M.fit_text_classifier(d, "text", "label")
+    msgs = A.messages(spark, sf_dir)
+    ms = M.text_risk_scores(m, msgs, "message_id", "message", 1,
+                            {f: ph for f, (ph, _) in TR.FIXTURE_LEXICON.risk.items()})
+    h = TR.chat_hybrid(triaged(spark, sf_dir), ms, "message_id")
+    return finish(h.select("message_id", "rules_percent", "model_percent", "risk_percent", "risk_level", "risk_factors",
+                           "model_used"))
+
+
+@register("importance_contributions")
+def q_importance_contributions(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    m = _rf(d, ML_FEATURES, "y")
+    return finish(X.importance_contributions(m, d, ML_FEATURES, "prediction_id"))
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    m = _gbt(d, ML_FEATURES, "y")
+    return finish(X.tree_attribution(m, d, ML_FEATURES, "prediction_id"))
+
+
+# linear attribution on the heuristic's linear model (exact, SQL-checkable)
+LINEAR_COEF = {"gestational_weeks": 10 * 0.25 * 10 / 42, "sleep_quality": -2.5, "appetite": -1.5,
+               "fatigue": 2.0, "financial_stress": 1.5}
+LINEAR_INTERCEPT = 40.0
+
+
+def _linear_attr(spark, sf_dir):
+    return X.linear_attribution(A.assessments(spark, sf_dir), LINEAR_COEF, "prediction_id")
+
+
+@register("linear_attribution")
+def q_linear_attribution(spark, sf_dir):
+    return finish(_linear_attr(spark, sf_dir))
+
+
+@register("global_importance")
+def q_global_importance(spark, sf_dir):
+    return finish(X.global_importance(_linear_attr(spark, sf_dir)))
+
+
+@register("attribution_waterfall")
+def q_attribution_waterfall(spark, sf_dir):
+    a = A.assessments(spark, sf_dir)
+    r = a.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in LINEAR_COEF]).first()
+    base = LINEAR_INTERCEPT + sum(LINEAR_COEF[c] * r[c] for c in LINEAR_COEF)
+    return finish(X.attribution_waterfall(_linear_attr(spark, sf_dir), "prediction_id", base))
