@@ -904,3 +904,31 @@ q("attribution_waterfall", f"""SELECT prediction_id, feature, attribution, step,
   SELECT *, row_number() OVER w AS step, sum(attribution) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM ({LIN}) l WINDOW w AS (PARTITION BY prediction_id ORDER BY abs(attribution) DESC, feature)) x""",
   ("assessments",), ("attribution", "start", '"end"'))
+
+
+# ------------------------------------------------------------------ streaming twins
+
+_CRISIS_MSG = ("concat('Crisis mode activated: immediate support is required. Trigger: ', " + CRISIS_REASON +
+               ", '. Please contact local emergency services and a clinician.')")
+q("stream_risk_alerts", f"""SELECT prediction_id, patient_id, risk_percent, 'queued_local' AS status,
+  substring({_CRISIS_MSG}, 1, 300) AS message_excerpt FROM predictions WHERE ({CRISIS_REASON}) IS NOT NULL""",
+  ("predictions",), ("risk_percent",))
+q("stream_timeline", "SELECT patient_id, prediction_id, ts, gestational_weeks, risk_percent FROM predictions",
+  ("predictions",), ("risk_percent",))
+q("stream_fairness_daily", f"""WITH g AS (SELECT date_trunc('day', ts) AS day, coalesce(income_band, 'unknown') AS grp,
+    sum(CASE WHEN risk_percent >= 60.0::DOUBLE THEN 1 ELSE 0 END) / count(*) AS rate FROM predictions GROUP BY 1, 2),
+closed AS (SELECT * FROM g WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM predictions) - INTERVAL 1 HOUR)
+SELECT CAST(day AS TIMESTAMP) AS day, count(*) AS n_groups, cast(sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero_groups,
+  CASE WHEN sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) >= 2 THEN min(CASE WHEN rate > 0 THEN rate END) / max(CASE WHEN rate > 0 THEN rate END)
+       ELSE 1.0::DOUBLE END AS disparate_impact,
+  coalesce(sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) >= 2 AND
+           min(CASE WHEN rate > 0 THEN rate END) / max(CASE WHEN rate > 0 THEN rate END) < 0.8::DOUBLE, false) AS bias_detected
+FROM closed GROUP BY day""", ("predictions",), ("disparate_impact",))
+SQL["stream_consent_gate"] = SQL["consent_gate"]
+q("stream_feedback_join", """SELECT p.prediction_id, p.patient_id, f.clinician_label, p.ts AS prediction_ts, f.ts AS feedback_ts
+FROM assessments p JOIN feedback f ON p.prediction_id = f.prediction_id
+  AND f.ts >= p.ts AND f.ts <= p.ts + INTERVAL 14 DAY""", ("assessments", "feedback"))
+SQL["stream_latest_state"] = SQL["consent_latest"]
+q("stream_retrain_trigger", """SELECT count(*) AS feedback_rows, 50 AS min_feedback, count(*) >= 50 AS retrain
+FROM feedback f WHERE lower(trim(clinician_label)) IN ('high', 'low')
+  AND prediction_id IN (SELECT prediction_id FROM assessments)""", ("assessments", "feedback"))

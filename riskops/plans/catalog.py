@@ -449,15 +449,16 @@ def q_fairness_auc_gap(spark, sf_dir):
     return finish(fairness.auc_gap(A.scored(spark, sf_dir), "income_band", "p2", "y"))
 
 
-PROTECTED = {"income_band": F.col("income_band"),
-             "age_band": (F.floor(F.col("age") / 10) * 10).cast("string"),
-             "event_type": F.col("event_type")}
+def protected_attributes() -> dict:
+    return {"income_band": F.col("income_band"),
+            "age_band": (F.floor(F.col("age") / 10) * 10).cast("string"),
+            "event_type": F.col("event_type")}
 
 
 def _di_all(spark, sf_dir, threshold=60.0):
     p = predictions(spark, sf_dir)
     out = None
-    for name, expr in PROTECTED.items():
+    for name, expr in protected_attributes().items():
         r = fairness.group_positive_rate(p.withColumn("_g", expr), "_g", "risk_percent", threshold)
         d = fairness.disparate_impact(r, name)
         out = d if out is None else out.unionByName(d)
@@ -842,3 +843,62 @@ def q_attribution_waterfall(spark, sf_dir):
     r = a.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in LINEAR_COEF]).first()
     base = LINEAR_INTERCEPT + sum(LINEAR_COEF[c] * r[c] for c in LINEAR_COEF)
     return finish(X.attribution_waterfall(_linear_attr(spark, sf_dir), "prediction_id", base))
+
+
+# ------------------------------------------------------------------ SMOTE (vectors view: embeddings, label 5 vs rest)
+
+from riskops.operators import neighbors as NB  # noqa: E402
+
+
+@register("smote_neighbors")
+def q_smote_neighbors(spark, sf_dir):
+    return finish(NB.smote_neighbors(A.vectors(spark, sf_dir), "row_id", "embedding", "y", 1, k=5))
+
+
+@register("smote_rows")
+def q_smote_rows(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    nb = NB.smote_neighbors(v, "row_id", "embedding", "y", 1, k=5)
+    s = NB.smote_rows(v, nb, "row_id", "embedding", "y", 1)
+    return finish(s.select("row_id", "copy", F.size("embedding").alias("dim"), "y",
+                           F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b).alias("vec_sum")))
+
+
+# ------------------------------------------------------------------ streaming twins (availableNow runs into parquet sinks)
+
+from riskops.streaming import jobs as ST  # noqa: E402
+
+
+@register("stream_risk_alerts")
+def q_stream_risk_alerts(spark, sf_dir):
+    return finish(ST.stream_risk_alerts(spark, sf_dir))
+
+
+@register("stream_timeline")
+def q_stream_timeline(spark, sf_dir):
+    return finish(ST.stream_timeline(spark, sf_dir))
+
+
+@register("stream_fairness_daily")
+def q_stream_fairness_daily(spark, sf_dir):
+    return finish(ST.stream_fairness_daily(spark, sf_dir))
+
+
+@register("stream_consent_gate")
+def q_stream_consent_gate(spark, sf_dir):
+    return finish(ST.stream_consent_gate(spark, sf_dir))
+
+
+@register("stream_feedback_join")
+def q_stream_feedback_join(spark, sf_dir):
+    return finish(ST.stream_feedback_join(spark, sf_dir))
+
+
+@register("stream_latest_state")
+def q_stream_latest_state(spark, sf_dir):
+    return finish(ST.stream_latest_state(spark, sf_dir))
+
+
+@register("stream_retrain_trigger")
+def q_stream_retrain_trigger(spark, sf_dir):
+    return finish(ST.stream_retrain_trigger(spark, sf_dir))

@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction / request log: one risk request per event."""
-    e = table(spark, sf_dir, "events").withColumn(
-        "k", F.regexp_extract("props", "([0-9]+)", 1).try_cast("int")
-    )
+    return assessments_from(table(spark, sf_dir, "events"))
+
+
+def assessments_from(events: DataFrame) -> DataFrame:
+    """The request-log projection of an events frame (batch or streaming)."""
+    e = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).try_cast("int"))
     k, uid = F.col("k"), F.col("user_id")
     return e.select(
         F.col("event_id").alias("prediction_id"),
@@ -54,7 +57,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % 5 == 0)
+    return feedback_from(table(spark, sf_dir, "events"))
+
+
+def feedback_from(events: DataFrame) -> DataFrame:
+    """Clinician feedback projection of an events frame (batch or streaming)."""
+    e = events.where(F.col("event_id") % 5 == 0)
     eid = F.col("event_id")
     return e.select(
         (eid + F.when(eid % 25 == 0, F.lit(1000000000)).otherwise(F.lit(0))).alias("prediction_id"),
@@ -65,7 +73,12 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assessments(spark, sf_dir).where(F.col("event_type") == "signup")
+    return consents_from(assessments(spark, sf_dir))
+
+
+def consents_from(assess: DataFrame) -> DataFrame:
+    """Consent-change projection of a request log (batch or streaming)."""
+    a = assess.where(F.col("event_type") == "signup")
     k = F.col("k")
     return a.select(
         "patient_id",
