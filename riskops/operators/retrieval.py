@@ -65,7 +65,9 @@ def term_counts(df: DataFrame, key_cols: list[str], text_col: str = "text", ngra
     """
     t = df.select(*key_cols, tokens(F.col(text_col)).alias("_toks"))
     terms = F.concat(F.col("_toks"), bigrams_of(F.col("_toks"))) if ngram_max >= 2 else F.col("_toks")
-    return t.select(*key_cols, F.explode(terms).alias("term")) \
+    # (the explicit not-null keeps every reader of these counts on one plan, so Spark reuses
+    # the exchange instead of recounting once per branch)
+    return t.select(*key_cols, F.explode(terms).alias("term")).where(F.col("term").isNotNull()) \
         .groupBy(*key_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -75,7 +77,7 @@ def tfidf_index(chunks: DataFrame, max_features: int = 12000) -> tuple[DataFrame
     vocab: the ``max_features`` terms with the highest corpus count (ties: term
     ascending) with smooth idf ``ln((1+n)/(1+df)) + 1``.  postings: L2-normalised
     tf-idf weight per (chunk, term).  The vocabulary is bounded by
-    ``max_features``, so it is broadcast.
+    ``max_features``, so it is broadcast (and checkpointed: it is read three times).
     """
     keys = ["source", "chunk_id"]
     tc = term_counts(chunks, keys)
@@ -83,6 +85,10 @@ def tfidf_index(chunks: DataFrame, max_features: int = 12000) -> tuple[DataFrame
     stats = tc.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term").asc()).limit(max_features).select(
         "term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    # at most max_features rows: written once to the shared checkpoint folder, so the postings,
+    # the query vectors and the broadcast size check all read it instead of re-deriving it from
+    # the whole corpus
+    vocab = vocab.checkpoint(eager=True)
     p = tc.join(F.broadcast(vocab), "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
     postings = p.select(*keys, "term", (F.col("w") / norm).alias("weight"))
