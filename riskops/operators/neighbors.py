@@ -5,7 +5,8 @@ candidates come from random-projection LSH: ``L`` hash tables, each keyed by
 ``m`` concatenated projections ``floor((<x, r> + b) / w)``.  ``m`` grows with
 the minority size so the expected bucket stays near ``target_bucket`` rows
 (candidate pairs grow linearly, not quadratically); ``L`` tables buy back
-recall.  Distances of the candidate pairs are exact, ties are broken by id,
+recall.  Skewed data (one dense cluster, many identical vectors) cannot blow a
+bucket up into all pairs: see ``candidate_pairs``.  Distances of the candidate pairs are exact, ties are broken by id,
 and everything is JVM-side array arithmetic (``zip_with`` / ``aggregate``).
 
 Recall against brute force is tested on a small fixture (tests/); the
@@ -33,8 +34,12 @@ def sq_dist(a: Column, b: Column) -> Column:
 
 
 def lsh_keys(df: DataFrame, vec_col: str, dim: int, n_rows: int, tables: int = 8, target_bucket: int = 64,
-             width: float | None = None, seed: int = 42) -> DataFrame:
-    """Explode (table, bucket key) per row; projections are fixed by ``seed``."""
+             width: float | None = None, seed: int = 42, levels: int = 1) -> DataFrame:
+    """Explode (tbl, lvl, key) per row; projections are fixed by ``seed``.
+
+    Level ``r`` cuts the same projections with width ``w / 4**r``, so a level-r
+    bucket lies inside one level-(r-1) bucket (nested refinement).
+    """
     rng = np.random.default_rng(seed)
     per = max(1, math.ceil(math.log(max(n_rows, 2) / target_bucket) / math.log(4))) if n_rows > target_bucket else 1
     planes = rng.standard_normal((tables, per, dim))
@@ -44,26 +49,60 @@ def lsh_keys(df: DataFrame, vec_col: str, dim: int, n_rows: int, tables: int = 8
         s = df.agg(F.stddev_pop(_dot(F.col(vec_col), planes[0, 0].tolist())).alias("s")).first()["s"] or 1.0
         width = max(float(s), 1e-9)
     offs = rng.uniform(0, width, (tables, per))
+    # every projection once per row, then the keys of all tables and levels read them
+    proj = F.array(*[_dot(F.col(vec_col), planes[t, j].tolist()) + float(offs[t, j])
+                     for t in range(tables) for j in range(per)])
+    p = df.select("*", proj.alias("_proj"))
     keys = []
     for t in range(tables):
-        parts = [F.floor((_dot(F.col(vec_col), planes[t, j].tolist()) + float(offs[t, j])) / width).cast("string")
-                 for j in range(per)]
-        keys.append(F.struct(F.lit(t).alias("tbl"), F.concat_ws(":", *parts).alias("key")))
-    return df.select("*", F.explode(F.array(*keys)).alias("_h")).select("*", "_h.tbl", "_h.key").drop("_h")
+        for r in range(levels):
+            w = width / (4 ** r)
+            parts = [F.floor(F.col("_proj")[t * per + j] / w).cast("string") for j in range(per)]
+            keys.append(F.struct(F.lit(t).alias("tbl"), F.lit(r).alias("lvl"), F.concat_ws(":", *parts).alias("key")))
+    return p.select("*", F.explode(F.array(*keys)).alias("_h")).select("*", "_h.tbl", "_h.lvl", "_h.key") \
+        .drop("_h", "_proj")
+
+
+def candidate_pairs(keyed: DataFrame, id_col: str, k: int, levels: int, max_bucket: int) -> DataFrame:
+    """(a, b) candidate pairs with bounded fan-out, however skewed the buckets are.
+
+    Each row takes, per table, its coarsest bucket holding at most
+    ``max_bucket`` rows and pairs with that bucket's members (at most
+    ``max_bucket`` partners).  A bucket still larger at the finest level is a
+    pile of (near-)identical vectors: its members pair with the bucket's
+    ``k + 1`` smallest ids only, which for identical vectors is exactly the
+    brute-force answer (distance 0, ties by id).  Bucket sizes come from a
+    ``groupBy`` (partial aggregation), never from a window over a hot bucket,
+    and the leaders from a ``row_number`` limit that Spark applies map-side
+    before the shuffle.
+    """
+    cnt = keyed.groupBy("tbl", "lvl", "key").agg(F.count(F.lit(1)).alias("cnt"))
+    kc = keyed.select(id_col, "tbl", "lvl", "key").join(cnt, ["tbl", "lvl", "key"])
+    ch = kc.groupBy(id_col, "tbl").agg(
+        F.min(F.when(F.col("cnt") <= max_bucket, F.struct("lvl", "key"))).alias("c"),
+        F.max(F.when(F.col("lvl") == levels - 1, F.col("key"))).alias("fine"))
+    small = ch.where(F.col("c").isNotNull()).select(id_col, "tbl", F.col("c.lvl").alias("lvl"), F.col("c.key").alias("key"))
+    hot = ch.where(F.col("c").isNull()).select(id_col, "tbl", F.col("fine").alias("key"))
+    a = small.select(F.col(id_col).alias("a"), "tbl", "lvl", "key")
+    b = small.select(F.col(id_col).alias("b"), "tbl", "lvl", "key")
+    p_small = a.join(b, ["tbl", "lvl", "key"]).select("a", "b")
+    lead = hot.withColumn("_rn", F.row_number().over(Window.partitionBy("tbl", "key").orderBy(id_col))) \
+        .where(F.col("_rn") <= k + 1).select(F.col(id_col).alias("b"), "tbl", "key")
+    p_hot = hot.select(F.col(id_col).alias("a"), "tbl", "key").join(lead, ["tbl", "key"]).select("a", "b")
+    return p_small.unionByName(p_hot).where(F.col("a") != F.col("b")).distinct()
 
 
 def smote_neighbors(df: DataFrame, id_col: str, vec_col: str, label_col: str, minority=1, k: int = 5,
-                    tables: int = 16, target_bucket: int = 64, seed: int = 42) -> DataFrame:
+                    tables: int = 16, target_bucket: int = 64, seed: int = 42, levels: int = 3,
+                    max_bucket: int | None = None) -> DataFrame:
     """(id, neighbor_id, rank, distance): k nearest minority rows of each minority row (LSH candidates)."""
     m = df.where(F.col(label_col) == F.lit(minority)).select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
     first = m.select(F.size("v").alias("d"), F.lit(1).alias("one")).agg(F.max("d").alias("d"),
                                                                          F.sum("one").alias("n")).first()
     if not first or not first["n"]:
         return df.sparkSession.createDataFrame([], f"{id_col} long, neighbor_id long, rank int, distance double")
-    keyed = lsh_keys(m, "v", int(first["d"]), int(first["n"]), tables, target_bucket, seed=seed)
-    a = keyed.select(F.col(id_col).alias("a"), "tbl", "key")
-    b = keyed.select(F.col(id_col).alias("b"), "tbl", "key")
-    pairs = a.join(b, ["tbl", "key"]).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    keyed = lsh_keys(m, "v", int(first["d"]), int(first["n"]), tables, target_bucket, seed=seed, levels=levels)
+    pairs = candidate_pairs(keyed, id_col, k, levels, max_bucket or 4 * target_bucket)
     va = m.select(F.col(id_col).alias("a"), F.col("v").alias("va"))
     vb = m.select(F.col(id_col).alias("b"), F.col("v").alias("vb"))
     d = pairs.join(va, "a").join(vb, "b").select("a", "b", F.sqrt(sq_dist(F.col("va"), F.col("vb"))).alias("distance"))

@@ -85,3 +85,24 @@ def test_stream_equals_batch_timeline(spark):
     b = C.predictions(spark, TINY).select("patient_id", "prediction_id", "ts", "gestational_weeks", "risk_percent")
     assert s.count() == b.count()
     assert s.exceptAll(b.select(*s.columns)).count() == 0
+
+
+def test_smote_hot_bucket_is_exact_for_duplicates(spark):
+    """A third of the minority rows share one vector: with a tiny bucket bound they take the
+    hot path (pairs with the k+1 smallest ids only), which must equal brute force there."""
+    k = 5
+    v = A.vectors(spark, SMALL).where("y = 1")
+    dim = v.select(F.size("embedding")).first()[0]
+    dup = v.withColumn("embedding", F.when(F.col("row_id") % 3 == 0, F.array(*[F.lit(0.5)] * dim))
+                       .otherwise(F.col("embedding").cast("array<double>")))
+    nb = NB.smote_neighbors(dup, "row_id", "embedding", "y", 1, k=k, max_bucket=4)
+    group = sorted(r.row_id for r in dup.where(F.col("row_id") % 3 == 0).select("row_id").collect())
+    assert len(group) > k + 1
+    got = {}
+    for r in nb.where(F.col("row_id") % 3 == 0).collect():
+        got.setdefault(r.row_id, []).append((r.rank, r.neighbor_id, r.distance))
+    for rid in group:
+        want = [g for g in group if g != rid][:k]
+        rows = sorted(got[rid])
+        assert [n for _, n, _ in rows] == want
+        assert all(dist == 0.0 for _, _, dist in rows)
