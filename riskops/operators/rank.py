@@ -3,7 +3,8 @@
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
 Instead (two-level prefix sum):
 
-1. range-cut the ordering value into at most ``n_buckets`` buckets using
+1. range-cut the ordering value into at most ``n_buckets`` buckets (by default
+   two per shuffle partition, at least 512) using
    approximate quantiles of the *distinct* values (edges become literals in the
    plan, so every re-evaluation and every retried task sees the same cut);
 2. sum each bucket (map-side partial aggregation; at most ``n_buckets`` rows per
@@ -25,20 +26,31 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 512
 
 
+def bucket_count(df: DataFrame, n_buckets: int | None = None) -> int:
+    """Buckets for the two-level prefix sum: at least ``DEFAULT_BUCKETS`` and two per shuffle
+    partition of the session, so the cluster's own sizing of ``spark.sql.shuffle.partitions``
+    for its data keeps each bucket's window a bounded slice of the rows."""
+    if n_buckets:
+        return n_buckets
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(DEFAULT_BUCKETS, 2 * parts)
+
+
 def _edges(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("q")).first()
+    accuracy = max(10000, 8 * n_buckets)  # rank error 1/accuracy stays well under one bucket
+    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("q")).first()
     qs = row["q"] if row is not None else None
     if not qs:
         return []
     return sorted({float(q) for q in qs if q is not None})
 
 
-def add_bucket(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS, out: str = "_bucket") -> DataFrame:
+def add_bucket(df: DataFrame, col: str, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
     """Range bucket of ``col`` (monotone in ``col``; NULL ordering values -> bucket 0)."""
-    edges = _edges(df, col, n_buckets)
+    edges = _edges(df, col, bucket_count(df, n_buckets))
     if not edges:
         return df.withColumn(out, F.lit(0.0))
     splits = [float("-inf")] + edges + [float("inf")]
@@ -53,7 +65,7 @@ def cumulative(
     order_cols: Sequence[str],
     value_cols: Sequence[str],
     group_cols: Sequence[str] = (),
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
     suffix: str = "_cum",
 ) -> DataFrame:
     """Add inclusive running sums ``<v><suffix>`` ordered by ``order_cols`` within ``group_cols``.
@@ -74,7 +86,7 @@ def cumulative(
         *[F.coalesce(F.sum(f"_bt_{v}").over(w_b), F.lit(0)).alias(f"_off_{v}") for v in value_cols],
     )
     if not group_cols:
-        # at most n_buckets rows: a proven bound, so broadcasting it is safe
+        # at most n_buckets rows (a few per shuffle partition): a proven bound, so broadcast
         offsets = F.broadcast(offsets)
     j = b.join(offsets, [*group_cols, "_bucket"], "inner")
     w_in = (Window.partitionBy(*group_cols, "_bucket").orderBy(*order_cols)
