@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskops.functions.exprs import uniform
+from riskops.functions.exprs import spread, uniform
 from riskops.operators.rank import cumulative, score_histogram
 
 
@@ -383,7 +383,8 @@ def bootstrap_weights(df: DataFrame, id_col: str, n_boot: int, seed: str = "boot
     in-place on the row's partition.  Rows with multiplicity 0 are dropped.
     """
     r = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    x = df.select("*", r)
+    # the explode multiplies the rows by n_boot: make sure an under-split input is spread first
+    x = spread(df).select("*", r)
     key = F.concat(F.lit(seed), F.lit(":"), F.col("rep").cast("string"))
     u = F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), F.col(id_col).cast("string"))), 1, 8), 16, 10) \
         .cast("bigint") / F.lit(4294967296.0)

@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskops.functions.exprs import uniform
+from riskops.functions.exprs import spread, uniform
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table.  A file written as one row group is one split however large it is,
+    so an under-split table is spread round-robin over the cluster first (a no-op when the
+    scan already has enough splits); column pruning and filters still reach the scan."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
