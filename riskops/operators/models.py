@@ -37,14 +37,21 @@ def _safe(name: str) -> str:
 
 
 def feature_stages(features: Sequence[str], scale: bool = False, impute: bool = True) -> list:
-    """Median imputation (exact: relativeError 0), assembly and optional z-scaling."""
+    """Median imputation, assembly and optional z-scaling.
+
+    The in-pipeline median uses ``relativeError=1e-4``: a zero error makes the
+    quantile summary keep every sample, which at cluster scale would gather a
+    whole column on the driver.  (The summary returns a sample value within
+    1e-4 of the median rank; on the 0-10 scales that is the median itself.  The
+    standalone F1 operator computes the exact interpolated median.)
+    """
     stages = []
     cols = list(features)
     safe = [_safe(c) for c in cols]
     stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
         f"CAST(`{c}` AS DOUBLE) AS {s}" for c, s in zip(cols, safe)) + " FROM __THIS__"))
     if impute:
-        stages.append(Imputer(inputCols=safe, outputCols=[s + "_i" for s in safe], strategy="median", relativeError=0.0))
+        stages.append(Imputer(inputCols=safe, outputCols=[s + "_i" for s in safe], strategy="median", relativeError=1e-4))
         safe = [s + "_i" for s in safe]
     stages.append(VectorAssembler(inputCols=safe, outputCol="features_raw" if scale else "features",
                                   handleInvalid="keep"))
@@ -53,6 +60,17 @@ def feature_stages(features: Sequence[str], scale: bool = False, impute: bool =
     return stages
 
 
+def _fit(stages: list, t: DataFrame) -> PipelineModel:
+    """Fit with the training frame persisted for the fit only: the weight sum, the imputer,
+    the scaler and the learner each read it, and the fitted model does not reference it.
+    (A persisted block lost with an executor is recomputed from the lineage.)"""
+    t = t.persist()
+    try:
+        return Pipeline(stages=stages).fit(t)
+    finally:
+        t.unpersist()
+
+
 def _weighted(train: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, str | None]:
     if not balanced:
         return train, None
@@ -70,7 +88,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "y", ba
     sw = t.agg(F.sum(F.col(wcol) if wcol else F.lit(1.0)).alias("s")).first()["s"] or 1.0
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (C * sw), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter, **({"weightCol": wcol} if wcol else {}))
-    return Pipeline(stages=[*feature_stages(features, scale=True), lr]).fit(t)
+    return _fit([*feature_stages(features, scale=True), lr], t)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", num_trees: int = 300,
@@ -79,7 +97,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", num_
     t, wcol = _weighted(train, label, balanced)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
                                 seed=seed, **({"weightCol": wcol} if wcol else {}))
-    return Pipeline(stages=[*feature_stages(features), rf]).fit(t)
+    return _fit([*feature_stages(features), rf], t)
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", max_iter: int = 250, max_depth: int = 4,
@@ -89,7 +107,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", max_ite
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, subsamplingRate=subsample, seed=seed,
                         **({"weightCol": wcol} if wcol else {}))
-    return Pipeline(stages=[*feature_stages(features), gbt]).fit(t)
+    return _fit([*feature_stages(features), gbt], t)
 
 
 def class_index(model: PipelineModel, name: str | None = None, default: int = 1) -> int:

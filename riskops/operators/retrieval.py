@@ -23,7 +23,7 @@ PY_SPACE = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-
 # Tokens of the default TfidfVectorizer pattern (two or more word characters), portable spelling.
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
 SCORE_DECIMALS = 9  # ranking is done on scores rounded here, so float noise cannot reorder exact ties
-BROADCAST_QUERY_TERMS = 2_000_000
+BROADCAST_QUERY_TERMS = 250_000  # (query_id, term, weight) rows: about 15 MB broadcast at most
 
 
 def clean_text(c: Column) -> Column:

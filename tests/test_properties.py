@@ -106,3 +106,12 @@ def test_no_null_group_lost(spark):
     df = spark.createDataFrame([(None, 70.0), ("a", 10.0), ("a", 90.0)], "income_band string, risk_percent double")
     rates = {r["group"]: r["positive_rate"] for r in fairness.group_positive_rate(df).collect()}
     assert rates == {"unknown": 1.0, "a": 0.5}
+
+
+def test_topk_same_without_broadcast(spark, monkeypatch):
+    """The shuffle-join path (query side over the broadcast bound) returns the same top-k."""
+    qs, docs = A.queries_table(spark, TINY), RT.chunk_documents(A.guidelines(spark, TINY))
+    a = RT.rag_topk(qs, docs, k=3).select("query_id", "rank", "source", "chunk_id").collect()
+    monkeypatch.setattr(RT, "BROADCAST_QUERY_TERMS", 0)
+    b = RT.rag_topk(qs, docs, k=3).select("query_id", "rank", "source", "chunk_id").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
