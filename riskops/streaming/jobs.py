@@ -166,31 +166,48 @@ def stream_feedback_join(spark: SparkSession, sf_dir: str, within_days: int = 14
 # ------------------------------------------------------------------ H6
 
 
-def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _latest_version(spark: SparkSession, state_root: str, below: int | None = None) -> DataFrame | None:
+    """The newest ``version=<n>`` partition of a state folder (optionally below ``below``), or None."""
+    try:
+        st = spark.read.parquet(state_root)
+    except Exception:  # nothing written yet
+        return None
+    if below is not None:
+        st = st.where(F.col("version") < below)
+    top = st.agg(F.max("version").alias("v")).first()["v"]
+    if top is None:
+        return None
+    return st.where(F.col("version") == top).drop("version")
+
+
+def stream_latest_state(spark: SparkSession, sf_dir: str, state_root: str | None = None,
+                        checkpoint: str | None = None) -> DataFrame:
     """H6: fold each micro-batch of consent changes into a versioned 'latest per patient' table.
 
-    State version ``v<batch_id>`` = latest_by_key(previous version U batch); a replayed
-    batch rewrites the same version, so the fold is idempotent.
+    Version ``n`` (folder ``version=n``) = latest_by_key(newest version below n U batch n).
+    The versions live in the state folder, not in the driver: a job restarted on
+    the same ``state_root`` and ``checkpoint`` resumes from the last committed
+    version, and a replayed batch rewrites its own version (idempotent).
     """
     c = A.consents_from(A.assessments_from(event_stream(spark, sf_dir)))
-    state_root = scratch_path(spark, f"stream-latest-{uuid.uuid4().hex}/state")
-    versions: list[int] = []
+    run = f"stream-latest-{uuid.uuid4().hex}"
+    state_root = state_root or scratch_path(spark, f"{run}/state")
+    checkpoint = checkpoint or scratch_path(spark, f"{run}/checkpoint")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         cur = logs.consent_latest(batch)
-        if versions:
-            prev = spark.read.parquet(f"{state_root}/v{versions[-1]}")
+        prev = _latest_version(spark, state_root, below=batch_id)
+        if prev is not None:
             cur = logs.consent_latest(prev.unionByName(cur))
-        cur.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
-        versions.append(batch_id)
+        cur.write.mode("overwrite").parquet(f"{state_root}/version={batch_id}")
 
-    ckpt = scratch_path(spark, f"stream-latest-{uuid.uuid4().hex}/checkpoint")
-    q = c.writeStream.foreachBatch(fold).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q = c.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    if not versions:
+    latest = _latest_version(spark, state_root)
+    if latest is None:
         return spark.createDataFrame([], "patient_id string, ts timestamp_ntz, seq long, consent_given boolean, "
                                          "consent_scope array<string>")
-    return spark.read.parquet(f"{state_root}/v{versions[-1]}")
+    return latest
 
 
 # ------------------------------------------------------------------ H7

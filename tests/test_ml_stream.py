@@ -106,3 +106,14 @@ def test_smote_hot_bucket_is_exact_for_duplicates(spark):
         rows = sorted(got[rid])
         assert [n for _, n, _ in rows] == want
         assert all(dist == 0.0 for _, _, dist in rows)
+
+
+def test_latest_state_resumes_from_storage(spark):
+    """A second run on the same state and checkpoint folders starts from the stored version."""
+    run = scratch_path(spark, f"test-latest-{np.random.default_rng().integers(1 << 62)}")
+    kw = dict(state_root=f"{run}/state", checkpoint=f"{run}/ckpt")
+    first = S.stream_latest_state(spark, TINY, **kw)
+    a = sorted(map(tuple, first.select("patient_id", "seq", "consent_given").collect()))
+    second = S.stream_latest_state(spark, TINY, **kw)
+    b = sorted(map(tuple, second.select("patient_id", "seq", "consent_given").collect()))
+    assert a == b and len(a) > 0
