@@ -78,18 +78,32 @@ def tfidf_index(chunks: DataFrame, max_features: int = 12000) -> tuple[DataFrame
     ascending) with smooth idf ``ln((1+n)/(1+df)) + 1``.  postings: L2-normalised
     tf-idf weight per (chunk, term).  The vocabulary is bounded by
     ``max_features``, so it is broadcast (and checkpointed: it is read three times).
+
+    The corpus statistics are one aggregation on ``term`` alone (``cnt`` from
+    the exploded terms, ``df`` from each chunk's distinct terms, one explode),
+    which map-side partial aggregation shrinks well; the per-(chunk, term) counts are only
+    formed for terms that survive the broadcast join with the vocabulary.
     """
     keys = ["source", "chunk_id"]
-    tc = term_counts(chunks, keys)
+    tok = chunks.select(*keys, tokens(F.col("text")).alias("_toks"))
+    t = tok.select(*keys, F.concat(F.col("_toks"), bigrams_of(F.col("_toks"))).alias("_terms"))
     n_chunks = chunks.count()
-    stats = tc.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
+    # one explode feeds both statistics: every occurrence counts 1 to cnt, each chunk's
+    # distinct terms count 1 to df
+    occ = F.transform("_terms", lambda x: F.struct(x.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
+    first = F.transform(F.array_distinct("_terms"),
+                        lambda x: F.struct(x.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
+    stats = t.select(F.inline(F.concat(occ, first))).groupBy("term") \
+        .agg(F.sum("c").cast("long").alias("cnt"), F.sum("d").cast("long").alias("df"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term").asc()).limit(max_features).select(
         "term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     # at most max_features rows: written once to the shared checkpoint folder, so the postings,
     # the query vectors and the broadcast size check all read it instead of re-deriving it from
     # the whole corpus
     vocab = vocab.checkpoint(eager=True)
-    p = tc.join(F.broadcast(vocab), "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    hits = t.select(*keys, F.explode("_terms").alias("term")).join(F.broadcast(vocab.select("term", "idf")), "term")
+    tc = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    p = tc.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
     postings = p.select(*keys, "term", (F.col("w") / norm).alias("weight"))
     return postings, vocab
