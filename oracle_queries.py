@@ -157,7 +157,7 @@ SELECT 'income_band' AS protected_attribute, n_groups, n_nonzero_groups, min_rat
        ELSE 'Parity is within acceptable threshold. | Continue periodic fairness monitoring.' END AS mitigation_report,
   CASE WHEN n_nonzero_groups < 2 THEN 'Insufficient group data to compute disparate impact.'
        ELSE 'Disparate impact closer to 1.0 indicates parity; below 0.8 may indicate bias.' END AS summary
-FROM (SELECT count(*) AS n_groups, sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS n_nonzero_groups,
+FROM (SELECT count(*) AS n_groups, coalesce(sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END), 0) AS n_nonzero_groups,
         min(CASE WHEN rate > 0 THEN rate END) AS min_rate, max(CASE WHEN rate > 0 THEN rate END) AS max_rate
       FROM (SELECT positives / total AS rate FROM ({RATES}) r) x) a""", ("predictions",),
   ("min_rate", "max_rate", "disparate_impact_raw", "disparate_impact"))
@@ -166,10 +166,10 @@ FROM (SELECT count(*) AS n_groups, sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS
 # ------------------------------------------------------------------ evaluation (scored view)
 
 COUNTS = """SELECT count(*) AS n,
-  cast(sum(CASE WHEN y = 1 AND p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS tp,
-  cast(sum(CASE WHEN y <> 1 AND p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS fp,
-  cast(sum(CASE WHEN y <> 1 AND NOT p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS tn,
-  cast(sum(CASE WHEN y = 1 AND NOT p >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM scored"""
+  cast(coalesce(sum(CASE WHEN y = 1 AND p >= 0.5::DOUBLE THEN 1 ELSE 0 END), 0) AS BIGINT) AS tp,
+  cast(coalesce(sum(CASE WHEN y <> 1 AND p >= 0.5::DOUBLE THEN 1 ELSE 0 END), 0) AS BIGINT) AS fp,
+  cast(coalesce(sum(CASE WHEN y <> 1 AND NOT p >= 0.5::DOUBLE THEN 1 ELSE 0 END), 0) AS BIGINT) AS tn,
+  cast(coalesce(sum(CASE WHEN y = 1 AND NOT p >= 0.5::DOUBLE THEN 1 ELSE 0 END), 0) AS BIGINT) AS fn FROM scored"""
 
 
 def sdiv(a, b):

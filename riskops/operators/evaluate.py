@@ -26,12 +26,13 @@ def _pred(score: str, threshold: float):
 def _counts(df: DataFrame, score: str, label: str, threshold: float, positive=1, group_cols=()):
     y = F.col(label) == F.lit(positive)
     p = _pred(score, threshold)
+    # (coalesce: over an empty input every cell is 0, not NULL)
     return df.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(y & p, 1).otherwise(0)).alias("tp"),
-        F.sum(F.when(~y & p, 1).otherwise(0)).alias("fp"),
-        F.sum(F.when(~y & ~p, 1).otherwise(0)).alias("tn"),
-        F.sum(F.when(y & ~p, 1).otherwise(0)).alias("fn"),
+        F.coalesce(F.sum(F.when(y & p, 1).otherwise(0)), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(~y & p, 1).otherwise(0)), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(~y & ~p, 1).otherwise(0)), F.lit(0)).alias("tn"),
+        F.coalesce(F.sum(F.when(y & ~p, 1).otherwise(0)), F.lit(0)).alias("fn"),
     )
 
 

@@ -61,7 +61,7 @@ def disparate_impact(rates: DataFrame, protected_attribute: str = "income_band",
     nz = F.col(rate_col) > 0
     agg = rates.agg(
         F.count(F.lit(1)).alias("n_groups"),
-        F.sum(F.when(nz, 1).otherwise(0)).alias("n_nonzero_groups"),
+        F.coalesce(F.sum(F.when(nz, 1).otherwise(0)), F.lit(0)).alias("n_nonzero_groups"),
         F.min(F.when(nz, F.col(rate_col))).alias("min_rate"),
         F.max(F.when(nz, F.col(rate_col))).alias("max_rate"),
     )

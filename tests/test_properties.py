@@ -115,3 +115,30 @@ def test_topk_same_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(RT, "BROADCAST_QUERY_TERMS", 0)
     b = RT.rag_topk(qs, docs, k=3).select("query_id", "rank", "source", "chunk_id").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def _empty_scored(spark):
+    return spark.createDataFrame([], "prediction_id long, p double, y int, income_band string, risk_percent double")
+
+
+def _single_class(spark):
+    return spark.createDataFrame([(i, i / 10, 1, None, 70.0) for i in range(10)],
+                                 "prediction_id long, p double, y int, income_band string, risk_percent double")
+
+
+def test_empty_input_fairness_is_insufficient(spark):
+    r = fairness.disparate_impact(fairness.group_positive_rate(_empty_scored(spark))).first()
+    assert r["n_groups"] == 0 and r["n_nonzero_groups"] == 0
+    assert r["mitigation_strategy"] == "none" and r["bias_detected"] is False
+
+
+def test_empty_input_confusion_matrix_is_zero(spark):
+    assert [r["n"] for r in E.confusion_matrix(_empty_scored(spark)).collect()] == [0, 0, 0, 0]
+
+
+def test_single_class_edges(spark):
+    one = _single_class(spark)
+    assert fairness.disparate_impact(fairness.group_positive_rate(one)).first()["mitigation_strategy"] == "none"
+    assert fairness.di_by_threshold(one).count() == 0
+    assert E.bootstrap_auc_ci(one, n_boot=20).first()["n_bootstraps"] == 0
+    assert E.average_precision(one).first()["average_precision"] == pytest.approx(1.0)
