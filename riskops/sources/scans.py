@@ -1,5 +1,6 @@
 """Scans with column contracts (A1), text documents (A2), projected log scans (A3),
-nested JSON decoding (A4) and dataset fingerprints (A7).
+nested JSON decoding (A4), dataset fingerprints (A7), and the batch sinks: log
+append (A5) and metrics reports (A9).
 
 All scans are plain ``spark.read`` with an explicit projection so Catalyst
 prunes columns at the file reader; CSV is read as all-string (no schema
@@ -75,3 +76,31 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     """A7 for files: SHA-256 of each file's bytes (``binaryFile`` source)."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+# ------------------------------------------------------------------ sinks
+
+
+def append_log(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
+    """A5: append rows to a parquet log (optionally partitioned, e.g. by day).
+
+    Executors write their own files; nothing passes through the driver.  The
+    streaming jobs use the same layout through their parquet / foreachBatch sinks.
+    """
+    w = df.write.mode("append")
+    if partition_cols:
+        w = w.partitionBy(*partition_cols)
+    w.parquet(path)
+
+
+def metrics_tall(metrics: DataFrame, section: str, id_cols: Sequence[str] = ()) -> DataFrame:
+    """A wide metrics frame as tall ``(section, id..., metric, value)`` rows (``unpivot``)."""
+    values = [c for c in metrics.columns if c not in id_cols]
+    cast = metrics.select(*id_cols, *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
+    return cast.unpivot(list(id_cols), values, "metric", "value").select(
+        F.lit(section).alias("section"), *id_cols, "metric", "value")
+
+
+def write_metrics_report(tall: DataFrame, path: str) -> None:
+    """Write tall metric rows as JSON lines (overwrite: a report is one snapshot)."""
+    tall.write.mode("overwrite").json(path)

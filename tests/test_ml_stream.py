@@ -117,3 +117,40 @@ def test_latest_state_resumes_from_storage(spark):
     second = S.stream_latest_state(spark, TINY, **kw)
     b = sorted(map(tuple, second.select("patient_id", "seq", "consent_given").collect()))
     assert a == b and len(a) > 0
+
+
+def test_versioned_model_save_and_load(spark):
+    """A versioned copy and 'latest' are written and score identically after loading."""
+    from pyspark.ml import PipelineModel
+
+    from riskops.operators import models as M
+
+    d = C._train_frame(spark, TINY)
+    m = C._lr(d, C.ML_FEATURES, "y")
+    base = scratch_path(spark, f"test-models-{np.random.default_rng().integers(1 << 62)}")
+    version, path = M.save_versioned(m, base)
+    assert path.endswith(f"risk_model_v{version}")
+    a = M.score_model(m, d, keep=["prediction_id"]).select("prediction_id", "p")
+    for p in (path, f"{base}/latest"):
+        b = M.score_model(PipelineModel.load(p), d, keep=["prediction_id"]).select("prediction_id", F.col("p").alias("q"))
+        assert a.join(b, "prediction_id").where(F.abs(F.col("p") - F.col("q")) > 1e-12).count() == 0
+
+
+def test_log_append_and_metrics_report(spark):
+    """A5 appends; A9 writes tall metric rows that read back as JSON."""
+    from riskops.operators import evaluate as E
+    from riskops.sources import scans
+
+    run = scratch_path(spark, f"test-sinks-{np.random.default_rng().integers(1 << 62)}")
+    log = A.assessments(spark, TINY).select("prediction_id", "patient_id", F.to_date("ts").alias("day"))
+    scans.append_log(log, f"{run}/log", ["day"])
+    scans.append_log(log, f"{run}/log", ["day"])
+    assert spark.read.parquet(f"{run}/log").count() == 2 * log.count()
+    m = E.classification_metrics(A.scored(spark, TINY)).select("accuracy", "precision", "recall", "f1")
+    tall = scans.metrics_tall(m, "logistic_regression")
+    scans.write_metrics_report(tall, f"{run}/report")
+    back = {r["metric"]: r["value"] for r in spark.read.json(f"{run}/report").collect()}
+    want = m.first().asDict()
+    assert back.keys() == want.keys()
+    for k, v in want.items():
+        assert back[k] == pytest.approx(v)
