@@ -134,12 +134,20 @@ def stream_fairness_daily(spark: SparkSession, sf_dir: str, threshold: float = 6
 # ------------------------------------------------------------------ H4
 
 
-def stream_consent_gate(spark: SparkSession, sf_dir: str, scope: str = "risk_scoring") -> DataFrame:
-    """H4: gate each micro-batch of requests on the consent view in force (re-read per batch)."""
+def stream_consent_gate(spark: SparkSession, sf_dir: str, scope: str = "risk_scoring",
+                        consent_state: str | None = None) -> DataFrame:
+    """H4: gate each micro-batch of requests on the consent view in force, re-read per batch.
+
+    With ``consent_state`` (the state folder maintained by ``stream_latest_state``)
+    each batch joins the current one-row-per-patient table; without it the
+    current view is derived from the consent log for every batch.
+    """
     req = A.assessments_from(event_stream(spark, sf_dir)).select("prediction_id", "patient_id")
 
     def gate(batch: DataFrame, batch_id: int) -> DataFrame:
-        current = A.consents(spark, sf_dir)  # static snapshot, refreshed every micro-batch
+        current = _latest_version(spark, consent_state) if consent_state else None
+        if current is None:
+            current = A.consents(spark, sf_dir)  # static snapshot of the log, refreshed every micro-batch
         return logs.consent_gate(batch, current, scope)
 
     return read_sink(spark, run_foreach_batch(spark, req, "consent_gate", gate)).drop("batch_id")
