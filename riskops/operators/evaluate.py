@@ -415,9 +415,15 @@ def bootstrap_auc_diff(df: DataFrame, id_col: str = "prediction_id", score_a: st
                        label: str = "y", n_boot: int = 200, positive=1, seed: str = "boot") -> DataFrame:
     """Paired bootstrap of AUC(a) - AUC(b) with the same replicate weights for both."""
     w = bootstrap_weights(df.select(id_col, score_a, score_b, label), id_col, n_boot, seed)
-    a = _auc_per_rep(w, score_a, label, positive).select("rep", F.col("roc_auc").alias("auc_a"))
-    b = _auc_per_rep(w, score_b, label, positive).select("rep", F.col("roc_auc").alias("auc_b"))
-    d = a.join(b, "rep").where(F.col("auc_a").isNotNull() & F.col("auc_b").isNotNull()) \
+    # both scores ride on the same replicate rows: one explode, one exact-AUC pass grouped by
+    # (replicate, which score), then the pair per replicate
+    both = w.select("rep", "mult", label, F.inline(F.array(
+        F.struct(F.lit("a").alias("which"), F.col(score_a).cast("double").alias("_s")),
+        F.struct(F.lit("b").alias("which"), F.col(score_b).cast("double").alias("_s")))))
+    auc = roc_auc(both, "_s", label, ["rep", "which"], positive, weight="mult")
+    per = auc.groupBy("rep").agg(F.max(F.when(F.col("which") == "a", F.col("roc_auc"))).alias("auc_a"),
+                                 F.max(F.when(F.col("which") == "b", F.col("roc_auc"))).alias("auc_b"))
+    d = per.where(F.col("auc_a").isNotNull() & F.col("auc_b").isNotNull()) \
         .select((F.col("auc_a") - F.col("auc_b")).alias("d"))
     agg = d.agg(
         F.avg("d").alias("auc_diff_mean"),
