@@ -22,7 +22,8 @@ PY_SPACE = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-
             "\\x{202F}\\x{205F}\\x{3000}]+")
 # Tokens of the default TfidfVectorizer pattern (two or more word characters), portable spelling.
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
-SCORE_DECIMALS = 9  # ranking is done on scores rounded here, so float noise cannot reorder exact ties
+SCORE_DECIMALS = 9
+CHUNK_SENTINEL = ""  # per-chunk marker term in the statistics pass (no token or bigram is empty)  # ranking is done on scores rounded here, so float noise cannot reorder exact ties
 BROADCAST_QUERY_TERMS = 250_000  # (query_id, term, weight) rows: about 15 MB broadcast at most
 
 
@@ -87,20 +88,25 @@ def tfidf_index(chunks: DataFrame, max_features: int = 12000) -> tuple[DataFrame
     keys = ["source", "chunk_id"]
     tok = chunks.select(*keys, tokens(F.col("text")).alias("_toks"))
     t = tok.select(*keys, F.concat(F.col("_toks"), bigrams_of(F.col("_toks"))).alias("_terms"))
-    n_chunks = chunks.count()
     # one explode feeds both statistics: every occurrence counts 1 to cnt, each chunk's
-    # distinct terms count 1 to df
+    # distinct terms count 1 to df, and every chunk adds the sentinel term "" (never a token
+    # or a bigram) to df, so df("") is the number of chunks without a separate pass
     occ = F.transform("_terms", lambda x: F.struct(x.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
     first = F.transform(F.array_distinct("_terms"),
                         lambda x: F.struct(x.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    stats = t.select(F.inline(F.concat(occ, first))).groupBy("term") \
+    sentinel = F.array(F.struct(F.lit(CHUNK_SENTINEL).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
+    stats = t.select(F.inline(F.concat(occ, first, sentinel))).groupBy("term") \
         .agg(F.sum("c").cast("long").alias("cnt"), F.sum("d").cast("long").alias("df"))
-    vocab = stats.orderBy(F.col("cnt").desc(), F.col("term").asc()).limit(max_features).select(
+    # the sentinel sorts first, then the max_features most frequent terms (ties: term ascending);
+    # these at most max_features + 1 rows are written once to the shared checkpoint folder, so the
+    # postings, the query vectors and the broadcast size check all read them instead of
+    # re-deriving them from the whole corpus
+    top = stats.orderBy((F.col("term") == CHUNK_SENTINEL).desc(), F.col("cnt").desc(), F.col("term").asc()) \
+        .limit(max_features + 1).checkpoint(eager=True)
+    n_row = top.where(F.col("term") == CHUNK_SENTINEL).select("df").first()
+    n_chunks = int(n_row["df"]) if n_row else 0
+    vocab = top.where(F.col("term") != CHUNK_SENTINEL).select(
         "term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    # at most max_features rows: written once to the shared checkpoint folder, so the postings,
-    # the query vectors and the broadcast size check all read it instead of re-deriving it from
-    # the whole corpus
-    vocab = vocab.checkpoint(eager=True)
     hits = t.select(*keys, F.explode("_terms").alias("term")).join(F.broadcast(vocab.select("term", "idf")), "term")
     tc = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     p = tc.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
