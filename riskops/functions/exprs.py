@@ -87,8 +87,12 @@ def array_join(c, sep: str = " | ") -> Column:
 def spread(df, min_partitions: int | None = None):
     """Round-robin an under-partitioned input (e.g. one large file = one split) across the
     cluster before CPU-heavy per-row work; a no-op when it already has enough splits."""
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        sc = df.sparkSession.sparkContext
+        target = min_partitions or sc.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no partition count on this session type (e.g. a remote client): leave as is
+        return df
+    if parts < target:
         return df.repartition(target)
     return df
