@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, simhash, topk
+from . import chat, mixing, packing, quality, simhash, topk
 from .common import table
 
 
@@ -31,13 +31,17 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op10_best_fit_packing)
+    for f in (op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op8_quality_rules, op10_best_fit_packing)
 }
 
 #: DuckDB twins of the queries that SQL can express.
