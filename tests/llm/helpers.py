@@ -5,8 +5,12 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 
 def docs(spark, rows, schema=DOC_SCHEMA):
     """Rows (doc_id, text, lang, source) with extra columns whose names clash with internal ones."""
+    import tempfile
+
     full = [(i, t, lang, src, len(t) if t is not None else None, 7, "x", None) for i, t, lang, src in rows]
-    return spark.createDataFrame(full, schema)
+    path = tempfile.mkdtemp(prefix="riskops-docs-") + "/docs"  # a table, as a list of rows would be folded into the plan
+    spark.createDataFrame(full, schema).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def words(n, seed=0):
