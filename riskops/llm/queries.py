@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, topk
+from . import chat, mixing, packing, pii, quality, simhash, topk
 from .common import table
 
 
+def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -41,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op8_quality_rules, op10_best_fit_packing)
+    for f in (op1_pii_sanitisation, op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op8_quality_rules, op10_best_fit_packing)
 }
 
 #: DuckDB twins of the queries that SQL can express.
