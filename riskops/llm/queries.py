@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pii, quality, simhash, topk
+from . import chat, mixing, packing, pii, quality, simhash, suffix, topk
 from .common import table
 
 
@@ -39,13 +39,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_sanitisation, op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op8_quality_rules, op10_best_fit_packing)
+    for f in (op1_pii_sanitisation, op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op8_quality_rules, op9_suffix_dedup, op10_best_fit_packing)
 }
 
 #: DuckDB twins of the queries that SQL can express.
