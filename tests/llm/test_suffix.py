@@ -49,7 +49,7 @@ def shared_corpus():
     return hostile(rows)
 
 
-@pytest.mark.parametrize("batch,shard", [(8 << 20, 4 << 20), (3000, 700)])
+@pytest.mark.parametrize("batch,shard", [(2 << 20, 4 << 20), (3000, 700)])
 def test_equals_brute_force(spark, monkeypatch, batch, shard):
     monkeypatch.setattr(suffix, "BATCH_BYTES", batch)
     monkeypatch.setattr(suffix.least_documents, "__defaults__", (50, shard))
