@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pii, quality, simhash, suffix, topk
+from . import chat, html, mixing, packing, pii, quality, simhash, suffix, topk, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -26,6 +30,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -49,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_sanitisation, op3_chat_formatting, op4_simhash_near_dedup, op6_source_mixing, op7_exact_topk, op8_quality_rules, op9_suffix_dedup, op10_best_fit_packing)
+    for f in (op1_pii_sanitisation, op2_toxicity, op3_chat_formatting, op4_simhash_near_dedup, op5_html_extraction, op6_source_mixing, op7_exact_topk, op8_quality_rules, op9_suffix_dedup, op10_best_fit_packing)
 }
 
 #: DuckDB twins of the queries that SQL can express.
