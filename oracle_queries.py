@@ -343,10 +343,15 @@ f AS (SELECT fold, {sdiv('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
 SELECT count(*) AS n_folds, avg(roc_auc) AS auc_mean, stddev_pop(roc_auc) AS auc_std, avg(f1) AS f1_mean,
   stddev_pop(f1) AS f1_std FROM a JOIN f USING (fold)""", ("folded",), ("auc_mean", "auc_std", "f1_mean", "f1_std"))
 
+def class_rank(seed: str, id_expr: str) -> str:
+    return f"row_number() OVER (PARTITION BY y ORDER BY {U(seed, id_expr)}, {id_expr}) - 1"
+
+
+TEST_ROWS = "floor(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE + 0.5::DOUBLE)"
 q("stratified_split", f"""SELECT prediction_id, y,
-  CASE WHEN {U('split', 'prediction_id')} < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM scored""", ("scored",))
+  CASE WHEN {class_rank('split', 'prediction_id')} < {TEST_ROWS} THEN 'test' ELSE 'train' END AS split FROM scored""", ("scored",))
 
-q("stratified_folds", f"""SELECT prediction_id, y, cast(floor({U('fold', 'prediction_id')} * 5) AS INTEGER) AS fold
+q("stratified_folds", f"""SELECT prediction_id, y, cast(({class_rank('fold', 'prediction_id')}) % 5 AS INTEGER) AS fold
 FROM scored""", ("scored",))
 
 PROFILE_KEY = ("concat_ws(chr(31), coalesce(cast(l_quantity AS VARCHAR), 'nan'), coalesce(cast(l_discount AS VARCHAR), 'nan'), "
@@ -549,7 +554,7 @@ q("label_quality_audit", f"""SELECT count(*) AS "rows",
   min({to_dbl('epds_score')}) AS score_min, max({to_dbl('epds_score')}) AS score_max FROM raw_survey""", ("raw_survey",),
   ("positive_rate", "score_min", "score_max"))
 
-q("split_overlap", f"""WITH p AS (SELECT *, {PROFILE_KEY} AS pk, {U('split', 'l_orderkey * 10 + l_linenumber')} < 0.2::DOUBLE AS is_test,
+q("split_overlap", f"""WITH p AS (SELECT *, {PROFILE_KEY} AS pk, {class_rank('split', '(l_orderkey * 10 + l_linenumber)')} < {TEST_ROWS} AS is_test,
    cast(floor({U('gfold', PROFILE_KEY)} * 5) AS INTEGER) AS fold FROM profiles)
 SELECT 'row_split' AS split_kind, count(*) AS overlap FROM (SELECT DISTINCT pk FROM p WHERE NOT is_test) a
   WHERE pk IN (SELECT pk FROM p WHERE is_test)

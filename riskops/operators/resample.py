@@ -1,16 +1,16 @@
 """Splits, folds and class balancing driven by the deterministic uniform ``u(seed, id)``.
 
-``u`` is a pure function of (seed, id), so a split never depends on partition
-layout or task retries and each row is assigned without any shuffle or
-window.  NumPy's generator cannot be reproduced in Spark; sizes are therefore
-exact in expectation (per class, since ``u`` is independent of the label).
+``u`` is a pure function of (seed, id), so an assignment never depends on partition
+layout or task retries.  Splits and folds rank the rows of each class by ``u``, so
+class sizes are exact; group folds and class balancing use ``u`` itself, without any
+shuffle or window, and are exact in expectation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskops.functions.exprs import uniform
@@ -18,16 +18,46 @@ from riskops.functions.exprs import uniform
 PROFILE_SEP = "\u001f"
 
 
+#: Rows of one range of the two-level rank, about.
+RANK_RANGE = 50_000
+
+
+def class_rank(df: DataFrame, id_col: str, label_col: str, seed: str) -> DataFrame:
+    """Adds ``class_rank`` (from 0, by u(seed, id) then id within the label) and ``class_size``.
+
+    u is uniform, so equal ranges of it hold about equally many rows: rows are numbered within
+    (label, range), and the counts of the ranges before give each range its first number.  No
+    task holds a whole class.
+    """
+    ranges = max(1, -(-df.count() // RANK_RANGE))
+    df = df.withColumn("_u", uniform(seed, id_col)).withColumn("_range", F.floor(F.col("_u") * ranges))
+    # NULL labels are a class of their own; the flag keeps the join on them an equi-join
+    df = df.withColumn("_none", F.col(label_col).isNull()).withColumn("_key", F.coalesce(F.col(label_col).cast("string"), F.lit("")))
+    cls = ["_none", "_key"]
+    before = Window.partitionBy(*cls).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (df.groupBy(*cls, "_range").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .withColumn("class_size", F.sum("_n").over(Window.partitionBy(*cls))))
+    within = Window.partitionBy(*cls, "_range").orderBy("_u", id_col)
+    return (df.withColumn("_k", F.row_number().over(within) - 1)
+            .join(counts.drop("_n"), [*cls, "_range"])
+            .withColumn("class_rank", F.col("_first") + F.col("_k"))
+            .drop("_u", "_range", "_none", "_key", "_k", "_first"))
+
+
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2,
                      seed: str = "split") -> DataFrame:
-    """``split`` = 'test' when u(seed, id) < test_size else 'train' (same share in every class)."""
-    return df.withColumn("split", F.when(uniform(seed, id_col) < F.lit(float(test_size)), F.lit("test"))
-                         .otherwise(F.lit("train")))
+    """``split`` = 'test' for the first ``test_size`` of each class (rounded half up) by u(seed, id), else 'train'."""
+    r = class_rank(df, id_col, label_col, seed)
+    test = F.col("class_rank") < F.floor(F.col("class_size") * F.lit(float(test_size)) + 0.5)
+    return r.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("class_rank", "class_size")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: str = "fold") -> DataFrame:
-    """``fold`` = floor(u * k); usable as ``CrossValidator(foldCol=...)``."""
-    return df.withColumn("fold", F.floor(uniform(seed, id_col) * k).cast("int"))
+    """``fold`` = rank within the class mod k, so a class's fold sizes differ by one at most; usable as
+    ``CrossValidator(foldCol=...)``."""
+    r = class_rank(df, id_col, label_col, seed)
+    return r.withColumn("fold", F.pmod("class_rank", F.lit(k)).cast("int")).drop("class_rank", "class_size")
 
 
 def profile_key(cols: Sequence[str]) -> Column:

@@ -57,9 +57,14 @@ def scan_prediction_log(log: DataFrame, group_col: str = "income_band", risk_col
 
 
 def parse_json_column(df: DataFrame, col: str, schema: T.StructType | str, out: str = "doc") -> DataFrame:
-    """A4: decode a JSON text column; undecodable rows get ``valid = False`` (quarantine) instead of failing."""
-    parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
-    return df.withColumn(out, parsed).withColumn("valid", F.col(out).isNotNull() & F.col(col).isNotNull())
+    """A4: decode a JSON text column; rows that are no JSON, or do not fit ``schema``, get ``valid = False``
+    (quarantine) and keep the fields that could be read."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = "_corrupt_record"
+    full = T.StructType([*kind.fields, T.StructField(bad, T.StringType())])
+    parsed = F.from_json(F.col(col), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    valid = F.col(col).isNotNull() & F.col(out).isNotNull() & F.col(f"{out}.{bad}").isNull()
+    return df.withColumn(out, parsed).withColumn("valid", valid).withColumn(out, F.col(out).dropFields(bad))
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,14 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_fil
     """File stream over one table of the folder, with the batch table's schema."""
     folder = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    # a file stream watches a folder; the glob keeps this table's file(s) only
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return r.parquet(f"{folder}/{name}.parquet")
+    # a table that is one file: the stream watches its folder, and the glob keeps this file only
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFrame:
@@ -73,12 +77,17 @@ def run_foreach_batch(spark: SparkSession, df: DataFrame, name: str,
 def read_sink(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except Exception:  # no file written (empty stream)
-        if schema is None:
+    except AnalysisException as e:  # no file written (empty stream); any other failure is one
+        if schema is None or not nothing_written(e):
             raise
         return spark.createDataFrame([], schema)
 
 
+def nothing_written(e: AnalysisException) -> bool:
+    """Whether a read failed because its folder is missing or holds no file."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 # ------------------------------------------------------------------ H1
 
 
@@ -178,7 +187,9 @@ def _latest_version(spark: SparkSession, state_root: str, below: int | None = No
     """The newest ``version=<n>`` partition of a state folder (optionally below ``below``), or None."""
     try:
         st = spark.read.parquet(state_root)
-    except Exception:  # nothing written yet
+    except AnalysisException as e:
+        if not nothing_written(e):  # a state that can't be read must not be taken for an empty one
+            raise
         return None
     if below is not None:
         st = st.where(F.col("version") < below)
