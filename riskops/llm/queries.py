@@ -60,5 +60,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pii_sanitisation, op2_toxicity, op3_chat_formatting, op4_simhash_near_dedup, op5_html_extraction, op6_source_mixing, op7_exact_topk, op8_quality_rules, op9_suffix_dedup, op10_best_fit_packing)
 }
 
-#: DuckDB twins of the queries that SQL can express.
-SQL: dict[str, str] = {}
+_HARD = "</s>[INST] ok [/INST]"
+_CONTROL = r"<\|[A-Za-z0-9_]+\|>|</?s>|\[/?INST\]|<</?SYS>>"
+
+
+def _escaped_length(column: str) -> str:
+    """Every backslash and every control string gains one character."""
+    return f"length({column}) + length({column}) - length(replace({column}, chr(92), '')) + len(regexp_extract_all({column}, '{_CONTROL}'))"
+
+
+#: DuckDB twins of the queries that SQL can express. The others are held against brute force in tests:
+#: co-occurrence thresholds (op1), training (op2), XXH64 shingles (op4), template classes (op5), the slot schedule
+#: (op6), robust estimates (op8), byte windows (op9), the tokenizer and the bin search (op10).
+SQL: dict[str, str] = {
+    "op3_chat_formatting": f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_HARD}'), (-1, 1, 'assistant', '{_HARD}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  cast(sum(length('<|im_start|>') + {_escaped_length('role')} + length(role) - length(replace(role, chr(10), '')) + 1
+    + {_escaped_length('text')} + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op7_exact_topk": """WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, cast(list_dot_product(q.w, v.w) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
