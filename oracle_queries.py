@@ -438,6 +438,18 @@ q("validate_inputs", """SELECT message_id,
   NOT (message IS NULL OR length(message) < 3 OR length(message) > 5000) AS valid FROM messages""", ("messages",))
 
 
+_REQUEST = {  # column: (shift, low, high)
+    "gestational_weeks": ("+ k % 5 - 1", 1, 42), "sleep_quality": ("+ k % 3", 0, 10), "appetite": ("- k % 2", 0, 10),
+    "fatigue": ("+ k % 4", 0, 10), "financial_stress": ("+ k % 2", 0, 10), "age": ("+ k % 20 - 5", 12, 55),
+    "self_harm": ("+ k % 7", 0, 5),
+}
+_REASON = "CASE " + " ".join(
+    f"WHEN {c} {d} IS NULL THEN '{c} missing' WHEN {c} {d} < {lo} OR {c} {d} > {hi} THEN '{c} out of range [{lo}, {hi}]'"
+    for c, (d, lo, hi) in _REQUEST.items()) + " END"
+q("validate_requests", f"SELECT prediction_id, {_REASON} IS NULL AS valid, {_REASON} AS reject_reason FROM assessments",
+  ("assessments",))
+
+
 def bround0(x):
     return f"round_even({x}, 0)"
 

@@ -235,6 +235,19 @@ def q_validate_inputs(spark, sf_dir):
     return finish(C.validate_inputs(m, bounds={}, text_col="message").select("message_id", "valid", "reject_reason"))
 
 
+@register("validate_requests")
+def q_validate_requests(spark, sf_dir):
+    """B10 with all bounds on; the shifts take some values of each column out of its range."""
+    k = F.col("k")
+    a = A.assessments(spark, sf_dir).withColumns({
+        "age": F.col("age") + k % 20 - 5, "gestational_weeks": F.col("gestational_weeks") + k % 5 - 1,
+        "sleep_quality": F.col("sleep_quality") + k % 3, "appetite": F.col("appetite") - k % 2,
+        "fatigue": F.col("fatigue") + k % 4, "financial_stress": F.col("financial_stress") + k % 2,
+        "self_harm": F.col("self_harm") + k % 7,
+    })
+    return finish(C.validate_inputs(a).select("prediction_id", "valid", "reject_reason"))
+
+
 @register("map_features")
 def q_map_features(spark, sf_dir):
     a = A.assessments(spark, sf_dir)
