@@ -160,6 +160,33 @@ def _anchored_tokens(q: Column) -> Column:
     return F.regexp_extract_all(q, F.lit(f"(?<={nw})({w}{{2,}})(?={nw})"), 1)
 
 
+_RUN, _NOT_RUN = "[\\p{L}\\p{N}_]+", "[^\\p{L}\\p{N}_]"
+
+
+def _unanchored_candidates(q: DataFrame, d: DataFrame, id_col: str) -> DataFrame:
+    """(query, source) candidates for queries whose words may be parts of longer words.
+
+    A document that contains the query has a word that contains the query's longest word, so
+    that is looked up among the *different* words of the corpus first, by its first (up to)
+    three letters in an index of all letter groups of those words.  A query without words is
+    keyed on its first character.
+    """
+    words = d.select("source", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(_RUN), 0))).alias("word"))
+    runs = F.transform(F.regexp_extract_all("q", F.lit(_RUN), 0), lambda r: F.struct(F.length(r).alias("n"), r.alias("part")))
+    q = q.where(F.length("q") > 0).withColumn("part", F.array_max(runs)["part"])
+
+    def groups(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("word"))
+        return F.filter(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(n))), lambda g: F.length(g) == n)
+
+    index = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(groups(1), groups(2), groups(3)))).alias("key"))
+    asked = q.where("part is not null").select(id_col, "part", F.substring("part", 1, 3).alias("key"))
+    found = asked.join(index, "key").where(F.contains("word", "part")).select(id_col, "word")
+    signs = d.select("source", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(_NOT_RUN), 0))).alias("key"))
+    bare = q.where("part is null").select(id_col, F.substring("q", 1, 1).alias("key"))
+    return words.join(found, "word").select(id_col, "source").union(signs.join(bare, "key").select(id_col, "source")).distinct()
+
+
 def rag_lexical(queries: DataFrame, docs: DataFrame, k: int = 3, id_col: str = "query_id", text_col: str = "query",
                 source_col: str = "source", doc_text_col: str = "text") -> DataFrame:
     """Number of whole-query occurrences in each document (case-insensitive), top-k.
@@ -169,13 +196,11 @@ def rag_lexical(queries: DataFrame, docs: DataFrame, k: int = 3, id_col: str = "
     anchored token as a whole token), so frequent words never fan a query out
     to the whole corpus and no query x document pairs are formed; the exact
     substring count then runs on the candidates only.  A query without
-    anchored tokens (one or two bare words) is keyed on its tokens as whole
-    words.  Documents with a zero count are not returned.
+    anchored tokens (one or two bare words, or signs alone) is looked up among
+    the corpus's different words.  Documents with a zero count are not
+    returned, nor is anything for an empty query.
     """
-    q = queries.select(id_col, F.lower(F.col(text_col)).alias("q"))
-    anch = _anchored_tokens(F.col("q"))
-    q = q.withColumn("_keys", F.array_distinct(F.when(F.size(anch) > 0, anch)
-                                               .otherwise(F.regexp_extract_all(F.col("q"), F.lit(TOKEN_PATTERN), 0))))
+    q = queries.select(id_col, F.lower(F.col(text_col)).alias("q")).withColumn("_keys", F.array_distinct(_anchored_tokens(F.col("q"))))
     d = spread(docs).select(F.col(source_col).alias("source"), F.lower(F.col(doc_text_col)).alias("t"))
     dt = d.select("source", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TOKEN_PATTERN), 0))).alias("tok"))
     tok_df = dt.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
@@ -185,6 +210,7 @@ def rag_lexical(queries: DataFrame, docs: DataFrame, k: int = 3, id_col: str = "
         F.min(F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), F.col("tok"))).alias("_best"))
     keys = present.where(F.col("_best.df") > 0).select(id_col, F.col("_best.tok").alias("tok"))
     cand = dt.join(keys, "tok").select(id_col, "source")
+    cand = cand.union(_unanchored_candidates(q.where(F.size("_keys") == 0).select(id_col, "q"), d, id_col))
     full = cand.join(q.select(id_col, "q"), id_col).join(d, "source")
     cnt = ((F.length("t") - F.length(F.replace(F.col("t"), F.col("q"), F.lit("")))) / F.length("q")).cast("long")
     scored = full.select(id_col, "source", cnt.alias("score")).where(F.col("score") > 0)

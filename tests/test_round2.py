@@ -2,7 +2,7 @@
 
 import pytest
 
-from riskops.operators import resample
+from riskops.operators import resample, retrieval
 from riskops.sources import scans
 from riskops.streaming import jobs
 
@@ -41,3 +41,13 @@ def test_unreadable_state_fails(spark, tmp_path):
     with pytest.raises(Exception):
         jobs._latest_version(spark, str(tmp_path))
     assert jobs._latest_version(spark, str(tmp_path / "none")) is None
+
+
+def test_lexical_search_finds_short_queries(spark):
+    docs = {"a": "Concatenate the catalog, cat!", "b": "a bobcat saturday", "c": "no match *** here", "d": "", "e": "cat sat. CAT SAT", "f": None}
+    queries = ["cat", "cat sat", "***", "*", " ", "", "x", "c", "at s", "the catalog, cat", "atalo", "zz", "é", "! ", None]
+    d = spark.createDataFrame(list(docs.items()), "source string, text string")
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    got = {(r.query_id, r.source): r.score for r in retrieval.rag_lexical(q, d, k=10).collect()}
+    want = {(i, s): n for i, x in enumerate(queries) if x for s, t in docs.items() if t and (n := t.lower().count(x))}
+    assert got == want
