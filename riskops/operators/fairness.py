@@ -156,8 +156,8 @@ def weighted_rates(df: DataFrame, group_col: str, label_col: str, weights: DataF
     if weights is None:
         w = base.withColumn("w", F.lit(1.0))
     else:
-        # the weight table has (#groups x #labels) rows: tiny and bounded
-        w = base.join(F.broadcast(weights.select("group", "label", F.col("weight").alias("w"))), ["group", "label"])
+        # one row per group and label: Spark broadcasts it where its size allows
+        w = base.join(weights.select("group", "label", F.col("weight").alias("w")), ["group", "label"])
     return w.groupBy("group").agg(
         (F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("positive_rate"))
 

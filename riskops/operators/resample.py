@@ -118,6 +118,6 @@ def class_weights(df: DataFrame, label_col: str, positive=1) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label_col: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight per row (broadcast join of the per-class table)."""
+    """Attach the balanced weight per row (join with the per-class table, broadcast where its size allows)."""
     w = class_weights(df, label_col).select(F.col("label").alias(label_col), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label_col)
+    return df.join(w, label_col)

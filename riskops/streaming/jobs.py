@@ -24,6 +24,7 @@ from riskops.operators import fairness, logs, risk
 from riskops.session import scratch_path
 from riskops.sources import adapters as A
 
+#: How late an event may be by default: rows later than this are dropped by H2, H3 and H5.
 WATERMARK = "1 hour"
 
 
@@ -103,14 +104,15 @@ def stream_risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ H2
 
 
-def stream_timeline(spark: SparkSession, sf_dir: str, duplicates: int = 2) -> DataFrame:
+def stream_timeline(spark: SparkSession, sf_dir: str, duplicates: int = 2,
+                    watermark: str = WATERMARK) -> DataFrame:
     """H2: at-least-once input (the source replayed ``duplicates`` times) -> one timeline point per prediction."""
     streams = [with_event_time(risk.score_requests(A.assessments_from(event_stream(spark, sf_dir))))
                for _ in range(duplicates)]
     s = streams[0]
     for o in streams[1:]:
         s = s.unionByName(o)
-    pts = (s.withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["prediction_id"])
+    pts = (s.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["prediction_id"])
            .select("patient_id", "prediction_id", "ts", "gestational_weeks", "risk_percent"))
     return read_sink(spark, run_to_sink(spark, pts, "timeline"))
 
@@ -118,11 +120,12 @@ def stream_timeline(spark: SparkSession, sf_dir: str, duplicates: int = 2) -> Da
 # ------------------------------------------------------------------ H3
 
 
-def stream_fairness_daily(spark: SparkSession, sf_dir: str, threshold: float = 60.0) -> DataFrame:
+def stream_fairness_daily(spark: SparkSession, sf_dir: str, threshold: float = 60.0,
+                          watermark: str = WATERMARK) -> DataFrame:
     """H3: per day and group, the share with risk >= threshold (tumbling window, watermark, append);
     then DI per closed day.  Rows later than the watermark are dropped, as a monitor must."""
     s = with_event_time(risk.score_requests(A.assessments_from(event_stream(spark, sf_dir))))
-    g = (s.withWatermark("event_time", WATERMARK)
+    g = (s.withWatermark("event_time", watermark)
          .groupBy(F.window("event_time", "1 day").alias("w"), fairness.group_col_expr("income_band").alias("group"))
          .agg(F.count(F.lit(1)).alias("total"),
               F.sum(F.when(F.col("risk_percent") >= threshold, 1).otherwise(0)).alias("positives"))
@@ -165,13 +168,14 @@ def stream_consent_gate(spark: SparkSession, sf_dir: str, scope: str = "risk_sco
 # ------------------------------------------------------------------ H5
 
 
-def stream_feedback_join(spark: SparkSession, sf_dir: str, within_days: int = 14) -> DataFrame:
+def stream_feedback_join(spark: SparkSession, sf_dir: str, within_days: int = 14,
+                         watermark: str = WATERMARK) -> DataFrame:
     """H5: stream-stream inner join of feedback to its prediction within ``within_days`` of it."""
     p = with_event_time(A.assessments_from(event_stream(spark, sf_dir)), "ts", "p_time") \
-        .select("prediction_id", "patient_id", "p_time").withWatermark("p_time", WATERMARK)
+        .select("prediction_id", "patient_id", "p_time").withWatermark("p_time", watermark)
     f = with_event_time(A.feedback_from(event_stream(spark, sf_dir)), "ts", "f_time") \
         .select(F.col("prediction_id").alias("f_prediction_id"), "clinician_label", "f_time") \
-        .withWatermark("f_time", WATERMARK)
+        .withWatermark("f_time", watermark)
     cond = (F.col("prediction_id") == F.col("f_prediction_id")) & (F.col("f_time") >= F.col("p_time")) & \
         (F.col("f_time") <= F.col("p_time") + F.expr(f"INTERVAL {int(within_days)} DAYS"))
     j = p.join(f, cond, "inner").select("prediction_id", "patient_id", "clinician_label",
