@@ -17,6 +17,7 @@ affects balance.  Equal ordering values always land in the same bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -45,7 +46,8 @@ def _edges(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     qs = row["q"] if row is not None else None
     if not qs:
         return []
-    return sorted({float(q) for q in qs if q is not None})
+    # infinite and NaN values fall into the outer buckets, which Bucketizer has anyway
+    return sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
 
 
 def add_bucket(df: DataFrame, col: str, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:

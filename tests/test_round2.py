@@ -2,7 +2,7 @@
 
 import pytest
 
-from riskops.operators import resample, retrieval
+from riskops.operators import evaluate, resample, retrieval
 from riskops.sources import scans
 from riskops.streaming import jobs
 
@@ -51,3 +51,9 @@ def test_lexical_search_finds_short_queries(spark):
     got = {(r.query_id, r.source): r.score for r in retrieval.rag_lexical(q, d, k=10).collect()}
     want = {(i, s): n for i, x in enumerate(queries) if x for s, t in docs.items() if t and (n := t.lower().count(x))}
     assert got == want
+
+
+def test_infinite_and_nan_scores_rank_at_the_ends(spark):
+    rows = [(0, float("-inf")), (0, 0.1), (1, 0.4), (0, 0.3), (1, float("inf")), (1, float("nan"))] * 40
+    df = spark.createDataFrame(rows, "y int, p double")
+    assert evaluate.roc_auc(df, "p", "y").first().roc_auc == 1.0
