@@ -309,20 +309,25 @@ def _mult_sql(u: str) -> str:
 
 
 def boot_src(n_boot: int, cols: str) -> str:
-    u = ("(cast(cast('0x' || substr(md5(concat('boot:', cast(rep AS VARCHAR), '|', cast(prediction_id AS VARCHAR))), 1, 8)"
-         " AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE)")
-    return f"""(SELECT * FROM (SELECT {cols}, rep, {_mult_sql(u)} AS mult
-   FROM scored, (SELECT cast(range AS INTEGER) AS rep FROM range({n_boot})) r) x WHERE mult > 0)"""
+    """Rows times replicates with Poisson weights: a quadratic hash polynomial modulo 2^31 - 1 for each replicate."""
+    def part(text: str, at: int) -> str:
+        return f"cast('0x' || substr(md5({text}), {at}, 8) AS BIGINT) % 2147483647"
+    rep = "concat('boot:', cast(range AS VARCHAR))"
+    g = "((a * h + b) % 2147483647 * h + c) % 2147483647"
+    return f"""(SELECT * FROM (SELECT {cols}, rep, {_mult_sql(f'(cast({g} AS DOUBLE) / 2147483647::DOUBLE)')} AS mult
+   FROM (SELECT *, {part("concat('boot|', cast(prediction_id AS VARCHAR))", 1)} AS h FROM scored) s,
+     (SELECT cast(range AS INTEGER) AS rep, {part(rep, 1)} AS a, {part(rep, 9)} AS b, {part(rep, 17)} AS c FROM range({n_boot})) r) x
+   WHERE mult > 0)"""
 
 
 q("bootstrap_auc_ci", f"""
 SELECT avg(roc_auc) AS auc, quantile_cont(roc_auc, 0.025::DOUBLE) AS ci_lower,
   quantile_cont(roc_auc, 0.975::DOUBLE) AS ci_upper, stddev_pop(roc_auc) AS se, count(*) AS n_bootstraps
-FROM ({auc_sql('p', 'rep', 'cast(mult AS DOUBLE)', boot_src(50, 'prediction_id, p, y'))}) a WHERE roc_auc IS NOT NULL""",
+FROM ({auc_sql('p', 'rep', 'cast(mult AS DOUBLE)', boot_src(1000, 'prediction_id, p, y'))}) a WHERE roc_auc IS NOT NULL""",
   ("scored",), ("auc", "ci_lower", "ci_upper", "se"))
 
 q("bootstrap_auc_diff", f"""
-WITH b AS {boot_src(50, 'prediction_id, p, p2, y')},
+WITH b AS {boot_src(2000, 'prediction_id, p, p2, y')},
 a1 AS ({auc_sql('p', 'rep', 'cast(mult AS DOUBLE)', 'b')}),
 a2 AS ({auc_sql('p2', 'rep', 'cast(mult AS DOUBLE)', 'b')}),
 d AS (SELECT a1.roc_auc - a2.roc_auc AS d FROM a1 JOIN a2 USING (rep)
@@ -358,8 +363,13 @@ PROFILE_KEY = ("concat_ws(chr(31), coalesce(cast(l_quantity AS VARCHAR), 'nan'),
                "coalesce(cast(l_tax AS VARCHAR), 'nan'), coalesce(cast(l_returnflag AS VARCHAR), 'nan'), "
                "coalesce(cast(l_linestatus AS VARCHAR), 'nan'))")
 
-q("group_folds", f"""SELECT l_orderkey, l_linenumber, cast(floor({U('gfold', PROFILE_KEY)} * 5) AS INTEGER) AS fold
-FROM profiles""", ("profiles",))
+#: Profiles sorted by positives and other rows, dealt out in turn.
+PROFILE_FOLDS = f"""SELECT pk, cast((row_number() OVER (ORDER BY n_pos, n_neg, {U('gfold', 'pk')}, pk) - 1) % 5 AS INTEGER) AS fold
+  FROM (SELECT {PROFILE_KEY} AS pk, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS n_neg
+    FROM profiles GROUP BY 1) g"""
+
+q("group_folds", f"""SELECT l_orderkey, l_linenumber, fold FROM (SELECT *, {PROFILE_KEY} AS pk FROM profiles) p
+JOIN ({PROFILE_FOLDS}) f USING (pk)""", ("profiles",))
 
 
 # ------------------------------------------------------------------ coercion / harmonisation / features
@@ -566,8 +576,8 @@ q("label_quality_audit", f"""SELECT count(*) AS "rows",
   min({to_dbl('epds_score')}) AS score_min, max({to_dbl('epds_score')}) AS score_max FROM raw_survey""", ("raw_survey",),
   ("positive_rate", "score_min", "score_max"))
 
-q("split_overlap", f"""WITH p AS (SELECT *, {PROFILE_KEY} AS pk, {class_rank('split', '(l_orderkey * 10 + l_linenumber)')} < {TEST_ROWS} AS is_test,
-   cast(floor({U('gfold', PROFILE_KEY)} * 5) AS INTEGER) AS fold FROM profiles)
+q("split_overlap", f"""WITH p AS (SELECT *, {class_rank('split', '(l_orderkey * 10 + l_linenumber)')} < {TEST_ROWS} AS is_test
+  FROM (SELECT *, {PROFILE_KEY} AS pk FROM profiles) k JOIN ({PROFILE_FOLDS}) f USING (pk))
 SELECT 'row_split' AS split_kind, count(*) AS overlap FROM (SELECT DISTINCT pk FROM p WHERE NOT is_test) a
   WHERE pk IN (SELECT pk FROM p WHERE is_test)
 UNION ALL SELECT 'group_split', count(*) FROM (SELECT DISTINCT pk FROM p WHERE fold <> 0) a
@@ -901,6 +911,35 @@ FROM benchmark b LEFT JOIN (
   ("topk",))
 
 
+# the whole way: each different guidance query against the index, then the lexical count for those without hits
+q("chat_assess", f"""WITH g AS (SELECT gq.*, t.risk_factors FROM ({_guid()}) gq JOIN triaged t USING (message_id)),
+qs AS (SELECT DISTINCT guidance_query AS query_id, replace(risk_factors, ' | ', ', ') AS drivers FROM g WHERE guidance_query IS NOT NULL),
+gv AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM (
+  SELECT query_id, term, tf * idf AS w FROM (
+    SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({_terms('query_id')}) AS term FROM qs) x
+    GROUP BY query_id, term) t JOIN vocab USING (term)) p),
+best AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source DESC, chunk_id DESC) AS rank FROM (
+    SELECT v.query_id, p.source, p.chunk_id, sum(p.weight * v.weight) AS score FROM postings p JOIN gv v USING (term)
+    GROUP BY v.query_id, p.source, p.chunk_id) s WHERE score > 0) r WHERE rank <= 3),
+lexical AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source ASC) AS rank FROM (
+    SELECT query_id, source, text, (length(lower(text)) - length(replace(lower(text), lower(query_id), ''))) // length(query_id) AS score
+    FROM qs, guidelines WHERE query_id NOT IN (SELECT query_id FROM best)) s WHERE score > 0) r WHERE rank <= 3),
+hits AS (SELECT b.query_id, b.rank, c.text, concat(b.source, ' (score=', printf('%.3f', b.score), ')') AS src
+    FROM best b JOIN chunks c ON c.source = b.source AND c.chunk_id = b.chunk_id
+  UNION ALL SELECT query_id, rank, text, source FROM lexical),
+answers AS (SELECT query_id,
+    max(CASE WHEN rank = 1 THEN replace(regexp_replace(substring(text, 1, 300), '^{PY_SPACE}|{PY_SPACE}$', '', 'g'), chr(10), ' ') END) AS snippet,
+    string_agg(src, ' | ' ORDER BY rank) AS sources FROM hits GROUP BY query_id)
+SELECT message_id, concat(CASE WHEN g.guidance_query IS NULL THEN ''
+    WHEN a.snippet IS NULL THEN 'No guideline documents found. Please add trusted clinical guidance to the docs folder.'
+    ELSE concat('Based on the available guidelines and ', CASE WHEN risk_factors = '' THEN 'the reported symptoms'
+      ELSE replace(risk_factors, ' | ', ', ') END, ', consider the following: ', a.snippet) END, actionable) AS guidance,
+  coalesce(a.sources, '') AS sources
+FROM g LEFT JOIN answers a ON a.query_id = g.guidance_query""", ("triaged", "postings", "chunks", "vocab", "guidelines"))
+
+
 # ------------------------------------------------------------------ linear attribution (heuristic as a linear model)
 
 _LC = {"gestational_weeks": 10 * 0.25 * 10 / 42, "sleep_quality": -2.5, "appetite": -1.5, "fatigue": 2.0,

@@ -9,13 +9,18 @@ reference flips it between scripts, so it is always explicit.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskops.functions.exprs import spread, uniform
+from riskops.functions.exprs import uniform
 from riskops.operators.rank import cumulative, score_histogram
 
 
@@ -367,40 +372,110 @@ def poisson1_cdf(kmax: int = 10) -> list[float]:
     return out
 
 
-def poisson_multiplicity(u_col) -> F.Column:
-    """Poisson(1) draw by inverse CDF of a uniform: 11-step ``when`` chain."""
-    cdf = poisson1_cdf(10)
-    expr = F.lit(len(cdf))
-    for k in reversed(range(len(cdf))):
-        expr = F.when(u_col < F.lit(cdf[k]), F.lit(k)).otherwise(expr)
-    return expr
+#: Modulus of the replicate hash (fixed value of the resampling rule).
+HASH_MODULUS = 2**31 - 1
+#: Rows of one score range, about, and the most ranges.
+BOOT_RANGE, BOOT_MAX_RANGES = 50_000, 8192
+#: Cells of one (rows x replicates) block of weights.
+BOOT_BLOCK = 2_000_000
 
 
-def bootstrap_weights(df: DataFrame, id_col: str, n_boot: int, seed: str = "boot") -> DataFrame:
-    """Explode replicate ids (narrow, no shuffle) with a Poisson(1) multiplicity per (replicate,row).
+def replicate_coefficients(n_boot: int, seed: str) -> np.ndarray:
+    """(3, n_boot) coefficients of the replicates' hash polynomials, from md5(seed:replicate)."""
+    digests = [hashlib.md5(f"{seed}:{r}".encode()).hexdigest() for r in range(n_boot)]
+    return np.array([[int(d[k:k + 8], 16) % HASH_MODULUS for d in digests] for k in (0, 8, 16)], np.int64)
 
-    Poisson(1) counts replace the multinomial draw of ``randint(0, n, n)``: the
-    per-row multiplicities are independent, so every replicate is generated
-    in-place on the row's partition.  Rows with multiplicity 0 are dropped.
-    """
-    r = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    # the explode multiplies the rows by n_boot: make sure an under-split input is spread first
-    x = spread(df).select("*", r)
-    key = F.concat(F.lit(seed), F.lit(":"), F.col("rep").cast("string"))
-    u = F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), F.col(id_col).cast("string"))), 1, 8), 16, 10) \
-        .cast("bigint") / F.lit(4294967296.0)
-    return x.withColumn("mult", poisson_multiplicity(u)).where(F.col("mult") > 0)
 
+def multiplicities(h: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """(rows, replicates) Poisson(1) draws: a pure function of each row's hash and the replicate.
 
-def _auc_per_rep(w: DataFrame, score: str, label: str, positive=1) -> DataFrame:
-    return roc_auc(w, score, label, ["rep"], positive, weight="mult")
+    The quadratic polynomial over a prime field makes any three rows of a replicate independent.
+    """
+    a, b, c = coefficients
+    x = h[:, None]
+    g = ((a * x + b) % HASH_MODULUS * x + c) % HASH_MODULUS
+    return np.searchsorted(poisson1_cdf(10), g / HASH_MODULUS, side="right")
+
+
+def cell_sums(score: np.ndarray, h: np.ndarray, is_pos: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """(3, replicates) of one score range: positives, negatives, and the pairs in order inside it."""
+    order = np.argsort(score, kind="stable")
+    score, h, is_pos = score[order], h[order], is_pos[order]
+    starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+    out, step = [], max(1, BOOT_BLOCK // len(score))
+    for at in range(0, coefficients.shape[1], step):
+        w = multiplicities(h, coefficients[:, at:at + step])
+        pos = np.add.reduceat(w * is_pos[:, None], starts, axis=0).astype(float)
+        neg = np.add.reduceat(w * ~is_pos[:, None], starts, axis=0).astype(float)
+        out.append([pos.sum(0), neg.sum(0), (pos * (neg.cumsum(0) - neg / 2)).sum(0)])
+    return np.concatenate(out, axis=1)
+
+
+def _score_cells(df: DataFrame, edges: list[float], salts: int) -> DataFrame:
+    """Adds ``cell`` (increasing with ``s``), ``single`` (the cell holds one value) and ``salt``.
+
+    Every edge is a cell of its own, so a value that many rows share is never inside a range;
+    its rows are dealt to ``salts`` groups, as only their sums matter.
+    """
+    inf, last = float("inf"), 2 * len(edges) + 1
+    s = F.col("s")
+    if edges:
+        cut = Bucketizer(splits=[-inf, *edges, inf], inputCol="s", outputCol="_b", handleInvalid="keep").transform(df)
+    else:
+        cut = df.withColumn("_b", F.lit(0.0))
+    b = F.col("_b").cast("int")
+    at_edge = (b >= 1) & s.eqNullSafe(F.get(F.array(*map(F.lit, edges)), b - 1)) if edges else F.lit(False)
+    cell = (F.when(F.isnan(s), last + 2).when(s == inf, last + 1).when(s == -inf, -1)
+            .when(at_edge, 2 * b - 1).otherwise(2 * b))
+    single = F.isnan(s) | (F.abs(s) == inf) | at_edge
+    return cut.withColumn("single", single).withColumn("cell", cell).drop("_b") \
+        .withColumn("salt", F.when(F.col("single"), F.pmod("h", F.lit(salts))).otherwise(0))
+
+
+def bootstrap_auc(df: DataFrame, id_col: str, scores: Sequence[str], label: str, n_boot: int, positive=1,
+                  seed: str = "boot") -> DataFrame:
+    """(which, rep, roc_auc): exact AUC of each score (by position) in each Poisson bootstrap replicate.
+
+    A row crosses the network once for each score, into its score range; its n_boot weights are
+    made there and summed at once.  What leaves a range is one row per replicate, whatever the
+    number of rows, and a prefix sum over the ranges gives the AUC.  NULL for one-class replicates.
+    """
+    h = F.pmod(F.floor(uniform(seed, id_col) * 4294967296.0), F.lit(HASH_MODULUS))
+    rows = df.where(F.col(label).isNotNull()).select(
+        h.alias("h"), (F.col(label) == F.lit(positive)).alias("is_pos"),
+        *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores)])
+    n = rows.count()
+    ranges = min(BOOT_MAX_RANGES, max(16, -(-n // BOOT_RANGE)))
+    probs, accuracy = [i / ranges for i in range(1, ranges)], max(10_000, 8 * ranges)
+    quantiles = rows.agg(*[F.percentile_approx(f"s{i}", probs, accuracy).alias(f"s{i}") for i in range(len(scores))]).first()
+    parts = []
+    for i in range(len(scores)):
+        edges = sorted({q for q in quantiles[i] or [] if math.isfinite(q)})
+        part = rows.where(F.col(f"s{i}").isNotNull()).select(F.lit(i).alias("which"), "h", "is_pos", F.col(f"s{i}").alias("s"))
+        parts.append(_score_cells(part, edges, max(1, -(-n // BOOT_RANGE))))
+    coefficients = replicate_coefficients(n_boot, seed)
+
+    def weigh(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        score = np.zeros(len(g)) if key[3] else g["s"].to_numpy()
+        pos, neg, pairs = cell_sums(score, g["h"].to_numpy(), g["is_pos"].to_numpy(bool), coefficients)
+        return pd.DataFrame({"which": key[0], "cell": key[1], "single": key[3], "rep": np.arange(n_boot), "pos": pos, "neg": neg, "pairs": pairs})
+
+    schema = "which int, cell int, single boolean, rep int, pos double, neg double, pairs double"
+    sums = reduce(DataFrame.union, parts).groupBy("which", "cell", "salt", "single").applyInPandas(weigh, schema)
+    cells = sums.groupBy("which", "rep", "cell", "single").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
+    before = Window.partitionBy("which", "rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.when(F.col("single"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("pairs"))
+    pairs = F.sum(F.col("pos") * F.col("below") + F.col("inside"))
+    out = (cells.withColumns({"below": F.coalesce(F.sum("neg").over(before), F.lit(0.0)), "inside": inside})
+           .groupBy("which", "rep").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), pairs.alias("_s")))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return out.select("which", "rep", F.when(both, F.col("_s") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"))
 
 
 def bootstrap_auc_ci(df: DataFrame, id_col: str = "prediction_id", score: str = "p", label: str = "y",
-                     n_boot: int = 200, confidence: float = 0.95, positive=1, seed: str = "boot") -> DataFrame:
+                     n_boot: int = 1000, confidence: float = 0.95, positive=1, seed: str = "boot") -> DataFrame:
     """Percentile CI and SE of the AUC over bootstrap replicates (one-class replicates skipped)."""
-    w = bootstrap_weights(df.select(id_col, score, label), id_col, n_boot, seed)
-    a = _auc_per_rep(w, score, label, positive).where(F.col("roc_auc").isNotNull())
+    a = bootstrap_auc(df, id_col, [score], label, n_boot, positive, seed).where(F.col("roc_auc").isNotNull())
     alpha = 1 - confidence
     return a.agg(
         F.avg("roc_auc").alias("auc"),
@@ -412,17 +487,11 @@ def bootstrap_auc_ci(df: DataFrame, id_col: str = "prediction_id", score: str =
 
 
 def bootstrap_auc_diff(df: DataFrame, id_col: str = "prediction_id", score_a: str = "p", score_b: str = "p2",
-                       label: str = "y", n_boot: int = 200, positive=1, seed: str = "boot") -> DataFrame:
+                       label: str = "y", n_boot: int = 2000, positive=1, seed: str = "boot") -> DataFrame:
     """Paired bootstrap of AUC(a) - AUC(b) with the same replicate weights for both."""
-    w = bootstrap_weights(df.select(id_col, score_a, score_b, label), id_col, n_boot, seed)
-    # both scores ride on the same replicate rows: one explode, one exact-AUC pass grouped by
-    # (replicate, which score), then the pair per replicate
-    both = w.select("rep", "mult", label, F.inline(F.array(
-        F.struct(F.lit("a").alias("which"), F.col(score_a).cast("double").alias("_s")),
-        F.struct(F.lit("b").alias("which"), F.col(score_b).cast("double").alias("_s")))))
-    auc = roc_auc(both, "_s", label, ["rep", "which"], positive, weight="mult")
-    per = auc.groupBy("rep").agg(F.max(F.when(F.col("which") == "a", F.col("roc_auc"))).alias("auc_a"),
-                                 F.max(F.when(F.col("which") == "b", F.col("roc_auc"))).alias("auc_b"))
+    auc = bootstrap_auc(df, id_col, [score_a, score_b], label, n_boot, positive, seed)
+    per = auc.groupBy("rep").agg(F.max(F.when(F.col("which") == 0, F.col("roc_auc"))).alias("auc_a"),
+                                 F.max(F.when(F.col("which") == 1, F.col("roc_auc"))).alias("auc_b"))
     d = per.where(F.col("auc_a").isNotNull() & F.col("auc_b").isNotNull()) \
         .select((F.col("auc_a") - F.col("auc_b")).alias("d"))
     agg = d.agg(

@@ -2,8 +2,8 @@
 
 ``u`` is a pure function of (seed, id), so an assignment never depends on partition
 layout or task retries.  Splits and folds rank the rows of each class by ``u``, so
-class sizes are exact; group folds and class balancing use ``u`` itself, without any
-shuffle or window, and are exact in expectation.
+class sizes are exact; group folds deal out profiles sorted by their class counts; class
+balancing uses ``u`` itself, without any shuffle or window, and is exact in expectation.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskops.functions.exprs import uniform
+from riskops.operators.rank import cumulative
+from riskops.session import ensure_checkpoint_dir
 
 PROFILE_SEP = "\u001f"
 
@@ -68,10 +70,25 @@ def profile_key(cols: Sequence[str]) -> Column:
     return F.concat_ws(PROFILE_SEP, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols])
 
 
-def group_folds(df: DataFrame, profile_cols: Sequence[str], k: int = 5, seed: str = "gfold") -> DataFrame:
-    """Every row of a profile lands in the same fold (fold from the profile key)."""
-    return df.withColumn("profile", profile_key(profile_cols)) \
-        .withColumn("fold", F.floor(uniform(seed, F.col("profile")) * k).cast("int"))
+def group_folds(df: DataFrame, profile_cols: Sequence[str], k: int = 5, seed: str = "gfold",
+                label_col: str | None = None, positive=1) -> DataFrame:
+    """Adds ``profile`` and ``fold``; a profile's rows share a fold, and the folds share the classes.
+
+    Profiles sorted by their positives, then their other rows (ties by u of the profile) are
+    dealt out in turn, so the positives of two folds differ by one profile's at most.  The place
+    in that order is the rank among profiles with the same counts plus the profiles before them:
+    no task holds all profiles.  Without a label profiles are dealt by their size.
+    """
+    rows = df.withColumn("profile", profile_key(profile_cols))
+    is_pos = F.coalesce(F.col(label_col) == F.lit(positive), F.lit(False)) if label_col else F.lit(False)
+    ensure_checkpoint_dir(df.sparkSession)
+    groups = (rows.groupBy("profile").agg(F.count(F.when(is_pos, 1)).alias("n_pos"), F.count(F.when(~is_pos, 1)).alias("n_neg"))
+              .withColumn("mix", F.concat_ws(":", "n_pos", "n_neg")).checkpoint())
+    mixes = cumulative(groups.groupBy("n_pos", "n_neg", "mix").agg(F.count(F.lit(1)).alias("n")), ["n_pos", "n_neg"], ["n"])
+    ranked = class_rank(groups.select("profile", "mix"), "profile", "mix", seed)
+    dealt = ranked.join(mixes.select("mix", (F.col("n_cum") - F.col("n")).alias("first")), "mix")
+    fold = F.pmod(F.col("first") + F.col("class_rank"), F.lit(k)).cast("int")
+    return rows.join(dealt.select("profile", fold.alias("fold")), "profile").select(*rows.columns, "fold")
 
 
 def class_counts(df: DataFrame, label_col: str) -> dict:

@@ -35,14 +35,22 @@ def clean_text(c: Column) -> Column:
 def chunk_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text",
                     size: int = 500, overlap: int = 80) -> DataFrame:
     """Fixed windows of ``size`` characters advancing by ``size - overlap`` over the cleaned
-    text; the last window ends at the text end.  Whole texts, generated in place (narrow)."""
+    text; the last window ends at the text end.  Whole texts, generated in place (narrow).
+
+    A text is cut once into blocks of one step; a window is a block and the start of those that
+    follow it.  Work and memory are linear in the text."""
     step = size - overlap
     cleaned = clean_text(F.col(text_col))
     n = F.length(F.col("_clean"))
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int") * step
+    count = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int") + 1
     d = spread(docs).select(F.col(source_col).alias("source"), cleaned.alias("_clean")).where(F.length("_clean") > 0)
-    x = d.select("source", "_clean", F.posexplode(F.sequence(F.lit(0), last, F.lit(step))).alias("chunk_id", "start"))
-    return x.select("source", "chunk_id", F.substring(F.col("_clean"), F.col("start") + 1, size).alias("text"))
+    d = d.select("source", count.alias("_count"), F.regexp_extract_all("_clean", F.lit(f"(?s).{{1,{step}}}"), 0).alias("_blocks"))
+    windows = F.col("_blocks")
+    for k in range(1, -(-size // step)):
+        after = F.slice("_blocks", F.lit(k + 1), F.size("_blocks"))
+        windows = F.zip_with(windows, after, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    windows = F.transform(F.slice(windows, F.lit(1), F.col("_count")), lambda w: F.substring(w, 1, size))
+    return d.select("source", F.posexplode(windows).alias("chunk_id", "text"))
 
 
 def bigrams_of(toks: Column) -> Column:
@@ -243,3 +251,40 @@ def rag_answer(topk: DataFrame, chunks: DataFrame, queries: DataFrame, id_col: s
                  F.col("snippet")))
     return j.select(id_col, answer.alias("answer"),
                     F.coalesce(F.col("sources"), F.array().cast("array<string>")).alias("sources"))
+
+
+def assess_chat(guided: DataFrame, docs: DataFrame, id_col: str = "message_id", k: int = 3) -> DataFrame:
+    """G12 end to end: (id, guidance, sources) of each triaged message with its guidance query.
+
+    Messages with the same factors and context ask the same question, so each different question
+    is answered once and the answers are joined back.  A question without hits in the index goes
+    to the lexical search.  Crisis messages get the fixed emergency text and no sources.
+    """
+    ask = F.array_distinct("risk_factors")
+    asked = guided.select(id_col, "actionable", F.col("guidance_query").alias("query"), F.concat_ws(", ", ask).alias("drivers"))
+    questions = asked.where(F.col("query").isNotNull()).select(F.col("query").alias("query_id"), "query", "drivers").distinct()
+    chunks = chunk_documents(docs)
+    found = rag_topk(questions, chunks, k)
+    answers = rag_answer(found, chunks, questions, drivers=F.col("drivers"))
+    unmet = questions.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    lexical = rag_lexical(unmet, docs, k)
+    texts = lexical.join(docs.select("source", "text"), "source")
+    plain = rag_answer_lexical(texts, unmet)
+    both = answers.join(unmet.select("query_id"), "query_id", "left_anti").unionByName(plain)
+    joined = asked.join(both.withColumnRenamed("query_id", "query"), "query", "left")
+    return joined.select(
+        id_col, F.concat(F.coalesce("answer", F.lit("")), "actionable").alias("guidance"),
+        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+
+def rag_answer_lexical(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """G11 over lexical hits (query_id, rank, source, text): their sources carry no score."""
+    snippet = F.replace(F.regexp_replace(F.substring("text", 1, 300), f"^{PY_SPACE}|{PY_SPACE}$", ""), F.lit("\n"), F.lit(" "))
+    hits = texts.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, snippet)).alias("snippet"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda s: s["source"]).alias("sources"))
+    drivers = F.when(F.col("drivers") != "", F.col("drivers")).otherwise(F.lit(DEFAULT_DRIVERS))
+    answer = F.when(F.col("snippet").isNull(), F.lit(NO_DOCS_ANSWER)).otherwise(
+        F.concat(F.lit("Based on the available guidelines and "), drivers, F.lit(", consider the following: "), F.col("snippet")))
+    return queries.join(hits, "query_id", "left").select(
+        "query_id", answer.alias("answer"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))

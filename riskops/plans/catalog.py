@@ -62,8 +62,6 @@ def q_disparate_impact(spark, sf_dir):
 from riskops.operators import evaluate as E  # noqa: E402
 from riskops.operators import resample as RS  # noqa: E402
 
-N_BOOT_QUERY = 50
-
 
 @register("confusion_matrix")
 def q_confusion_matrix(spark, sf_dir):
@@ -122,12 +120,12 @@ def q_recall_tuned_threshold(spark, sf_dir):
 
 @register("bootstrap_auc_ci")
 def q_bootstrap_auc_ci(spark, sf_dir):
-    return finish(E.bootstrap_auc_ci(A.scored(spark, sf_dir), "prediction_id", "p", "y", n_boot=N_BOOT_QUERY))
+    return finish(E.bootstrap_auc_ci(A.scored(spark, sf_dir), "prediction_id", "p", "y", n_boot=1000))
 
 
 @register("bootstrap_auc_diff")
 def q_bootstrap_auc_diff(spark, sf_dir):
-    return finish(E.bootstrap_auc_diff(A.scored(spark, sf_dir), "prediction_id", "p", "p2", "y", n_boot=N_BOOT_QUERY))
+    return finish(E.bootstrap_auc_diff(A.scored(spark, sf_dir), "prediction_id", "p", "p2", "y", n_boot=2000))
 
 
 @register("cv_summary")
@@ -153,7 +151,7 @@ PROFILE_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestat
 
 @register("group_folds")
 def q_group_folds(spark, sf_dir):
-    s = RS.group_folds(A.profiles(spark, sf_dir), PROFILE_COLS, k=5, seed="gfold")
+    s = RS.group_folds(A.profiles(spark, sf_dir), PROFILE_COLS, 5, "gfold", "y")
     return finish(s.select("l_orderkey", "l_linenumber", "fold"))
 
 
@@ -358,7 +356,7 @@ def q_split_overlap(spark, sf_dir):
     p = A.profiles(spark, sf_dir).withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     s = RS.stratified_split(p, "rid", "y", 0.2, "split")
     row = AU.split_overlap(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), PROFILE_COLS)
-    g = RS.group_folds(p, PROFILE_COLS, 5, "gfold")
+    g = RS.group_folds(p, PROFILE_COLS, 5, "gfold", "y")
     grp = AU.split_overlap(g.where(F.col("fold") != 0), g.where(F.col("fold") == 0), PROFILE_COLS)
     return finish(row.select(F.lit("row_split").alias("split_kind"), "overlap")
                   .unionByName(grp.select(F.lit("group_split").alias("split_kind"), "overlap")))
@@ -667,6 +665,12 @@ def q_rag_answer(spark, sf_dir):
     return finish(RT.rag_answer(RT.rag_topk(qs, ch, k=3), ch, qs))
 
 
+@register("chat_assess")
+def q_chat_assess(spark, sf_dir):
+    guided = TR.chat_guidance(triaged(spark, sf_dir))
+    return finish(RT.assess_chat(guided, A.guidelines(spark, sf_dir)))
+
+
 # ------------------------------------------------------------------ learning pipelines (rows-only checks)
 
 from riskops.operators import explain as X  # noqa: E402
@@ -767,7 +771,7 @@ def _profile_frame(spark, sf_dir):
     p = A.profiles(spark, sf_dir).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     p = p.withColumn("is_r", (F.col("l_returnflag") == "R").cast("double")) \
         .withColumn("is_o", (F.col("l_linestatus") == "O").cast("double"))
-    return RS.group_folds(p, PROFILE_COLS, 5, "gfold")
+    return RS.group_folds(p, PROFILE_COLS, 5, "gfold", "y")
 
 
 @register("group_holdout")
