@@ -88,7 +88,8 @@ def group_folds(df: DataFrame, profile_cols: Sequence[str], k: int = 5, seed: st
     ranked = class_rank(groups.select("profile", "mix"), "profile", "mix", seed)
     dealt = ranked.join(mixes.select("mix", (F.col("n_cum") - F.col("n")).alias("first")), "mix")
     fold = F.pmod(F.col("first") + F.col("class_rank"), F.lit(k)).cast("int")
-    return rows.join(dealt.select("profile", fold.alias("fold")), "profile").select(*rows.columns, "fold")
+    folds = dealt.select("profile", fold.alias("fold")).checkpoint()
+    return rows.join(folds, "profile").select(*rows.columns, "fold")
 
 
 def class_counts(df: DataFrame, label_col: str) -> dict:

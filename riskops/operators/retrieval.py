@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskops.functions.exprs import spread
+from riskops.session import ensure_checkpoint_dir
 
 # Python's str.split() whitespace, as a class both Java regex and RE2 read the same way.
 PY_SPACE = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
@@ -93,6 +94,7 @@ def tfidf_index(chunks: DataFrame, max_features: int = 12000) -> tuple[DataFrame
     which map-side partial aggregation shrinks well; the per-(chunk, term) counts are only
     formed for terms that survive the broadcast join with the vocabulary.
     """
+    ensure_checkpoint_dir(chunks.sparkSession)
     keys = ["source", "chunk_id"]
     tok = chunks.select(*keys, tokens(F.col("text")).alias("_toks"))
     t = tok.select(*keys, F.concat(F.col("_toks"), bigrams_of(F.col("_toks"))).alias("_terms"))
@@ -264,7 +266,7 @@ def assess_chat(guided: DataFrame, docs: DataFrame, id_col: str = "message_id",
     asked = guided.select(id_col, "actionable", F.col("guidance_query").alias("query"), F.concat_ws(", ", ask).alias("drivers"))
     questions = asked.where(F.col("query").isNotNull()).select(F.col("query").alias("query_id"), "query", "drivers").distinct()
     chunks = chunk_documents(docs)
-    found = rag_topk(questions, chunks, k)
+    found = rag_topk(questions, chunks, k).checkpoint()  # k rows a question, read three times
     answers = rag_answer(found, chunks, questions, drivers=F.col("drivers"))
     unmet = questions.join(found.select("query_id").distinct(), "query_id", "left_anti")
     lexical = rag_lexical(unmet, docs, k)
