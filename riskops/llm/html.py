@@ -10,11 +10,19 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment
 page's text is what that token holds, less those. Pages without that token take the same
 decision from their own tokens alone.
 
+The words of the text are tokens too, told apart by the path they stand in. Of a class of
+``CLASS_TOKENS`` or more, the tokens whose place in the class is the same on each page are in
+one order on each page; a class other than the host's largest must stand in one gap of that.
+Words of such classes are the template's, and what is left in the slot is a page's text.
+Hosts of fewer than ``TEXT_PAGES`` different pages show too little to take words for the
+template's: they keep all words. The name lists below come first, whatever the classes are.
+
 Vectors are exclusive-ors of hashes of (page, count), so a class costs one combinable
-aggregate and no host's pages meet in a task; a template is one row for each host.
+aggregate and no host's pages meet in a task; a template is one row for each host. Places are
+least and greatest values, which combine as well.
 
 Defined cases: null or empty html gives an empty text; a null url counts as a host of its own;
-repeated rows are pages like any other; an empty table gives an empty result; other columns
+equal pages of a host are one page to its template, and each row has its text; an empty table gives an empty result; other columns
 are ignored. Unclosed comments and raw-text elements reach to the end, unclosed elements to
 their parent's end.
 """
@@ -24,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -35,8 +44,11 @@ from .common import slices, written
 
 #: Share of a host's pages that a template token is on, and of the text that the article's token holds.
 SUPPORT, HELD = 0.5, 0.9
+#: Tokens of a class whose words are the template's, and different pages of a host that has such classes.
+CLASS_TOKENS, TEXT_PAGES = 3, 16
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+WORD = re.compile(r"\S+")
 # Element names and naming habits of the web (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template svg iframe select math object".split())
@@ -58,10 +70,10 @@ def named(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(re.sub(r"\d+", "0", n) for n in names)]), chrome
 
 
-def elements(html: str) -> tuple[list[str], list[tuple[str, int, str]]]:
-    """Paths of all elements in page order, and the (path, block, text) nodes outside chrome."""
+def elements(html: str) -> tuple[list[str], list[tuple[str, int, str, int]]]:
+    """Paths of all elements in page order, and the (path, block, text, elements before) nodes outside chrome."""
     paths: list[str] = []
-    nodes: list[tuple[str, int, str]] = []
+    nodes: list[tuple[str, int, str, int]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path, in chrome
     at = block = 0
 
@@ -76,7 +88,7 @@ def elements(html: str) -> tuple[list[str], list[tuple[str, int, str]]]:
 
     def text(upto: int) -> None:
         if upto > at and not (stack and stack[-1][2]) and not html.isspace():
-            nodes.append((stack[-1][1] if stack else "", block, html[at:upto]))
+            nodes.append((stack[-1][1] if stack else "", block, html[at:upto], len(paths)))
 
     m = MARKUP.search(html)
     while m:
@@ -89,7 +101,7 @@ def elements(html: str) -> tuple[list[str], list[tuple[str, int, str]]]:
         if tag not in INLINE:
             block += 1
         if tag == "br":
-            nodes.append((stack[-1][1] if stack else "", block, " "))
+            nodes.append((stack[-1][1] if stack else "", block, " ", len(paths)))
         if m[1]:
             pop(tag, {"article", "body", "html"} if tag in INLINE or tag == "p" else frozenset())
         else:
@@ -118,25 +130,67 @@ def ancestors(path: str) -> list[str]:
 
 def own_tokens(html: str) -> dict[str, tuple[int, int]]:
     """For each token of a page how often it occurs and how many characters of text it holds."""
-    paths, nodes = elements(html)
+    return tokens_of(*elements(html))
+
+
+def tokens_of(paths: list[str], nodes: list[tuple[str, int, str, int]]) -> dict[str, tuple[int, int]]:
     count, held = Counter(paths), Counter()
-    for path, _, text in nodes:
+    for path, _, text, _ in nodes:
         size = len(text.strip())
         if size:
             for a in ancestors(path):
                 held[a] += size
-    return {p: (count[p], held[p]) for p in count} | {"": (1, sum(len(t.strip()) for _, _, t in nodes))}
+    return {p: (count[p], held[p]) for p in count} | {"": (1, sum(len(t.strip()) for _, _, t, _ in nodes))}
+
+
+def key(path: str, word: str = "") -> int:
+    """A number for an element's token, or for that of a word in it."""
+    # 48 bits are enough within a host and make shorter shuffle files; the low zeros join those before them
+    return int.from_bytes(b"\0\0" + blake2b(f"{path}\t{word}".encode("utf-8", "replace"), digest_size=6).digest(), "little", signed=True)
+
+
+def words_of(nodes: list[tuple[str, int, str, int]]) -> Counter:
+    """How often each (path, word) occurs outside chrome."""
+    return Counter((path, w) for path, _, text, _ in nodes for w in text.split())
+
+
+def sequence(paths: list[str], nodes: list[tuple[str, int, str, int]]) -> Iterator[tuple[str, str]]:
+    """(path, word) of all tokens in page order; an element has an empty word."""
+    at = 0
+    for path, _, text, before in nodes:
+        for p in paths[at:before]:
+            yield p, ""
+        at = before
+        for w in text.split():
+            yield path, w
+    for p in paths[at:]:
+        yield p, ""
+
 
+def places(html: str, class_of: dict[int, tuple[int, int]], known: dict[tuple[str, str], int]) -> Iterator[tuple[int, int, int]]:
+    """(key, place in its class, tokens of class 0 before) of each token of a class; ``class_of`` has class and size."""
+    seen: Counter = Counter()
+    for token in sequence(*elements(html)):
+        k = known.get(token)
+        if k is None:
+            k = known[token] = key(*token)
+        if k in class_of:
+            c, size = class_of[k]
+            yield k, seen[c] % size, seen[0] if c else 0
+            seen[c] += 1
 
-def main_text(html: str, slot: str | None) -> str:
-    """The blocks inside ``slot``, or, where the page lacks it, inside the token that its own counts choose."""
+
+def main_text(html: str, slot: str | None, dropped: frozenset[int] = frozenset()) -> str:
+    """The blocks inside ``slot``, or, where the page lacks it, inside the token that its own counts choose, without ``dropped`` words."""
     paths, nodes = elements(html)
     if slot is None or slot and slot not in paths:
-        tokens = own_tokens(html)
+        tokens = tokens_of(paths, nodes)
         enough = [p for p, (n, size) in tokens.items() if n == 1 and size >= HELD * tokens[""][1]]
         slot = max(enough, key=lambda p: (p.count("/"), p))
     blocks: dict[int, list[str]] = {}
-    for path, block, text in nodes:
+    for path, block, text, _ in nodes:
+        if dropped:
+            text = WORD.sub(lambda m: "" if key(path, m[0]) in dropped else m[0], text)  # noqa: B023
         if not slot or path == slot or path.startswith(slot + "/"):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join(unescape("".join(parts)).split()) for parts in blocks.values())
@@ -149,41 +203,98 @@ def hosts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(host, F.lit("~")).alias("host"))
 
 
+def different(pages: DataFrame) -> DataFrame:
+    """host, page, html: equal pages of a host once (more often only where they share their page_id)."""
+    pages = pages.select("host", F.xxhash64("html").alias("page"), F.xxhash64("page_id").alias("row"), "html")
+    again = pages.groupBy("host", "page").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return pages.join(written(again, "equal_pages"), ["host", "page"], "left").where("kept is null or kept = row").select("host", "page", "html")
+
+
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host, slot: the frame token that holds a host's articles. ``pages`` has host and html."""
+    """host, slot, dropped: the frame token that holds a host's articles, the keys of the template's words."""
+    pages = different(pages)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        for part in slices(batches, 64):
+            out: list[list] = [[], [], [], [], [], []]
             for host, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
-                for token, (n, held) in own_tokens(html).items():
-                    for col, x in zip(out, (host, page, token, n, held)):
-                        col.append(x)
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "page", "token", "n", "held"])
-
-    found = pages.select("host", F.xxhash64("url", "html").alias("page"), "html").mapInArrow(tokens, "host string, page long, token string, n long, held long")
-    vectors = found.groupBy("host", "token").agg(
+                paths, nodes = elements(html)
+                own, words = tokens_of(paths, nodes), words_of(nodes)
+                many = len(own) + len(words)
+                out[0] += [host] * many
+                out[1] += [page] * many
+                out[2] += [*own, *[None] * len(words)]
+                out[3] += [*map(key, own), *[key(p, w) for p, w in words]]
+                out[4] += [*[n for n, _ in own.values()], *words.values()]
+                out[5] += [*[h for _, h in own.values()], *[0] * len(words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "page", "token", "key", "n", "held"])
+
+    found = pages.mapInArrow(tokens, "host string, page long, token string, key long, n long, held long")
+    vectors = found.groupBy("host", "token", "key").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("held").alias("held")
     )
-    vectors = written(vectors, "vectors")
+    vectors = written(vectors.where(F.col("token").isNotNull() | (F.col("pages") >= support * TEXT_PAGES)), "vectors")
     whole = vectors.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("held").alias("all_held"))
-    large = vectors.where("token != ''").join(whole, "host").where(F.col("pages") >= support * F.col("all_pages"))
+    large = vectors.where("token is null or token != ''").join(whole, "host").where(F.col("pages") >= support * F.col("all_pages"))
+    large = large.where(F.col("token").isNotNull() | (F.col("all_pages") >= TEXT_PAGES))
     # a class: the tokens with one vector; each page has so many large ones at most, so a host's list is short
-    classes = large.groupBy("host", "vector", "pages", "most", "all_held").agg(F.collect_list(F.struct("token", "held")).alias("tokens"))
+    classes = written(large.groupBy("host", "vector", "pages", "most", "all_held").agg(F.collect_list(F.struct("token", "key", "held")).alias("tokens")), "classes")
     frame = classes.where("most = 1").select("host", "all_held", F.explode("tokens").alias("t")).where(F.col("t.held") >= HELD * F.col("all_held"))
     depth = F.size(F.split("t.token", "/"))
-    return written(frame.groupBy("host").agg(F.max_by("t.token", F.struct(depth, "t.token")).alias("slot")), "templates")
+    slots = frame.groupBy("host").agg(F.max_by("t.token", F.struct(depth, "t.token")).alias("slot"))
+    return written(slots.join(template_words(pages, classes), "host", "full"), "templates")
+
+
+def template_words(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """host, dropped: keys of the words in classes that keep their order, and their gap of the largest, on each page."""
+    worded = classes.where(F.size("tokens") >= CLASS_TOKENS).where(F.exists("tokens", lambda t: t.token.isNull()))
+    # the host's list of classes, the one on most pages, then of most tokens first
+    lists = worded.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.col("pages"), F.size("tokens").alias("size"), "vector", F.col("tokens.key").alias("keys"))), False).alias("classes"))
+    lists = written(lists.select("host", F.col("classes.keys").alias("classes")), "class_lists")
+    joined = pages.join(lists, "host").select("host", "html", "classes")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of: dict[str, dict[int, tuple[int, int]]] = {}
+        for part in slices(batches):
+            known: dict[tuple[str, str], int] = {}
+            least: dict[tuple[str, int], list[int]] = {}
+            for k, (host, html) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist())):
+                if host not in class_of:
+                    if len(class_of) > 64:
+                        class_of.clear()
+                    class_of[host] = {x: (c, len(keys)) for c, keys in enumerate(part.column("classes")[k].as_py()) for x in keys}
+                for x, place, gap in places(html, class_of[host], known):
+                    m = least.setdefault((host, x), [place, place, gap, gap])
+                    m[:] = min(m[0], place), max(m[1], place), min(m[2], gap), max(m[3], gap)
+            cols = [[h for h, _ in least], [x for _, x in least], *map(list, zip(*least.values()))] if least else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j else pa.string()) for j, c in enumerate(cols)], ["host", "key", "p0", "p1", "g0", "g1"])
+
+    seen = joined.mapInArrow(placed, "host string, key long, p0 long, p1 long, g0 long, g1 long")
+    kept = seen.groupBy("host", "key").agg(F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.min("g0").alias("g0"), F.max("g1").alias("g1"))
+    tokens = worded.select("host", "vector", "pages", "most", F.explode("tokens").alias("t")).select("host", "vector", "pages", "most", "t.token", "t.key").join(kept, ["host", "key"])
+    right = tokens.groupBy("host", "vector", "pages", "most").agg(
+        F.min("g0").alias("g0"), F.max("g1").alias("g1"), F.count_if(F.col("p0") == F.col("p1")).alias("size"),
+        F.collect_list(F.when(F.col("token").isNull() & (F.col("p0") == F.col("p1")), F.col("key"))).alias("keys"),
+    ).where((F.col("g0") == F.col("g1")) & (F.col("size") >= CLASS_TOKENS))
+    return right.groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("dropped"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     pages = hosts(pages)
-    joined = pages.join(templates(pages), "host", "left").select("page_id", "url", "html", "slot")
+    joined = pages.join(templates(pages), "host", "left").select("page_id", "url", "html", "host", "slot", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, frozenset[int]] = {}
         for part in slices(batches):
-            texts = [main_text(h, s) for h, s in zip(part.column("html").to_pylist(), part.column("slot").to_pylist())]
+            texts = []
+            for k, (html, host, slot) in enumerate(zip(*(part.column(c).to_pylist() for c in ("html", "host", "slot")))):
+                if host not in words:
+                    if len(words) > 64:
+                        words.clear()
+                    words[host] = frozenset(part.column("dropped")[k].as_py() or ())
+                texts.append(main_text(html, slot, words[host]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = T.StructType([*joined.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -31,6 +31,21 @@ def test_article_text(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_words_of_the_template_go_from_the_slot(spark):
+    r = random.Random(11)
+    body = [words(30, 500 + i) for i in range(40)]
+    tail = [" ".join(r.sample(["uno", "dos", "tres", "cuatro"], 4)) for _ in range(40)]  # on each page, in no fixed order
+    html_of = lambda i: f"""<html><body><div class="q1"><h1>Head</h1><div class="z9">Grab our bargain deals</div><div class="m">{body[i]}</div>
+<div class="k">Posted by <b>n{i}</b> in town</div>{'<div class="o">Only members see this</div>' if i % 3 else ''}<div class="t">{tail[i]}</div></div></body></html>"""
+    rows = [(i, f"https://many.example/{i}", html_of(i)) for i in range(40)]
+    rows += [(100 + i, f"https://few.example/{i}", html_of(i)) for i in range(5)]
+    rows += [(200 + i, f"https://same.example/{i}", html_of(0)) for i in range(40)]  # equal pages are one
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda i: "\n".join(["Head", "Grab our bargain deals", body[i], f"Posted by n{i} in town", *["Only members see this"] * (i % 3 > 0), tail[i]])
+    assert all(got[i] == f"{body[i]}\nn{i}\n{tail[i]}" for i in range(40))
+    assert all(got[100 + i] == whole(i) for i in range(5)) and all(got[200 + i] == whole(0) for i in range(40))
+
+
 def labelled(n=500):
     r = random.Random(5)
     bad = ["scumbag", "idiotic", "pathetico", "worthless"]
