@@ -6,14 +6,16 @@ slot the released block with the earliest deadline runs. The weights sum to one,
 deadlines are met, and at every slot each source has had its weight's share of the slots to
 within less than one block.
 
-Weights are rounded to multiples of 1/period. After ``period`` slots every source is exactly
-on its share, so the schedule repeats: one period is scheduled, and block j of a source runs
-at a slot that follows from j alone. That leaves Spark a join and a sort whatever the number
-of blocks. A source that has run out leaves its slots empty, and the others go on in the same
-proportions; no document is dropped or repeated.
+Releases and deadlines follow from the weights as exact fractions, over all blocks there are.
+The blocks are scheduled one after the other by one task that holds the next block of each
+source and steps over empty slots, a step for each ``block_docs`` documents; the rows then
+look up their block's slot in a join. With a ``period``, weights are rounded to multiples of
+1/period instead, and the schedule of one period repeats. A source that has run out leaves
+its slots empty, and the others go on in the same proportions; no document is dropped or
+repeated.
 
 Defined cases: rows with a null source form a source of their own; a source without a target
-weight gets the least one (1/period); repeated rows, null ids and null texts keep their
+weight gets 1/period, or 1/LEAST of the others' sum without a period; repeated rows, null ids and null texts keep their
 rows; ties in the order go by doc_id, then text; an empty table gives an empty result;
 other columns stay as they are.
 """
@@ -21,14 +23,18 @@ other columns stay as they are.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
 from .packing import ranked
 
-BLOCK_DOCS, PERIOD, TEMPER = 32, 4096, 0.7
+BLOCK_DOCS, LEAST, TEMPER = 32, 4096, 0.7
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -61,7 +67,54 @@ def schedule(slots: dict) -> list[tuple]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
+def exact(weights: dict) -> dict:
+    """Whole numbers in exactly the proportions of the weights; a source without one has 1/LEAST of the sum."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(parts.values())
+    parts = {s: x or (total or 1) / LEAST for s, x in parts.items()}
+    scale = lcm(*(x.denominator for x in parts.values()))
+    return {s: int(x * scale) for s, x in parts.items()}
+
+
+def timetable(shares: dict, blocks: dict) -> Iterator[tuple]:
+    """Earliest deadline first over all blocks: (source, block, slot, release, deadline), blocks from 0."""
+    total = sum(shares.values())
+
+    def times(s, j: int) -> tuple[int, int]:
+        return j * total // shares[s], -(-(j + 1) * total // shares[s])
+
+    waiting = [(0, str(s), s, 0) for s, n in blocks.items() if n]  # the next block of each source, by release or else by deadline
+    heapq.heapify(waiting)
+    ready: list[tuple] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, name, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (times(s, j)[1], name, s, j))
+        due, name, s, j = heapq.heappop(ready)
+        yield s, j, slot, times(s, j)[0], due
+        slot += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, (times(s, j + 1)[0], name, s, j + 1))
+
+
+def exact_slots(spark, shares: dict, blocks: dict, rows: int = 1 << 14) -> DataFrame:
+    """The timetable as a table: source_key, block, slot, release, due."""
+    names = ["source_key", "block", "slot", "release", "due"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):  # one
+                every = timetable(shares, blocks)
+                while some := [x for _, x in zip(range(rows), every)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)], names)
+
+    return written(spark.range(0, 1, 1, 1).mapInArrow(run, ", ".join(f"{c} long" for c in names)), "slots")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None, temper: float = TEMPER) -> DataFrame:
     """doc_id, source, text_key, block, slot, released, deadline, mix_order for every row.
 
     ``weights`` maps sources to target weights; without it a source's weight is its number of
@@ -73,14 +126,20 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     counts = {r.source_key: (r.source, r.n) for r in rows.groupBy("source_key", "source").agg(F.count("*").alias("n")).collect()}
     schema = "source_key long, nth long, per_period long, slot long, release long, due long"
     plan: list[tuple] = []
-    if counts:
+    wish = {k: (n**temper if weights is None else weights.get(s, 0.0)) for k, (s, n) in counts.items()}
+    if counts and period:
         while period < 4 * len(counts):
             period *= 2
-        wish = {k: (n**temper if weights is None else weights.get(s, 0.0)) for k, (s, n) in counts.items()}
         slots = shares(wish if sum(wish.values()) else dict.fromkeys(wish, 1.0), period)
         plan = [(k, j, slots[k], at, release, due) for k, j, at, release, due in schedule(slots)]
     numbered = ranked(rows, "source_key", ["doc_id", "text_key"], "rank", sum(n for _, n in counts.values()))
     block = numbered.withColumn("block", F.floor(F.col("rank") / block_docs))
+    if not period:
+        timed = block.join(exact_slots(spark, exact(wish), {k: -(-n // block_docs) for k, (_, n) in counts.items()}), ["source_key", "block"])
+        return timed.select(
+            "doc_id", "source", "text_key", "block", "slot", F.col("release").alias("released"), F.col("due").alias("deadline"),
+            (F.col("slot") * block_docs + F.pmod("rank", F.lit(block_docs))).alias("mix_order"),
+        )
     n_of = spark.createDataFrame(list({(p[0], p[2]) for p in plan}), "source_key long, per_period long")
     times = spark.createDataFrame([(p[0], p[1], p[3], p[4], p[5]) for p in plan], schema.replace("per_period long, ", ""))
     timed = (
@@ -98,12 +157,18 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     )
 
 
-def in_mix_order(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
+def in_mix_order(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None, temper: float = TEMPER) -> DataFrame:
     """The documents sorted into the mix, columns as they came: written files follow its order."""
-    order, one, two = (fresh(c, docs.columns) for c in ("mix_order", "mix_id", "mix_text"))
+    order = fresh("mix_order", docs.columns)
+    return with_place(docs, order, weights, block_docs, period, temper).sort(order).drop(order)
+
+
+def with_place(docs: DataFrame, order: str, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None, temper: float = TEMPER) -> DataFrame:
+    """The documents with their place in the mix as a new column ``order``; it depends on the set of rows alone, not on their order."""
+    one, two = (fresh(c, [*docs.columns, order]) for c in ("mix_id", "mix_text"))
     place = (
         mix(docs, weights, block_docs, period, temper)
         .groupBy(F.xxhash64("doc_id", "text_key", "source").alias(one)).agg(F.min("mix_order").alias(order))
     )
     keyed = docs.withColumn(two, F.xxhash64("doc_id", F.xxhash64("text"), "source"))
-    return keyed.join(place, F.col(one) == F.col(two)).sort(order).drop(order, one, two)
+    return keyed.join(place, F.col(one) == F.col(two)).drop(one, two)

@@ -169,6 +169,30 @@ def test_mix_keeps_every_row_and_the_shares(spark):
     assert ordered.columns == frame.columns and ordered.count() == len(rows)
 
 
+def test_exact_schedule_holds_the_targets():
+    targets = {"a": 0.61803398875, "b": 0.38185, "c": 1 / 9973, "d": 0.0000157}  # two below 1/4096
+    shares = mixing.exact(targets)
+    total, sums = sum(shares.values()), sum(targets.values())
+    assert all(abs(shares[s] / total - w / sums) < 1e-12 for s, w in targets.items())
+    n = 60_000
+    done = defaultdict(int)
+    blocks = {s: int(n * w / sums) + 2 for s, w in targets.items()}
+    for t, (source, j, slot, release, deadline) in zip(range(n), mixing.timetable(shares, blocks)):
+        assert release <= slot < deadline and slot == t and done[source] == j
+        done[source] += 1
+        assert all(abs(done[s] - (t + 1) * w / sums) < 1 for s, w in targets.items())
+    every = list(mixing.timetable(mixing.exact({"a": 0.9, "b": 0.1, "c": 0.0}), {"a": 3, "b": 50, "c": 2}))
+    assert len(every) == 55 and all(r <= slot < d for _, _, slot, r, d in every) and len({x[2] for x in every}) == 55
+
+
+def test_mix_holds_the_target_weights(spark):
+    rows = [(i, "t", "en", "big" if i % 16 else "small") for i in range(8000)]
+    got = mixing.mix(docs(spark, rows), {"big": 4999.5, "small": 0.5}, block_docs=1).orderBy("mix_order").collect()
+    slots = sorted(r.slot for r in got if r.source == "small")
+    assert all(abs(k + 1 - 0.0001 * (slot + 1)) < 1 for k, slot in enumerate(slots))  # rounded to 1/4096, the second came at 4096
+    assert len({r.slot for r in got}) == len(rows) and all(r.released <= r.slot < r.deadline for r in got)
+
+
 def test_mix_empty_table(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert spark.createDataFrame([], DOC_SCHEMA).columns == mixing.in_mix_order(docs(spark, [])).columns
