@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskops.llm import mixing, packing, pii, quality, simhash
-from riskops.llm.common import table, written
+from riskops.llm.common import fresh, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, each with its sequence and place there."""
-    return packing.pack(docs)
+    """The token pieces of all documents, each with its sequence and place there; sequences follow the mix.
+
+    Files promise no order of rows, so the documents' places in the mix are derived again.
+    """
+    order = fresh("mix_order", docs.columns)
+    return packing.pack(mixing.with_place(docs, order), place=order)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -193,6 +193,35 @@ def test_mix_holds_the_target_weights(spark):
     assert len({r.slot for r in got}) == len(rows) and all(r.released <= r.slot < r.deadline for r in got)
 
 
+@pytest.mark.parametrize("bucket", [4096, 16])
+def test_sequences_follow_the_mix(spark, monkeypatch, bucket):
+    monkeypatch.setattr(packing, "RANK_BUCKET", bucket)
+    frame = docs(spark, [(i, words(10 + i * 7 % 40, i), "en", "xy"[i % 2]) for i in range(1200)])
+
+    def packed(weights):
+        return packing.pack(mixing.with_place(frame, "p", weights, 2), 256, place="p").collect()
+
+    source_of = lambda r: "xy"[r.doc_id % 2]
+    ids = {}
+    for weights in ({"x": 0.8, "y": 0.2}, {"x": 0.3, "y": 0.7}):
+        got = packed(weights)
+        assert len({(r.doc_id, r.piece) for r in got}) == len(got) == packing.pieces(frame, 256).count()
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        assert sorted(bins) == list(range(len(bins)))
+        for spans in bins.values():
+            assert [o for o, _ in sorted(spans)] == [0, *itertools.accumulate(n for _, n in sorted(spans))][:-1] and sum(n for _, n in spans) <= 256
+        early = [source_of(r) for r in got if r.sequence_id < len(bins) // 2]
+        assert abs(early.count("x") / len(early) - weights["x"]) < 0.05
+        ids[weights["x"]] = sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in got)
+    assert ids[0.8] != ids[0.3]
+
+
+def test_packing_in_order_of_an_empty_table(spark):
+    assert packing.pack(mixing.with_place(docs(spark, []), "p"), place="p").count() == 0
+
+
 def test_mix_empty_table(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert spark.createDataFrame([], DOC_SCHEMA).columns == mixing.in_mix_order(docs(spark, [])).columns

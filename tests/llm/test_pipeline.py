@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from riskops.llm import mixing
 from riskops.llm.common import written
 
 from .helpers import docs, words
@@ -28,3 +29,19 @@ def test_stages_chain_and_take_effect(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r.doc_id] += r.length
     assert got == want
+
+
+def test_mix_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    docs(spark, [(i, words(60, i), "en", "xy"[i % 2]) for i in range(400)]).write.parquet(str(tmp_path / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    def sequences(weights):
+        place = mixing.with_place
+        monkeypatch.setattr(mixing, "with_place", lambda d, order: place(d, order, weights, 2))
+        got = corpus_pipeline.pack_sequences(spark, frame, str(tmp_path)).collect()
+        monkeypatch.setattr(mixing, "with_place", place)
+        return sorted((r.sequence_id, r.offset, r.doc_id) for r in got)
+
+    many, few = sequences({"x": 0.9, "y": 0.1}), sequences({"x": 0.1, "y": 0.9})
+    first = [sum(i % 2 == 0 for s, _, i in got if s < 4) / sum(s < 4 for s, _, _ in got) for got in (many, few)]
+    assert first[0] > 0.7 and first[1] < 0.3
