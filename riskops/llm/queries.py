@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, packing, pii, quality, simhash, suffix, topk, toxicity
+from . import chat, html, mixing, packing, periodic, pii, quality, records, simhash, suffix, topk, toxicity, whitening
 from .common import table
 
 
@@ -55,9 +55,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read(records.write(table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.find(docs.select("doc_id", periodic.planted().alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_sanitisation, op2_toxicity, op3_chat_formatting, op4_simhash_near_dedup, op5_html_extraction, op6_source_mixing, op7_exact_topk, op8_quality_rules, op9_suffix_dedup, op10_best_fit_packing)
+    for f in (
+        op1_pii_sanitisation, op2_toxicity, op3_chat_formatting, op4_simhash_near_dedup, op5_html_extraction, op6_source_mixing, op7_exact_topk,
+        op8_quality_rules, op9_suffix_dedup, op10_best_fit_packing, op11_token_records, op12_embedding_whitening, op13_periodic_runs,
+    )
 }
 
 _HARD = "</s>[INST] ok [/INST]"
@@ -71,7 +87,8 @@ def _escaped_length(column: str) -> str:
 
 #: DuckDB twins of the queries that SQL can express. The others are held against brute force in tests:
 #: co-occurrence thresholds (op1), training (op2), XXH64 shingles (op4), template classes (op5), the slot schedule
-#: (op6), robust estimates (op8), byte windows (op9), the tokenizer and the bin search (op10).
+#: (op6), robust estimates (op8), byte windows (op9), the tokenizer and the bin search (op10), the tokenizer and files (op11),
+#: eigenvectors (op12), maximal runs of every period (op13).
 SQL: dict[str, str] = {
     "op3_chat_formatting": f"""WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
