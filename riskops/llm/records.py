@@ -2,9 +2,10 @@
 
 A shard file is a row of frames and nothing else. A frame is, in little-endian order: the
 payload's length in bytes (8 bytes), the masked CRC-32C of those eight bytes (4), the payload,
-the masked CRC-32C of the payload (4). A payload is one document's sequence: 4 bytes that are
-1 if a doc_id follows and 0 if it was null, the doc_id (8), then the ids (4 each). Readers of
-the common record format that uses this framing can read the files.
+the masked CRC-32C of the payload (4). A payload is one document's sequence: the bytes of an
+id, 2 or 4, plus 1 if the doc_id is not null (4), the doc_id (8), the number of ids (4), the
+ids, and zeros up to a multiple of 4 bytes. Ids take 2 bytes if the vocabulary allows. Readers
+of the common record format that uses this framing can read the files.
 
 Documents are sorted into shards by ranges of (doc_id, hash of the text). A task encodes its
 shard, writes it beside its final name in the shared folder and then renames it, so a task that
@@ -44,8 +45,8 @@ SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
 READ_BYTES = 8 << 20
 #: Shard files that a shuffled read keeps open.
 OPEN_FILES = 64
-#: Words of 32 bits of a frame besides the ids, of them before the payload and after it.
-FRAME_WORDS, HEAD_WORDS, TAIL_WORDS = 7, 3, 1
+#: Words of 32 bits before the payload, of it before the ids, and after it.
+HEAD_WORDS, OWN_WORDS, TAIL_WORDS = 3, 4, 1
 #: Reflected polynomial of CRC-32C and the mask of stored checksums (fixed values of the format).
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 #: 32-bit words of a lane; lanes of a record are checked side by side.
@@ -108,25 +109,30 @@ def masked_crc32c(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(MASK_DELTA)
 
 
-def frames(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def frames(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """All frames as 32-bit words, and the words of each; ``ends`` tells where each document's ids end (with a 0 before)."""
     n = np.diff(ends)
-    size = n + FRAME_WORDS
+    size = HEAD_WORDS + OWN_WORDS + -(-n * width // 4) + TAIL_WORDS
     stop = np.cumsum(size)
     at = stop - size
-    out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
-    payload = ((n + 3) * 4).astype(np.uint64)
-    out[at], out[at + 1] = (payload & np.uint64(0xFFFFFFFF)).astype(np.uint32), (payload >> np.uint64(32)).astype(np.uint32)
-    known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
-    number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    out[at + 3] = known
-    out[at + 4], out[at + 5] = (number & np.uint64(0xFFFFFFFF)).astype(np.uint32), (number >> np.uint64(32)).astype(np.uint32)
-    out[np.arange(len(ids)) + np.repeat(at + 6 - ends[:-1], n)] = ids
+    out = np.zeros(int(stop[-1]) if len(stop) else 0, np.uint32)
+    payload = (size - HEAD_WORDS - TAIL_WORDS) * 4
+    out[at], out[at + 1] = halves(payload)
+    out[at + 3] = width + doc_ids.is_valid().to_numpy(zero_copy_only=False)
+    out[at + 4], out[at + 5] = halves(doc_ids.fill_null(0).to_numpy(zero_copy_only=False))
+    out[at + 6] = n
+    kind = np.uint16 if width == 2 else np.uint32
+    out.view(kind)[np.arange(len(ids)) + np.repeat((at + HEAD_WORDS + OWN_WORDS) * (4 // width) - ends[:-1], n)] = ids
     out[at + 2] = masked_crc32c(out, at, np.full(len(at), 2))
-    out[stop - 1] = masked_crc32c(out, at + HEAD_WORDS, n + 3)
+    out[stop - 1] = masked_crc32c(out, at + HEAD_WORDS, size - HEAD_WORDS - TAIL_WORDS)
     return out, size
 
 
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = x.astype(np.int64).view(np.uint64)
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+
+
 def store(uri: str):
     """File system and path of a shared folder."""
     from pyarrow import fs
@@ -171,13 +177,13 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER
             k = np.arange(part.num_rows)
             own = np.full(len(ids) + len(k), end_id, np.uint32)
             own[np.arange(len(ids)) + np.repeat(k, np.diff(ends))] = ids
-            words, size = frames(part.column("doc_id"), own, ends + np.append(0, k + 1))
+            words, size = frames(part.column("doc_id"), own, ends + np.append(0, k + 1), 2 if max(encode.size - 1, end_id) < 1 << 16 else 4)
             if out is None:
                 fs.create_dir(data, recursive=True)
                 out = fs.open_output_stream(name)
             out.write(words.astype("<u4").tobytes())
             stop = at + 4 * np.cumsum(size)
-            many = [np.full(len(k), shard, np.int32), (record + k).astype(np.int32), part.column("doc_id"), stop - 4 * size, 4 * size, size - FRAME_WORDS]
+            many = [np.full(len(k), shard, np.int32), (record + k).astype(np.int32), part.column("doc_id"), stop - 4 * size, 4 * size, np.diff(ends) + 1]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in many], ["shard", "record", "doc_id", "offset", "length", "n_tokens"])
             at, record = int(stop[-1]), record + len(k)
         if out is not None:
@@ -199,23 +205,25 @@ def whole_frames(raw: bytes) -> list[int]:
     return cuts
 
 
-def check(raw: bytes, cuts: list[int], name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of the frames, where each begins, and how many it has; raises if a length or checksum is wrong."""
+def check(raw: bytes, cuts: list[int], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the frames and where each begins; raises if a length or checksum is wrong."""
     words, at = np.frombuffer(raw[: cuts[-1]], "<u4"), np.array(cuts, np.int64) // 4
     at, size = at[:-1], np.diff(at)
-    if np.any(np.diff(cuts) % 4) or np.any(size < FRAME_WORDS):
+    if np.any(np.diff(cuts) % 4) or np.any(size < HEAD_WORDS + OWN_WORDS + TAIL_WORDS):
         raise ValueError(f"{name}: a record's length is wrong")
     if len(at) and not (np.array_equal(masked_crc32c(words, at, np.full(len(at), 2)), words[at + 2]) and np.array_equal(masked_crc32c(words, at + HEAD_WORDS, size - HEAD_WORDS - TAIL_WORDS), words[at + size - 1])):
         raise ValueError(f"{name}: a record's checksum is wrong")
-    return words, at, size
+    return words, at
 
 
-def decoded(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """doc_ids and the CRC-32 of each sequence's ids."""
+def decoded(words: np.ndarray, at: np.ndarray) -> tuple[pa.Array, list[np.ndarray]]:
+    """doc_ids and the ids of each sequence."""
     number = (words[at + 4].astype(np.uint64) | words[at + 5].astype(np.uint64) << np.uint64(32)).view(np.int64)
-    raw = memoryview(words).cast("B")
-    crc = np.array([zlib.crc32(raw[4 * (a + 6) : 4 * (a + n - 1)]) for a, n in zip(at.tolist(), size.tolist())], np.int64)
-    return pa.array(number, mask=words[at + 3] == 0), crc
+    kind = words[at + 3]
+    by_width = {2: words.view("<u2"), 4: words}
+    first = ((at + HEAD_WORDS + OWN_WORDS) * np.where(kind < 4, 2, 1)).tolist()
+    ids = [by_width[w & 6][a : a + n] for w, a, n in zip(kind.tolist(), first, words[at + 6].tolist())]
+    return pa.array(number, mask=kind % 2 == 0), ids
 
 
 def read(records: Records) -> DataFrame:
@@ -239,9 +247,9 @@ def read(records: Records) -> DataFrame:
                     want = READ_BYTES if len(cuts) > 1 or len(left) < 12 else max(READ_BYTES, int.from_bytes(left[:8], "little") + 16 - len(left))
                     if len(cuts) == 1:
                         continue
-                    words, at, size = check(left, cuts, shard_name(shard))
-                    doc_id, crc = decoded(words, at, size)
-                    n = size - FRAME_WORDS
+                    doc_id, ids = decoded(*check(left, cuts, shard_name(shard)))
+                    n = np.array([len(x) for x in ids], np.int64)
+                    crc = np.array([zlib.crc32(x.astype("<u4")) for x in ids], np.int64)
                     yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(x) for x in (start + np.cumsum(n) - n, n, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     start, left = start + int(n.sum()), left[cuts[-1] :]
             if left:
@@ -272,10 +280,11 @@ def read_shuffled(records: Records, seed: int, parts: int) -> DataFrame:
                     files[shard] = fs.open_input_file(f"{data}/{shard_name(shard)}")
                 files[shard].seek(offset)
                 raw = files[shard].read(length)
-                words, at, size = check(raw, whole_frames(raw), shard_name(shard))
-                if len(at) != 1 or len(raw) != length:
+                cuts = whole_frames(raw)
+                if cuts != [0, length]:
                     raise ValueError(f"{shard_name(shard)}: no record at {offset}")
-                held.append((part, place, decoded(words, at, size)[0][0].as_py(), words[HEAD_WORDS + 3 : -1].astype(np.int64)))
+                doc_id, ids = decoded(*check(raw, cuts, shard_name(shard)))
+                held.append((part, place, doc_id[0].as_py(), ids[0].astype(np.int64)))
                 room -= length
                 if room < 0:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names)

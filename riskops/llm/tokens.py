@@ -38,6 +38,7 @@ class WordTokens:
 
             tokenizer = public_tokenizers.path(tokenizer)
         whole = Tokenizer.from_file(tokenizer)
+        self.size = whole.get_vocab_size()
         self.encode, self.merge, self.cache = whole.encode_batch_fast, whole.model.tokenize, cache
         self.keep(np.zeros(0, np.int64), [])
         probe = "Ab1 c, \tÉß's <|x|>..  q"

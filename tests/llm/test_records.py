@@ -61,9 +61,11 @@ def test_files_hold_the_sequences_and_read_back_in_order(spark, tmp_path):
         assert int.from_bytes(raw[at + 8 : at + 12], "little") == slow_crc(raw[at : at + 8])
         body = raw[at + 12 : at + 12 + size]
         assert int.from_bytes(raw[at + 12 + size : at + 16 + size], "little") == slow_crc(body)
-        seen.append((int.from_bytes(body[4:12], "little"), len(body) // 4 - 3))
+        n = int.from_bytes(body[12:16], "little")
+        assert int.from_bytes(body[:4], "little") == 3 and len(body) == 16 + -(-n // 2) * 4
+        seen.append((int.from_bytes(body[4:12], "little"), n, crc(np.frombuffer(body[16 : 16 + 2 * n], "<u2"))))
         at += size + 16
-    assert seen == [(r[0], r[2]) for r in got[: len(seen)]]
+    assert seen == [(r[0], *r[2:]) for r in got[: len(seen)]]
 
 
 def test_shuffled_reads_seek_every_record_once(spark, tmp_path):
@@ -75,6 +77,14 @@ def test_shuffled_reads_seek_every_record_once(spark, tmp_path):
     assert [i for _, i, _ in one] != sorted(i for _, i, _ in one)
 
 
+def test_four_byte_ids():
+    ids, ends = np.array([70000, 1, 2, 3], np.uint32), np.array([0, 1, 1, 4])
+    out, size = records.frames(pa.array([5, None, -2]), ids, ends, 4)
+    words, at = records.check(out.tobytes(), [0, *(4 * np.cumsum(size)).tolist()], "x")
+    doc_ids, own = records.decoded(words, at)
+    assert doc_ids.to_pylist() == [5, None, -2] and [x.tolist() for x in own] == [[70000], [], [1, 2, 3]]
+
+
 def test_damage_is_an_error(spark, tmp_path):
     written = records.write(docs(spark, [(k, words(9, k), "en", "a") for k in range(20)]), str(tmp_path / "r"))
     (file,) = glob.glob(str(tmp_path / "r/data/*"))
