@@ -17,12 +17,8 @@ doc_id and piece; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,103 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import written
+from .tokens import by_bytes, word_tokens
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a bucket of the two-level rank, about.
 RANK_BUCKET = 4096
-#: Words that a Python worker keeps the ids of; beyond it starts anew.
-WORD_CACHE = 700_000
-#: Signs between a letter and white space.
-SIGNS = re.compile(rb"(?<=[a-z])([.,!*$%&#;:?)]+)(?=[ \n])")
-#: Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on, in order.
-BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-
-
-class WordIds:
-    """Token ids of texts, each different word encoded once for as long as it is kept.
-
-    The tokenizer drops white space before it merges, and its normaliser does nothing across
-    an ASCII white-space character, so the ids of a text are those of its words, joined. It
-    lower-cases, and takes a run of signs after a letter for itself: both are done before the
-    words are told apart, so that fewer of them differ. Texts that may hold one of the
-    tokenizer's special strings are only split. A word of Latin letters alone is one
-    pre-token and goes to the merges at once; the others take the tokenizer's whole way.
-    Other tokenizers than such ones are refused.
-    """
-
-    def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if not os.path.isabs(tokenizer):
-            import public_tokenizers
-
-            tokenizer = public_tokenizers.path(tokenizer)
-        whole = Tokenizer.from_file(tokenizer)
-        self.encode, self.merge = whole.encode_batch_fast, whole.model.tokenize
-        self.clear()
-        probe = "Ab1 c, \tÉß's <|x|>..  q"
-        if self([probe])[0].tolist() != whole.encode(probe, add_special_tokens=False).ids:
-            raise ValueError(f"{tokenizer} keeps white space or case")
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)  # where a word's ids begin; the next word's begin where they end
-        self.flat = np.zeros(1 << 18, np.uint32)
-
-    def add(self, new: list[bytes]) -> None:
-        ids: list[list[int]] = []
-        rest = []
-        for k, w in enumerate(text := [x.decode("utf-8") for x in new]):
-            latin = w.isalpha() and max(w) < "\u0100"
-            ids.append([t.id for t in self.merge(w.lower().encode().decode("latin-1").translate(BYTE_CHARS))] if latin else [])
-            if not latin:
-                rest.append(k)
-        for k, e in zip(rest, self.encode([text[k] for k in rest], add_special_tokens=False)):
-            ids[k] = e.ids
-        n, at = len(self.index), self.first[len(self.index)]
-        ends = at + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.first = room(self.first, n + len(new) + 1)
-        self.flat = room(self.flat, ends[-1])
-        self.first[n + 1 : n + len(new) + 1] = ends
-        self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] - at)
-        self.index.update(zip(new, range(n, n + len(new))))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, joined, and where each text's ids end (with a 0 before)."""
-        if len(self.index) > WORD_CACHE:
-            self.clear()
-        words = [split_words(t) for t in texts]
-        flat_words = list(chain.from_iterable(words))
-        if new := list(set(flat_words).difference(self.index)):
-            self.add(new)
-        codes = np.fromiter(map(self.index.__getitem__, flat_words), np.int64, len(flat_words))
-        first = self.first[codes]
-        n = self.first[codes + 1] - first
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[np.cumsum([0, *map(len, words)])]
-
-
-def room(x: np.ndarray, n: int) -> np.ndarray:
-    """``x`` with place for n values; it doubles when it grows."""
-    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
-
-
-def split_words(text: str) -> list[bytes]:
-    raw = text.encode("utf-8")
-    if b"<|" in raw:
-        return raw.split()
-    return SIGNS.sub(rb" \1", raw.lower()).split()
-
-
-@lru_cache(1)
-def word_ids(tokenizer: str) -> WordIds:
-    """One for all tasks of a Python worker."""
-    return WordIds(tokenizer)
-
 
 PIECE_FIELDS = "piece int, start long, length long, ids_crc32 long"
 
@@ -137,9 +43,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     more = ["place_"] if place else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer)
-        for part in slices(batches, 64):
-            ids, ends = encode([t or "" for t in part.column("text").to_pylist()])
+        encode = word_tokens(tokenizer)
+        for part in by_bytes(batches):
+            ids, ends = encode(part.column("text"))
             rows: list[tuple[int, int, int, int, int]] = []
             for k, (a, b) in enumerate(zip(ends, ends[1:])):
                 own = np.append(ids[a:b], np.uint32(0)).astype("<u4")

@@ -2,10 +2,11 @@ import itertools
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 
-from riskops.llm import mixing, packing, simhash
+from riskops.llm import mixing, packing, simhash, tokens
 
 from .helpers import DOC_SCHEMA, docs, hostile, words
 
@@ -87,15 +88,15 @@ def test_word_ids_are_the_texts_ids():
     t = encoder()
     texts = ["Hello,  world it's 42!", "", "a b\x1cc\u3000d", "ΣΑΣ ΟΔΟΣ\u0301 é", "x<|endoftext|> y", words(500, 4), "가 힣",
              "<|ENDOFTEXT|> A, b.) c!!\u0301 d, é, it's. don'T! x..., ,y .,", "<|endoftext|", "A\u030a, B? ÉÀß ªº µ İ \xad ÿ ñandú"]
-    own = packing.WordIds(packing.TOKENIZER)
+    own = tokens.WordTokens(packing.TOKENIZER)
     want = [t.encode(text, add_special_tokens=False).ids for text in texts]
     for _ in range(2):
-        ids, ends = own(texts)
+        ids, ends = own(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
     import pytest
 
     with pytest.raises(ValueError):
-        packing.WordIds("byte_bpe_50k.json")
+        tokens.WordTokens("byte_bpe_50k.json")
 
 
 def test_packing_is_whole_and_gapless(spark):
