@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a Python worker keeps the ids of; beyond it, those seen in one batch only go.
-WORD_CACHE = 600_000
+WORD_CACHE = 300_000
 #: Text bytes of a batch, about; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Signs between a letter and white space.
 SIGNS = r"([a-z])([.,!*$%&#;:?)]+)([ \n])"
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on, in order.
