@@ -26,18 +26,20 @@ from pyspark.sql import functions as F
 from riskops.session import scratch_path
 
 
-def _long(df: DataFrame, id_col: str, cols: Mapping[str, F.Column], value_name: str) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("ord"), c.alias(value_name))
-                    for i, (n, c) in enumerate(cols.items())])
-    return df.select(id_col, F.inline(arr))
+def shares(df: DataFrame, id_col: str, cols: Mapping[str, F.Column], value_name: str, out: str = "share_percent",
+           positive_only: bool = False) -> DataFrame:
+    """One row per feature with its percent of the row total (|v| or max(v,0)), rounded half-even to 2; all-zero rows -> 0.
 
-
-def share_percent(df: DataFrame, id_col: str, value_col: str, out: str = "share_percent",
-                  positive_only: bool = False) -> DataFrame:
-    """Percent of the row total (|v| or max(v,0)), rounded half-even to 2; all-zero rows -> 0."""
-    v = F.greatest(F.col(value_col), F.lit(0.0)) if positive_only else F.abs(F.col(value_col))
-    tot = F.sum(v).over(Window.partitionBy(id_col))  # a row's own few features: tiny partitions
-    return df.withColumn(out, F.when(tot <= 0, F.lit(0.0)).otherwise(F.bround(v / tot * 100.0, 2)))
+    The total is taken in the row, before it is laid out by feature: nothing is shuffled. Nulls do not add to it.
+    """
+    part = (lambda v: F.greatest(v, F.lit(0.0))) if positive_only else F.abs
+    names = list(cols)
+    d = df.select(id_col, F.array(*cols.values()).alias("_v"))
+    total = F.aggregate("_v", F.lit(0.0), lambda a, v: a + F.coalesce(part(v), F.lit(0.0)))
+    d = d.select(id_col, total.alias("_t"), F.posexplode("_v").alias("ord", value_name))
+    v = part(F.col(value_name))
+    return d.select(id_col, F.array(*map(F.lit, names))[F.col("ord")].alias("feature"), "ord", value_name,
+                    F.when(F.col("_t") <= 0, F.lit(0.0)).otherwise(F.bround(v / F.col("_t") * 100.0, 2)).alias(out))
 
 
 def linear_attribution(df: DataFrame, coefficients: Mapping[str, float], id_col: str,
@@ -47,7 +49,7 @@ def linear_attribution(df: DataFrame, coefficients: Mapping[str, float], id_col:
         r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(coefficients)]).first()
         means = {c: r[f"m{i}"] for i, c in enumerate(coefficients)}
     cols = {c: (F.col(c).cast("double") - F.lit(float(means[c]))) * F.lit(float(w)) for c, w in coefficients.items()}
-    return share_percent(_long(df, id_col, cols, "attribution"), id_col, "attribution")
+    return shares(df, id_col, cols, "attribution")
 
 
 def logistic_coefficients(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
@@ -60,8 +62,7 @@ def importance_contributions(model: PipelineModel, df: DataFrame, features: Sequ
     """Feature importance x |value| per row, normalised to % of the positive total."""
     imp = model.stages[-1].featureImportances.toArray()
     cols = {f: F.abs(F.col(f).cast("double")) * F.lit(float(imp[i])) for i, f in enumerate(features)}
-    out = _long(df, id_col, cols, "contribution")
-    return share_percent(out, id_col, "contribution", "contribution_percent", positive_only=True)
+    return shares(df, id_col, cols, "contribution", "contribution_percent", positive_only=True)
 
 
 def global_importance(attr: DataFrame, value_col: str = "attribution") -> DataFrame:
@@ -91,7 +92,8 @@ def tree_nodes(model, spark) -> tuple[list[dict], list[float], str]:
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold").collect()
+        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
+        "nodeData.split.numCategories").collect()
     md = spark.read.parquet(os.path.join(path, "treesMetadata"))
     tid, wcol = ("treeID", "weights") if "treeID" in md.columns else ("_1", md.columns[-1])
     meta = md.select(tid, wcol).collect()
