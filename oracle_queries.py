@@ -550,12 +550,12 @@ q("profile_duplicates", f"""SELECT cast(sum(rws) AS BIGINT) AS after_rows, count
   cast(sum(rws) - count(*) AS BIGINT) AS profile_duplicate_rows_after_dedup
 FROM (SELECT {PROFILE_KEY} AS p, count(*) AS rws FROM (SELECT DISTINCT {_PR} FROM profiles) d GROUP BY 1) g""", ("profiles",))
 
-OVERSAMPLE = f"""WITH c AS (SELECT target, count(*) AS n FROM harmonized GROUP BY target),
-m AS (SELECT max(n) AS M, count(*) AS k FROM c),
-r AS (SELECT h.row_id, h.target, CASE WHEN m.k < 2 THEN 1.0::DOUBLE ELSE m.M / c.n END AS ratio
-      FROM harmonized h JOIN c USING (target), m),
-x AS (SELECT row_id, target, CAST(floor(ratio) + CASE WHEN {U('os', 'row_id')} < ratio - floor(ratio) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r)
-SELECT row_id, target, CAST(unnest(range(copies)) AS INTEGER) AS copy FROM x WHERE copies > 0"""
+OVERSAMPLE = f"""WITH c AS (SELECT target, count(*) AS n FROM harmonized WHERE target IS NOT NULL GROUP BY target),
+d AS (SELECT target, j, cast(floor({U('os', "concat(cast(target AS VARCHAR), '|', cast(j AS VARCHAR))")} * n) AS BIGINT) AS k
+      FROM c, range((SELECT max(n) FROM c)) t(j)),
+r AS (SELECT row_id, target, row_number() OVER (PARTITION BY target ORDER BY {U('os', 'row_id')}, row_id) - 1 AS k
+      FROM harmonized WHERE target IS NOT NULL)
+SELECT row_id, target, CAST(row_number() OVER (PARTITION BY target, k ORDER BY j) - 1 AS INTEGER) AS copy FROM r JOIN d USING (target, k)"""
 
 q("oversample", OVERSAMPLE, ("harmonized",))
 
@@ -563,6 +563,26 @@ q("class_balance", f"""SELECT 'before' AS phase, source, target, count(*) AS n F
 UNION ALL SELECT 'after', 'all', target, count(*) FROM ({OVERSAMPLE.replace('WITH c AS', 'WITH c AS', 1)}) o GROUP BY target""",
   ("harmonized",))
 
+view("vectors", [], "SELECT vec_id AS row_id, embedding, CASE WHEN label = 5 THEN 1 ELSE 0 END AS y FROM embeddings")
+
+#: All pairs of minority rows: the brute force that the pruned join must equal.
+MINORITY = """m AS (SELECT row_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM vectors
+  WHERE y = 1 AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+nn AS (SELECT * FROM (SELECT a.row_id, b.row_id AS neighbor_id, list_distance(a.v, b.v) AS distance,
+    CAST(row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v, b.v), b.row_id) AS INTEGER) AS rank
+  FROM m a JOIN m b ON a.row_id <> b.row_id) t WHERE rank <= 5)"""
+q("smote_neighbors", f"WITH {MINORITY} SELECT row_id, neighbor_id, rank, distance FROM nn", ("vectors",), ("distance",))
+
+q("smote_rows", f"""WITH {MINORITY},
+r AS (SELECT *, row_number() OVER (ORDER BY {U('smote', 'row_id')}, row_id) - 1 AS k, count(*) OVER () AS n
+  FROM m JOIN (SELECT row_id, max(rank) AS degree FROM nn GROUP BY row_id) g USING (row_id)),
+s AS (SELECT y, count(*) AS n FROM vectors GROUP BY y),
+d AS (SELECT draw FROM range((SELECT max(n) - max(CASE WHEN y = 1 THEN n END) FROM s)) t(draw)),
+x AS (SELECT draw, r.*, CAST(floor({U('smote:nn', 'draw')} * degree) AS INTEGER) + 1 AS rank, {U('smote:gap', 'draw')} AS g
+  FROM d JOIN r ON r.k = CAST(floor({U('smote', 'draw')} * r.n) AS BIGINT))
+SELECT x.draw, x.row_id, len(x.v) AS dim, 1 AS y, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: x.v[i] + x.g * (b.v[i] - x.v[i]))) AS vec_sum
+FROM x JOIN nn ON nn.row_id = x.row_id AND nn.rank = x.rank JOIN m b ON b.row_id = nn.neighbor_id""", ("vectors",), ("vec_sum",))
+
 q("class_weights", """SELECT target AS label, n_c, n / (k * n_c) AS weight, CASE WHEN pos > 0 THEN (n - pos) / pos END AS scale_pos_weight
 FROM (SELECT target, count(*) AS n_c FROM harmonized GROUP BY target) c,
      (SELECT count(*) AS n, count(DISTINCT target) AS k, sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS pos FROM harmonized) t""",

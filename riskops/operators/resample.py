@@ -3,14 +3,14 @@
 ``u`` is a pure function of (seed, id), so an assignment never depends on partition
 layout or task retries.  Splits and folds rank the rows of each class by ``u``, so
 class sizes are exact; group folds deal out profiles sorted by their class counts; class
-balancing uses ``u`` itself, without any shuffle or window, and is exact in expectation.
+balancing draws row numbers by ``u``, so its sizes are exact too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskops.functions.exprs import uniform
@@ -92,31 +92,37 @@ def group_folds(df: DataFrame, profile_cols: Sequence[str], k: int = 5, seed: st
     return rows.join(folds, "profile").select(*rows.columns, "fold")
 
 
-def class_counts(df: DataFrame, label_col: str) -> dict:
-    """Per-class counts: one row per class (a bounded, tiny result)."""
-    return {r[0]: int(r[1]) for r in df.groupBy(label_col).count().collect()}
+#: Draws that one row is laid out to.
+DRAW_RANGE = 10_000
 
 
-def oversample(df: DataFrame, id_col: str, label_col: str, seed: str = "os", minority_only: bool = True) -> DataFrame:
-    """random oversampling to the majority size, train rows only.
+def draws(spark: SparkSession, n: int) -> DataFrame:
+    """``draw`` from 0 to n - 1, made where they are used."""
+    return spark.range(0, n, 1, max(1, -(-n // (100 * DRAW_RANGE)))).withColumnRenamed("id", "draw")
 
-    Each row of class c is emitted ``floor(M/n_c)`` times plus once more when
-    u(seed, id) < frac(M/n_c), so class sizes equal M in expectation.  Rows are
-    copied in place (narrow ``explode(sequence)``), nothing shuffles.  With
-    ``minority_only=False`` the majority class gets the same rule (one copy).
+
+def oversample(df: DataFrame, id_col: str, label_col: str, seed: str = "os") -> DataFrame:
+    """random oversampling with replacement, train rows only: every class, the largest too, gets the largest class's size.
+
+    Draw j of a class takes its row number ``floor(u(seed, class|j) * size)``. Only how often a
+    number is drawn meets the rows, by a join on (class, number), so no task holds a class. ``copy`` numbers
+    a row's draws from 0. Rows without a label are left out; a single class is returned as it is, with copy 0.
     """
-    counts = class_counts(df, label_col)
-    if len(counts) < 2:
+    df = df.where(F.col(label_col).isNotNull())
+    sizes = df.groupBy(F.col(label_col).cast("string").alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+    total = sizes.agg(F.max("_size").alias("n"), F.count(F.lit(1)).alias("classes")).first()
+    if total.classes < 2:
         return df.withColumn("copy", F.lit(0))
-    m = max(counts.values())
-    ratio = F.lit(None).cast("double")
-    for c, n in counts.items():
-        ratio = F.when(F.col(label_col) == F.lit(c), F.lit(m / n)).otherwise(ratio)
-    base = F.floor(ratio)
-    extra = F.when(uniform(seed, id_col) < ratio - base, 1).otherwise(0)
-    copies = (base + extra).cast("int")
-    return df.withColumn("_copies", copies).where(F.col("_copies") > 0) \
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    # a class's draws in ranges, dealt out before they are laid out
+    ranges = F.explode(F.sequence(F.lit(0), F.lit((total.n - 1) // DRAW_RANGE).cast("long"))).alias("_range")
+    first = F.col("_range") * DRAW_RANGE
+    j = F.explode(F.sequence(first, F.least(first + DRAW_RANGE, F.lit(total.n)) - 1)).alias("_j")
+    drawn = sizes.select("_class", "_size", ranges).repartition("_class", "_range").select("_class", "_size", j)
+    number = F.floor(uniform(seed, F.concat_ws("|", "_class", "_j")) * F.col("_size"))
+    drawn = drawn.groupBy("_class", number.alias("class_rank")).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = class_rank(df, id_col, label_col, seed).withColumn("_class", F.col(label_col).cast("string"))
+    rows = rows.join(drawn, ["_class", "class_rank"])
+    return rows.select(*df.columns, F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias("copy"))
 
 
 def class_weights(df: DataFrame, label_col: str, positive=1) -> DataFrame:

@@ -877,7 +877,7 @@ def q_smote_rows(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     nb = NB.smote_neighbors(v, "row_id", "embedding", "y", 1, k=5)
     s = NB.smote_rows(v, nb, "row_id", "embedding", "y", 1)
-    return finish(s.select("row_id", "copy", F.size("embedding").alias("dim"), "y",
+    return finish(s.select("draw", "row_id", F.size("embedding").alias("dim"), "y",
                            F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b).alias("vec_sum")))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, TINY
 from riskops.operators import explain as X
-from riskops.operators import neighbors as NB
 from riskops.plans import catalog as C
 from riskops.session import scratch_path
 from riskops.sources import adapters as A
@@ -40,33 +39,6 @@ def test_tree_attribution_is_additive(spark):
     assert diff < 1e-9
 
 
-def test_smote_recall_vs_brute_force(spark):
-    v = A.vectors(spark, SMALL)
-    k = 5
-    nb = NB.smote_neighbors(v, "row_id", "embedding", "y", 1, k=k)
-    got = {(r.row_id, r.neighbor_id) for r in nb.collect()}
-    m = v.where("y = 1").select("row_id", "embedding").collect()
-    ids = np.array([r.row_id for r in m])
-    X_ = np.array([r.embedding for r in m], dtype=float)
-    d = ((X_[:, None, :] - X_[None, :, :]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    want = set()
-    for i in range(len(ids)):
-        order = np.lexsort((ids, d[i]))[:k]
-        want |= {(ids[i], ids[j]) for j in order}
-    recall = len(got & want) / len(want)
-    assert recall >= 0.9
-
-
-def test_smote_rows_lie_between_neighbours(spark):
-    v = A.vectors(spark, TINY)
-    nb = NB.smote_neighbors(v, "row_id", "embedding", "y", 1, k=5)
-    s = NB.smote_rows(v, nb, "row_id", "embedding", "y", 1)
-    n_min = v.where("y = 1").count()
-    n_maj = v.where("y = 0").count()
-    assert abs(s.count() - (n_maj - n_min)) <= 4 * np.sqrt(max(n_maj - n_min, 1)) + 1
-
-
 def test_stream_restart_writes_nothing_twice(spark):
     """A second availableNow run on the same checkpoint finds no new files: the sink is unchanged."""
     run = scratch_path(spark, f"test-restart-{np.random.default_rng().integers(1 << 62)}")
@@ -87,27 +59,6 @@ def test_stream_equals_batch_timeline(spark):
     assert s.exceptAll(b.select(*s.columns)).count() == 0
 
 
-def test_smote_hot_bucket_is_exact_for_duplicates(spark):
-    """A third of the minority rows share one vector: with a tiny bucket bound they take the
-    hot path (pairs with the k+1 smallest ids only), which must equal brute force there."""
-    k = 5
-    v = A.vectors(spark, SMALL).where("y = 1")
-    dim = v.select(F.size("embedding")).first()[0]
-    dup = v.withColumn("embedding", F.when(F.col("row_id") % 3 == 0, F.array(*[F.lit(0.5)] * dim))
-                       .otherwise(F.col("embedding").cast("array<double>")))
-    nb = NB.smote_neighbors(dup, "row_id", "embedding", "y", 1, k=k, max_bucket=4)
-    group = sorted(r.row_id for r in dup.where(F.col("row_id") % 3 == 0).select("row_id").collect())
-    assert len(group) > k + 1
-    got = {}
-    for r in nb.where(F.col("row_id") % 3 == 0).collect():
-        got.setdefault(r.row_id, []).append((r.rank, r.neighbor_id, r.distance))
-    for rid in group:
-        want = [g for g in group if g != rid][:k]
-        rows = sorted(got[rid])
-        assert [n for _, n, _ in rows] == want
-        assert all(dist == 0.0 for _, _, dist in rows)
-
-
 def test_latest_state_resumes_from_storage(spark):
     """A second run on the same state and checkpoint folders starts from the stored version."""
     run = scratch_path(spark, f"test-latest-{np.random.default_rng().integers(1 << 62)}")

@@ -69,14 +69,19 @@ def test_group_folds_never_overlap(spark):
     assert {r[0] for r in f.select("fold").distinct().collect()} <= set(range(5))
 
 
-def test_oversample_equalises(spark):
+def test_oversample_draws_with_replacement_to_the_exact_size(spark):
     s = A.scored(spark, SMALL).select("prediction_id", "y")
-    counts = RS.class_counts(s, "y")
-    o = RS.oversample(s, "prediction_id", "y")
-    after = RS.class_counts(o, "y")
-    m = max(counts.values())
-    for c in counts:
-        assert abs(after[c] - m) <= 4 * np.sqrt(m)
+    sizes = {r.y: r["count"] for r in s.groupBy("y").count().collect()}
+    o = RS.oversample(s.union(spark.createDataFrame([(-1, None)], "prediction_id long, y int")), "prediction_id", "y")
+    after = {r.y: r["count"] for r in o.groupBy("y").count().collect()}
+    assert after == dict.fromkeys(sizes, max(sizes.values()))
+    # the largest class is drawn too: about 1 - 1/e of its rows come out
+    big = max(sizes, key=sizes.get)
+    share = o.where(F.col("y") == big).select("prediction_id").distinct().count() / sizes[big]
+    assert abs(share - 0.632) < 0.02
+    assert o.groupBy("prediction_id").agg(F.countDistinct("copy").alias("a"), F.count("*").alias("b"), F.max("copy").alias("c")).where("a <> b OR c <> b - 1").count() == 0
+    one = RS.oversample(s.where("y = 1"), "prediction_id", "y")
+    assert one.count() == sizes[1] and RS.oversample(s.where("y = 7"), "prediction_id", "y").count() == 0
 
 
 def test_chunks_rejoin_to_text(spark):
