@@ -992,15 +992,22 @@ q("stream_risk_alerts", f"""SELECT prediction_id, patient_id, risk_percent, 'que
 q("stream_timeline", "SELECT patient_id, prediction_id, ts, gestational_weeks, risk_percent FROM predictions",
   ("predictions",), ("risk_percent",))
 q("stream_fairness_daily", f"""WITH g AS (SELECT date_trunc('day', ts) AS day, coalesce(income_band, 'unknown') AS grp,
-    sum(CASE WHEN risk_percent >= 60.0::DOUBLE THEN 1 ELSE 0 END) / count(*) AS rate FROM predictions GROUP BY 1, 2),
-closed AS (SELECT * FROM g WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM predictions) - INTERVAL 1 HOUR)
+    sum(CASE WHEN risk_percent >= 60.0::DOUBLE THEN 1 ELSE 0 END) / count(*) AS rate FROM predictions GROUP BY 1, 2)
 SELECT CAST(day AS TIMESTAMP) AS day, count(*) AS n_groups, cast(sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero_groups,
   CASE WHEN sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) >= 2 THEN min(CASE WHEN rate > 0 THEN rate END) / max(CASE WHEN rate > 0 THEN rate END)
        ELSE 1.0::DOUBLE END AS disparate_impact,
   coalesce(sum(CASE WHEN rate > 0 THEN 1 ELSE 0 END) >= 2 AND
-           min(CASE WHEN rate > 0 THEN rate END) / max(CASE WHEN rate > 0 THEN rate END) < 0.8::DOUBLE, false) AS bias_detected
-FROM closed GROUP BY day""", ("predictions",), ("disparate_impact",))
-SQL["stream_consent_gate"] = SQL["consent_gate"]
+           min(CASE WHEN rate > 0 THEN rate END) / max(CASE WHEN rate > 0 THEN rate END) < 0.8::DOUBLE, false) AS bias_detected,
+  cast(0 AS BIGINT) AS late_rows
+FROM g GROUP BY day""", ("predictions",), ("disparate_impact",))
+q("stream_consent_gate", """SELECT a.prediction_id, a.patient_id, r.reason, r.reason IS NULL AS allowed FROM assessments a
+ASOF LEFT JOIN (SELECT patient_id, ts, arg_max(consent_given, seq) AS consent_given, arg_max(consent_scope, seq) AS consent_scope
+  FROM consents GROUP BY patient_id, ts) c ON a.patient_id = c.patient_id AND a.ts >= c.ts,
+LATERAL (SELECT CASE WHEN a.patient_id IS NULL OR a.patient_id = '' THEN NULL
+  WHEN c.patient_id IS NULL THEN 'Consent record required for patient'
+  WHEN NOT coalesce(c.consent_given, false) THEN 'Consent not granted by patient'
+  WHEN NOT coalesce(list_contains(c.consent_scope, 'risk_scoring'), false) THEN 'Consent scope missing: risk_scoring'
+  END AS reason) r""", ("assessments", "consents"))
 q("stream_feedback_join", """SELECT p.prediction_id, p.patient_id, f.clinician_label, p.ts AS prediction_ts, f.ts AS feedback_ts
 FROM assessments p JOIN feedback f ON p.prediction_id = f.prediction_id
   AND f.ts >= p.ts AND f.ts <= p.ts + INTERVAL 14 DAY""", ("assessments", "feedback"))

@@ -57,6 +57,22 @@ def consent_gate(requests: DataFrame, consents: DataFrame, scope: str, patient_c
         .drop("_cp", "consent_given", "consent_scope")
 
 
+def consent_gate_as_of(requests: DataFrame, consents: DataFrame, scope: str) -> DataFrame:
+    """C3 in event time: ``allowed`` + ``reason`` by the consent in force at each request's ``ts`` (consents of that very time included)."""
+    one = F.struct("ts", "seq", "consent_given", "consent_scope")
+    changes = consents.select("patient_id", "ts", F.lit(0).alias("_kind"), "seq", one.alias("_c"), F.lit(None).cast("long").alias("prediction_id"))
+    asked = requests.select("patient_id", "ts", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(changes.schema["_c"].dataType).alias("_c"), "prediction_id")
+    anon = F.col("patient_id").isNull() | (F.col("patient_id") == "")
+    w = Window.partitionBy("patient_id").orderBy("ts", "_kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = changes.unionByName(asked.where(~anon)).withColumn("_now", F.last("_c", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+    reason = (F.when(F.col("_now").isNull(), F.lit(CONSENT_REQUIRED))
+              .when(~F.coalesce(F.col("_now.consent_given"), F.lit(False)), F.lit(CONSENT_NOT_GRANTED))
+              .when(~F.coalesce(F.array_contains("_now.consent_scope", scope), F.lit(False)), F.lit(CONSENT_SCOPE_MISSING + scope)))
+    out = j.select("prediction_id", "patient_id", reason.alias("reason"))
+    free = requests.where(anon).select("prediction_id", "patient_id", F.lit(None).cast("string").alias("reason"))
+    return out.unionByName(free).withColumn("allowed", F.col("reason").isNull())
+
+
 # Clinician label -> training label; other labels are dropped.
 FEEDBACK_TARGETS = {"high": "Depressed", "low": "Not"}
 

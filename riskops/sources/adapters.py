@@ -82,17 +82,18 @@ def consents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consents_from(assess: DataFrame) -> DataFrame:
     """Consent-change projection of a request log (batch or streaming)."""
     a = assess.where(F.col("event_type") == "signup")
+    given, scope = consent_columns()
+    return a.select("patient_id", given.alias("consent_given"), "ts", F.col("prediction_id").alias("seq"),
+                    scope.alias("consent_scope"))
+
+
+def consent_columns() -> tuple[F.Column, F.Column]:
+    """Whether a sign-up of the request log gives consent, and the scope it names."""
     k = F.col("k")
-    return a.select(
-        "patient_id",
-        (k % 4 != 0).alias("consent_given"),
-        "ts",
-        F.col("prediction_id").alias("seq"),
-        F.when(k % 3 == 0, F.array(F.lit("risk_scoring")))
-        .when(k % 3 == 1, F.array(F.lit("chat_assessment")))
-        .otherwise(F.array(F.lit("chat_assessment"), F.lit("risk_scoring"), F.lit("model_improvement")))
-        .alias("consent_scope"),
-    )
+    scope = (F.when(k % 3 == 0, F.array(F.lit("risk_scoring")))
+             .when(k % 3 == 1, F.array(F.lit("chat_assessment")))
+             .otherwise(F.array(F.lit("chat_assessment"), F.lit("risk_scoring"), F.lit("model_improvement"))))
+    return k % 4 != 0, scope
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from riskops.operators import fairness, logs, risk
 from riskops.session import scratch_path
 from riskops.sources import adapters as A
+from riskops.streaming import state
 
 #: How late an event may be by default: rows later than this are dropped by H2, H3 and H5.
 WATERMARK = "1 hour"
@@ -120,17 +123,55 @@ def stream_timeline(spark: SparkSession, sf_dir: str, duplicates: int = 2,
 # ------------------------------------------------------------------ H3
 
 
-def stream_fairness_daily(spark: SparkSession, sf_dir: str, threshold: float = 60.0,
-                          watermark: str = WATERMARK) -> DataFrame:
+def last_event(spark: SparkSession, sf_dir: str, *after: str) -> str:
+    """The time a closing heartbeat of a whole table carries: its last event plus the intervals ``after``."""
+    t = F.max("ts").cast("timestamp")
+    for more in after:
+        t = t + F.expr(f"INTERVAL {more}")
+    t = A.table(spark, sf_dir, "events").agg(t.cast("string").alias("t")).first().t
+    return t or "1970-01-01 00:00:00"
+
+
+def run_and_close(spark: SparkSession, start: Callable[[], StreamingQuery], beats: str, closing: str | None) -> int:
+    """Run a stream over what is there, then over a closing heartbeat; the rows it dropped as too late."""
+    q = start()
+    q.awaitTermination()
+    late = state.dropped_rows(q)
+    if closing:
+        state.beat(spark, beats, closing)
+        q = start()
+        q.awaitTermination()
+        late += state.dropped_rows(q)
+    return late
+
+
+def stream_fairness_daily(spark: SparkSession, sf_dir: str, threshold: float = 60.0, watermark: str = WATERMARK,
+                          close: bool = True, max_files: int | None = None, run: str | None = None) -> DataFrame:
     """H3: per day and group, the share with risk >= threshold (tumbling window, watermark, append);
-    then DI per closed day.  Rows later than the watermark are dropped, as a monitor must."""
-    s = with_event_time(risk.score_requests(A.assessments_from(event_stream(spark, sf_dir))))
-    g = (s.withWatermark("event_time", watermark)
-         .groupBy(F.window("event_time", "1 day").alias("w"), fairness.group_col_expr("income_band").alias("group"))
-         .agg(F.count(F.lit(1)).alias("total"),
-              F.sum(F.when(F.col("risk_percent") >= threshold, 1).otherwise(0)).alias("positives"))
+    then DI per closed day.
+
+    A closing heartbeat, if ``close``, lets the last days out. Rows later than the watermark are not
+    in any day; ``late_rows`` counts them, the same in every row.
+    """
+    run = run or f"stream-fairness-{uuid.uuid4().hex}"
+    out, ckpt = scratch_path(spark, f"{run}/out"), scratch_path(spark, f"{run}/checkpoint")
+    beats = state.heartbeat_folder(spark, run)
+    s = with_event_time(risk.score_requests(A.assessments_from(event_stream(spark, sf_dir, max_files=max_files))))
+    s = s.select("event_time", "risk_percent", fairness.group_col_expr("income_band").alias("group"))
+    g = (state.with_heartbeats(s, beats).withWatermark("event_time", watermark)
+         .groupBy(F.window("event_time", "1 day").alias("w"), "group")
+         .agg(F.count(F.when(F.col("is_row"), 1)).alias("total"),
+              F.sum(F.when(F.col("is_row") & (F.col("risk_percent") >= threshold), 1).otherwise(0)).alias("positives"))
+         .where(F.col("total") > 0)
          .select(F.col("w.start").cast("timestamp_ntz").alias("day"), "group", "total", "positives"))
-    daily = read_sink(spark, run_to_sink(spark, g, "fairness_daily"))
+
+    def start() -> StreamingQuery:
+        return (g.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+                .trigger(availableNow=True).start())
+
+    with state.rocksdb(spark):
+        late = run_and_close(spark, start, beats, last_event(spark, sf_dir, watermark, "2 DAYS") if close else None)
+    daily = read_sink(spark, out, "day timestamp_ntz, `group` string, total long, positives long")
     rates = daily.select("day", "group", (F.col("positives") / F.col("total")).alias("positive_rate"))
     nz = F.col("positive_rate") > 0
     per = rates.groupBy("day").agg(
@@ -140,29 +181,38 @@ def stream_fairness_daily(spark: SparkSession, sf_dir: str, threshold: float = 6
     enough = F.col("n_nonzero_groups") >= 2
     di = F.when(enough, F.col("min_rate") / F.col("max_rate")).otherwise(F.lit(1.0))
     return per.select("day", "n_groups", "n_nonzero_groups", di.alias("disparate_impact"),
-                      F.coalesce(enough & (di < fairness.DI_THRESHOLD), F.lit(False)).alias("bias_detected"))
+                      F.coalesce(enough & (di < fairness.DI_THRESHOLD), F.lit(False)).alias("bias_detected"),
+                      F.lit(late).cast("long").alias("late_rows"))
 
 
 # ------------------------------------------------------------------ H4
 
 
-def stream_consent_gate(spark: SparkSession, sf_dir: str, scope: str = "risk_scoring",
-                        consent_state: str | None = None) -> DataFrame:
-    """H4: gate each micro-batch of requests on the consent view in force, re-read per batch.
+def stream_consent_gate(spark: SparkSession, sf_dir: str, scope: str = "risk_scoring", watermark: str = WATERMARK,
+                        max_files: int | None = None, close: bool = True, run: str | None = None) -> DataFrame:
+    """H4: answer each request by the consent in force at its time; consents and requests are one stream, keyed by patient.
 
-    With ``consent_state`` (the state folder maintained by ``stream_latest_state``)
-    each batch joins the current one-row-per-patient table; without it the
-    current view is derived from the consent log for every batch.
+    The state holds what the watermark has not passed and one consent a patient (``state.ConsentGate``).
+    A closing heartbeat, if ``close``, answers what still waits. Requests later than the watermark get no
+    answer, as the consents of their time may be gone. ``run`` names the folder of the sink and the
+    checkpoint: the same one goes on where it stopped.
     """
-    req = A.assessments_from(event_stream(spark, sf_dir)).select("prediction_id", "patient_id")
+    run = run or f"stream-gate-{uuid.uuid4().hex}"
+    out, ckpt = scratch_path(spark, f"{run}/out"), scratch_path(spark, f"{run}/checkpoint")
+    beats = state.heartbeat_folder(spark, run)
+    log = with_event_time(A.assessments_from(event_stream(spark, sf_dir, max_files=max_files)))
+    given, scopes = A.consent_columns()
+    change = F.when(F.col("event_type") == "signup", F.struct(given.alias("given"), scopes.alias("scope")))
+    rows = state.gate_rows(log.select("patient_id", "event_time", "prediction_id", change.alias("consent")), scope)
+    answers = state.gated(state.with_heartbeats(rows, beats), scope, watermark)
 
-    def gate(batch: DataFrame, batch_id: int) -> DataFrame:
-        current = _latest_version(spark, consent_state) if consent_state else None
-        if current is None:
-            current = A.consents(spark, sf_dir)  # static snapshot of the log, refreshed every micro-batch
-        return logs.consent_gate(batch, current, scope)
+    def start() -> StreamingQuery:
+        return (answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+                .outputMode("append").trigger(availableNow=True).start())
 
-    return read_sink(spark, run_foreach_batch(spark, req, "consent_gate", gate)).drop("batch_id")
+    with state.rocksdb(spark):
+        run_and_close(spark, start, beats, last_event(spark, sf_dir, watermark, "1 DAY") if close else None)
+    return read_sink(spark, out, state.GATE_OUT)
 
 
 # ------------------------------------------------------------------ H5
@@ -187,68 +237,59 @@ def stream_feedback_join(spark: SparkSession, sf_dir: str, within_days: int = 14
 # ------------------------------------------------------------------ H6
 
 
-def _latest_version(spark: SparkSession, state_root: str, below: int | None = None) -> DataFrame | None:
-    """The newest ``version=<n>`` partition of a state folder (optionally below ``below``), or None."""
-    try:
-        st = spark.read.parquet(state_root)
-    except AnalysisException as e:
-        if not nothing_written(e):  # a state that can't be read must not be taken for an empty one
-            raise
-        return None
-    if below is not None:
-        st = st.where(F.col("version") < below)
-    top = st.agg(F.max("version").alias("v")).first()["v"]
-    if top is None:
-        return None
-    return st.where(F.col("version") == top).drop("version")
-
-
 def stream_latest_state(spark: SparkSession, sf_dir: str, state_root: str | None = None,
-                        checkpoint: str | None = None) -> DataFrame:
-    """H6: fold each micro-batch of consent changes into a versioned 'latest per patient' table.
+                        checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
+    """H6: the latest consent per patient, as keyed state; a batch writes only the patients it changes.
 
-    Version ``n`` (folder ``version=n``) = latest_by_key(newest version below n U batch n).
-    The versions live in the state folder, not in the driver: a job restarted on
-    the same ``state_root`` and ``checkpoint`` resumes from the last committed
-    version, and a replayed batch rewrites its own version (idempotent).
+    The state store holds one row a patient. In update mode each batch emits the changed rows to
+    ``batch_id=<n>`` of the state folder (a replayed batch overwrites its own), and the latest of a patient's
+    rows is the table. A job restarted on the same ``state_root`` and ``checkpoint`` goes on from its state.
     """
-    c = A.consents_from(A.assessments_from(event_stream(spark, sf_dir)))
+    c = A.consents_from(A.assessments_from(event_stream(spark, sf_dir, max_files=max_files)))
     run = f"stream-latest-{uuid.uuid4().hex}"
     state_root = state_root or scratch_path(spark, f"{run}/state")
     checkpoint = checkpoint or scratch_path(spark, f"{run}/checkpoint")
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        cur = logs.consent_latest(batch)
-        prev = _latest_version(spark, state_root, below=batch_id)
-        if prev is not None:
-            cur = logs.consent_latest(prev.unionByName(cur))
-        cur.write.mode("overwrite").parquet(f"{state_root}/version={batch_id}")
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}")
 
-    q = c.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    latest = _latest_version(spark, state_root)
-    if latest is None:
-        return spark.createDataFrame([], "patient_id string, ts timestamp_ntz, seq long, consent_given boolean, "
-                                         "consent_scope array<string>")
-    return latest
+    with state.rocksdb(spark):
+        q = (logs.consent_latest(c).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
+             .outputMode("update").trigger(availableNow=True).start())
+        q.awaitTermination()
+    schema = "patient_id string, ts timestamp_ntz, seq long, consent_given boolean, consent_scope array<string>"
+    return logs.consent_latest(read_sink(spark, state_root, schema))
 
 
 # ------------------------------------------------------------------ H7
 
 
-def stream_retrain_trigger(spark: SparkSession, sf_dir: str, min_feedback: int = 50) -> DataFrame:
-    """H7: running count of usable feedback (known prediction, label high/low); trigger at ``min_feedback``."""
-    known = A.assessments(spark, sf_dir).select("prediction_id")
-    fb = A.feedback_from(event_stream(spark, sf_dir))
-    usable = fb.where(F.lower(F.trim("clinician_label")).isin(*logs.FEEDBACK_TARGETS)) \
-        .join(known, "prediction_id", "left_semi")
-    counts = usable.groupBy().agg(F.count(F.lit(1)).alias("feedback_rows"))
+def usable_feedback(predictions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Feedback records (label high / low) whose prediction is known, each once, when the later of the two has come."""
+    known = predictions.select("prediction_id").dropDuplicates(["prediction_id"])
+    fb = feedback.where(F.lower(F.trim("clinician_label")).isin(*logs.FEEDBACK_TARGETS))
+    fb = fb.select(F.col("prediction_id").alias("of"), "clinician_label", "ts").dropDuplicates(["of", "clinician_label", "ts"])
+    return known.join(fb, F.col("prediction_id") == F.col("of")).select("prediction_id", "clinician_label", "ts")
+
+
+def stream_retrain_trigger(spark: SparkSession, sf_dir: str, min_feedback: int = 50, duplicates: int = 2,
+                           max_files: int | None = None) -> DataFrame:
+    """H7: running count of usable feedback (label high / low) whose prediction is known; trigger at ``min_feedback``.
+
+    Predictions and feedback are both streams that may repeat rows (here the source is replayed
+    ``duplicates`` times): each feedback record counts once, when it and its prediction have come, whichever
+    is first. A batch writes the number it adds; the count is the sum over the batches.
+    """
+    def replayed(project: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        s = [project(event_stream(spark, sf_dir, max_files=max_files)) for _ in range(duplicates)]
+        return reduce(DataFrame.unionByName, s)
+
+    usable = usable_feedback(replayed(A.assessments_from), replayed(A.feedback_from))
 
     def emit(batch: DataFrame, batch_id: int) -> DataFrame:
-        return batch.select("feedback_rows", F.lit(int(min_feedback)).alias("min_feedback"),
-                            (F.col("feedback_rows") >= min_feedback).alias("retrain"),
-                            F.lit(batch_id).cast("long").alias("at_batch"))
+        return batch.agg(F.count(F.lit(1)).alias("added"))
 
-    out = read_sink(spark, run_foreach_batch(spark, counts, "retrain_trigger", emit, mode="complete"))
-    last = out.agg(F.max("at_batch").alias("b"))
-    return out.join(last, out["at_batch"] == last["b"]).select("feedback_rows", "min_feedback", "retrain")
+    with state.rocksdb(spark):
+        path = run_foreach_batch(spark, usable, "retrain_trigger", emit)
+    out = read_sink(spark, path, "added long").agg(F.coalesce(F.sum("added"), F.lit(0)).alias("feedback_rows"))
+    return out.select("feedback_rows", F.lit(int(min_feedback)).alias("min_feedback"), (F.col("feedback_rows") >= min_feedback).alias("retrain"))

@@ -105,14 +105,3 @@ def test_log_append_and_metrics_report(spark):
     assert back.keys() == want.keys()
     for k, v in want.items():
         assert back[k] == pytest.approx(v)
-
-
-def test_consent_gate_on_maintained_state(spark):
-    """H4 against the H6 state table equals H4 against the consent log."""
-    run = scratch_path(spark, f"test-gate-{np.random.default_rng().integers(1 << 62)}")
-    S.stream_latest_state(spark, TINY, state_root=f"{run}/state", checkpoint=f"{run}/ckpt")
-    cols = ["prediction_id", "allowed", "reason"]
-    a = S.stream_consent_gate(spark, TINY).select(*cols)
-    b = S.stream_consent_gate(spark, TINY, consent_state=f"{run}/state").select(*cols)
-    assert a.count() == b.count() > 0
-    assert a.exceptAll(b).count() == 0

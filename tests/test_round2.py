@@ -36,11 +36,11 @@ def test_streams_read_tables_of_several_parts(spark, tmp_path):
 
 
 def test_unreadable_state_fails(spark, tmp_path):
-    (tmp_path / "version=0").mkdir()
-    (tmp_path / "version=0" / "part-0.parquet").write_text("not a table")
+    (tmp_path / "batch_id=0").mkdir()
+    (tmp_path / "batch_id=0" / "part-0.parquet").write_text("not a table")
     with pytest.raises(Exception):
-        jobs._latest_version(spark, str(tmp_path))
-    assert jobs._latest_version(spark, str(tmp_path / "none")) is None
+        jobs.read_sink(spark, str(tmp_path), "a long")
+    assert jobs.read_sink(spark, str(tmp_path / "none"), "a long").collect() == []
 
 
 def test_lexical_search_finds_short_queries(spark):
