@@ -1,30 +1,49 @@
 """Guideline retrieval: chunking (G7), TF-IDF postings (G8), sparse cosine top-k
 (G9 / C6), lexical fall-back (G10) and answer assembly (G11).
 
-The index is a ``postings(source, chunk_id, term, weight)`` table: scoring is an
-equi-join of query terms with postings on ``term`` plus a ``groupBy`` sum, i.e.
-a sparse matrix product that Spark partitions by term.  Frequent terms make
-that join skewed; the query side is broadcast when its size is checked small
-(then the postings never shuffle), otherwise AQE's skew-join split handles the
-hot terms.  Top-k per query is ``row_number <= k``, which Spark plans as a
-WindowGroupLimit before the shuffle.
+The index is a ``postings(source, chunk_id, term, weight)`` table.  A chunk's terms are
+counted, looked up in the vocabulary and normalised inside its Arrow batch, so the only
+shuffle is that of the corpus counts by term.
+
+Top-k is pruned by bounds (MaxScore).  A term adds at most its query weight times its greatest
+weight in a block of chunks of like norm.  The chunks that a query's rarest terms like best are
+scored whole; the k-th best of them is a floor.  Terms whose bounds in a block together stay
+below the floor cannot bring in a chunk of it, so only the postings of the others make
+candidates, and those that can still reach the floor are scored whole.  Results are those of the full product
+(``similarity``).  Top-k per query is ``row_number <= k``, which Spark plans as a WindowGroupLimit
+before the shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskops.functions.exprs import spread
-from riskops.session import ensure_checkpoint_dir
+from riskops.session import ensure_checkpoint_dir, written
 
 # Python's str.split() whitespace, as a class both Java regex and RE2 read the same way.
 PY_SPACE = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
             "\\x{202F}\\x{205F}\\x{3000}]+")
 # Tokens of the default TfidfVectorizer pattern (two or more word characters), portable spelling.
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
-SCORE_DECIMALS = 9
-CHUNK_SENTINEL = ""  # per-chunk marker term in the statistics pass (no token or bigram is empty)  # ranking is done on scores rounded here, so float noise cannot reorder exact ties
+TOKEN = re.compile(r"\w{2,}")  # the same tokens in Python
+SCORE_DECIMALS = 9  # ranking is done on scores rounded here, so float noise cannot reorder exact ties
+CHUNK_SENTINEL = ""  # marker term that counts the chunks in the statistics pass (no token or bigram is empty)
+FLOOR_POSTINGS = 2_000  # postings of a query's rarest terms that give its floor, about
+FLOOR_CHUNKS = 8  # chunks scored whole for a query's floor, for each of its k
+BLOCKS_AN_OCTAVE = 4  # blocks of chunks whose norms differ by a factor of 2
+REST_SHARE = 0.3  # part of the floor that the terms left out may add: less makes more postings, more makes more candidates
+PLAIN_POSTINGS = 50_000_000  # postings of all queries' terms up to which no bounds are made
+BOUND_SLACK = 1e-9  # what rounding may take from a bound, as a part of it
 BROADCAST_QUERY_TERMS = 250_000  # (query_id, term, weight) rows: about 15 MB broadcast at most
 
 
@@ -81,48 +100,79 @@ def term_counts(df: DataFrame, key_cols: list[str], text_col: str = "text", ngra
         .groupBy(*key_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_index(chunks: DataFrame, max_features: int = 12000) -> tuple[DataFrame, DataFrame]:
+def batch_terms(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different tokens and bigrams of lower-cased texts, and (text, term) of every occurrence."""
+    found = [TOKEN.findall(t) if t else [] for t in texts]
+    own = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+    words, code = own.dictionary, own.indices.to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    pair = np.flatnonzero(of[1:] == of[:-1])
+    keys, gram = np.unique(code[pair] * len(words) + code[pair + 1], return_inverse=True)
+    size = max(len(words), 1)
+    grams = pc.binary_join_element_wise(words.take(pa.array(keys // size)), words.take(pa.array(keys % size)), " ")
+    return pa.concat_arrays([words, grams]), np.concatenate([of, of[pair]]), np.concatenate([code, len(words) + gram])
+
+
+def term_statistics(chunks: DataFrame) -> DataFrame:
+    """(term, cnt, df) of lower-cased texts ``t``: occurrences and chunks of every term, and the number of chunks as df of CHUNK_SENTINEL."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, of, term = batch_terms(b.column("t").to_pylist())
+            size = max(len(terms), 1)
+            cnt = np.bincount(term, minlength=len(terms))
+            df = np.bincount(np.unique(of * size + term) % size, minlength=len(terms))
+            terms = pa.concat_arrays([terms, pa.array([CHUNK_SENTINEL])])
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.append(cnt, 0)), pa.array(np.append(df, b.num_rows))], ["term", "cnt", "df"])
+
+    own = chunks.select("t").mapInArrow(count, "term string, cnt long, df long")
+    return own.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.sum("df").alias("df"))
+
+
+def tfidf_index(chunks: DataFrame, max_features: int = 12000, blocks: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(postings, vocab)``.
 
     vocab: the ``max_features`` terms with the highest corpus count (ties: term
     ascending) with smooth idf ``ln((1+n)/(1+df)) + 1``.  postings: L2-normalised
     tf-idf weight per (chunk, term).  The vocabulary is bounded by
-    ``max_features``, so it is broadcast (and checkpointed: it is read three times).
-
-    The corpus statistics are one aggregation on ``term`` alone (``cnt`` from
-    the exploded terms, ``df`` from each chunk's distinct terms, one explode),
-    which map-side partial aggregation shrinks well; the per-(chunk, term) counts are only
-    formed for terms that survive the broadcast join with the vocabulary.
+    ``max_features``; it is checkpointed and goes to the tasks as a dictionary.  With ``blocks``,
+    postings also tell the chunk's ``block``: chunks of like norm, whose terms have like weights.
     """
-    ensure_checkpoint_dir(chunks.sparkSession)
-    keys = ["source", "chunk_id"]
-    tok = chunks.select(*keys, tokens(F.col("text")).alias("_toks"))
-    t = tok.select(*keys, F.concat(F.col("_toks"), bigrams_of(F.col("_toks"))).alias("_terms"))
-    # one explode feeds both statistics: every occurrence counts 1 to cnt, each chunk's
-    # distinct terms count 1 to df, and every chunk adds the sentinel term "" (never a token
-    # or a bigram) to df, so df("") is the number of chunks without a separate pass
-    occ = F.transform("_terms", lambda x: F.struct(x.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
-    first = F.transform(F.array_distinct("_terms"),
-                        lambda x: F.struct(x.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    sentinel = F.array(F.struct(F.lit(CHUNK_SENTINEL).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    stats = t.select(F.inline(F.concat(occ, first, sentinel))).groupBy("term") \
-        .agg(F.sum("c").cast("long").alias("cnt"), F.sum("d").cast("long").alias("df"))
-    # the sentinel sorts first, then the max_features most frequent terms (ties: term ascending);
-    # these at most max_features + 1 rows are written once to the shared checkpoint folder, so the
-    # postings, the query vectors and the broadcast size check all read them instead of
-    # re-deriving them from the whole corpus
-    top = stats.orderBy((F.col("term") == CHUNK_SENTINEL).desc(), F.col("cnt").desc(), F.col("term").asc()) \
+    spark = chunks.sparkSession
+    ensure_checkpoint_dir(spark)
+    chunks = written(chunks.select("source", "chunk_id", F.lower("text").alias("t")), "chunks")  # read twice
+    # the sentinel sorts first, then the max_features most frequent terms (ties: term ascending)
+    top = term_statistics(chunks).orderBy((F.col("term") == CHUNK_SENTINEL).desc(), F.col("cnt").desc(), F.col("term").asc()) \
         .limit(max_features + 1).checkpoint(eager=True)
     n_row = top.where(F.col("term") == CHUNK_SENTINEL).select("df").first()
     n_chunks = int(n_row["df"]) if n_row else 0
     vocab = top.where(F.col("term") != CHUNK_SENTINEL).select(
         "term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    hits = t.select(*keys, F.explode("_terms").alias("term")).join(F.broadcast(vocab.select("term", "idf")), "term")
-    tc = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
-    p = tc.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    postings = p.select(*keys, "term", (F.col("w") / norm).alias("weight"))
-    return postings, vocab
+    known = vocab.select("term", "idf").collect()  # at most max_features rows
+    shared = spark.sparkContext.broadcast(([r.term for r in known], np.array([r.idf for r in known], float)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = shared.value
+        place = {t: i for i, t in enumerate(names)}
+        names = pa.array(names, pa.string())
+        for b in batches:
+            terms, of, term = batch_terms(b.column("t").to_pylist())
+            own = np.fromiter((place.get(t, -1) for t in terms.to_pylist()), np.int64, len(terms))[term]
+            size = max(len(names), 1)
+            key, tf = np.unique((of * size + own)[own >= 0], return_counts=True)
+            of, own = key // size, key % size
+            w = tf * idf[own]
+            norm = np.sqrt(np.bincount(of, w * w, minlength=b.num_rows))[of]
+            at = pa.array(of)
+            out = [b.column("source").take(at), b.column("chunk_id").take(at), names.take(pa.array(own)), pa.array(w / norm)]
+            if blocks:
+                out.append(pa.array(np.floor(BLOCKS_AN_OCTAVE * np.log2(norm)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    schema = T.StructType([chunks.schema["source"], chunks.schema["chunk_id"], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    if blocks:
+        schema = schema.add("block", T.IntegerType())
+    return chunks.mapInArrow(weigh, schema), vocab
 
 
 def vectorize(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -151,12 +201,69 @@ def top_k(scores: DataFrame, k: int = 3, id_col: str = "query_id") -> DataFrame:
     return scores.where(F.col("score") > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def completed(chunks: DataFrame, qvec: DataFrame, postings: DataFrame, id_col: str) -> DataFrame:
+    """(id, source, chunk_id, score) of the given (id, source, chunk_id): what all terms of ``qvec`` add up to there."""
+    asked = written(chunks.select(id_col, "source", "chunk_id").join(qvec.select(id_col, "term", F.col("weight").alias("qw")), id_col), "asked")
+    if asked.count() <= BROADCAST_QUERY_TERMS:
+        asked = F.broadcast(asked)  # checked size: postings stay in place
+    return asked.join(postings, ["source", "chunk_id", "term"]).groupBy(id_col, "source", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+
+
+def bounded_terms(qvec: DataFrame, postings: DataFrame, k: int, id_col: str = "query_id",
+                  floor_postings: int = FLOOR_POSTINGS) -> DataFrame:
+    """(id, term, block, qw, floor, essential, rest): each query term in each block of chunks.
+
+    The floor is the k-th best whole score of the chunks that the query's rarest terms like best. ``rest`` is what
+    the terms that are not essential in a block can add there: together they stay below REST_SHARE of the floor.
+    """
+    stats = written(postings.groupBy("term", "block").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("df")), "term-bounds")  # vocabulary x blocks
+    q = qvec.select(id_col, "term", F.col("weight").alias("qw"))
+    by_df = Window.partitionBy(id_col).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = q.join(stats.groupBy("term").agg(F.sum("df").alias("df")), "term").withColumn("before", F.sum("df").over(by_df) - F.col("df"))
+    rare = rare.where(F.col("before") < floor_postings).select(id_col, "term", F.col("qw").alias("weight"))
+    w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "source", "chunk_id")
+    likely = similarity(rare, postings, id_col).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FLOOR_CHUNKS * k)
+    best = completed(likely, qvec, postings, id_col).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    floor = best.groupBy(id_col).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
+    q = q.join(stats.select("term", "block", "top"), "term").join(floor, id_col, "left")
+    q = q.withColumn("floor", F.coalesce("floor", F.lit(0.0)) * (1 - BOUND_SLACK)).withColumn("bound", F.col("qw") * F.col("top"))
+    here = Window.partitionBy(id_col, "block")
+    below = F.sum("bound").over(here.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    q = q.withColumn("essential", below >= F.col("floor") * REST_SHARE)
+    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).over(here)
+    return q.select(id_col, "term", "block", "qw", "floor", "essential", rest.alias("rest"))
+
+
+def candidates(terms: DataFrame, postings: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """(id, source, chunk_id, part): chunks that hold an essential term and can still reach the floor, with the essential terms' score."""
+    own = terms.where("essential").select(id_col, "term", "block", "qw", "floor", "rest")
+    if own.count() <= BROADCAST_QUERY_TERMS:
+        own = F.broadcast(own)  # checked size: postings stay in place, no skewed shuffle on hot terms
+    part = postings.join(own, ["term", "block"]).groupBy(id_col, "source", "chunk_id").agg(
+        F.sum(F.col("weight") * F.col("qw")).alias("part"), F.max("floor").alias("floor"), F.max("rest").alias("rest"))
+    return part.where(F.col("part") + F.col("rest") >= F.col("floor")).select(id_col, "source", "chunk_id", "part")
+
+
+def pruned_top_k(qvec: DataFrame, postings: DataFrame, k: int = 3, id_col: str = "query_id",
+                 floor_postings: int = FLOOR_POSTINGS, plain_postings: int = PLAIN_POSTINGS) -> DataFrame:
+    """``top_k(similarity(...))`` without scoring chunks that cannot be among the best; ``postings`` is read several times.
+
+    A product of at most ``plain_postings`` postings is cheaper than its bounds and is formed whole; the rows are the same.
+    """
+    many = qvec.select("term").join(postings.groupBy("term").count(), "term").agg(F.sum("count")).first()[0] or 0
+    if many <= plain_postings:
+        return top_k(similarity(qvec, postings, id_col), k, id_col)
+    terms = written(bounded_terms(qvec, postings, k, id_col, floor_postings), "query-terms")
+    found = candidates(terms, postings, id_col)
+    return top_k(completed(found, qvec, postings, id_col), k, id_col)
+
+
 def rag_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, id_col: str = "query_id", text_col: str = "query",
              max_features: int = 12000) -> DataFrame:
     """Top-k chunks per query by tf-idf cosine; zero-score chunks are never returned."""
-    postings, vocab = tfidf_index(chunks, max_features)
-    qv = vectorize(queries, vocab, id_col, text_col)
-    return top_k(similarity(qv, postings, id_col), k, id_col)
+    postings, vocab = tfidf_index(chunks, max_features, blocks=True)
+    qv = written(vectorize(queries, vocab, id_col, text_col), "query-vectors")
+    return pruned_top_k(qv, written(postings, "postings"), k, id_col)
 
 
 def _anchored_tokens(q: Column) -> Column:
