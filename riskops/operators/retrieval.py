@@ -35,7 +35,7 @@ PY_SPACE = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-
             "\\x{202F}\\x{205F}\\x{3000}]+")
 # Tokens of the default TfidfVectorizer pattern (two or more word characters), portable spelling.
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
-TOKEN = re.compile(r"\w{2,}")  # the same tokens in Python
+TOKEN = re.compile(r"\w{2,}")  # the same tokens in Python (letters newer than the JVM's Unicode tables aside)
 SCORE_DECIMALS = 9  # ranking is done on scores rounded here, so float noise cannot reorder exact ties
 CHUNK_SENTINEL = ""  # marker term that counts the chunks in the statistics pass (no token or bigram is empty)
 FLOOR_POSTINGS = 2_000  # postings of a query's rarest terms that give its floor, about
