@@ -14,22 +14,26 @@ Boosters of the reference (XGBoost / LightGBM / CatBoost) map to
 from __future__ import annotations
 
 import datetime as _dt
+import math
 import os
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (CountVectorizer, IDF, Imputer, NGram, RegexTokenizer, SQLTransformer, StandardScaler,
-                                VectorAssembler)
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Imputer, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+                                StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskops.functions.exprs import any_contains, uniform
 from riskops.operators import evaluate as E
-from riskops.operators.resample import with_class_weight
-from riskops.session import scratch_path
+from riskops.operators.resample import stratified_folds, stratified_split, with_class_weight
+from riskops.operators.retrieval import CHUNK_SENTINEL, term_statistics
+from riskops.session import scratch_path, written
 
 
 def _safe(name: str) -> str:
@@ -96,18 +100,54 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", num_
     """F8: random forest with balanced class weights."""
     t, wcol = _weighted(train, label, balanced)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
-                                seed=seed, **({"weightCol": wcol} if wcol else {}))
+                                seed=seed, maxMemoryInMB=512, **({"weightCol": wcol} if wcol else {}))
     return _fit([*feature_stages(features), rf], t)
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", max_iter: int = 250, max_depth: int = 4,
-            step_size: float = 0.05, subsample: float = 0.8, balanced: bool = False, seed: int = 42) -> PipelineModel:
-    """gradient-boosted trees standing in for XGBoost / LightGBM / CatBoost."""
+            step_size: float = 0.05, subsample: float = 0.8, balanced: bool = False, seed: int = 42,
+            id_col: str | None = None, validation: float = 0.1, patience: int = 20) -> PipelineModel:
+    """gradient-boosted trees standing in for XGBoost / LightGBM / CatBoost.
+
+    With ``id_col``, a part ``validation`` of the rows (by u of the id) is held out, and the model ends at
+    the round with the least loss on it.  Rounds are fitted up to a first limit, then up to twice as many, until the
+    best lies ``patience`` rounds behind or ``max_iter`` is reached.  The same rows give the same model.
+    """
     t, wcol = _weighted(train, label, balanced)
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step_size, subsamplingRate=subsample, seed=seed,
-                        **({"weightCol": wcol} if wcol else {}))
-    return _fit([*feature_stages(features), gbt], t)
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=step_size,
+                        subsamplingRate=subsample, seed=seed, checkpointInterval=50, **({"weightCol": wcol} if wcol else {}))
+    if not id_col:
+        return _fit([*feature_stages(features), gbt.setMaxIter(max_iter)], t)
+    t = t.withColumn("_held_out", F.coalesce(uniform("early_stop", id_col) < validation, F.lit(False)))
+    ready = _fit(feature_stages(features), t.where("NOT _held_out"))
+    rows = written(ready.transform(t).select("features", label, "_held_out", *([wcol] if wcol else [])), "boosting")
+    own, held = rows.where("NOT _held_out").persist(), rows.where("_held_out")
+    try:
+        limit = min(max_iter, 3 * patience)
+        while True:
+            model = gbt.setMaxIter(limit).fit(own)
+            losses = model.evaluateEachIteration(held) if held.take(1) else [0.0] * model.getNumTrees
+            best = min(range(len(losses)), key=losses.__getitem__) + 1
+            if best + patience <= limit or limit == max_iter:
+                break
+            limit = min(max_iter, 2 * limit)
+    finally:
+        own.unpersist()
+    return PipelineModel([*ready.stages, first_rounds(model, best)])
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model of the first ``rounds`` trees."""
+    old = model._java_obj
+    sc = SparkContext._active_spark_context
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(sc._gateway.jvm.double, rounds)
+    for k, (tree, weight) in enumerate(zip(list(old.trees())[:rounds], list(old.treeWeights()))):
+        trees[k], weights[k] = tree, weight
+    new = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(old.uid(), trees, weights, old.numFeatures(), 2)
+    for param in ("featuresCol", "labelCol"):
+        new.set(new.getParam(param), model.getOrDefault(param))
+    return GBTClassificationModel(new)
 
 
 def class_index(model: PipelineModel, name: str | None = None, default: int = 1) -> int:
@@ -132,9 +172,10 @@ def score_model(model: PipelineModel, df: DataFrame, out: str = "p", class_name:
     return s.select(*cols, p.alias(out), (p * 100.0).alias("risk_percent_model"))
 
 
-def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: str = "split") -> tuple[DataFrame, DataFrame]:
-    u = uniform(seed, id_col)
-    return df.where(u >= test_size), df.where(u < test_size)
+def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: str = "split", label: str = "y") -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of the stratified split (E13), from one written table."""
+    d = written(stratified_split(df, id_col, label, test_size, seed), "split")
+    return d.where("split = 'train'").drop("split"), d.where("split = 'test'").drop("split")
 
 
 def evaluate_scored(scored: DataFrame, label: str = "y", score: str = "p", threshold: float = 0.5) -> dict:
@@ -159,23 +200,6 @@ def model_comparison(spark, rows: Sequence[Mapping]) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
-def leakage_audit(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], learner: Learner, id_col: str,
-                  label: str = "y", model_name: str = "model") -> DataFrame:
-    """The same learner on each feature set; train vs test AUC exposes leakage."""
-    df = df.persist()  # several fits read it; dropped once the metric rows are collected
-    train, test = split(df, id_col)
-    rows = []
-    for name, feats in feature_sets.items():
-        m = learner(train, feats, label)
-        tr = evaluate_scored(score_model(m, train, keep=[id_col, label]), label)
-        te = evaluate_scored(score_model(m, test, keep=[id_col, label]), label)
-        rows.append({"model": model_name, "feature_set": name, "n_features": len(feats), "train_auc": tr["roc_auc"],
-                     "test_auc": te["roc_auc"], **{k: te[k] for k in ("accuracy", "precision", "recall", "f1",
-                                                                     "brier_score")}})
-    df.unpersist()
-    return model_comparison(df.sparkSession, rows)
-
-
 def group_holdout(df: DataFrame, features: Sequence[str], learner: Learner, fold_col: str = "fold",
                   label: str = "y", id_col: str = "row_id") -> DataFrame:
     """refit on the group-safe training folds, AUC on group fold 0."""
@@ -188,63 +212,67 @@ def group_holdout(df: DataFrame, features: Sequence[str], learner: Learner, fold
                                                                      "brier_score")}}])
 
 
-def learning_curve(df: DataFrame, features: Sequence[str], learner: Learner, id_col: str, label: str = "y",
-                   fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), k: int = 5) -> DataFrame:
-    """AUC on nested training subsets (u(id) <= fraction) per fold; mean / population std per size."""
-    d = E.assign_folds(df, id_col, k, "lc_fold", "lc_fold").withColumn("_u", uniform("lc_size", id_col)).persist()
-    rows = []
-    for f in range(k):
-        tr_all, te = d.where(F.col("lc_fold") != f), d.where(F.col("lc_fold") == f)
-        for frac in fractions:
-            tr = tr_all.where(F.col("_u") <= frac)
-            m = learner(tr, features, label)
-            tr_auc = E.roc_auc(score_model(m, tr, keep=[id_col, label]), "p", label).first()["roc_auc"]
-            te_auc = E.roc_auc(score_model(m, te, keep=[id_col, label]), "p", label).first()["roc_auc"]
-            rows.append((float(frac), f, tr_auc, te_auc))
-    d.unpersist()
-    per = df.sparkSession.createDataFrame(rows, "fraction double, fold int, train_auc double, cv_auc double")
-    return per.groupBy("fraction").agg(F.avg("train_auc").alias("train_auc_mean"),
-                                       F.stddev_pop("train_auc").alias("train_auc_std"),
-                                       F.avg("cv_auc").alias("cv_auc_mean"), F.stddev_pop("cv_auc").alias("cv_auc_std"))
-
-
-def calibrate_isotonic(df: DataFrame, features: Sequence[str], learner: Learner, id_col: str, label: str = "y",
-                       folds: int = 3) -> Callable[[DataFrame], DataFrame]:
-    """k-fold cross-calibration; returns a scorer averaging the k (model, isotonic) pairs."""
-    d = E.assign_folds(df, id_col, folds, "cal_fold", "cal_fold").persist()
+def cross_calibrated(df: DataFrame, features: Sequence[str], learner: Learner, id_col: str, label: str = "y",
+                     folds: int = 3, method: str = "isotonic") -> Callable[[DataFrame], DataFrame]:
+    """K-fold calibration by ``isotonic`` or ``sigmoid``; returns a scorer that adds ``p_calibrated``.
+
+    Each pair is a model of all folds but one and a calibrator of its scores on the one left out
+    (stratified folds).  The scorer runs the k pairs one after the other on the same rows and averages: no
+    joins, so equal or null ids do no harm.
+    """
+    d = written(stratified_folds(df, id_col, label, folds, "cal_fold"), "calibration")
     pairs = []
     for f in range(folds):
-        m = learner(d.where(F.col("cal_fold") != f), features, label)
-        held = score_model(m, d.where(F.col("cal_fold") == f), keep=[label])
-        iso = IsotonicRegression(featuresCol="p", labelCol=label, predictionCol="p_iso").fit(held)
-        pairs.append((m, iso))
-    d.unpersist()
+        m = learner(d.where(F.col("fold") != f), features, label)
+        held = written(score_model(m, d.where(F.col("fold") == f), keep=[label]), "held-out")
+        pairs.append((m, (isotonic if method == "isotonic" else sigmoid)(held, "p", label)))
 
     def scorer(x: DataFrame) -> DataFrame:
-        out = None
-        for i, (m, iso) in enumerate(pairs):
-            s = iso.transform(score_model(m, x, keep=[id_col])).select(id_col, F.col("p_iso").alias(f"c{i}"))
-            out = s if out is None else out.join(s, id_col)
-        avg = sum((F.col(f"c{i}") for i in range(len(pairs))), F.lit(0.0)) / len(pairs)
-        return x.join(out.select(id_col, avg.alias("p_calibrated")), id_col)
+        out = x
+        for i, (m, calibrate) in enumerate(pairs):
+            out = calibrate(score_model(m, out, out=f"_p{i}", keep=out.columns).drop("risk_percent_model"), f"_p{i}", f"_c{i}")
+        avg = sum((F.col(f"_c{i}") for i in range(len(pairs))), F.lit(0.0)) / len(pairs)
+        return out.select(*x.columns, avg.alias("p_calibrated"))
 
     return scorer
 
 
-def calibrate_sigmoid(scored: DataFrame, score: str = "p", label: str = "y") -> Callable[[DataFrame], DataFrame]:
-    """Platt scaling - a one-feature logistic regression on the score's logit."""
+Calibrator = Callable[[DataFrame, str, str], DataFrame]
+
+
+def isotonic(scored: DataFrame, score: str = "p", label: str = "y") -> Calibrator:
+    """The non-decreasing fit of the label on the score.
+
+    Rows of one score are one weighted point (their mean), so the fit runs over the different scores;
+    pools are formed in ranges of the score and merged.
+    """
+    points = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(
+        F.avg(F.col(label).cast("double")).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_n"))
+    model = IsotonicRegression(featuresCol=score, labelCol="_mean", weightCol="_n", predictionCol="_iso").fit(points)
+
+    def apply(x: DataFrame, score: str, out: str) -> DataFrame:
+        m = model.copy()
+        return m.setFeaturesCol(score).setPredictionCol(out).transform(x)
+
+    return apply
+
+
+def logit(score: str) -> F.Column:
     eps = 1e-12
-    logit = F.log(F.greatest(F.col(score), F.lit(eps)) / F.greatest(1 - F.col(score), F.lit(eps)))
-    va = VectorAssembler(inputCols=["_logit"], outputCol="_f")
-    lr = LogisticRegression(featuresCol="_f", labelCol=label, probabilityCol="_prob", rawPredictionCol="_raw",
-                            predictionCol="_pred", regParam=0.0)
-    model = Pipeline(stages=[va, lr]).fit(scored.withColumn("_logit", logit))
+    return F.log(F.greatest(F.col(score), F.lit(eps)) / F.greatest(1 - F.col(score), F.lit(eps)))
 
-    def scorer(x: DataFrame) -> DataFrame:
-        t = model.transform(x.withColumn("_logit", logit))
-        return t.withColumn("p_sigmoid", vector_to_array("_prob").getItem(1)).drop("_logit", "_f", "_prob", "_raw",
-                                                                                  "_pred")
-    return scorer
+
+def sigmoid(scored: DataFrame, score: str = "p", label: str = "y") -> Calibrator:
+    """Platt scaling: a one-feature logistic regression on the score's logit, applied as a column expression."""
+    lr = LogisticRegression(featuresCol="_f", labelCol=label, regParam=0.0)
+    rows = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(label, logit(score).alias("_logit"))
+    m = Pipeline(stages=[VectorAssembler(inputCols=["_logit"], outputCol="_f"), lr]).fit(rows).stages[-1]
+    slope, intercept = float(m.coefficients[0]), float(m.intercept)
+
+    def apply(x: DataFrame, score: str, out: str) -> DataFrame:
+        return x.withColumn(out, 1 / (1 + F.exp(-(logit(score) * slope + intercept))))
+
+    return apply
 
 
 def save_versioned(model: PipelineModel, base_dir: str, prefix: str = "risk_model") -> tuple[str, str]:
@@ -267,7 +295,7 @@ def retrain_from_feedback(base: DataFrame, feedback_rows: DataFrame, features: S
     if n_fb < min_feedback:
         return spark.createDataFrame([("skipped", None, None, n_fb, None, None, None)], schema)
     data = base.unionByName(feedback_rows, allowMissingColumns=True)
-    train, test = split(data, id_col)
+    train, test = split(data, id_col, label=label)
     m = fit_forest(train, features, label, num_trees=num_trees, balanced=False)
     met = evaluate_scored(score_model(m, test, keep=[id_col, label]), label)
     model_dir = model_dir or scratch_path(spark, "models")
@@ -282,23 +310,72 @@ TEXT_TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
 
 
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "label", vocab_size: int = 8000,
-                        balanced: bool = True) -> PipelineModel:
-    """uni+bigram counts (8,000 terms), IDF, balanced multinomial logistic regression."""
-    t, wcol = _weighted(train, label, balanced)
+                        balanced: bool = True, C: float = 1.0, max_iter: int = 1000) -> PipelineModel:
+    """TF-IDF of uni- and bigrams (the ``vocab_size`` most frequent, ties by term), smooth idf + 1, L2 norm, and a
+    balanced, L2-penalised logistic regression (multinomial for more than two labels) on string labels.
+
+    Rows without text or label are dropped.  The pipeline is made of Spark ML stages, so it persists:
+    labels are indexed in alphabetical order, the idf is an element-wise product.  As in F7,
+    ``regParam = 1 / (C * sum of weights)``.
+    """
+    t = train.where(F.col(text_col).isNotNull() & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("string"))
+    t, wcol = _weighted(written(t, "text-train"), label, balanced)
+    top = term_statistics(t.select(F.lower(text_col).alias("t"))).orderBy(
+        (F.col("term") == CHUNK_SENTINEL).desc(), F.col("cnt").desc(), "term").limit(vocab_size + 1).collect()  # bounded by vocab_size
+    n, terms = top[0].df, top[1:]
+    weight = t.agg(F.sum(F.col(wcol) if wcol else F.lit(1.0))).first()[0]
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(t)
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TEXT_TOKEN_PATTERN, gaps=False, toLowercase=True)
     ng = NGram(n=2, inputCol="_tok", outputCol="_bi")
     merge = SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__")
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size)
-    idf = IDF(inputCol="_tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", maxIter=100,
-                            **({"weightCol": wcol} if wcol else {}))
-    return Pipeline(stages=[tok, ng, merge, cv, idf, lr]).fit(t)
+    count = CountVectorizerModel.from_vocabulary([r.term for r in terms], inputCol="_terms", outputCol="_tf")
+    idf = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense([math.log((1 + n) / (1 + r.df)) + 1 for r in terms]))
+    norm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
+    lr = LogisticRegression(featuresCol="features", labelCol="_y", family="binomial" if len(index.labels) <= 2 else "multinomial", maxIter=max_iter,
+                            tol=1e-9, standardization=False, regParam=1.0 / (C * weight), **({"weightCol": wcol} if wcol else {}))
+    ready = PipelineModel([index, tok, ng, merge, count, idf, norm])
+    known = written(ready.transform(t).select("_y", "features", *([wcol] if wcol else [])), "text-features")
+    return PipelineModel([*ready.stages, lr.fit(known)])
+
+
+def text_predictions(model: PipelineModel, df: DataFrame, id_col: str, text_col: str = "text", label: str | None = None) -> DataFrame:
+    """(id, predicted[, actual]): the label with the highest probability."""
+    labels = model.stages[0].labels
+    s = PipelineModel(model.stages[1:]).transform(df.withColumn(text_col, F.coalesce(text_col, F.lit(""))))
+    names = F.array(*map(F.lit, labels))
+    return s.select(id_col, names[F.col("prediction").cast("int")].alias("predicted"), *([F.col(label).cast("string").alias("actual")] if label else []))
+
+
+def label_confusion(predicted: DataFrame) -> DataFrame:
+    """(actual, predicted, n) over all labels that occur, zero cells kept."""
+    n = predicted.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    labels = n.select(F.explode(F.array("actual", "predicted")).alias("l")).distinct().orderBy("l").agg(F.array_sort(F.collect_list("l")).alias("ls"))  # the labels
+    cells = labels.select(F.explode("ls").alias("actual"), "ls").select("actual", F.explode("ls").alias("predicted"))
+    return cells.join(n, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def label_report(confusion: DataFrame) -> DataFrame:
+    """Per label precision, recall, F1 and support (zero division gives 0), accuracy, macro and weighted averages."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    each = confusion.select(F.explode(F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("given"), hit.alias("hit")),
+                                              F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("given"), F.lit(0).cast("long").alias("hit")))).alias("s"))
+    each = each.select("s.*").groupBy("label").agg(F.sum("support").alias("support"), F.sum("given").alias("given"), F.sum("hit").alias("hit"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    hit, given, support = F.col("hit"), F.col("given"), F.col("support")
+    each = each.select("label", ratio(hit, given).alias("precision"), ratio(hit, support).alias("recall"), ratio(2 * hit, given + support).alias("f1_score"), "support", "hit")
+    names = ["precision", "recall", "f1_score"]
+    row = lambda name, *cols: each.agg(*cols, F.sum("support").alias("support")).select(F.lit(name).alias("label"), *names, "support")
+    total = F.sum("hit") / F.sum("support")
+    return (each.drop("hit").unionByName(row("accuracy", *(total.alias(c) for c in names)))
+            .unionByName(row("macro avg", *(F.avg(c).alias(c) for c in names)))
+            .unionByName(row("weighted avg", *((F.sum(F.col(c) * support) / F.sum("support")).alias(c) for c in names))))
 
 
 def text_risk_scores(model: PipelineModel, df: DataFrame, id_col: str, text_col: str, positive_index: int = 1,
                      factor_terms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Model percent (rounded to 1) of the positive class per message, plus keyword factors (G5 input)."""
-    s = model.transform(df.withColumnRenamed(text_col, "text") if text_col != "text" else df)
+    model = PipelineModel([st for st in model.stages if not isinstance(st, StringIndexerModel)])  # messages have no label
+    s = model.transform((df.withColumnRenamed(text_col, "text") if text_col != "text" else df).withColumn("text", F.coalesce("text", F.lit(""))))
     pct = F.bround(vector_to_array("probability").getItem(positive_index) * 100.0, 1)
     cols = [id_col, pct.alias("model_percent")]
     if factor_terms:

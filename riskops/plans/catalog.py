@@ -674,10 +674,12 @@ def q_chat_assess(spark, sf_dir):
 # ------------------------------------------------------------------ learning pipelines (rows-only checks)
 
 from riskops.operators import explain as X  # noqa: E402
+from riskops.operators import grid as G  # noqa: E402
 from riskops.operators import models as M  # noqa: E402
+from riskops.operators import shap as SH  # noqa: E402
+from riskops.session import written  # noqa: E402
 
 ML_FEATURES = FE.LEGACY_FEATURES
-SMALL = {"lr_iter": 20, "trees": 20, "gbt_iter": 20}
 
 
 def _train_frame(spark, sf_dir):
@@ -686,26 +688,29 @@ def _train_frame(spark, sf_dir):
 
 
 def _lr(train, feats, label):
-    return M.fit_logistic(train, feats, label, max_iter=SMALL["lr_iter"])
+    return M.fit_logistic(train, feats, label)
 
 
 def _rf(train, feats, label):
-    return M.fit_forest(train, feats, label, num_trees=SMALL["trees"], max_depth=6)
+    return M.fit_forest(train, feats, label)
 
 
 def _gbt(train, feats, label):
-    return M.fit_gbt(train, feats, label, max_iter=SMALL["gbt_iter"], max_depth=4)
+    return M.fit_gbt(train, feats, label, id_col="prediction_id")
 
 
 def _metrics_row(spark, name, learner, sf_dir):
     d = _train_frame(spark, sf_dir)
     tr, te = M.split(d, "prediction_id")
     m = learner(tr, ML_FEATURES, "y")
-    met = M.evaluate_scored(M.score_model(m, te, keep=["prediction_id", "y"]), "y")
-    tr_auc = E.roc_auc(M.score_model(m, tr, keep=["prediction_id", "y"]), "p", "y").first()["roc_auc"]
+    both = tr.withColumn("part", F.lit("train")).unionByName(te.withColumn("part", F.lit("test")))
+    s = written(M.score_model(m, both, keep=["part", "y"]), "scored")
+    auc = {r.part: r.roc_auc for r in E.roc_auc(s, "p", "y", ["part"]).collect()}
+    test = s.where("part = 'test'")
+    met = E.classification_metrics(test, "p", "y", 0.5).first()
     return M.model_comparison(spark, [{"model": name, "feature_set": "legacy7", "n_features": len(ML_FEATURES),
-                                       "train_auc": tr_auc, "test_auc": met["roc_auc"],
-                                       **{k: met[k] for k in ("accuracy", "precision", "recall", "f1", "brier_score")}}])
+                                       "train_auc": auc.get("train"), "test_auc": auc.get("test"), "brier_score": E.brier_score(test).first().brier_score,
+                                       **{k: met[k] for k in ("accuracy", "precision", "recall", "f1")}}])
 
 
 @register("fit_logistic")
@@ -725,11 +730,8 @@ def q_fit_gbt(spark, sf_dir):
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    out = None
-    for name, fn in (("logistic_regression", _lr), ("random_forest", _rf), ("gbt", _gbt)):
-        r = _metrics_row(spark, name, fn, sf_dir)
-        out = r if out is None else out.unionByName(r)
-    return finish(out)
+    grid = [G.Variant(n, "legacy7", tuple(ML_FEATURES), f) for n, f in (("logistic_regression", _lr), ("random_forest", _rf), ("gbt", _gbt))]
+    return finish(G.variant_grid(_train_frame(spark, sf_dir), grid, "prediction_id"))
 
 
 @register("score_model")
@@ -743,19 +745,16 @@ def q_score_model(spark, sf_dir):
 
 @register("calibrate_isotonic")
 def q_calibrate_isotonic(spark, sf_dir):
-    d = _train_frame(spark, sf_dir)
-    tr, te = M.split(d, "prediction_id")
-    scorer = M.calibrate_isotonic(tr, ML_FEATURES, _rf, "prediction_id", "y", folds=3)
+    tr, te = M.split(_train_frame(spark, sf_dir), "prediction_id")
+    scorer = M.cross_calibrated(tr, ML_FEATURES, _rf, "prediction_id", method="isotonic")
     return finish(scorer(te).select("prediction_id", "y", "p_calibrated"))
 
 
 @register("calibrate_sigmoid")
 def q_calibrate_sigmoid(spark, sf_dir):
-    d = _train_frame(spark, sf_dir)
-    tr, te = M.split(d, "prediction_id")
-    m = _rf(tr, ML_FEATURES, "y")
-    scorer = M.calibrate_sigmoid(M.score_model(m, tr, keep=["prediction_id", "y"]))
-    return finish(scorer(M.score_model(m, te, keep=["prediction_id", "y"])).select("prediction_id", "y", "p", "p_sigmoid"))
+    tr, te = M.split(_train_frame(spark, sf_dir), "prediction_id")
+    scorer = M.cross_calibrated(tr, ML_FEATURES, _rf, "prediction_id", method="sigmoid")
+    return finish(scorer(te).select("prediction_id", "y", "p_calibrated"))
 
 
 @register("leakage_audit")
@@ -764,7 +763,7 @@ def q_leakage_audit(spark, sf_dir):
     d = FE.map_features(t, ML_FEATURES, keep=["prediction_id", "y", "heur"])
     sets = {"full_with_score": ML_FEATURES + ["heur"], "preventive": ML_FEATURES[:2] + ML_FEATURES[5:6],
             "baseline": ML_FEATURES[:2]}
-    return finish(M.leakage_audit(d, sets, _lr, "prediction_id", "y", "logistic_regression"))
+    return finish(G.variant_grid(d, [G.Variant("logistic_regression", n, tuple(f), _lr) for n, f in sets.items()], "prediction_id"))
 
 
 def _profile_frame(spark, sf_dir):
@@ -782,8 +781,7 @@ def q_group_holdout(spark, sf_dir):
 
 @register("learning_curve")
 def q_learning_curve(spark, sf_dir):
-    return finish(M.learning_curve(_train_frame(spark, sf_dir), ML_FEATURES, _lr, "prediction_id", "y",
-                                   fractions=(0.5, 1.0), k=3))
+    return finish(G.learning_curve(_train_frame(spark, sf_dir), ML_FEATURES, _lr, "prediction_id"))
 
 
 @register("retrain_from_feedback")
@@ -791,7 +789,7 @@ def q_retrain_from_feedback(spark, sf_dir):
     base = _base_rows(spark, sf_dir).withColumn("y", (F.col("Labelling") == "Depressed").cast("int"))
     fb = _feedback_rows(spark, sf_dir).withColumn("y", (F.col("Labelling") == "Depressed").cast("int")) \
         .drop("clinician_label")
-    reg = M.retrain_from_feedback(base, fb, ML_FEATURES, "y", "prediction_id", 50, num_trees=SMALL["trees"])
+    reg = M.retrain_from_feedback(base, fb, ML_FEATURES, "y", "prediction_id", 50)
     return finish(reg.drop("path", "version"))
 
 
@@ -799,13 +797,21 @@ def _text_frame(spark, sf_dir, label="toxic"):
     return A.text_labels(spark, sf_dir, label)
 
 
+def _text_predictions(spark, sf_dir):
+    d = written(_text_frame(spark, sf_dir, "quality").where(F.col("label").isNotNull()), "text-frame")
+    tr, te = M.split(d, "doc_id", 0.25, "text_split", label="label")
+    m = M.fit_text_classifier(tr, "text", "label")
+    return M.text_predictions(m, te, "doc_id", "text", "label")
+
+
 @register("fit_text_classifier")
 def q_fit_text_classifier(spark, sf_dir):
-    d = _text_frame(spark, sf_dir, "quality")
-    tr, te = M.split(d, "doc_id", 0.25, "text_split")
-    m = M.fit_text_classifier(tr, "text", "label")
-    s = M.score_model(m, te, keep=["doc_id", "label"])
-    return finish(E.classification_report(s, "p", "label", 0.5))
+    return finish(M.label_report(M.label_confusion(_text_predictions(spark, sf_dir))))
+
+
+@register("text_confusion")
+def q_text_confusion(spark, sf_dir):
+    return finish(M.label_confusion(_text_predictions(spark, sf_dir)))
 
 
 @register("chat_hybrid")
@@ -827,6 +833,18 @@ def q_importance_contributions(spark, sf_dir):
     return finish(X.importance_contributions(m, d, ML_FEATURES, "prediction_id"))
 
 
+@register("tree_shap")
+def q_tree_shap(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    return finish(SH.tree_shap(_gbt(d, ML_FEATURES, "y"), d, ML_FEATURES, "prediction_id"))
+
+
+@register("tree_shap_forest")
+def q_tree_shap_forest(spark, sf_dir):
+    d = _train_frame(spark, sf_dir)
+    return finish(SH.tree_shap(M.fit_forest(d, ML_FEATURES, "y"), d, ML_FEATURES, "prediction_id"))
+
+
 @register("tree_attribution")
 def q_tree_attribution(spark, sf_dir):
     d = _train_frame(spark, sf_dir)
