@@ -486,7 +486,7 @@ def _mapped():
     ]
 
 
-_MAPPED = [(n, e) for n, e in _mapped()][:7] + [(n, e) for n, e in _mapped()[7:] if n not in ("age", "gestational_weeks")]
+_MAPPED = [("harmonized_age" if n == "age" else n, e) for n, e in _mapped()]
 q("map_features", "SELECT prediction_id, " + ", ".join(f'{e} AS "{n}"' for n, e in _MAPPED) + " FROM assessments",
   ("assessments",), tuple(f'"{n}"' for n, _ in _MAPPED))
 

@@ -249,9 +249,9 @@ def q_validate_requests(spark, sf_dir):
 @register("map_features")
 def q_map_features(spark, sf_dir):
     a = A.assessments(spark, sf_dir)
-    # Spark resolves names case-insensitively: 'age' / 'gestational_weeks' duplicate 'Age' / 'Gestational Age'
-    feats = FE.LEGACY_FEATURES + [f for f in FE.HARMONIZED_FEATURES if f not in ("age", "gestational_weeks")]
-    return finish(FE.map_features(a, feats, keep=["prediction_id"]))
+    # names are resolved case-insensitively: 'age' would clash with 'Age'
+    return finish(FE.map_features(a, FE.LEGACY_FEATURES + FE.HARMONIZED_FEATURES, keep=["prediction_id"],
+                                  names={"age": "harmonized_age"}))
 
 
 @register("feedback_features")
