@@ -1015,3 +1015,13 @@ SQL["stream_latest_state"] = SQL["consent_latest"]
 q("stream_retrain_trigger", """SELECT count(*) AS feedback_rows, 50 AS min_feedback, count(*) >= 50 AS retrain
 FROM feedback f WHERE lower(trim(clinician_label)) IN ('high', 'low')
   AND prediction_id IN (SELECT prediction_id FROM assessments)""", ("assessments", "feedback"))
+
+# ------------------------------------------------------------------ written and read back
+
+q("read_text_files", "SELECT item_id, length(text) + 1 AS n_chars, sha256(text || chr(10)) AS sha256 FROM benchmark")
+q("file_fingerprints", "SELECT item_id, cast(octet_length(encode(text)) + 1 AS BIGINT) AS length, sha256(text || chr(10)) AS sha256 FROM benchmark")
+q("log_append", """SELECT prediction_id, patient_id, ts, risk_percent, cast(CASE WHEN prediction_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch_id
+FROM predictions""", ("predictions",), ("risk_percent",))
+q("metrics_report", f"""SELECT 'test' AS section, metric, value
+FROM (UNPIVOT (SELECT accuracy, precision, recall, f1 FROM ({METRICS}) m) ON accuracy, precision, recall, f1 INTO NAME metric VALUE value) u""",
+  ("scored",), ("value",))

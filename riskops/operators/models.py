@@ -26,7 +26,7 @@ from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Impute
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskops.functions.exprs import any_contains, uniform
@@ -34,6 +34,7 @@ from riskops.operators import evaluate as E
 from riskops.operators.resample import stratified_folds, stratified_split, with_class_weight
 from riskops.operators.retrieval import CHUNK_SENTINEL, term_statistics
 from riskops.session import scratch_path, written
+from riskops.sources import commits
 
 
 def _safe(name: str) -> str:
@@ -276,14 +277,24 @@ def sigmoid(scored: DataFrame, score: str = "p", label: str = "y") -> Calibrator
 
 
 def save_versioned(model: PipelineModel, base_dir: str, prefix: str = "risk_model") -> tuple[str, str]:
-    """``<base>/<prefix>_v<utc timestamp>`` and ``<base>/latest`` (overwrite)."""
+    """``<base>/<prefix>_v<utc timestamp>``, then the pointer ``<base>/latest.json`` in one step.
+
+    A reader finds the version before or this one, never a half-written model.
+    """
     version = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
-    path = os.path.join(base_dir, f"{prefix}_v{version}")
-    model.write().overwrite().save(path)
-    model.write().overwrite().save(os.path.join(base_dir, "latest"))
+    folder = f"{prefix}_v{version}"
+    path = os.path.join(base_dir, folder)
+    model.write().save(path)
+    commits.publish(SparkSession.getActiveSession(), base_dir, version, folder)
     return version, path
 
 
+def load_latest(spark: SparkSession, base_dir: str) -> PipelineModel | None:
+    """The model that was published last; None if there is none."""
+    found = commits.latest(spark, base_dir)
+    return PipelineModel.load(os.path.join(base_dir, found["folder"])) if found else None
+
+
 def retrain_from_feedback(base: DataFrame, feedback_rows: DataFrame, features: Sequence[str], label: str = "y",
                           id_col: str = "prediction_id", min_feedback: int = 50, num_trees: int = 300,
                           model_dir: str | None = None) -> DataFrame:

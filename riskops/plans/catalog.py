@@ -7,6 +7,7 @@ oracle compare (doubles rounded to 6 places, arrays joined to text).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskops.operators import fairness, risk
+from riskops.session import scratch_path
 from riskops.sources import adapters as A
+from riskops.sources import commits as CM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -394,6 +397,60 @@ def q_dataset_fingerprint(spark, sf_dir):
     return finish(S.table_fingerprint(A.table(spark, sf_dir, "orders")))
 
 
+def _text_folder(spark, sf_dir):
+    """The benchmark's texts as files, one for each item."""
+    path = scratch_path(spark, f"text-files-{uuid.uuid4().hex}")
+    b = A.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b.repartition("item_id").write.partitionBy("item_id").option("lineSep", "\n").text(path)
+    return path
+
+
+@register("read_text_files")
+def q_read_text_files(spark, sf_dir):
+    """A2: whole text files, written by Spark and read back."""
+    d = S.read_text_documents(spark, _text_folder(spark, sf_dir))
+    return finish(d.select("item_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256")))
+
+
+@register("file_fingerprints")
+def q_file_fingerprints(spark, sf_dir):
+    """SHA-256 of files, streamed."""
+    f = S.file_sha256(spark, _text_folder(spark, sf_dir))
+    return finish(f.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "length", "sha256"))
+
+
+@register("log_append")
+def q_log_append(spark, sf_dir):
+    """A5: two batches, the second one replayed, a half-written third; what the log holds then."""
+    path = scratch_path(spark, f"log-{uuid.uuid4().hex}")
+    p = predictions(spark, sf_dir).select("prediction_id", "patient_id", "ts", "risk_percent")
+    late = F.col("prediction_id") % 3 == 0
+    CM.append_batch(p.where(~late), path, 0)
+    CM.append_batch(p.where(late), path, 1)
+    CM.append_batch(p.where(late), path, 1)
+    p.where(late).write.parquet(f"{path}/{CM.DATA}/batch-000000000002-lost")  # its run ended before the commit
+    return finish(CM.read_log(spark, path))
+
+
+@register("metrics_report")
+def q_metrics_report(spark, sf_dir):
+    """Written as JSON lines and read back."""
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    m = E.classification_metrics(A.scored(spark, sf_dir)).select("accuracy", "precision", "recall", "f1")
+    S.write_metrics_report(S.metrics_tall(m, "test"), path)
+    return finish(spark.read.schema("section string, metric string, value double").json(path))
+
+
+@register("model_registry")
+def q_model_registry(spark, sf_dir):
+    """Two versions are published; the pointer gives the second, which scores the request log."""
+    base = scratch_path(spark, f"registry-{uuid.uuid4().hex}")
+    d = _train_frame(spark, sf_dir)
+    for iterations in (1, 100):
+        M.save_versioned(M.fit_logistic(d, ML_FEATURES, max_iter=iterations), base)
+    return finish(M.score_model(M.load_latest(spark, base), d, keep=["prediction_id"]))
+
+
 # ------------------------------------------------------------------ risk scoring / explanation
 
 

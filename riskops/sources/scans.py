@@ -9,8 +9,11 @@ inference pass over 100 TB) and coerced by the B-operators.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +42,10 @@ def read_table(spark: SparkSession, path: str, required: Sequence[str] | None =
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A2: whole ``*.txt`` files as (source, text)."""
-    df = spark.read.option("wholetext", True).text(path)
-    return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("text"))
+    """A2: whole text files as (source, text), and the columns that the folders' names give."""
+    df = spark.read.text(path, wholetext=True)
+    more = [c for c in df.columns if c != "value"]
+    return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"), *more)
 
 
 def scan_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -78,16 +82,45 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("fingerprint"))
 
 
-def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """A7 for files: SHA-256 of each file's bytes (``binaryFile`` source)."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+#: Bytes that hashing a file holds at a time.
+HASH_BYTES = 8 << 20
+
+
+def file_sha256(spark: SparkSession, path: str, chunk: int = HASH_BYTES) -> DataFrame:
+    """A7 for files: (path, length, sha256) of the files at ``path`` (a folder, file or glob), of any size.
+
+    The listing reads no content; a task streams its files in chunks, through the store's own file system.
+    Spark lists no empty files, so they have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for uri in b.column("path").to_pylist():
+                scheme, _, rest = uri.partition(":")
+                if scheme == "file":  # the listing gives plain names
+                    store, at = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    store, at = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest, safe="/@:"))
+                h = hashlib.sha256()
+                with store.open_input_stream(at) as f:
+                    while part := f.read(chunk):
+                        h.update(part)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+    return files.mapInArrow(hashed, "path string, length long, sha256 string")
 
 
 # ------------------------------------------------------------------ sinks
 
 
 def append_log(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
-    """A5: append rows to a parquet log (optionally partitioned, e.g. by day).
+    """A5: append rows to a parquet log (optionally partitioned, e.g. by day); a call that is repeated appends again
+    (``commits.append_batch`` does not).
 
     Executors write their own files; nothing passes through the driver.  The
     streaming jobs use the same layout through their parquet / foreachBatch sinks.

@@ -84,8 +84,9 @@ def test_versioned_model_save_and_load(spark):
     version, path = M.save_versioned(m, base)
     assert path.endswith(f"risk_model_v{version}")
     a = M.score_model(m, d, keep=["prediction_id"]).select("prediction_id", "p")
-    for p in (path, f"{base}/latest"):
-        b = M.score_model(PipelineModel.load(p), d, keep=["prediction_id"]).select("prediction_id", F.col("p").alias("q"))
+    assert M.load_latest(spark, f"{base}-none") is None
+    for model in (PipelineModel.load(path), M.load_latest(spark, base)):
+        b = M.score_model(model, d, keep=["prediction_id"]).select("prediction_id", F.col("p").alias("q"))
         assert a.join(b, "prediction_id").where(F.abs(F.col("p") - F.col("q")) > 1e-12).count() == 0
 
 
