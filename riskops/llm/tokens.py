@@ -8,9 +8,10 @@ told apart on whole Arrow columns; only words that are new go to the tokenizer.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ import pyarrow.compute as pc
 #: Words that a Python worker keeps the ids of; beyond it, those seen in one batch only go.
 WORD_CACHE = 300_000
 #: Text bytes of a batch, about; a longer text is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 3 << 20
 #: Signs between a letter and white space.
-SIGNS = r"([a-z])([.,!*$%&#;:?)]+)([ \n])"
+SIGNS = r"([a-zÀ-ÖØ-öø-ÿ])([.,!*$%&#;:?)]+)([ \n])"
+#: Words of ASCII and Latin-1 letters, in UTF-8.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on, in order.
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
@@ -60,14 +63,18 @@ class WordTokens:
 
     def add(self, new: list[bytes]) -> None:
         """Words of Latin letters alone are one pre-token and go to the merges at once; the others take the tokenizer's whole way."""
-        ids: list[list[int]] = []
-        rest = []
-        for k, w in enumerate(text := [x.decode("utf-8") for x in new]):
-            latin = w.isalpha() and max(w) < "Ā"
-            ids.append([t.id for t in self.merge(w.lower().encode().decode("latin-1").translate(BYTE_CHARS))] if latin else [])
-            if not latin:
-                rest.append(k)
-        for k, e in zip(rest, self.encode([text[k] for k in rest], add_special_tokens=False)):
+        ids: list[list[int]] = [[]] * len(new)
+        merge, latin, rest = self.merge, [], []
+        for k, w in enumerate(new):
+            if w.isalpha():  # of bytes: ASCII letters
+                ids[k] = [t.id for t in merge(w.decode().lower())]
+            else:
+                (latin if LATIN.fullmatch(w) else rest).append(k)
+        if latin:
+            spelt = b"\n".join([new[k] for k in latin]).decode().lower().encode().decode("latin-1").translate(BYTE_CHARS)
+            for k, w in zip(latin, spelt.split(chr(BYTE_CHARS[10]))):
+                ids[k] = [t.id for t in merge(w)]
+        for k, e in zip(rest, self.encode([new[k].decode() for k in rest], add_special_tokens=False)):
             ids[k] = e.ids
         n, at = len(self.index), self.first[len(self.index)]
         ends = at + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
@@ -85,17 +92,17 @@ class WordTokens:
         words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), SIGNS, r"\1 \2\3")))
         flat = words.flatten().cast(pa.large_binary()).dictionary_encode()
         own = flat.dictionary.to_pylist()
-        if new := [w for w in own if w not in self.index]:
-            self.add(new)
-        codes = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-        self.seen = room(self.seen, len(self.index))
+        codes = np.fromiter(map(self.index.get, own, repeat(-1)), np.int64, len(own))
+        if len(new := np.flatnonzero(codes < 0)):
+            codes[new] = len(self.index) + np.arange(len(new))
+            self.add([own[k] for k in new.tolist()])
         self.seen[codes] += 1
-        codes = codes[flat.indices.to_numpy()]
         first = self.first[codes]
-        n = self.first[codes + 1] - first
+        n = (self.first[codes + 1] - first)[at := flat.indices.to_numpy()]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
+        place = np.repeat((first[at] - ends[:-1]).astype(np.int32), n)
+        place += np.arange(ends[-1], dtype=np.int32)
+        return self.flat[place], ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
 
 
 def room(x: np.ndarray, n: int) -> np.ndarray:
