@@ -39,7 +39,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WINDOW = 120
-TERM = r"\p{L}[\p{L}\p{N}'-]{3,}"
+TERM = r"\p{L}[\p{L}\p{N}'-]+"
 MIN_CONTEXTS = 4
 ALPHA_GENERALISE, ALPHA_REMOVE = 1.1, 1.02
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -107,6 +107,11 @@ def written_spans(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))))
 
 
+def whole_words(window: Column, edge: str, cut: Column) -> Column:
+    """A window without the word at its ``edge``, where the window cuts it: that is not a term. Where the text ends, it is whole."""
+    return F.when(cut, F.regexp_replace(window, edge, " ")).otherwise(window)
+
+
 def base_table(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_words and base; its spans also carry the text around them."""
     t = F.col("t")
@@ -115,8 +120,8 @@ def base_table(docs: DataFrame) -> DataFrame:
     spaces = F.length("t") - F.length(F.translate("t", " \n\t", ""))
     around = F.transform("base", lambda s: F.struct(
         s.start, s.kind, s.end, s.value,
-        F.substr(t, F.greatest(s.start - WINDOW, F.lit(0)) + 1, F.least(s.start, F.lit(WINDOW))).alias("left"),
-        F.substr(t, s.end + 1, F.lit(WINDOW)).alias("right"),
+        whole_words(F.substr(t, F.greatest(s.start - WINDOW, F.lit(0)) + 1, F.least(s.start, F.lit(WINDOW))), r"^\S+\s", s.start > WINDOW).alias("left"),
+        whole_words(F.substr(t, s.end + 1, F.lit(WINDOW)), r"\s\S+$", F.length(t) > s.end + WINDOW).alias("right"),
     ))
     return df.select("doc_id", "row_key", (spaces + 1).cast("long").alias("n_words"), around.alias("base"))
 
@@ -134,8 +139,7 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.when(F.col("s.kind") >= 2, digits(F.col("s.value"))).otherwise(F.lower("s.value")))
     near = base.select(F.explode("base").alias("s")).select(
         F.xxhash64(entity).alias("entity"),
-        # a word cut by the window's edge is not a term
-        F.explode(F.array(F.regexp_replace("s.left", r"^\S+\s", " "), F.regexp_replace("s.right", r"\s\S+$", " "))).alias("window"),
+        F.explode(F.array("s.left", "s.right")).alias("window"),
     ).distinct()
     met = near.select("entity", F.explode(contexts(F.col("window"))).alias("x")).select("entity", "x.*").distinct()
     met = written(met, "near_contexts")

@@ -296,7 +296,7 @@ def told_runs(texts: DataFrame, buckets: int) -> DataFrame:
 
     def rows_of(key: np.ndarray, digest: np.ndarray, of: np.ndarray, who: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         rank = np.where(last, LAST, who)
-        order = np.lexsort((rank[of], digest, key))
+        order = np.lexsort((of, rank[of], digest, key))
         key, digest, of = key[order], digest[order], of[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
@@ -305,6 +305,8 @@ def told_runs(texts: DataFrame, buckets: int) -> DataFrame:
         rows: list[dict] = []
         for r, k in groups_by(of[later], run_names(key[later], digest[later])):
             rows.append({"bucket": int(who[r] % buckets), "who": int(who[r]), "last": bool(last[r]), "covered": k.tobytes()})
+        # documents without an id come last together: each of them has to be told, so each sends its runs
+        first |= last[of] & ~later & np.append(True, of[1:] != of[:-1])
         key, digest, of = key[first], digest[first], of[first]
         cuts = np.searchsorted(key >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -350,7 +352,7 @@ def told_runs(texts: DataFrame, buckets: int) -> DataFrame:
                 covered = rank > rank[leader]
                 heads = np.flatnonzero(new_key)
                 kinds = np.repeat(np.add.reduceat(first.astype(np.int64), heads), np.diff(np.append(heads, len(key))))
-                tell = covered | (first & (kinds > 1))
+                tell = covered | ((first | last) & (kinds > 1))
                 name = run_names(bucket | key.astype(np.uint64), digest)
                 both = who ^ (last * np.int64(0x5BD1E995 << 31))
                 for _, w, z, k, c in groups_by(both[tell], who[tell], last[tell], name[tell], covered[tell]):

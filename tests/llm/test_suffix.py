@@ -58,6 +58,16 @@ def test_equals_brute_force(spark, monkeypatch, batch, shard):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_documents_without_ids_come_last_however_they_are_dealt(spark, tmp_path, parts):
+    passage, other = words(40, 77), words(40, 78)
+    rows = [(None, f"{words(9, k)} {passage} {words(7, 50 + k)}", "en", "a") for k in range(5)] + [(None, f"{other} {k}", "en", "a") for k in range(4)]
+    rows += [(None, f"{words(4, 99)} {passage[20:]} tail", "en", "a"), (1, f"{words(5, 300)} {passage} end", "en", "a"), (7, f"x {other[:120]} y", "en", "a")]
+    docs(spark, rows).repartition(parts).write.parquet(str(tmp_path / "t"))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicate(spark.read.parquet(str(tmp_path / "t"))).collect())
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert suffix.deduplicate(docs(spark, [])).count() == 0
 
