@@ -126,12 +126,15 @@ def base_table(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "row_key", (spaces + 1).cast("long").alias("n_words"), around.alias("base"))
 
 
-def contexts(text: Column) -> Column:
-    """Array of (term, context) of a text: each lower-case term with a hash of its two neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
-    last, nxt = F.concat(F.array(F.lit("")), words), F.slice(words, F.lit(2), F.size(words))
-    pairs = F.zip_with(words, last, lambda w, p: F.struct(w.alias("term"), p.alias("prev")))
-    return F.filter(F.zip_with(pairs, nxt, lambda a, n: F.struct(a.term.alias("term"), F.xxhash64(a.prev, F.coalesce(n, F.lit(""))).alias("context"))), lambda x: x.term.isNotNull())
+def contexts(df: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """key, term, context: each lower-case term of a text with a hash of its two neighbours; only the terms of ``asked``, if given."""
+    df = df.select(key, F.regexp_extract_all(F.lower(text), F.lit(TERM), 0).alias("words")).where(F.size("words") > 0)
+    none = F.array(F.lit(""))
+    last, after = F.concat(none, F.slice("words", F.lit(1), F.size("words") - 1)), F.concat(F.slice("words", F.lit(2), F.size("words")), none)
+    rows = df.select(key, F.inline(F.arrays_zip(F.col("words").alias("term"), last.alias("last"), after.alias("after"))))
+    if asked is not None:
+        rows = rows.join(asked, "term")
+    return rows.select(key, "term", F.xxhash64("last", "after").alias("context"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
@@ -141,7 +144,7 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
         F.xxhash64(entity).alias("entity"),
         F.explode(F.array("s.left", "s.right")).alias("window"),
     ).distinct()
-    met = near.select("entity", F.explode(contexts(F.col("window"))).alias("x")).select("entity", "x.*").distinct()
+    met = contexts(near, "entity", "window").distinct()
     met = written(met, "near_contexts")
     words = base.agg(F.sum("n_words")).first()[0] or 1  # one number
     of_entity = met.groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -154,8 +157,7 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
         .where(F.col("n_joint") / F.col("n_near") >= least).select("entity", "term", "n_joint", "n_entity"), "asked_terms"
     )
     text = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("t"))
-    found = text.select("row_key", F.explode(contexts(F.col("t"))).alias("x")).select("row_key", "x.*")
-    found = written(found.join(asked.select("term").distinct(), "term").distinct(), "term_contexts")
+    found = written(contexts(text, "row_key", "t", asked.select("term").distinct()).distinct(), "term_contexts")
     total = found.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.col("n_joint") / F.greatest("n_term", "n_joint")
     limit = F.col("n_entity") / words
