@@ -41,6 +41,8 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WINDOW = 120
 TERM = r"\p{L}[\p{L}\p{N}'-]+"
 MIN_CONTEXTS = 4
+#: Terms that are looked up in the row at most.
+TERMS_IN_ROW = 10_000
 ALPHA_GENERALISE, ALPHA_REMOVE = 1.1, 1.02
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -127,12 +129,20 @@ def base_table(docs: DataFrame) -> DataFrame:
 
 
 def contexts(df: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
-    """key, term, context: each lower-case term of a text with a hash of its two neighbours; only the terms of ``asked``, if given."""
+    """key, term, context: each lower-case term of a text with a hash of its two neighbours; only the terms of ``asked``, if given.
+
+    Up to TERMS_IN_ROW terms are looked up in the row, so that only texts that hold one are laid out; more are joined.
+    """
     df = df.select(key, F.regexp_extract_all(F.lower(text), F.lit(TERM), 0).alias("words")).where(F.size("words") > 0)
+    few = [r.term for r in asked.limit(TERMS_IN_ROW + 1).collect()] if asked is not None else None
+    in_row = few is not None and len(few) <= TERMS_IN_ROW
+    if in_row:
+        df = df.where(F.exists("words", lambda w: w.isin(few)))
     none = F.array(F.lit(""))
     last, after = F.concat(none, F.slice("words", F.lit(1), F.size("words") - 1)), F.concat(F.slice("words", F.lit(2), F.size("words")), none)
-    rows = df.select(key, F.inline(F.arrays_zip(F.col("words").alias("term"), last.alias("last"), after.alias("after"))))
-    if asked is not None:
+    rows = F.arrays_zip(F.col("words").alias("term"), last.alias("last"), after.alias("after"))
+    rows = df.select(key, F.inline(F.filter(rows, lambda x: x.term.isin(few)) if in_row else rows))
+    if asked is not None and not in_row:
         rows = rows.join(asked, "term")
     return rows.select(key, "term", F.xxhash64("last", "after").alias("context"))
 

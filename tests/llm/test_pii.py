@@ -85,6 +85,14 @@ def test_short_terms_and_terms_at_the_ends_of_texts(spark):
         assert term in found, (i, t, got[i])
 
 
+def test_many_terms_are_joined_with_the_same_result(spark, monkeypatch):
+    rows, told, alone, copies = corpus()
+    frame = docs(spark, rows + told + alone + copies)
+    in_row = Counter((r.doc_id, r.spans) for r in pii.find(frame).collect())
+    monkeypatch.setattr(pii, "TERMS_IN_ROW", 0)
+    assert Counter((r.doc_id, r.spans) for r in pii.find(frame).collect()) == in_row
+
+
 def test_a_word_that_the_window_cuts_is_no_term(spark):
     long = " ".join("abcdefgh"[k % 8] * 9 for k in range(30))
     rows = [(i, f"{long[: 200 + i]} a{i}@b.co {long[i:]}", "en", "a") for i in range(20)]
