@@ -84,6 +84,17 @@ def test_oversample_draws_with_replacement_to_the_exact_size(spark):
     assert one.count() == sizes[1] and RS.oversample(s.where("y = 7"), "prediction_id", "y").count() == 0
 
 
+def test_oversample_never_broadcasts_its_draws(spark):
+    """The draws grow with the rows, whatever the planner takes their size for."""
+    rows = spark.range(2000).selectExpr("id AS row_id", "CAST(id % 5 = 0 AS int) AS y")
+    drawn = RS.oversample(rows, "row_id", "y")
+    assert drawn.count() == 3200
+    drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in line and "class_rank" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_chunks_rejoin_to_text(spark):
     docs = A.guidelines(spark, TINY)
     size, overlap = 500, 80
