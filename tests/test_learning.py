@@ -182,3 +182,13 @@ def test_learning_curve_sizes(frame):
     lc = {r.fraction: r for r in G.learning_curve(d, FEATS, lambda t, f, y: M.fit_logistic(t, f, y), "rid", fractions=(0.2, 1.0), k=3).collect()}
     assert abs(lc[0.2].train_size - 0.2 * n * 2 / 3) <= 2 and abs(lc[1.0].train_size - n * 2 / 3) <= 1
     assert lc[1.0].cv_auc_mean > 0.75 and lc[0.2].cv_auc_std >= 0
+
+
+def test_learners_get_their_rows_dealt_to_all_cores(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id", "CAST(id % 2 AS int) AS y", "CAST(id % 7 AS double) AS x").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    train, test = M.split(rows, "id")
+    assert train.rdd.getNumPartitions() >= cores and train.count() + test.count() == 400
+    monkeypatch.setattr(M, "TRAIN_ROWS", 30)
+    parts = M.dealt(rows).rdd.glom().map(len).collect()
+    assert len(parts) == 14 and sum(parts) == 400 and max(parts) <= 60
