@@ -3,9 +3,10 @@
 Words are hashed to embeddings, each the sum of a row for the word and a row for its first
 ``PREFIX`` letters, which its inflections share; filters of several widths run over the whole text, the
 maximum of each over all positions is pooled, and a logistic layer gives the score. Training
-takes labelled rows outside the held-out fifth, at most ``PER_LABEL`` of each label by a hash
-of their ids; a part of them calibrates a threshold for each language (the score does not
-know the language). Scoring needs no multiplication: embeddings times filters are tables.
+takes every labelled row outside the held-out fifth: rows are dealt to shards by a hash of their ids, each
+shard trains a copy of the shared network on its rows, and the mean of the copies' moves (of an embedding row: over the
+shards that have its words) is the network of the next round. A part of the rows calibrates a threshold for each
+language (the score does not know the language). Scoring needs no multiplication: embeddings times filters are tables.
 
 Defined cases: null and empty texts are scored by the pooled bias; labels that are null or
 without a document are left out, and a document's labels count once; without labels of both
@@ -25,15 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, written
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
-#: Most training rows of each label: they and the model are all that the driver holds.
-PER_LABEL = 2500
+#: Training rows of a shard, about, and rounds of several shards; a round of full shards is one pass over all rows.
+SHARD_ROWS, ROUNDS = 4000, 3
+#: Embedding rows whose moves are averaged together, and steps of the log-odds that scores are told apart by for the thresholds.
+BLOCK_ROWS, ODDS_STEP = 256, 0.001
 #: A word's code holds the rows of the word and of its prefix, ROW_BITS each; 0 is padding.
 PREFIX, ROW_BITS = 4, 15
 ROWS, DIM, WIDTHS, FILTERS = 1 << ROW_BITS, 16, (1, 2, 3), 16
-#: Passes over the training rows, more of them until LEAST_STEPS batches are done.
+#: Passes over the training rows of a single shard; LEAST_STEPS batches are done at least, about, by each shard in all its rounds.
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 400, 32, 0.05, 7
 #: ASCII characters other than letters and digits part words.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -77,18 +80,22 @@ class Network:
         self.bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
         self.out = (r.normal(size=len(WIDTHS) * FILTERS) * 0.3).astype(np.float32)
         self.shift = np.zeros(1, np.float32)
+        self.seen = [np.full_like(p, 1e-3) for p in self.parameters()]
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> "Network":
-        """Logistic loss with both labels of equal weight, AdaGrad on all parameters."""
+    def parameters(self) -> list[np.ndarray]:
+        return [self.embed, *self.filters, self.bias, self.out, self.shift]
+
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, share: float, passes: int = 1, seed: int = SEED) -> "Network":
+        """Logistic loss with both labels of equal weight (``share`` of all rows are toxic), AdaGrad on all parameters."""
         r = np.random.default_rng(seed)
-        weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1)) * len(labels)
-        seen = [np.full_like(p, 1e-3) for p in (self.embed, *self.filters, self.bias, self.out, self.shift)]
+        weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        seen = self.seen
 
         def move(k: int, p: np.ndarray, g: np.ndarray, at: object = ...) -> None:
             seen[k][at] += g * g
             p[at] -= RATE * g / np.sqrt(seen[k][at])
 
-        for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))):
+        for _ in range(passes):
             order = r.permutation(len(texts))
             for a in range(0, len(order), BATCH):
                 picked = order[a : a + BATCH]
@@ -175,12 +182,11 @@ class Constant:
         return np.full(len(texts), self.score)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list:
-    """At most ``per_label`` rows (fold, lang, toxic, embedding rows) of each label outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every labelled row outside the held-out fold: doc_id, fold, lang, toxic and its word codes (``rows``)."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
-    picked = [marks.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # at most 2 * per_label short rows
+    marks = marks.withColumn("fold", fold(F.col("doc_id"))).where((F.col("fold") != HELD_OUT) & F.col("toxic").isin(0, 1))
+    names = docs.select("doc_id", "text", "lang").join(marks, "doc_id").select("doc_id", "fold", "lang", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
@@ -188,43 +194,118 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL
             rows = pa.array([word_codes(t, known).tobytes() for t in part.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "fold", "lang", "toxic")), rows], ["doc_id", "fold", "lang", "toxic", "rows"])
 
-    names = texts.select("doc_id", "fold", "lang", "toxic", "text")
-    schema = T.StructType([*names.schema.fields[:4], T.StructField("rows", T.BinaryType())])
-    return sorted(names.mapInArrow(run, schema).collect(), key=lambda r: (r.doc_id, bytes(r.rows)))
-
-
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold with the best balanced accuracy, between two scores; 0.5 without both labels."""
-    if not 0 < labels.sum() < len(labels):
+    return names.mapInArrow(run, T.StructType([*names.schema.fields[:4], T.StructField("rows", T.BinaryType())]))
+
+
+def codes_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+
+
+def learn(rows: DataFrame, n: int, share: float) -> Network:
+    """The network of all ``n`` rows (doc_id, toxic, rows), of which ``share`` are toxic. Only the network comes to the driver."""
+    shards = max(1, -(-n // SHARD_ROWS))
+    rounds, least = (1, EPOCHS) if shards == 1 else (ROUNDS, 1)
+    passes = max(least, round(LEAST_STEPS * BATCH * shards / (rounds * n)))
+    # rows of one id differ in their texts, if at all: both deal them out
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "rows"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "toxic", "rows")
+    net = Network()
+    for turn in range(rounds):
+        start = rows.sparkSession.sparkContext.broadcast((net.parameters(), net.seen))  # of fixed size
+
+        def train_shard(key: tuple, group: pa.Table) -> pa.Table:
+            group = group.sort_by([("doc_id", "ascending"), ("rows", "ascending")])
+            own = Network()
+            for mine, shared in zip((*own.parameters(), *own.seen), (*start.value[0], *start.value[1])):
+                mine[...] = shared
+            own.fit(codes_of(group.column("rows")), group.column("toxic").to_numpy().astype(float), share, passes, SEED + turn)
+            after = [*own.parameters(), *own.seen]
+            moved = [a - b for a, b in zip(after, (*start.value[0], *start.value[1]))]
+            half = len(moved) // 2
+            both_moves = np.hstack([moved[0], moved[half]])
+            at = np.flatnonzero(moved[half].any(axis=1)).astype(np.int32)  # the embedding rows that were met
+            out = [(-1, b"", np.concatenate([m.ravel() for m in (*moved[1:half], *moved[half + 1 :])]).tobytes())]
+            for block in np.unique(at // BLOCK_ROWS):
+                met = at[at // BLOCK_ROWS == block]
+                out.append((int(block), met.tobytes(), both_moves[met].tobytes()))
+            block, at, move = zip(*out)
+            return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()),
+                             "at": pa.array(at, pa.binary()), "move": pa.array(move, pa.binary())})
+
+        def average(key: tuple, group: pa.Table) -> pa.Table:
+            group = group.sort_by("shard")
+            at, moves = codes_of(group.column("at")), [np.frombuffer(x, np.float32) for x in group.column("move").to_pylist()]
+            if key[0].as_py() < 0:
+                found, mean = np.zeros(0, np.int32), np.mean(moves, axis=0, dtype=np.float64)
+            else:
+                found, of = np.unique(np.concatenate(at), return_inverse=True)
+                total = np.zeros((len(found), 2 * DIM))
+                np.add.at(total, of, np.concatenate(moves).reshape(-1, 2 * DIM))
+                mean = total / np.bincount(of)[:, None]
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([found.tobytes()], pa.binary()),
+                             "move": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+        moves = dealt.groupBy("shard").applyInArrow(train_shard, "block int, shard int, at binary, move binary")
+        for r in moves.groupBy("block").applyInArrow(average, "block int, at binary, move binary").collect():  # a network's size
+            move = np.frombuffer(r.move, np.float32)
+            if r.block < 0:
+                for p in (*net.parameters()[1:], *net.seen[1:]):
+                    p += move[: p.size].reshape(p.shape)
+                    move = move[p.size :]
+            else:
+                at, move = np.frombuffer(r.at, np.int32), move.reshape(-1, 2 * DIM)
+                net.embed[at] += move[:, :DIM]
+                net.seen[0][at] += move[:, DIM:]
+    return net
+
+
+def best_threshold(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold with the best balanced accuracy, between two scores; 0.5 without both labels.
+
+    ``low`` and ``high`` are the ends of cells of scores, ``toxic`` and ``clean`` their rows.
+    """
+    if not toxic.sum() or not clean.sum():
         return 0.5
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    gain = np.cumsum(y) / y.sum() - np.cumsum(1 - y) / (1 - y).sum()
-    gain[:-1][s[:-1] == s[1:]] = -2
+    order = np.argsort(-low, kind="stable")
+    gain = np.cumsum(toxic[order]) / toxic.sum() - np.cumsum(clean[order]) / clean.sum()
     k = int(gain.argmax())
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[Tables | Constant, dict]:
-    """The scorer, and a threshold for each language (None: for languages without one)."""
-    rows = training_rows(docs, labels, per_label)
-    texts = [np.frombuffer(r.rows, np.int32) for r in rows]
-    y = np.array([r.toxic for r in rows], np.float64)
-    folds = np.array([r.fold for r in rows])
-    use = np.flatnonzero(folds != CALIBRATION)
-    if not 0 < y[use].sum() < len(use):
-        return Constant(float(y.mean()) if len(y) else 0.0), {}
-    model = Network().fit([texts[i] for i in use], y[use]).tables()
-    held = np.flatnonzero(folds == CALIBRATION)
-    scores = np.concatenate([model([texts[i] for i in held[a : a + 64]]) for a in range(0, len(held), 64)] or [np.zeros(0)])
-    lang = np.array([str(rows[i].lang) for i in held])
-    limits = {x: best_threshold(scores[lang == x], y[held][lang == x]) for x in sorted(set(lang))}
-    return model, limits | {"": best_threshold(scores, y[held])}
-
-
-def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    return float((low[order[k]] + (high[order[k + 1]] if k + 1 < len(order) else 0.0)) / 2)
+
+
+def thresholds(rows: DataFrame, model: Tables) -> dict:
+    """The threshold of each language over all its rows ("": of all languages)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            s = shared.value(codes_of(part.column("rows")))
+            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in part.column("lang").to_pylist()]), part.column("toxic"), pa.array(s)], ["lang", "toxic", "score"])
+
+    scored = rows.select("lang", "toxic", "rows").mapInArrow(run, "lang string, toxic int, score double")
+    odds = F.round(F.log(F.col("score") / (1 - F.col("score"))) / ODDS_STEP)
+    cells = (scored.select(F.explode(F.array("lang", F.lit(""))).alias("lang"), odds.alias("cell"), "toxic", "score").groupBy("lang", "cell")
+             .agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")))
+
+    def pick(key: tuple, group: pa.Table) -> pa.Table:
+        best = best_threshold(*(group.column(c).to_numpy() for c in ("low", "high", "toxic", "clean")))
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "threshold": pa.array([best])})
+
+    return {r.lang: r.threshold for r in cells.groupBy("lang").applyInArrow(pick, "lang string, threshold double").collect()}  # the languages
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Tables | Constant, dict]:
+    """The scorer, and a threshold for each language ("": for languages without one)."""
+    rows = written(training_rows(docs, labels), "toxicity")
+    held = F.col("fold") == CALIBRATION
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.count(F.when(~held, 1)).alias("own"), F.sum(F.when(~held, F.col("toxic"))).alias("own_toxic")).first()
+    if not 0 < (sizes.own_toxic or 0) < sizes.own:
+        return Constant(sizes.toxic / sizes.n if sizes.n else 0.0), {}
+    model = learn(rows.where(~held), sizes.own, sizes.own_toxic / sizes.own).tables()
+    return model, {"": 0.5} | thresholds(rows.where(held), model)
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5), threshold of the language and toxic (score >= threshold)."""
-    model, limits = train(docs, labels, per_label)
+    model, limits = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((model, limits))  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,25 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_every_labelled_row_trains(spark, monkeypatch):
+    """More rows than one shard: all are there, and what only some shards have seen is learnt."""
+    rows, labels = labelled(900)
+    many = [(10_000 + k, f"calm w{k % 50}", None, "a") for k in range(4_000)]
+    frame = docs(spark, rows + many)
+    marks = spark.createDataFrame(labels + [(r[0], 1, 0) for r in many], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(frame, marks)
+    assert {r.doc_id for r in got.select("doc_id").collect()} == {r[0] for r in rows + many if zlib.crc32(str(r[0]).encode()) % 5}
+    few = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 120)
+    model, limits = toxicity.train(docs(spark, rows), few)
+    again, _ = toxicity.train(docs(spark, rows).repartition(3), few)
+    assert all(np.array_equal(x, y) for p, q in zip(model.products, again.products) for x, y in zip(p, q)) and {"en", "de", ""} <= set(limits)
+    codes = toxicity.WordCodes()
+    held = [(text, labels[i][2]) for i, text, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = (model([toxicity.word_codes(t, codes) for t, _ in held]) >= 0.5) == np.array([y for _, y in held])
+    assert right.mean() >= 0.95
+
+
 def test_tables_equal_the_network():
     net = toxicity.Network(3)
     codes = toxicity.WordCodes()
