@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import key_groups, slices, written
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 #: Training rows of a shard, about, and rounds of several shards; a round of full shards is one pass over all rows.
-SHARD_ROWS, ROUNDS = 4000, 3
+SHARD_ROWS, ROUNDS = 8000, 2
 #: Embedding rows whose moves are averaged together, and steps of the log-odds that scores are told apart by for the thresholds.
 BLOCK_ROWS, ODDS_STEP = 256, 0.001
+#: Bits of the map of labelled ids; texts that it rules out are not shuffled.
+ID_BITS = 1 << 26
 #: A word's code holds the rows of the word and of its prefix, ROW_BITS each; 0 is padding.
 PREFIX, ROW_BITS = 4, 15
 ROWS, DIM, WIDTHS, FILTERS = 1 << ROW_BITS, 16, (1, 2, 3), 16
@@ -182,11 +184,21 @@ class Constant:
         return np.full(len(texts), self.score)
 
 
+def may_be_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id's bit is set in a map of ``ids`` of fixed size (2,048 rows of 4 KB at most)."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ID_BITS))
+    bits = ids.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    near = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", bit.cast("int")).join(F.broadcast(bits), "_bucket")
+    return near.where("shiftright(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), _bit % 8) & 1 = 1").select(*docs.columns)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every labelled row outside the held-out fold: doc_id, fold, lang, toxic and its word codes (``rows``)."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.withColumn("fold", fold(F.col("doc_id"))).where((F.col("fold") != HELD_OUT) & F.col("toxic").isin(0, 1))
-    names = docs.select("doc_id", "text", "lang").join(marks, "doc_id").select("doc_id", "fold", "lang", "toxic", "text")
+    texts = may_be_in(docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id")) != HELD_OUT), marks)
+    names = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "fold", "lang", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
@@ -208,11 +220,13 @@ def learn(rows: DataFrame, n: int, share: float) -> Network:
     passes = max(least, round(LEAST_STEPS * BATCH * shards / (rounds * n)))
     # rows of one id differ in their texts, if at all: both deal them out
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "rows"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "toxic", "rows")
+    # shuffled once; a task of a round reads whole shards from its files
+    dealt = written(dealt.repartition("shard").sortWithinPartitions("shard"), "toxicity-shards")
     net = Network()
     for turn in range(rounds):
         start = rows.sparkSession.sparkContext.broadcast((net.parameters(), net.seen))  # of fixed size
 
-        def train_shard(key: tuple, group: pa.Table) -> pa.Table:
+        def train_shard(shard: int, group: pa.Table) -> pa.RecordBatch:
             group = group.sort_by([("doc_id", "ascending"), ("rows", "ascending")])
             own = Network()
             for mine, shared in zip((*own.parameters(), *own.seen), (*start.value[0], *start.value[1])):
@@ -228,8 +242,12 @@ def learn(rows: DataFrame, n: int, share: float) -> Network:
                 met = at[at // BLOCK_ROWS == block]
                 out.append((int(block), met.tobytes(), both_moves[met].tobytes()))
             block, at, move = zip(*out)
-            return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()),
-                             "at": pa.array(at, pa.binary()), "move": pa.array(move, pa.binary())})
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([shard] * len(out), pa.int32()), pa.array(at, pa.binary()), pa.array(move, pa.binary())],
+                                              ["block", "shard", "at", "move"])
+
+        def train_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in key_groups(batches, ["shard"]):
+                yield train_shard(group.column("shard")[0].as_py(), group)
 
         def average(key: tuple, group: pa.Table) -> pa.Table:
             group = group.sort_by("shard")
@@ -244,7 +262,7 @@ def learn(rows: DataFrame, n: int, share: float) -> Network:
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([found.tobytes()], pa.binary()),
                              "move": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-        moves = dealt.groupBy("shard").applyInArrow(train_shard, "block int, shard int, at binary, move binary")
+        moves = dealt.mapInArrow(train_shards, "block int, shard int, at binary, move binary")
         for r in moves.groupBy("block").applyInArrow(average, "block int, at binary, move binary").collect():  # a network's size
             move = np.frombuffer(r.move, np.float32)
             if r.block < 0:

@@ -83,6 +83,7 @@ def test_every_labelled_row_trains(spark, monkeypatch):
     got = toxicity.training_rows(frame, marks)
     assert {r.doc_id for r in got.select("doc_id").collect()} == {r[0] for r in rows + many if zlib.crc32(str(r[0]).encode()) % 5}
     few = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert 900 <= toxicity.may_be_in(frame, few).count() < 920  # the map of ids lets hardly any other text by
     monkeypatch.setattr(toxicity, "SHARD_ROWS", 120)
     model, limits = toxicity.train(docs(spark, rows), few)
     again, _ = toxicity.train(docs(spark, rows).repartition(3), few)
