@@ -216,8 +216,7 @@ def codes_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
 def learn(rows: DataFrame, n: int, share: float) -> Network:
     """The network of all ``n`` rows (doc_id, toxic, rows), of which ``share`` are toxic. Only the network comes to the driver."""
     shards = max(1, -(-n // SHARD_ROWS))
-    rounds, least = (1, EPOCHS) if shards == 1 else (ROUNDS, 1)
-    passes = max(least, round(LEAST_STEPS * BATCH * shards / (rounds * n)))
+    rounds, passes = (1, max(EPOCHS, -(-LEAST_STEPS * BATCH // n))) if shards == 1 else (ROUNDS, max(1, round(LEAST_STEPS * BATCH * shards / (ROUNDS * n))))
     # rows of one id differ in their texts, if at all: both deal them out
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "rows"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "toxic", "rows")
     # shuffled once; a task of a round reads whole shards from its files
