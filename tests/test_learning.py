@@ -187,6 +187,8 @@ def test_learning_curve_sizes(frame):
 def test_learners_get_their_rows_dealt_to_all_cores(spark, monkeypatch):
     rows = spark.range(400).selectExpr("id", "CAST(id % 2 AS int) AS y", "CAST(id % 7 AS double) AS x").coalesce(1)
     cores = spark.sparkContext.defaultParallelism
+    assert M.dealt(rows) is rows  # too short to be dealt
+    monkeypatch.setattr(M, "TASK_ROWS", 10)
     train, test = M.split(rows, "id")
     assert train.rdd.getNumPartitions() >= cores and train.count() + test.count() == 400
     monkeypatch.setattr(M, "TRAIN_ROWS", 30)
