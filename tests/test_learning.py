@@ -194,3 +194,12 @@ def test_learners_get_their_rows_dealt_to_all_cores(spark, monkeypatch):
     monkeypatch.setattr(M, "TRAIN_ROWS", 30)
     parts = M.dealt(rows).rdd.glom().map(len).collect()
     assert len(parts) == 14 and sum(parts) == 400 and max(parts) <= 60
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows_and_is_the_same(frame, monkeypatch):
+    made, real = [], M.RandomForestClassifier
+    monkeypatch.setattr(M, "RandomForestClassifier", lambda **kw: made.append(real(**kw)) or made[-1])
+    kept = M.fit_forest(frame, FEATS, num_trees=5, max_depth=4).stages[-1].toDebugString
+    assert made[0].getCacheNodeIds()
+    monkeypatch.setattr(M, "RandomForestClassifier", lambda **kw: real(**{**kw, "cacheNodeIds": False}))
+    assert M.fit_forest(frame, FEATS, num_trees=5, max_depth=4).stages[-1].toDebugString.split("\n", 1)[1] == kept.split("\n", 1)[1]
