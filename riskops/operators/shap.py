@@ -4,8 +4,9 @@ A leaf adds ``v`` to the prediction if the row passes every split above it. Spli
 feature together are one interval, so for a leaf with ``k`` features on its path a row is only
 a pattern of ``k`` bits (inside the interval or not), and a feature that is not known passes with
 the share of training weight that does (cover). The subset sums of Shapley's formula are kept as one weight for
-each subset size: ``extend`` takes a feature into them, ``without`` takes it out again. Both run for all
-patterns that occur in an Arrow batch at once, so the cost follows leaves x patterns, not rows x subsets.
+each subset size: ``extend`` takes a feature into them, ``without`` takes it out again. Both run for many
+leaves and all their patterns at once (for the patterns that occur, where a leaf has many features); a row then
+only looks its pattern up.
 
 The ensemble's intervals, covers and values are bounded by the model and go to the tasks in one
 broadcast; rows never leave their partition. ``base + sum(attributions)`` is the prediction: the
@@ -14,8 +15,9 @@ probability of a class (forest) or the margin (boosted trees).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskops.operators.explain import tree_nodes
+from riskops.operators.models import dealt
 
 
 @dataclass(frozen=True)
@@ -63,63 +66,81 @@ def leaves(nodes: dict[int, dict], value, cover) -> list[Leaf]:
     return out
 
 
-def extend(weights: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:
-    """Weights by subset size after a feature with cover ``zero`` and pass bits ``one`` has come in (a row for each pattern)."""
-    n = weights.shape[1]
-    out = np.zeros((len(weights), n + 1))
-    size = np.arange(n)
-    out[:, :-1] = weights * zero * (n - size) / (n + 1)
-    out[:, 1:] += weights * one[:, None] * (size + 1) / (n + 1)
-    return out
+def extend(weights: list[np.ndarray], zero: np.ndarray, one: np.ndarray) -> list[np.ndarray]:
+    """Weights by subset size after a feature with cover ``zero`` (a row for each leaf) and pass bits ``one`` (a column for each pattern) has come in."""
+    n = len(weights)
+    stay = [w * (zero * ((n - size) / (n + 1))) for size, w in enumerate(weights)]
+    grow = [w * (one * ((size + 1) / (n + 1))) for size, w in enumerate(weights)]
+    return [stay[0], *(a + b for a, b in zip(stay[1:], grow)), grow[-1]]
 
 
-def without(weights: np.ndarray, zero: float, one: np.ndarray) -> np.ndarray:
+def without(weights: list[np.ndarray], zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """The sum of the weights from which a feature is taken out again."""
-    n = weights.shape[1] - 1
-    total = np.zeros(len(weights))
-    passed = one > 0
-    # a passing feature: from the largest subset down
-    ahead = weights[passed, n].copy()
+    n = len(weights) - 1
+    passed, failed, ahead = 0.0, 0.0, weights[n]
     for size in range(n - 1, -1, -1):
-        own = ahead * (n + 1) / (size + 1)
-        total[passed] += own
-        ahead = weights[passed, size] - own * zero * (n - size) / (n + 1)
-    # a failing one only scaled the weights
-    if zero > 0:
-        size = np.arange(n)
-        total[~passed] = (weights[~passed, :n] * (n + 1) / (zero * (n - size))).sum(axis=1)
-    return total
-
-
-def pattern_values(leaf: Leaf, patterns: np.ndarray) -> np.ndarray:
-    """The leaf's Shapley values for each pattern of passed features (a bit each): patterns x features."""
-    bits = (patterns[:, None] >> np.arange(len(leaf.features))) & 1
-    weights = np.ones((len(patterns), 1))
-    for k, zero in enumerate(leaf.cover):
-        weights = extend(weights, zero, bits[:, k])
-    return np.stack([leaf.value * (bits[:, k] - zero) * without(weights, zero, bits[:, k]) for k, zero in enumerate(leaf.cover)], axis=1)
+        # a passing feature: from the largest subset down; a failing one only scaled the weights
+        own = ahead * ((n + 1) / (size + 1))
+        passed = passed + own
+        ahead = weights[size] - own * (zero * ((n - size) / (n + 1)))
+        failed = failed + weights[size] * ((n + 1) / (n - size))
+    return np.where(one > 0, passed, np.divide(failed, zero, out=np.zeros_like(failed), where=zero > 0))
+
+
+def pattern_values(value: np.ndarray, cover: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves with as many features (a row of ``cover`` each) for patterns of passed features (a bit each):
+    leaves x features x patterns."""
+    bits = (patterns >> np.arange(cover.shape[1])[:, None]) & 1
+    zeros = [c[:, None] for c in cover.T]
+    weights = [np.ones((len(cover), len(patterns)))]
+    for zero, one in zip(zeros, bits):
+        weights = extend(weights, zero, one)
+    return np.stack([value[:, None] * (one - zero) * without(weights, zero, one) for zero, one in zip(zeros, bits)], axis=1)
+
+
+#: Most features of a leaf whose patterns are all laid out, numbers in such a table, and rows whose patterns are taken together.
+TABLE_FEATURES, TABLE_VALUES, BLOCK_ROWS = 8, 1 << 20, 1 << 14
+
+
+def patterns_of(leaf: Leaf, at_most: Callable[[int, float], np.ndarray], dtype) -> np.ndarray:
+    """A bit for each feature of the leaf that a row passes; ``at_most`` tells of a feature which rows are not above a bound."""
+    out = 0
+    for k, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+        passes = at_most(f, high) if low is None else ~at_most(f, low) if high is None else at_most(f, high) > at_most(f, low)
+        out = out + passes * dtype(1 << k)
+    return out
 
 
 def shapley(trees: Sequence[Sequence[Leaf]], scale: Sequence[float], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Values for each row and feature of ``x``, and the expected prediction."""
-    out, base = np.zeros(x.shape), 0.0
+    out, base = np.zeros(x.shape[::-1]), 0.0
+    by_size: dict[int, list[tuple[Leaf, float]]] = {}
     for tree, share in zip(trees, scale):
         for leaf in tree:
             base += share * leaf.value * float(np.prod(leaf.cover))
-            if not leaf.features or not len(x):
-                continue
-            pattern = np.zeros(len(x), np.int64)
-            for k, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
-                own = x[:, f]
-                passes = np.ones(len(x), bool)
-                if low is not None:
-                    passes &= ~(own <= low)
-                if high is not None:
-                    passes &= own <= high
-                pattern |= passes.astype(np.int64) << k
-            found, of = np.unique(pattern, return_inverse=True)
-            out[:, list(leaf.features)] += share * pattern_values(leaf, found)[of]
-    return out, base
+            if leaf.features and len(x):
+                by_size.setdefault(len(leaf.features), []).append((leaf, share))
+    columns = np.ascontiguousarray(x.T)
+    for start in range(0, len(x), BLOCK_ROWS):
+        rows = slice(start, start + BLOCK_ROWS)
+        at_most = cache(lambda f, bound, rows=rows: columns[f, rows] <= bound)
+        for size, own in by_size.items():
+            laid_out = size <= TABLE_FEATURES
+            step = max(1, (TABLE_VALUES >> size) // size) if laid_out else 1
+            for first in range(0, len(own), step):
+                part = own[first:first + step]
+                value, cover = np.array([leaf.value * share for leaf, share in part]), np.array([leaf.cover for leaf, _ in part])
+                found = [patterns_of(leaf, at_most, np.uint8 if laid_out else np.int64) for leaf, _ in part]
+                if laid_out:
+                    tables = pattern_values(value, cover, np.arange(1 << size))
+                else:  # only the patterns that occur
+                    patterns, of = np.unique(found[0], return_inverse=True)
+                    tables, found = pattern_values(value, cover, patterns), [of]
+                for (leaf, _), table, pattern in zip(part, tables, found):
+                    index = pattern.astype(np.intp)
+                    for f, values in zip(leaf.features, table):
+                        out[f, rows] += values[index]
+    return out.T, base
 
 
 def ensemble(model: PipelineModel, spark, class_index: int = 1) -> tuple[list[list[Leaf]], list[float]]:
@@ -147,7 +168,7 @@ def tree_shap(model: PipelineModel, df: DataFrame, features: Sequence[str], id_c
     spark = df.sparkSession
     trees = spark.sparkContext.broadcast(ensemble(model, spark, class_index))
     names = list(features)
-    x = model.transform(df).select(F.col(id_col).alias("id"), vector_to_array("features").alias("x"))
+    x = model.transform(dealt(df, anew=False)).select(F.col(id_col).alias("id"), vector_to_array("features").alias("x"))
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

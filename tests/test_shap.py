@@ -122,3 +122,26 @@ def test_no_rows_and_rows_without_effect(spark, frame):
     out = S.tree_shap(model, frame.limit(3), FEATS, "id", class_index=0)
     assert {(r.attribution, r.share_percent) for r in out.collect()} == {(0.0, 0.0)}
     assert S.tree_shap(model, frame.where("id < -1"), FEATS, "id").collect() == []
+
+
+def test_values_do_not_depend_on_the_block_or_on_how_patterns_are_found(monkeypatch):
+    r = np.random.default_rng(3)
+    trees = [S.leaves(random_tree(r, 8, 6), VALUE, COVER) for _ in range(3)]
+    x = r.integers(-3, 4, (300, 6)).astype(float)
+    x[7, 2] = np.nan
+    want, base = S.shapley(trees, [0.5, 0.25, 0.25], x)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(S, "TABLE_VALUES", 64)
+    assert np.allclose(S.shapley(trees, [0.5, 0.25, 0.25], x)[0], want, atol=1e-12)
+    monkeypatch.setattr(S, "TABLE_FEATURES", 2)
+    got, same = S.shapley(trees, [0.5, 0.25, 0.25], x)
+    assert np.allclose(got, want, atol=1e-12) and same == base
+
+
+def test_leaves_are_worked_on_together_not_one_by_one(monkeypatch):
+    r = np.random.default_rng(4)
+    trees = [S.leaves(random_tree(r, 8, 4), VALUE, COVER) for _ in range(20)]
+    calls, real = [], S.pattern_values
+    monkeypatch.setattr(S, "pattern_values", lambda *a: calls.append(a) or real(*a))
+    S.shapley(trees, [1.0] * 20, r.integers(-3, 4, (50, 4)).astype(float))
+    assert len(calls) <= 4 < sum(map(len, trees))
