@@ -670,7 +670,9 @@ def q_chat_guidance(spark, sf_dir):
 @register("key_points")
 def q_key_points(spark, sf_dir):
     d = TR.key_points(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return finish(d.select("doc_id", F.posexplode("key_points").alias("point_idx", "point")))
+    # the outer form: a filter on the points' number, set by the planner below the inner one, takes every step on the text again
+    d = d.select("doc_id", F.posexplode_outer("key_points").alias("point_idx", "point"))
+    return finish(d.where(F.col("point_idx").isNotNull()))
 
 
 @register("evidence_spans")

@@ -158,3 +158,15 @@ def test_single_class_edges(spark):
     assert fairness.di_by_threshold(one).count() == 0
     assert E.bootstrap_auc_ci(one, n_boot=20).first()["n_bootstraps"] == 0
     assert E.average_precision(one).first()["average_precision"] == pytest.approx(1.0)
+
+
+def test_key_points_normalise_and_split_a_text_once(spark):
+    from riskops.operators import triage as TR
+    from riskops.plans import catalog as C
+
+    d = C.q_key_points(spark, TINY)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("split(") == 1
+    rows = [(1, "One  longer sentence here. short. Another\tsentence of it - and a last part"), (2, "tiny"), (3, "   "), (4, None), (5, "")]
+    got = {r.i: r.key_points for r in TR.key_points(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert got[1] == ["One longer sentence here", "Another sentence of it", "and a last part"] and got[2] == ["tiny"] and got[3] == got[5] == []
