@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskops.operators.models import dealt
 from riskops.session import scratch_path
 
 
@@ -140,7 +141,7 @@ def tree_attribution(model: PipelineModel, df: DataFrame, features: Sequence[str
     bc = spark.sparkContext.broadcast((packed, tw))
     nf = len(features)
     names = list(features)
-    x = model.transform(df).select(F.col(id_col).cast("string").alias("id"),
+    x = model.transform(dealt(df, anew=False)).select(F.col(id_col).cast("string").alias("id"),
                                    vector_to_array("features").alias("x"))
 
     def run(batches):
@@ -166,7 +167,7 @@ def tree_attribution(model: PipelineModel, df: DataFrame, features: Sequence[str
                     child = np.where(go_left, left[t, node], right[t, node])
                     child = np.where(active, child, node)
                     delta = (val[t, child] - val[t, node]) * w[t]
-                    np.add.at(attr, (rows[active], fa[active]), delta[active])
+                    attr[rows[active], fa[active]] += delta[active]  # a row is met once
                     node = child
             out = pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), nf), "feature": np.tile(names, n),
                                 "attribution": attr.reshape(-1), "base": base})
