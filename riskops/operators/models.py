@@ -350,7 +350,7 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "
     ``regParam = 1 / (C * sum of weights)``.
     """
     t = train.where(F.col(text_col).isNotNull() & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("string"))
-    t, wcol = _weighted(written(t, "text-train"), label, balanced)
+    t, wcol = _weighted(written(dealt(t, anew=False), "text-train"), label, balanced)
     top = term_statistics(t.select(F.lower(text_col).alias("t"))).orderBy(
         (F.col("term") == CHUNK_SENTINEL).desc(), F.col("cnt").desc(), "term").limit(vocab_size + 1).collect()  # bounded by vocab_size
     n, terms = top[0].df, top[1:]

@@ -20,8 +20,8 @@ from riskops.session import ensure_checkpoint_dir
 PROFILE_SEP = "\u001f"
 
 
-#: Rows of one range of the two-level rank, about.
-RANK_RANGE = 50_000
+#: Rows of one range of the two-level rank, about: a task sorts some ranges of whole rows, and rows may hold texts.
+RANK_RANGE = 2_000
 
 
 def class_rank(df: DataFrame, id_col: str, label_col: str, seed: str) -> DataFrame:
@@ -86,7 +86,8 @@ def group_folds(df: DataFrame, profile_cols: Sequence[str], k: int = 5, seed: st
               .withColumn("mix", F.concat_ws(":", "n_pos", "n_neg")).checkpoint())
     mixes = cumulative(groups.groupBy("n_pos", "n_neg", "mix").agg(F.count(F.lit(1)).alias("n")), ["n_pos", "n_neg"], ["n"])
     ranked = class_rank(groups.select("profile", "mix"), "profile", "mix", seed)
-    dealt = ranked.join(mixes.select("mix", (F.col("n_cum") - F.col("n")).alias("first")), "mix")
+    # nearly all profiles may have one mix, so a shuffle by it would bring them into one task; n rows have less than 2 n^(2/3) mixes
+    dealt = ranked.join(F.broadcast(mixes.select("mix", (F.col("n_cum") - F.col("n")).alias("first"))), "mix")
     fold = F.pmod(F.col("first") + F.col("class_rank"), F.lit(k)).cast("int")
     folds = dealt.select("profile", fold.alias("fold")).checkpoint()
     return rows.join(folds, "profile").select(*rows.columns, "fold")

@@ -170,3 +170,23 @@ def test_key_points_normalise_and_split_a_text_once(spark):
     rows = [(1, "One  longer sentence here. short. Another\tsentence of it - and a last part"), (2, "tiny"), (3, "   "), (4, None), (5, "")]
     got = {r.i: r.key_points for r in TR.key_points(spark.createDataFrame(rows, "i int, text string")).collect()}
     assert got[1] == ["One longer sentence here", "Another sentence of it", "and a last part"] and got[2] == ["tiny"] and got[3] == got[5] == []
+
+
+def test_ranks_of_one_class_are_taken_in_many_tasks(spark):
+    d = spark.range(20_000).select("id", F.lit("all").alias("y"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        r = RS.class_rank(d, "id", "y", "s")
+        held = [n for n in r.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        ranks = sorted(x.class_rank for x in r.select("class_rank").collect())
+    finally:
+        spark.conf.set(key, old)
+    assert max(held) < 15_000 and ranks == list(range(20_000))
+
+
+def test_group_folds_do_not_shuffle_profiles_by_their_mix(spark):
+    d = spark.range(500).select(F.col("id").alias("p"), (F.col("id") % 2).alias("y"))
+    r = RS.group_folds(d, ["p"], 5, "s", "y")
+    assert sorted(x["count"] for x in r.groupBy("fold", "y").count().collect()) == [50] * 10
