@@ -5,7 +5,9 @@ The index is a ``postings(source, chunk_id, term, weight)`` table.  A chunk's te
 counted, looked up in the vocabulary and normalised inside its Arrow batch, so the only
 shuffle is that of the corpus counts by term.
 
-Top-k is pruned by bounds (MaxScore).  A term adds at most its query weight times its greatest
+Top-k scores chunks where they are: a batch has all terms of its chunks, so it sums their whole
+scores for all queries and returns the k best of each; nothing but those is shuffled.  Queries too
+many to go to the tasks are joined to the written postings and pruned by bounds (MaxScore).  A term adds at most its query weight times its greatest
 weight in a block of chunks of like norm.  The chunks that a query's rarest terms like best are
 scored whole; the k-th best of them is a floor.  Terms whose bounds in a block together stay
 below the floor cannot bring in a chunk of it, so only the postings of the others make
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ REST_SHARE = 0.3  # part of the floor that the terms left out may add: less make
 PLAIN_POSTINGS = 50_000_000  # postings of all queries' terms up to which no bounds are made
 BOUND_SLACK = 1e-9  # what rounding may take from a bound, as a part of it
 BROADCAST_QUERY_TERMS = 250_000  # (query_id, term, weight) rows: about 15 MB broadcast at most
+COUNTER_TERMS = 4_000_000  # counts of terms that a task holds at a time, about
+SCORER_CELLS = 1_000_000  # scores, or products that add up to them, that a task forms at a time
 
 
 def clean_text(c: Column) -> Column:
@@ -63,14 +67,15 @@ def chunk_documents(docs: DataFrame, source_col: str = "source", text_col: str =
     cleaned = clean_text(F.col(text_col))
     n = F.length(F.col("_clean"))
     count = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int") + 1
-    d = spread(docs).select(F.col(source_col).alias("source"), cleaned.alias("_clean")).where(F.length("_clean") > 0)
+    d = spread(docs).select(F.col(source_col).alias("source"), cleaned.alias("_clean"))
     d = d.select("source", count.alias("_count"), F.regexp_extract_all("_clean", F.lit(f"(?s).{{1,{step}}}"), 0).alias("_blocks"))
     windows = F.col("_blocks")
     for k in range(1, -(-size // step)):
         after = F.slice("_blocks", F.lit(k + 1), F.size("_blocks"))
         windows = F.zip_with(windows, after, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     windows = F.transform(F.slice(windows, F.lit(1), F.col("_count")), lambda w: F.substring(w, 1, size))
-    return d.select("source", F.posexplode(windows).alias("chunk_id", "text"))
+    # the outer form: filters on the text or the windows' number, set by the planner below the inner one, take every step on the text again
+    return d.select("source", F.posexplode_outer(windows).alias("chunk_id", "text")).where(F.col("chunk_id").isNotNull())
 
 
 def bigrams_of(toks: Column) -> Column:
@@ -100,71 +105,149 @@ def term_counts(df: DataFrame, key_cols: list[str], text_col: str = "text", ngra
         .groupBy(*key_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def batch_terms(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different tokens and bigrams of lower-cased texts, and (text, term) of every occurrence."""
+def word_pairs(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """The tokens of lower-cased texts, the text of each, and the tokens that another of their text follows."""
     found = [TOKEN.findall(t) if t else [] for t in texts]
-    own = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
-    words, code = own.dictionary, own.indices.to_numpy().astype(np.int64)
     of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-    pair = np.flatnonzero(of[1:] == of[:-1])
-    keys, gram = np.unique(code[pair] * len(words) + code[pair + 1], return_inverse=True)
-    size = max(len(words), 1)
-    grams = pc.binary_join_element_wise(words.take(pa.array(keys // size)), words.take(pa.array(keys % size)), " ")
-    return pa.concat_arrays([words, grams]), np.concatenate([of, of[pair]]), np.concatenate([code, len(words) + gram])
+    return found, of, np.flatnonzero(of[1:] == of[:-1])
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class TermCounter:
+    """Occurrences and texts of the different tokens and bigrams of many lower-cased texts, as numbers."""
+
+    def __init__(self) -> None:
+        self.numbers, self.parts, self.texts, self.terms = Numbers(), [], 0, 0
+
+    def add(self, texts: list[str | None]) -> None:
+        found, of, pair = word_pairs(texts)
+        code = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, len(of))
+        size = max(len(self.numbers), 1)
+        key = np.concatenate([code, (code[pair] + 1) * size + code[pair + 1]])
+        of, keys = np.concatenate([of, of[pair]]), (size + 1) * size
+        both = np.sort(of * keys + key)
+        df = np.unique(both[np.diff(both, prepend=-1) > 0] % keys, return_counts=True)[1]
+        key, cnt = np.unique(key, return_counts=True)
+        self.parts.append((key // size << 32 | key % size, cnt, df))  # in the same order
+        self.texts += len(texts)
+        self.terms += len(key)
+        if self.terms > COUNTER_TERMS:
+            self.merge()
+
+    def merge(self) -> None:
+        key, cnt, df = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=-1))
+        if len(order):
+            key, cnt, df = key[order][start], np.add.reduceat(cnt[order], start), np.add.reduceat(df[order], start)
+        self.parts, self.terms = [(key, cnt, df)], len(key)
+
+    def full(self) -> bool:
+        return max(2 * self.terms, 4 * len(self.numbers)) > COUNTER_TERMS
+
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """(term, cnt, df), with the texts as df of CHUNK_SENTINEL; the counter starts anew."""
+        names = ["term", "cnt", "df"]
+        if self.texts:
+            self.merge()
+            words = pa.array(self.numbers, pa.string())
+            (key, cnt, df), step = self.parts[0], 200_000
+            for at in range(0, len(key), step):
+                first, second = key[at : at + step] >> 32, key[at : at + step] & 0xFFFFFFFF
+                n = np.count_nonzero(first == 0)  # single words sort first
+                grams = pc.binary_join_element_wise(words.take(pa.array(first[n:] - 1)), words.take(pa.array(second[n:])), " ")
+                terms = pa.concat_arrays([words.take(pa.array(second[:n])), grams])
+                yield pa.RecordBatch.from_arrays([terms, pa.array(cnt[at : at + step]), pa.array(df[at : at + step])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([CHUNK_SENTINEL]), pa.array([0], pa.int64()), pa.array([self.texts], pa.int64())], names)
+        self.__init__()
 
 
 def term_statistics(chunks: DataFrame) -> DataFrame:
     """(term, cnt, df) of lower-cased texts ``t``: occurrences and chunks of every term, and the number of chunks as df of CHUNK_SENTINEL."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter()
         for b in batches:
-            terms, of, term = batch_terms(b.column("t").to_pylist())
-            size = max(len(terms), 1)
-            cnt = np.bincount(term, minlength=len(terms))
-            df = np.bincount(np.unique(of * size + term) % size, minlength=len(terms))
-            terms = pa.concat_arrays([terms, pa.array([CHUNK_SENTINEL])])
-            yield pa.RecordBatch.from_arrays([terms, pa.array(np.append(cnt, 0)), pa.array(np.append(df, b.num_rows))], ["term", "cnt", "df"])
+            counter.add(b.column("t").to_pylist())
+            if counter.full():
+                counter.merge()
+            if counter.full():
+                yield from counter.counted()
+        yield from counter.counted()
 
     own = chunks.select("t").mapInArrow(count, "term string, cnt long, df long")
     return own.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.sum("df").alias("df"))
 
 
-def tfidf_index(chunks: DataFrame, max_features: int = 12000, blocks: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(postings, vocab)``.
-
-    vocab: the ``max_features`` terms with the highest corpus count (ties: term
-    ascending) with smooth idf ``ln((1+n)/(1+df)) + 1``.  postings: L2-normalised
-    tf-idf weight per (chunk, term).  The vocabulary is bounded by
-    ``max_features``; it is checkpointed and goes to the tasks as a dictionary.  With ``blocks``,
-    postings also tell the chunk's ``block``: chunks of like norm, whose terms have like weights.
-    """
-    spark = chunks.sparkSession
-    ensure_checkpoint_dir(spark)
-    chunks = written(chunks.select("source", "chunk_id", F.lower("text").alias("t")), "chunks")  # read twice
+class Weigher:
+    """Tf-idf weights of texts in a vocabulary: words and, with a space between two, bigrams."""
+
+    def __init__(self, names: list[str], idf: np.ndarray):
+        self.size, self.idf = max(len(names), 1), idf
+        parts = [n.split(" ") for n in names]
+        self.places = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        self.words = len(self.places) + 1
+        self.single = np.full(self.words, -1)  # the last entry is for words that are not known
+        pairs = []
+        for i, p in enumerate(parts):
+            if len(p) == 1:
+                self.single[self.places[p[0]]] = i
+            else:
+                pairs.append((self.places[p[0]] * self.words + self.places[p[1]], i))
+        self.pairs, self.pair_at = np.array(sorted(pairs) or [(-1, -1)], np.int64).T
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight, norm) of each term of a text, by text and term; norm is that of the text before it is normalised."""
+        found, of, pair = word_pairs(texts)
+        code = np.fromiter(map(self.places.get, chain.from_iterable(found), repeat(-1)), np.int64, len(of))
+        pair = pair[(code[pair] >= 0) & (code[pair + 1] >= 0)]
+        key = code[pair] * self.words + code[pair + 1]
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        both = self.pairs[at] == key
+        term = np.concatenate([self.single[code], self.pair_at[at[both]]])
+        of = np.concatenate([of, of[pair[both]]])
+        key, tf = np.unique((of * self.size + term)[term >= 0], return_counts=True)
+        of, term = key // self.size, key % self.size
+        w = tf * self.idf[term]
+        norm = np.sqrt(np.bincount(of, w * w, minlength=len(texts)))[of]
+        return of, term, w / norm, norm
+
+
+def vocabulary(chunks: DataFrame, max_features: int) -> DataFrame:
+    """(term, df, idf) of lower-cased texts ``t``: the most frequent terms, checkpointed."""
+    ensure_checkpoint_dir(chunks.sparkSession)
     # the sentinel sorts first, then the max_features most frequent terms (ties: term ascending)
     top = term_statistics(chunks).orderBy((F.col("term") == CHUNK_SENTINEL).desc(), F.col("cnt").desc(), F.col("term").asc()) \
         .limit(max_features + 1).checkpoint(eager=True)
     n_row = top.where(F.col("term") == CHUNK_SENTINEL).select("df").first()
     n_chunks = int(n_row["df"]) if n_row else 0
-    vocab = top.where(F.col("term") != CHUNK_SENTINEL).select(
+    return top.where(F.col("term") != CHUNK_SENTINEL).select(
         "term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+
+
+def lowered(chunks: DataFrame) -> DataFrame:
+    """(source, chunk_id, t): the lower-cased chunks, written: the vocabulary and the weights each read them."""
+    return written(chunks.select("source", "chunk_id", F.lower("text").alias("t")), "chunks")
+
+
+def weighed(chunks: DataFrame, vocab: DataFrame, blocks: bool = False) -> DataFrame:
+    """(source, chunk_id, term, weight) of lower-cased texts ``t``."""
     known = vocab.select("term", "idf").collect()  # at most max_features rows
-    shared = spark.sparkContext.broadcast(([r.term for r in known], np.array([r.idf for r in known], float)))
+    shared = chunks.sparkSession.sparkContext.broadcast(([r.term for r in known], np.array([r.idf for r in known], float)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, idf = shared.value
-        place = {t: i for i, t in enumerate(names)}
-        names = pa.array(names, pa.string())
+        weigher, names = Weigher(*shared.value), pa.array(shared.value[0], pa.string())
         for b in batches:
-            terms, of, term = batch_terms(b.column("t").to_pylist())
-            own = np.fromiter((place.get(t, -1) for t in terms.to_pylist()), np.int64, len(terms))[term]
-            size = max(len(names), 1)
-            key, tf = np.unique((of * size + own)[own >= 0], return_counts=True)
-            of, own = key // size, key % size
-            w = tf * idf[own]
-            norm = np.sqrt(np.bincount(of, w * w, minlength=b.num_rows))[of]
+            of, term, weight, norm = weigher(b.column("t").to_pylist())
             at = pa.array(of)
-            out = [b.column("source").take(at), b.column("chunk_id").take(at), names.take(pa.array(own)), pa.array(w / norm)]
+            out = [b.column("source").take(at), b.column("chunk_id").take(at), names.take(pa.array(term)), pa.array(weight)]
             if blocks:
                 out.append(pa.array(np.floor(BLOCKS_AN_OCTAVE * np.log2(norm)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(out, schema.names)
@@ -172,7 +255,21 @@ def tfidf_index(chunks: DataFrame, max_features: int = 12000, blocks: bool = Fal
     schema = T.StructType([chunks.schema["source"], chunks.schema["chunk_id"], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
     if blocks:
         schema = schema.add("block", T.IntegerType())
-    return chunks.mapInArrow(weigh, schema), vocab
+    return chunks.mapInArrow(weigh, schema)
+
+
+def tfidf_index(chunks: DataFrame, max_features: int = 12000, blocks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(postings, vocab)``.
+
+    vocab: the ``max_features`` terms with the highest corpus count (ties: term
+    ascending) with smooth idf ``ln((1+n)/(1+df)) + 1``.  postings: L2-normalised
+    tf-idf weight per (chunk, term).  The vocabulary is bounded by
+    ``max_features``; it is checkpointed and goes to the tasks as a dictionary.  With ``blocks``,
+    postings also tell the chunk's ``block``: chunks of like norm, whose terms have like weights.
+    """
+    chunks = lowered(chunks)  # read twice
+    vocab = vocabulary(chunks, max_features)
+    return weighed(chunks, vocab, blocks), vocab
 
 
 def vectorize(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -258,12 +355,109 @@ def pruned_top_k(qvec: DataFrame, postings: DataFrame, k: int = 3, id_col: str =
     return top_k(completed(found, qvec, postings, id_col), k, id_col)
 
 
+class BatchScorer:
+    """The best chunks of a batch for each query, from query vectors (query number, term number, weight) sorted by term."""
+
+    def __init__(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, terms: int, k: int):
+        self.query, self.weight, self.queries, self.k = query, weight, queries, k
+        self.first = np.searchsorted(term, np.arange(terms + 1))
+        self.floor = np.zeros(queries)  # of the batches before: the k-th best score, rounded
+
+    def __call__(self, of: np.ndarray, term: np.ndarray, weight: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(chunk, query, score) from the chunks' postings in order of the chunk; ``place`` is a chunk's rank among ties.
+
+        Whole scores, a few chunks at a time: as many as have SCORER_CELLS scores or products.
+        """
+        n = self.first[term + 1] - self.first[term]  # queries that ask for each posting
+        cost = np.maximum(np.bincount(of, n, minlength=len(place)), self.queries)
+        part = (np.cumsum(cost) // SCORER_CELLS)
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(place))
+        ends = np.searchsorted(of, cuts)
+        kept = [self.some(a, b, of[i:j], term[i:j], weight[i:j], n[i:j], place) for a, b, i, j in zip(cuts, cuts[1:], ends, ends[1:])]
+        chunk, query, score = (np.concatenate(c) for c in zip(*kept))
+        at = self.best(chunk, query, score, place)
+        return chunk[at], query[at], score[at]
+
+    def some(self, a: int, b: int, of: np.ndarray, term: np.ndarray, weight: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        posting = np.repeat(np.arange(len(of)), n)
+        entry = np.arange(len(posting)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[term], n)
+        cell = (of[posting] - a) * self.queries + self.query[entry]
+        score = np.bincount(cell, weight[posting] * self.weight[entry], minlength=(b - a) * self.queries).reshape(b - a, self.queries)
+        chunk, query = np.nonzero((score > 0) & (np.round(score, SCORE_DECIMALS) >= self.floor))
+        score = score[chunk, query]
+        at = self.best(chunk + a, query, score, place)
+        return chunk[at] + a, query[at], score[at]
+
+    def best(self, chunk: np.ndarray, query: np.ndarray, score: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The rows of each query's k best; they raise its floor."""
+        if not len(query):
+            return np.zeros(0, np.int64)
+        rounded = np.round(score, SCORE_DECIMALS)
+        order = np.lexsort((place[chunk], -rounded, query))
+        query = query[order]
+        start = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(start, np.diff(start, append=len(query)))
+        last = order[rank == self.k - 1]
+        self.floor[query[rank == self.k - 1]] = np.maximum(self.floor[query[rank == self.k - 1]], rounded[last])
+        return order[rank < self.k]
+
+
+def scored_in_place(chunks: DataFrame, vocab: DataFrame, qvec: DataFrame, k: int, id_col: str = "query_id") -> DataFrame:
+    """(id, source, chunk_id, score): of lower-cased chunks, at least the ``k`` best of each query, in whole scores.
+
+    A chunk has all its terms in its batch, so its scores for all queries are summed there: no posting is
+    written or shuffled, and a batch returns its ``k`` best chunks of a query.  ``qvec`` goes to the tasks: the caller bounds it.
+    """
+    spark = chunks.sparkSession
+    known = vocab.select("term", "idf").collect()  # at most max_features rows
+    number = {r.term: i for i, r in enumerate(known)}
+    asked = qvec.select(id_col, "term", F.col("weight").cast("double")).toArrow().combine_chunks()
+    ids = asked.column(0).combine_chunks().dictionary_encode(null_encoding="encode") if len(asked) else None
+    if ids is None:
+        return spark.createDataFrame([], T.StructType([qvec.schema[id_col], chunks.schema["source"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())]))
+    term = np.array([number[t] for t in asked.column(1).to_pylist()], np.int64)
+    order = np.argsort(term, kind="stable")
+    query, weight = ids.indices.to_numpy()[order].astype(np.int64), asked.column(2).to_numpy()[order]
+    shared = spark.sparkContext.broadcast((list(number), np.array([r.idf for r in known], float), ids.dictionary, query, term[order], weight))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf, ids, query, term, weight = shared.value
+        weigher = Weigher(names, idf)
+        scorer = BatchScorer(query, term, weight, len(ids), len(names), k)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, terms, weights, _ = weigher(b.column("t").to_pylist())
+            place = np.empty(b.num_rows, np.int64)
+            later = pc.sort_indices(b.select(["source", "chunk_id"]), sort_keys=[("source", "descending"), ("chunk_id", "descending")])
+            place[later.to_numpy()] = np.arange(b.num_rows)
+            chunk, q, s = scorer(of, terms, weights, place)
+            at = pa.array(chunk)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("source").take(at), b.column("chunk_id").take(at), pa.array(s)], schema.names)
+
+    schema = T.StructType([qvec.schema[id_col], chunks.schema["source"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())])
+    return chunks.mapInArrow(score, schema)
+
+
 def rag_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, id_col: str = "query_id", text_col: str = "query",
-             max_features: int = 12000) -> DataFrame:
-    """Top-k chunks per query by tf-idf cosine; zero-score chunks are never returned."""
-    postings, vocab = tfidf_index(chunks, max_features, blocks=True)
+             max_features: int = 12000, in_place: int = BROADCAST_QUERY_TERMS) -> DataFrame:
+    """Top-k chunks per query by tf-idf cosine; zero-score chunks are never returned.
+
+    Up to ``in_place`` query terms go to the chunks' tasks; the postings of more are pruned by bounds.
+    Rows of one (source, chunk_id) count as one chunk: those that repeat are added up from their postings.
+    """
+    chunks = lowered(chunks)
+    vocab = vocabulary(chunks, max_features)
     qv = written(vectorize(queries, vocab, id_col, text_col), "query-vectors")
-    return pruned_top_k(qv, written(postings, "postings"), k, id_col)
+    if qv.count() > in_place:
+        return pruned_top_k(qv, written(weighed(chunks, vocab, blocks=True), "postings"), k, id_col)
+    again = written(chunks.groupBy("source", "chunk_id").count().where("count > 1").drop("count"), "repeated")
+    if not again.take(1):
+        return top_k(scored_in_place(chunks, vocab, qv, k, id_col), k, id_col)
+    again = again.select(F.col("source").alias("_source"), F.col("chunk_id").alias("_chunk"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("chunk_id").eqNullSafe(F.col("_chunk"))
+    alone = scored_in_place(chunks.join(again, same, "left_anti"), vocab, qv, k, id_col)
+    return top_k(alone.unionByName(similarity(qv, weighed(chunks.join(again, same, "left_semi"), vocab), id_col)), k, id_col)
 
 
 def _anchored_tokens(q: Column) -> Column:
@@ -340,6 +534,11 @@ NO_DOCS_ANSWER = "No guideline documents found. Please add trusted clinical guid
 DEFAULT_DRIVERS = "the reported symptoms"
 
 
+def found_chunks(topk: DataFrame, docs: DataFrame) -> DataFrame:
+    """The chunks of the documents that ``topk`` names: the others are not cut again."""
+    return chunk_documents(docs.join(topk.select("source").distinct(), "source", "left_semi"))
+
+
 def rag_answer(topk: DataFrame, chunks: DataFrame, queries: DataFrame, id_col: str = "query_id",
                drivers: Column | None = None) -> DataFrame:
     """Answer from the best chunk's first 300 characters plus the sources list
@@ -372,9 +571,8 @@ def assess_chat(guided: DataFrame, docs: DataFrame, id_col: str = "message_id",
     ask = F.array_distinct("risk_factors")
     asked = guided.select(id_col, "actionable", F.col("guidance_query").alias("query"), F.concat_ws(", ", ask).alias("drivers"))
     questions = asked.where(F.col("query").isNotNull()).select(F.col("query").alias("query_id"), "query", "drivers").distinct()
-    chunks = chunk_documents(docs)
-    found = rag_topk(questions, chunks, k).checkpoint()  # k rows a question, read three times
-    answers = rag_answer(found, chunks, questions, drivers=F.col("drivers"))
+    found = written(rag_topk(questions, chunk_documents(docs), k), "found")  # k rows a question, read four times
+    answers = rag_answer(found, found_chunks(found, docs), questions, drivers=F.col("drivers"))
     unmet = questions.join(found.select("query_id").distinct(), "query_id", "left_anti")
     lexical = rag_lexical(unmet, docs, k)
     texts = lexical.join(docs.select("source", "text"), "source")

@@ -720,8 +720,8 @@ def q_rag_lexical(spark, sf_dir):
 @register("rag_answer")
 def q_rag_answer(spark, sf_dir):
     qs = A.queries_table(spark, sf_dir)
-    ch = _chunks(spark, sf_dir)
-    return finish(RT.rag_answer(RT.rag_topk(qs, ch, k=3), ch, qs))
+    found = written(RT.rag_topk(qs, _chunks(spark, sf_dir), k=3), "found")
+    return finish(RT.rag_answer(found, RT.found_chunks(found, A.guidelines(spark, sf_dir)), qs))
 
 
 @register("chat_assess")
