@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -46,10 +47,13 @@ from .common import slices, written
 SUPPORT, HELD = 0.5, 0.9
 #: Tokens of a class whose words are the template's, and different pages of a host that has such classes.
 CLASS_TOKENS, TEXT_PAGES = 3, 16
+#: Keys of words that a task holds, to look up those it has met.
+KNOWN_KEYS = 100_000
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"\S+")
 # Element names and naming habits of the web (fixed values).
+NO_WORD = Counter([""])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template svg iframe select math object".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
@@ -63,6 +67,7 @@ CONTENT = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+@lru_cache(4096)
 def named(tag: str, attributes: str) -> tuple[str, bool]:
     """An element's token, and whether it is one of those that hold no article text."""
     names = [v for m in ATTRIBUTE.finditer(attributes) for v in (m[2] or m[3] or m[4] or "").split()] if "=" in attributes else []
@@ -134,13 +139,13 @@ def own_tokens(html: str) -> dict[str, tuple[int, int]]:
 
 
 def tokens_of(paths: list[str], nodes: list[tuple[str, int, str, int]]) -> dict[str, tuple[int, int]]:
-    count, held = Counter(paths), Counter()
+    count, own, held = Counter(paths), Counter(), Counter()
     for path, _, text, _ in nodes:
-        size = len(text.strip())
-        if size:
-            for a in ancestors(path):
-                held[a] += size
-    return {p: (count[p], held[p]) for p in count} | {"": (1, sum(len(t.strip()) for _, _, t, _ in nodes))}
+        own[path] += len(text.strip())
+    for path, size in own.items():
+        for a in ancestors(path):
+            held[a] += size
+    return {p: (n, held[p]) for p, n in count.items()} | {"": (1, sum(own.values()))}
 
 
 def key(path: str, word: str = "") -> int:
@@ -149,9 +154,31 @@ def key(path: str, word: str = "") -> int:
     return int.from_bytes(b"\0\0" + blake2b(f"{path}\t{word}".encode("utf-8", "replace"), digest_size=6).digest(), "little", signed=True)
 
 
-def words_of(nodes: list[tuple[str, int, str, int]]) -> Counter:
-    """How often each (path, word) occurs outside chrome."""
-    return Counter((path, w) for path, _, text, _ in nodes for w in text.split())
+def words_of(nodes: list[tuple[str, int, str, int]]) -> dict[str, Counter]:
+    """How often each word occurs in each path outside chrome."""
+    found: dict[str, Counter] = {}
+    for path, _, text, _ in nodes:
+        words = text.split()
+        if words:
+            found.setdefault(path, Counter()).update(words)
+    return found
+
+
+class Keys:
+    """Keys by path and word, each computed once while they are held."""
+
+    def __init__(self):
+        self.known: dict[str, dict[str, int]] = {}
+        self.held = 0
+
+    def of(self, path: str, words: Counter) -> Iterator[int]:
+        if self.held > KNOWN_KEYS:
+            self.known, self.held = {}, 0
+        known = self.known.setdefault(path, {})
+        new = [w for w in words if w not in known]
+        known.update((w, key(path, w)) for w in new)
+        self.held += len(new)
+        return map(known.__getitem__, words)
 
 
 def sequence(paths: list[str], nodes: list[tuple[str, int, str, int]]) -> Iterator[tuple[str, str]]:
@@ -216,18 +243,24 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        keys = Keys()
         for part in slices(batches, 64):
             out: list[list] = [[], [], [], [], [], []]
             for host, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
                 paths, nodes = elements(html)
                 own, words = tokens_of(paths, nodes), words_of(nodes)
-                many = len(own) + len(words)
+                out[2] += own
+                out[3] += [k for p in own for k in keys.of(p, NO_WORD)]
+                out[4] += [n for n, _ in own.values()]
+                out[5] += [h for _, h in own.values()]
+                for path, count in words.items():
+                    out[3] += keys.of(path, count)
+                    out[4] += count.values()
+                many = len(out[3]) - len(out[0])
                 out[0] += [host] * many
                 out[1] += [page] * many
-                out[2] += [*own, *[None] * len(words)]
-                out[3] += [*map(key, own), *[key(p, w) for p, w in words]]
-                out[4] += [*[n for n, _ in own.values()], *words.values()]
-                out[5] += [*[h for _, h in own.values()], *[0] * len(words)]
+                out[2] += [None] * (many - len(own))
+                out[5] += [0] * (many - len(own))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "page", "token", "key", "n", "held"])
 
     found = pages.mapInArrow(tokens, "host string, page long, token string, key long, n long, held long")
