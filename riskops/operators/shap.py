@@ -6,7 +6,8 @@ a pattern of ``k`` bits (inside the interval or not), and a feature that is not
 the share of training weight that does (cover). The subset sums of Shapley's formula are kept as one weight for
 each subset size: ``extend`` takes a feature into them, ``without`` takes it out again. Both run for many
 leaves and all their patterns at once (for the patterns that occur, where a leaf has many features); a row then
-only looks its pattern up.
+only looks its pattern up. Neighbouring leaves have most of their intervals in common, so their tables are added up to one, by
+the patterns of all their intervals, and are looked up once.
 
 The ensemble's intervals, covers and values are bounded by the model and go to the tasks in one
 broadcast; rows never leave their partition. ``base + sum(attributions)`` is the prediction: the
@@ -100,6 +101,8 @@ def pattern_values(value: np.ndarray, cover: np.ndarray, patterns: np.ndarray) -
 
 #: Most features of a leaf whose patterns are all laid out, numbers in such a table, and rows whose patterns are taken together.
 TABLE_FEATURES, TABLE_VALUES, BLOCK_ROWS = 8, 1 << 20, 1 << 14
+#: Most different intervals of leaves that are looked up together, and rows that a task explains at a time.
+MERGED_BITS, TASK_ROWS = 10, 1 << 16
 
 
 def patterns_of(leaf: Leaf, at_most: Callable[[int, float], np.ndarray], dtype) -> np.ndarray:
@@ -111,6 +114,36 @@ def patterns_of(leaf: Leaf, at_most: Callable[[int, float], np.ndarray], dtype)
     return out
 
 
+def neighbours(part: Sequence[tuple[Leaf, float]], most: int) -> Iterator[tuple[list[int], dict[tuple, int]]]:
+    """Runs of leaves that have at most so many different intervals (one leaf may have more), and a bit for each interval."""
+    run: list[int] = []
+    bits: dict[tuple, int] = {}
+    for i, (leaf, _) in enumerate(part):
+        own = list(zip(leaf.features, leaf.low, leaf.high))
+        if run and len(bits) + sum(c not in bits for c in own) > most:
+            yield run, bits
+            run, bits = [], {}
+        for c in own:
+            bits.setdefault(c, len(bits))
+        run.append(i)
+    if run:
+        yield run, bits
+
+
+def merged_table(part: Sequence[tuple[Leaf, float]], tables: np.ndarray, run: list[int], bits: dict[tuple, int]) -> dict[int, np.ndarray]:
+    """The leaves' values by feature, added up for each pattern of all their intervals."""
+    patterns = np.arange(1 << len(bits))
+    bit = [(patterns >> k) & 1 for k in range(len(bits))]
+    out: dict[int, np.ndarray] = {}
+    for i in run:
+        leaf = part[i][0]
+        own = sum(bit[bits[c]] << k for k, c in enumerate(zip(leaf.features, leaf.low, leaf.high)))
+        for f, values in zip(leaf.features, tables[i]):
+            more = values.take(own)
+            out[f] = out[f] + more if f in out else more
+    return out
+
+
 def shapley(trees: Sequence[Sequence[Leaf]], scale: Sequence[float], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Values for each row and feature of ``x``, and the expected prediction."""
     out, base = np.zeros(x.shape[::-1]), 0.0
@@ -121,25 +154,30 @@ def shapley(trees: Sequence[Sequence[Leaf]], scale: Sequence[float], x: np.ndarr
             if leaf.features and len(x):
                 by_size.setdefault(len(leaf.features), []).append((leaf, share))
     columns = np.ascontiguousarray(x.T)
-    for start in range(0, len(x), BLOCK_ROWS):
-        rows = slice(start, start + BLOCK_ROWS)
-        at_most = cache(lambda f, bound, rows=rows: columns[f, rows] <= bound)
-        for size, own in by_size.items():
-            laid_out = size <= TABLE_FEATURES
-            step = max(1, (TABLE_VALUES >> size) // size) if laid_out else 1
-            for first in range(0, len(own), step):
-                part = own[first:first + step]
-                value, cover = np.array([leaf.value * share for leaf, share in part]), np.array([leaf.cover for leaf, _ in part])
-                found = [patterns_of(leaf, at_most, np.uint8 if laid_out else np.int64) for leaf, _ in part]
-                if laid_out:
-                    tables = pattern_values(value, cover, np.arange(1 << size))
-                else:  # only the patterns that occur
-                    patterns, of = np.unique(found[0], return_inverse=True)
-                    tables, found = pattern_values(value, cover, patterns), [of]
-                for (leaf, _), table, pattern in zip(part, tables, found):
-                    index = pattern.astype(np.intp)
-                    for f, values in zip(leaf.features, table):
-                        out[f, rows] += values[index]
+    blocks = [slice(start, start + BLOCK_ROWS) for start in range(0, len(x), BLOCK_ROWS)]
+    at_most = [cache(lambda f, bound, rows=rows: columns[f, rows] <= bound) for rows in blocks]
+    # a table of 2^bits patterns pays if there are some times as many rows
+    most = min(MERGED_BITS, len(x).bit_length() - 3)
+    for size, own in by_size.items():
+        laid_out = size <= TABLE_FEATURES
+        step = max(1, (TABLE_VALUES >> size) // size) if laid_out else 1
+        for first in range(0, len(own), step):
+            part = own[first:first + step]
+            value, cover = np.array([leaf.value * share for leaf, share in part]), np.array([leaf.cover for leaf, _ in part])
+            if not laid_out:  # only the patterns that occur
+                for rows, test in zip(blocks, at_most):
+                    patterns, of = np.unique(patterns_of(part[0][0], test, np.int64), return_inverse=True)
+                    for f, values in zip(part[0][0].features, pattern_values(value, cover, patterns)[0]):
+                        out[f, rows] += values[of]
+                continue
+            tables = pattern_values(value, cover, np.arange(1 << size))
+            for run, bits in neighbours(part, most):
+                table = merged_table(part, tables, run, bits) if len(run) > 1 else dict(zip(part[run[0]][0].features, tables[run[0]]))
+                both = Leaf(0.0, *(tuple(c[k] for c in bits) for k in range(3)), ())
+                for rows, test in zip(blocks, at_most):
+                    index = patterns_of(both, test, np.uint8 if len(bits) <= 8 else np.uint16).astype(np.intp)
+                    for f, values in table.items():
+                        out[f, rows] += values.take(index, mode="clip")
     return out.T, base
 
 
@@ -159,6 +197,19 @@ def ensemble(model: PipelineModel, spark, class_index: int = 1) -> tuple[list[li
     return [leaves(t, lambda n: n["prediction"], lambda n: float(n["impurityStats"][0])) for t in trees], list(weights)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they have so many rows: what is laid out for a batch serves more of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(h.num_rows for h in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tree_shap(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str, class_index: int = 1) -> DataFrame:
     """(id, feature, attribution, share_percent, base) for each row and feature.
 
@@ -171,9 +222,7 @@ def tree_shap(model: PipelineModel, df: DataFrame, features: Sequence[str], id_c
     x = model.transform(dealt(df, anew=False)).select(F.col(id_col).alias("id"), vector_to_array("features").alias("x"))
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches, TASK_ROWS):
             own = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             values, base = shapley(*trees.value, own)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1]), pa.array(values.ravel()))

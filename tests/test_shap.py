@@ -145,3 +145,23 @@ def test_leaves_are_worked_on_together_not_one_by_one(monkeypatch):
     monkeypatch.setattr(S, "pattern_values", lambda *a: calls.append(a) or real(*a))
     S.shapley(trees, [1.0] * 20, r.integers(-3, 4, (50, 4)).astype(float))
     assert len(calls) <= 4 < sum(map(len, trees))
+
+
+def test_neighbouring_leaves_are_looked_up_once(monkeypatch):
+    r = np.random.default_rng(6)
+    trees = [S.leaves(random_tree(r, 8, 6), VALUE, COVER) for _ in range(5)]
+    x = r.integers(-3, 4, (40_000, 6)).astype(float)
+    lookups, real = [], S.patterns_of
+    monkeypatch.setattr(S, "patterns_of", lambda *a: lookups.append(a) or real(*a))
+    got, _ = S.shapley(trees, [1.0] * 5, x)
+    assert len(lookups) < 0.6 * 3 * sum(len(leaf.features) > 0 for t in trees for leaf in t)  # three blocks of rows
+    monkeypatch.setattr(S, "MERGED_BITS", 0)
+    assert np.allclose(S.shapley(trees, [1.0] * 5, x)[0], got, atol=1e-12)
+
+
+def test_batches_are_joined():
+    import pyarrow as pa
+
+    made = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["x"]) for n in (3, 0, 4, 5, 1)]
+    assert [b.column("x").to_pylist() for b in S.gathered(iter(made), 6)] == [[0, 1, 2, 0, 1, 2, 3], [0, 1, 2, 3, 4, 0]]
+    assert list(S.gathered(iter(made[1:2]), 6)) == []
