@@ -93,8 +93,8 @@ def group_folds(df: DataFrame, profile_cols: Sequence[str], k: int = 5, seed: st
     return rows.join(folds, "profile").select(*rows.columns, "fold")
 
 
-#: Draws that one row is laid out to.
-DRAW_RANGE = 10_000
+#: Draws that one row is laid out to, and ranges of them that a task lays out, about.
+DRAW_RANGE, TASK_RANGES = 10_000, 25
 
 
 def draws(spark: SparkSession, n: int) -> DataFrame:
@@ -114,11 +114,13 @@ def oversample(df: DataFrame, id_col: str, label_col: str, seed: str = "os") ->
     total = sizes.agg(F.max("_size").alias("n"), F.count(F.lit(1)).alias("classes")).first()
     if total.classes < 2:
         return df.withColumn("copy", F.lit(0))
-    # a class's draws in ranges, dealt out before they are laid out
+    # a class's draws in ranges, dealt out before they are laid out; to a number of tasks that is given, as the planner sees
+    # only a few short rows and would make one task of them
+    tasks = -(-total.n * total.classes // (TASK_RANGES * DRAW_RANGE))
     ranges = F.explode(F.sequence(F.lit(0), F.lit((total.n - 1) // DRAW_RANGE).cast("long"))).alias("_range")
     first = F.col("_range") * DRAW_RANGE
     j = F.explode(F.sequence(first, F.least(first + DRAW_RANGE, F.lit(total.n)) - 1)).alias("_j")
-    drawn = sizes.select("_class", "_size", ranges).repartition("_class", "_range").select("_class", "_size", j)
+    drawn = sizes.select("_class", "_size", ranges).repartition(tasks, "_class", "_range").select("_class", "_size", j)
     number = F.floor(uniform(seed, F.concat_ws("|", "_class", "_j")) * F.col("_size"))
     drawn = drawn.groupBy("_class", number.alias("class_rank")).agg(F.count(F.lit(1)).alias("_copies"))
     rows = class_rank(df, id_col, label_col, seed).withColumn("_class", F.col(label_col).cast("string"))
